@@ -4,7 +4,7 @@ import importlib
 
 from panelcast.queries.registry import QUERIES
 
-_MODULES = ("panel", "cleaning")
+_MODULES = ("panel", "cleaning", "features")
 
 for _m in _MODULES:
     importlib.import_module(f"panelcast.queries.{_m}")
