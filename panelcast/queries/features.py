@@ -235,8 +235,8 @@ def _one_hot(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     df = t.enrol_panel(spark, sf)
-    hot = vector_to_array(groups.one_hot(df, ["state"]).fit(df).transform(df)["state_vec"])
     df = groups.one_hot(df, ["state"]).fit(df).transform(df)
+    hot = vector_to_array("state_vec")
     return df.select(*K, (F.array_position(hot, F.lit(1.0)) - 1).cast("int").alias("hot_position"), F.size(hot).alias("width"))
 
 
