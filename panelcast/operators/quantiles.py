@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Groups below this size are ordered as a whole; larger ones only inside the brackets.
+WHOLE_GROUP = 5000
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -23,18 +26,20 @@ def exact_quantiles(
     """Linearly interpolated quantiles: one row per key, one column per name in ``probs``."""
     keys = list(keys)
     src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    margin = 2.0 / accuracy
+    # Sketch error on both sides, plus the one rank by which p * n and p * (n - 1) differ.
+    margin = 2.0 / accuracy + 1.5 / WHOLE_GROUP
     names = list(probs)
     edges = [e for n in names for e in (max(0.0, probs[n] - margin), min(1.0, probs[n] + margin))]
     sketch = src.groupBy(*keys).agg(
         F.count("_v").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e")
     )
+    small = F.col("_n") < WHOLE_GROUP
     wanted = F.array(
         *[
             F.struct(
                 F.lit(n).alias("name"),
-                F.col("_e")[2 * i].alias("lo"),
-                F.col("_e")[2 * i + 1].alias("hi"),
+                F.when(small, F.lit(float("-inf"))).otherwise(F.col("_e")[2 * i]).alias("lo"),
+                F.when(small, F.lit(float("inf"))).otherwise(F.col("_e")[2 * i + 1]).alias("hi"),
                 ((F.col("_n") - 1) * F.lit(float(probs[n]))).alias("pos"),
             )
             for i, n in enumerate(names)
