@@ -56,7 +56,7 @@ def require_training_input(df: DataFrame, target: str, date: str, min_months: in
 
 
 # Name fragments that mark columns revealing the target.
-LEAKAGE_PATTERNS = ("target_", "_next_month", "_diff_")
+LEAKAGE_PATTERNS = ("target_", "_next_month", "_diff_", "_pct_change_")
 
 
 def feature_list(df: DataFrame, target: str, date: str, ids: Sequence[str] = ("state", "district"),

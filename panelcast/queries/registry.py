@@ -56,7 +56,8 @@ def oracle(sql: str) -> str:
     parts = [f"{n} AS ({CTES[n]})" for n in CTES if n in found]
     body = sql.strip()
     if parts:
-        head = "WITH " + ",\n".join(parts)
+        recursive = any(re.search(rf"\bFROM {n}\b", CTES[n]) for n in found)
+        head = ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts)
         body = f"{head},\n{body[4:].strip()}" if body.upper().startswith("WITH") else f"{head}\n{body}"
     return re.sub(r"R\[(.*?)\]", r"(round(CAST(\1 AS DOUBLE), 6) + 0e0)", body, flags=re.S)
 
