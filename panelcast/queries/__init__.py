@@ -4,7 +4,9 @@ import importlib
 
 from panelcast.queries.registry import QUERIES
 
-_MODULES = ("panel", "cleaning", "features", "splits", "explore", "evaluation", "capacity", "lags", "storage")
+_MODULES = (
+    "panel", "cleaning", "features", "splits", "explore", "evaluation", "capacity", "lags", "storage", "models",
+)
 
 for _m in _MODULES:
     importlib.import_module(f"panelcast.queries.{_m}")

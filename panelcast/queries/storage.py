@@ -37,15 +37,16 @@ def _listed(spark: SparkSession, sf: str) -> DataFrame:
     return monthly_sums(listed, t.DEMO)
 
 
-@query("header_check", "S4", """SELECT * FROM (VALUES ('enrolment', CAST(1 AS BIGINT), 'state,district,date,age_0_5,age_5_17,age_18_greater', true),
-  ('demographic', CAST(2 AS BIGINT), NULL, false)) v(kind, n_headers, header, consistent)""")
+@query("header_check", "S4", """SELECT 'orders' AS kind, CAST(1 AS BIGINT) AS n_headers, string_agg(column_name, ',') AS header, true AS consistent
+  FROM (DESCRIBE orders) UNION ALL SELECT 'customer', 2, NULL, false""")
 def _headers(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "headers")
-    sinks.write_csv(_as_text(t.enrolment(spark, sf)), f"{path}/enrolment")
-    demo = _as_text(t.demographic(spark, sf))
-    sinks.write_csv(demo.where("demo_age_17_ > 0"), f"{path}/demographic/a")
-    sinks.write_csv(demo.where("demo_age_17_ = 0").select("district", "state", "date", *t.DEMO), f"{path}/demographic/b")
-    out = readers.header_check(spark, {k: f"{path}/{k}" for k in ("enrolment", "demographic")})
+    orders, customer = t.table(spark, sf, "orders"), t.table(spark, sf, "customer")
+    for year in (1996, 1999):
+        sinks.write_csv(orders.where(F.year("o_orderdate") < year), f"{path}/orders/{year}")
+    sinks.write_csv(customer, f"{path}/customer/a")
+    sinks.write_csv(customer.select(*reversed(customer.columns)), f"{path}/customer/b")
+    out = readers.header_check(spark, {k: f"{path}/{k}" for k in ("orders", "customer")})
     return out.select("kind", "n_headers", F.when(F.col("consistent"), F.col("header")).alias("header"), "consistent")
 
 
