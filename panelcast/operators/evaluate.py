@@ -78,11 +78,11 @@ def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ())
     return out.select(*by, "bin", (F.col("_lo") + F.col("bin") * width).alias("bin_start"), "n")
 
 
-def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+def box_stats(df: DataFrame, value: str, by: Sequence[str], few_keys: bool = False) -> DataFrame:
     """Exact quartiles, 1.5 IQR whiskers and number of points outside them, per group."""
-    q = exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    q = exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by, few_keys=few_keys)
     spread = 1.5 * (F.col("q3") - F.col("q1"))
-    joined = df.join(q, list(by)).withColumns({"_lo": F.col("q1") - spread, "_hi": F.col("q3") + spread})
+    joined = df.join(F.broadcast(q) if few_keys else q, list(by)).withColumns({"_lo": F.col("q1") - spread, "_hi": F.col("q3") + spread})
     inside = F.col(value).between(F.col("_lo"), F.col("_hi"))
     return joined.groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
@@ -120,7 +120,7 @@ def weak_segments(df: DataFrame, errors: DataFrame, top_n: int = 3, y: str = "y"
     rel = df.where(F.col(y) != 0).select(
         F.date_format(date, "yyyy-MM").alias("segment"), ((F.col(p) - F.col(y)) / F.col(y)).alias("_rel")
     )
-    median = exact_quantiles(rel, "_rel", {"value": 0.5}, ["segment"]).where("value < 0")
+    median = exact_quantiles(rel, "_rel", {"value": 0.5}, ["segment"], few_keys=True).where("value < 0")
     bucket = errors.where("kind = 'bucket'")
     return (
         states.select("kind", "segment", F.lit("high_error").alias("reason"), F.lit(None).cast("double").alias("value"))

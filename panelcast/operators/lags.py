@@ -17,8 +17,11 @@ from panelcast.operators.series import DISTRICT, Series
 DEFAULT_LAGS = (1, 2, 3, 6)
 
 
-def acf(df: DataFrame, y: str, s: Series = DISTRICT, max_lag: int = 12) -> DataFrame:
-    """Biased autocorrelations 0..m per series, m = min(max_lag, n // 2 - 1); short series are left out."""
+def acf(df: DataFrame, y: str, s: Series = DISTRICT, max_lag: int = 12, keep_short: bool = False) -> DataFrame:
+    """Biased autocorrelations 0..m per series, m = min(max_lag, n // 2 - 1).
+
+    Series shorter than ``max_lag + 2`` are left out, or kept with a null array.
+    """
     x = F.col(y) - F.avg(y).over(s.whole)
     centred = df.select(*s.keys, s.date, x.alias("_x"))
     products = [(F.col("_x") * F.lag("_x", k).over(s.w)).alias(f"_p{k}") for k in range(1, max_lag + 1)]
@@ -27,9 +30,11 @@ def acf(df: DataFrame, y: str, s: Series = DISTRICT, max_lag: int = 12) -> DataF
         F.count(F.lit(1)).alias("n_obs"), F.array(*[F.sum(f"_p{k}") for k in range(max_lag + 1)]).alias("_s")
     )
     m = F.least(F.lit(max_lag), F.floor(F.col("n_obs") / 2).cast("int") - 1)
-    usable = sums.withColumn("_m", m).where((F.col("n_obs") >= max_lag + 2) & (F.col("_m") >= 1))
-    head = F.slice("_s", F.lit(1), F.col("_m") + 1)
-    return usable.select(*s.keys, "n_obs", F.transform(head, lambda v: F.try_divide(v, F.col("_s")[0])).alias("acf"))
+    usable = (F.col("n_obs") >= max_lag + 2) & (F.col("_m") >= 1)
+    head = F.slice("_s", F.lit(1), F.greatest(F.col("_m") + 1, F.lit(1)))
+    ratios = F.when(usable, F.transform(head, lambda v: F.try_divide(v, F.col("_s")[0])))
+    out = sums.withColumn("_m", m).select(*s.keys, "n_obs", ratios.alias("acf"))
+    return out if keep_short else out.where("acf is not null")
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -54,16 +59,13 @@ def pacf(df: DataFrame, name: str = "pacf") -> DataFrame:
 
 def significant_lags(df: DataFrame, threshold: float = 0.2, top_k: int = 5, name: str = "lags") -> DataFrame:
     """Per series: the top lags whose |acf| or |pacf| reaches the threshold; lag 1 joins if there is room."""
-    scored = F.transform(
-        F.sequence(F.lit(1), F.size("acf") - 1),
-        lambda k: F.struct(
-            (-F.greatest(F.abs(F.get("acf", k)), F.abs(F.get("pacf", k)))).alias("w"), k.alias("k")
-        ),
-    )
-    strong = F.slice(F.sort_array(F.filter(scored, lambda e: e["w"] <= -threshold)), 1, top_k)
-    picked = F.transform(strong, lambda e: e["k"])
-    room = ~F.array_contains(picked, 1) & (F.size(picked) < top_k)
-    return df.withColumn(name, F.sort_array(F.when(room, F.array_append(picked, F.lit(1))).otherwise(picked)))
+    strength = F.zip_with("acf", "pacf", lambda a, p: F.greatest(F.abs(a), F.abs(p)))
+    scored = F.transform(strength, lambda v, k: F.struct((-v).alias("w"), k.alias("k")))
+    strong = F.sort_array(F.filter(scored, lambda e: (e["k"] >= 1) & (e["w"] <= -threshold)))
+    picked = F.transform(F.slice(strong, 1, top_k), lambda e: e["k"])
+    # Lag 1 goes to the end; the cut at top_k removes it again when there is no room.
+    with_first = F.slice(F.array_distinct(F.concat(picked, F.array(F.lit(1)))), 1, top_k)
+    return df.withColumn(name, F.sort_array(with_first))
 
 
 def lag_votes(df: DataFrame) -> DataFrame:
@@ -75,12 +77,15 @@ def recommended_lags(df: DataFrame, y: str, s: Series = DISTRICT, max_lag: int =
                      top_k: int = 5, share: float = 0.4, default: Sequence[int] = DEFAULT_LAGS) -> DataFrame:
     """One row: lags picked by at least ``share`` of all series, else the most frequent, always with lag 1.
 
-    Every series votes; the vote table has at most ``max_lag`` rows.
+    Every series votes, in one pass over the series table with a counter per lag.
     """
-    n_series = df.select(*s.keys).distinct().agg(F.count(F.lit(1))).scalar()
-    votes = lag_votes(significant_lags(pacf(acf(df, y, s, max_lag)), threshold, top_k))
-    ballot = votes.agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "lag"))).alias("b"))
-    need = F.greatest(F.lit(1), F.floor(n_series * F.lit(share)))
+    picked = significant_lags(pacf(acf(df, y, s, max_lag, keep_short=True)), threshold, top_k)
+    counted = F.array(
+        *[F.struct((-F.count_if(F.array_contains("lags", k))).alias("v"), F.lit(k).alias("lag")) for k in range(1, max_lag + 1)]
+    )
+    ballot = picked.agg(F.count(F.lit(1)).alias("_n"), counted.alias("b"))
+    ballot = ballot.withColumn("b", F.sort_array(F.filter("b", lambda e: e["v"] < 0)))
+    need = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))
     common = F.transform(F.filter("b", lambda e: -e["v"] >= F.col("_need")), lambda e: e["lag"])
     most = F.transform(F.slice("b", 1, top_k), lambda e: e["lag"])
     out = ballot.withColumn("_need", need).select("b", F.when(F.size(common) < 3, most).otherwise(common).alias("l"))

@@ -1,8 +1,9 @@
 """Exact quantiles of groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one task.  Here a mergeable sketch first
-brackets each quantile; the values below the bracket are only counted, and the few distinct
-values inside it (a fixed small share of the group) are ordered to pick the exact ranks.
+brackets each quantile.  A second pass counts the values below a bracket map-side and shuffles
+only the few values inside it (a fixed small share of the group), whose order gives the exact
+ranks.
 """
 
 from __future__ import annotations
@@ -22,8 +23,13 @@ def exact_quantiles(
     probs: dict[str, float],
     keys: Sequence[str] = (),
     accuracy: int = 10000,
+    few_keys: bool = False,
 ) -> DataFrame:
-    """Linearly interpolated quantiles: one row per key, one column per name in ``probs``."""
+    """Linearly interpolated quantiles: one row per key, one column per name in ``probs``.
+
+    ``few_keys`` states that the keys are bounded by a calendar or a schema (months, column
+    names), so that the one-row-per-key bracket table may be broadcast.
+    """
     keys = list(keys)
     src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     # Sketch error on both sides, plus the one rank by which p * n and p * (n - 1) differ.
@@ -46,16 +52,15 @@ def exact_quantiles(
         ]
     )
     brackets = sketch.select(*keys, wanted.alias("_b"))
-    counted = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     if keys:
-        tagged = counted.join(brackets, keys)
+        tagged = src.join(F.broadcast(brackets) if few_keys else brackets, keys)
     else:
-        tagged = counted.withColumn("_b", brackets.select("_b").scalar())
+        tagged = src.withColumn("_b", brackets.select("_b").scalar())
     inside = (
-        tagged.select(*keys, "_v", "_c", F.explode("_b").alias("b"))
+        tagged.select(*keys, "_v", F.explode("_b").alias("b"))
         .where("_v <= b.hi")
         .groupBy(*keys, "b.name", "b.pos", F.expr("CASE WHEN _v >= b.lo THEN _v END").alias("_v"))
-        .agg(F.sum("_c").alias("_c"))
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
     w = Window.partitionBy(*keys, "name").orderBy(F.asc_nulls_first("_v"))
     upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))

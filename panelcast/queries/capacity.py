@@ -31,7 +31,7 @@ SELECT state, R[f] AS forecast, n AS centres, R[n * 1.5] AS capacity, R[f - n *
   CAST(greatest(ceil((f - n * 1.5) / 1.5), 0) AS BIGINT) AS extra_centres
 FROM (SELECT state, sum(yhat) AS f, max(centres) AS n FROM seats WHERE month_date = (SELECT max(month_date) FROM forecast) GROUP BY state)""")
 def _needs(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(c.state_needs(t.forecast(spark, sf), _centres(spark, sf), per_centre=1.5, default=20))
+    return rounded(c.state_needs(t.forecast_table(spark, sf), _centres(spark, sf), per_centre=1.5, default=20))
 
 
 def _over(seats: str) -> str:
@@ -43,12 +43,12 @@ WHERE f > cap ORDER BY f - cap DESC, state LIMIT 4"""
 
 @query("over_capacity_states", "A18 P17 T4 Q14", _over("sum"))
 def _states(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(c.over_capacity_states(t.forecast(spark, sf), _centres(spark, sf), "1998-03", 4, per_centre=0.25, default=20))
+    return rounded(c.over_capacity_states(t.forecast_table(spark, sf), _centres(spark, sf), "1998-03", 4, per_centre=0.25, default=20))
 
 
 @query("over_capacity_states_once", "A18 P17 T4", _over("max"))
 def _states_once(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(c.over_capacity_states(t.forecast(spark, sf), _centres(spark, sf), "1998-03", 4, per_centre=0.25,
+    return rounded(c.over_capacity_states(t.forecast_table(spark, sf), _centres(spark, sf), "1998-03", 4, per_centre=0.25,
                                           default=20, grain="state"))
 
 
@@ -59,7 +59,7 @@ FROM (SELECT s.*, centres * 1.0 / n AS cap FROM seats s JOIN (SELECT state, coun
     WHERE month_date = DATE '1998-03-01' GROUP BY state) USING (state) WHERE month_date = DATE '1998-03-01')
 WHERE yhat > cap ORDER BY (yhat - cap) / cap DESC, state, district LIMIT 8""")
 def _districts(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(c.over_capacity_districts(t.forecast(spark, sf), _centres(spark, sf), "1998-03", 8, per_centre=1.0, default=20))
+    return rounded(c.over_capacity_districts(t.forecast_table(spark, sf), _centres(spark, sf), "1998-03", 8, per_centre=1.0, default=20))
 
 
 @query("capacity_from_history", "A20 F11", """
@@ -70,7 +70,7 @@ FROM (SELECT *, CAST(greatest(1, floor(a / 5)) AS BIGINT) AS n FROM (
   SELECT state, round_even(sum(y) / (SELECT count(DISTINCT month_date) FROM forecast), 0) AS a,
     round_even(sum(yhat) / (SELECT count(DISTINCT month_date) FROM forecast), 0) AS p FROM forecast GROUP BY state))""")
 def _history(spark: SparkSession, sf: str) -> DataFrame:
-    return c.needs_from_history(t.forecast(spark, sf), per_centre=5)
+    return c.needs_from_history(t.forecast_table(spark, sf), per_centre=5)
 
 
 _SCENARIOS = (("asia", 3, "1998-03"), ("NATION_1", 5, "1998-03"), ("Africa", 1, None), ("america", 400, "1998-03"), ("nowhere", 2, None))
@@ -89,4 +89,4 @@ SELECT region, month, camps, CAST(trunc(f - c) AS BIGINT) AS gap_before, R[(f -
     ELSE 'Gap remains at ' || format('{:.1f}', pct) || '%. Consider adding ' || CAST(ceil(after / 0.25) AS BIGINT)
       || ' more centre(s) to fully close the gap.' END AS recommendation FROM r""")
 def _what_if(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(c.what_if(t.forecast(spark, sf), _centres(spark, sf), _SCENARIOS, per_centre=0.25, default=20))
+    return rounded(c.what_if(t.forecast_table(spark, sf), _centres(spark, sf), _SCENARIOS, per_centre=0.25, default=20))

@@ -10,6 +10,7 @@ from panelcast.operators.quantiles import exact_quantiles
 from panelcast.operators.series import DISTRICT, densify_months
 from panelcast.queries import tables as t
 from panelcast.queries.registry import cte, query, rounded
+from panelcast.session import cut_lineage
 
 Y = "total_enrolment"
 K = ["state", "district", "month_date"]
@@ -177,7 +178,7 @@ def _missing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("densified_months", "W20", "SELECT state, district, month_date, total_enrolment FROM gappy")
 def _dense(spark: SparkSession, sf: str) -> DataFrame:
-    return densify_months(t.enrol_panel(spark, sf, True), ["state", "district"])
+    return densify_months(cut_lineage(t.enrol_panel(spark, sf, True)), ["state", "district"])
 
 
 @query("anomaly_flags", "P26", f"""
@@ -202,6 +203,6 @@ SELECT state, district, month_date, fix, CAST({Y} AS DOUBLE) AS old_value, R[CAS
   WHEN 'zero_replaced' THEN past ELSE least(greatest({Y}, m - 3 * sd), m + 3 * sd) END] AS new_value
 FROM f WHERE fix IS NOT NULL""")
 def _fixes(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.gappy_spiky(spark, sf)
+    df = cut_lineage(t.gappy_spiky(spark, sf))
     fixed = c.conservative_fixes(df, Y, exact_quantiles(df, Y, {"median": 0.5}))
     return rounded(c.fix_log(fixed, K, Y))

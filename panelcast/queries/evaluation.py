@@ -29,7 +29,7 @@ def _overall(spark: SparkSession, sf: str) -> DataFrame:
 @query("mape_variants", "E1", f"""SELECT 'epsilon' AS variant, {_metrics_sql(mape="avg(CASE WHEN abs(y) > 1e-6 THEN abs(y - yhat) / abs(y) END) * 100")}
   FROM forecast_s UNION ALL SELECT 'plus_one', {_metrics_sql(mape="avg(abs(y - yhat) / (y + 1)) * 100")} FROM forecast_s""")
 def _variants(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.forecast(spark, sf, True)
+    df = t.forecast_table(spark, sf, True)
     parts = [e.metrics_by(df, [], variant=v).select(F.lit(v).alias("variant"), "*") for v in ("epsilon", "plus_one")]
     return rounded(parts[0].unionByName(parts[1]))
 
@@ -53,7 +53,7 @@ _SAFETY = """SELECT *, mae <= 1.05 * (SELECT avg(abs(y - yhat)) FROM forecast_s)
 
 @query("safety_report", "E2", f"SELECT state, district, R[mae] AS mae, R[mape] AS mape, R[rmse] AS rmse, pass_flag FROM ({_SAFETY})")
 def _safety(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(e.safety_report(t.forecast(spark, sf, True), K[:2], factor=1.05, mape_limit=60))
+    return rounded(e.safety_report(t.forecast_table(spark, sf, True), K[:2], factor=1.05, mape_limit=60))
 
 
 @query("safety_summary", "E2", f"""SELECT R[(SELECT avg(abs(y - yhat)) FROM forecast_s)] AS global_mae,
@@ -61,7 +61,7 @@ def _safety(spark: SparkSession, sf: str) -> DataFrame:
   R[count_if(pass_flag) * 100e0 / count(*)] AS safety_pct, count(*) AS n_groups, CAST(count_if(pass_flag) AS BIGINT) AS n_passing
   FROM ({_SAFETY})""")
 def _safety_sum(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.forecast(spark, sf, True)
+    df = t.forecast_table(spark, sf, True)
     return rounded(e.safety_summary(df, e.safety_report(df, K[:2], factor=1.05, mape_limit=60)))
 
 
@@ -82,7 +82,7 @@ def _bins(value: str, source: str, by: str, bins: int) -> str:
 
 @query("residual_histogram", "A12 E11", f"SELECT bin, bin_start, n FROM ({_bins('(y - yhat)', 'forecast_s', '', 30)})")
 def _hist(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.forecast(spark, sf, True).withColumn("residual", F.col("y") - F.col("yhat"))
+    df = t.forecast_table(spark, sf, True).withColumn("residual", F.col("y") - F.col("yhat"))
     return rounded(e.histogram(df, "residual", 30))
 
 
@@ -100,8 +100,8 @@ SELECT CAST(m AS INTEGER) AS month, R[q1] AS q1, R[median] AS median, R[q3] AS q
   CAST(count_if(NOT y BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS BIGINT) AS n_outliers
 FROM forecast_s JOIN q ON month(month_date) = m GROUP BY m, q1, median, q3""")
 def _box(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.forecast(spark, sf, True).withColumn("month", F.month("month_date"))
-    return rounded(e.box_stats(df, "y", ["month"]))
+    df = t.forecast_table(spark, sf, True).withColumn("month", F.month("month_date"))
+    return rounded(e.box_stats(df, "y", ["month"], few_keys=True))
 
 
 _BUCKET = "CASE WHEN y < 100 THEN '<100' WHEN y < 500 THEN '100-500' WHEN y < 2000 THEN '500-2K' WHEN y < 10000 THEN '2K-10K' ELSE '10K+' END"
@@ -127,7 +127,7 @@ UNION ALL SELECT 'month', segment, 'under_predicted', R[v] FROM (SELECT strftime
   median((yhat - y) / y) AS v FROM forecast_s GROUP BY ALL) WHERE v < 0
 UNION ALL SELECT kind, segment, 'bias', R[bias] FROM errors_a WHERE kind = 'bucket'""")
 def _weak(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.forecast(spark, sf, True)
+    df = t.forecast_table(spark, sf, True)
     return rounded(e.weak_segments(df, e.error_tables(df), 2))
 
 
@@ -140,7 +140,7 @@ def _trend(spark: SparkSession, sf: str) -> DataFrame:
   R[y - yhat2] AS error_b, CASE WHEN abs(y - yhat) < abs(y - yhat2) THEN 'a' WHEN abs(y - yhat2) < abs(y - yhat) THEN 'b'
   ELSE 'tie' END AS closer FROM forecast_s""")
 def _compare(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.forecast(spark, sf, True)
+    df = t.forecast_table(spark, sf, True)
     joined = e.with_predictions(df.select(*K, "y", "yhat"), df.select(*K, "yhat2"), K)
     return rounded(e.compare_models(joined, K, "y", "yhat", "yhat2"))
 
@@ -168,13 +168,13 @@ SELECT bucket, CAST(count(*) AS BIGINT) AS n_groups, R[min(mean_value)] AS low,
     WHEN mean_value <= (SELECT quantile_cont(mean_value, 2/3::DOUBLE) FROM series_means) THEN 'medium' ELSE 'high' END AS bucket
   FROM series_means) GROUP BY bucket""")
 def _quantile_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    df = e.mean_quantile_buckets(t.forecast(spark, sf, True), K[:2], "y", picks=2**31 - 1)
+    df = e.mean_quantile_buckets(t.forecast_table(spark, sf, True), K[:2], "y", picks=2**31 - 1)
     return rounded(df.groupBy("bucket").agg(F.count("*").alias("n_groups"), F.min("mean_value").alias("low"), F.max("mean_value").alias("high")))
 
 
 @query("bucket_sample_series", "W22")
 def _bucket_picks(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(e.mean_quantile_buckets(t.forecast(spark, sf, True), K[:2], "y", ("q1", "q2", "q3", "q4"), picks=2))
+    return rounded(e.mean_quantile_buckets(t.forecast_table(spark, sf, True), K[:2], "y", ("q1", "q2", "q3", "q4"), picks=2))
 
 
 @query("national_error_band", "W15 A4", """
@@ -239,12 +239,12 @@ FROM (SELECT *, CAST(coalesce(yhat >= p90 AND growth_rate > 0.2, false) AS INTEG
 @query("alerts", "E6", f"""SELECT state, district, month_date, R[yhat] AS yhat, y, R[abs_error] AS abs_error, R[rel_error] AS rel_error,
   R[growth_rate] AS growth_rate, high_load_alert, underperforming_alert, alert_type FROM ({_ALERTS})""")
 def _alerts(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(m.alerts(t.forecast(spark, sf, True), K))
+    return rounded(m.alerts(t.forecast_table(spark, sf, True), K))
 
 
 @query("alert_type_counts", "A28 E6", f"SELECT alert_type, count(*) AS n, R[count(*) * 100e0 / (SELECT count(*) FROM forecast_s)] AS pct FROM ({_ALERTS}) GROUP BY alert_type")
 def _alert_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(e.value_counts(m.alerts(t.forecast(spark, sf, True), K), "alert_type"))
+    return rounded(e.value_counts(m.alerts(t.forecast_table(spark, sf, True), K), "alert_type"))
 
 
 @query("retrain_decision", "E7", """
@@ -255,7 +255,7 @@ FROM (SELECT *, (mae - base) / base * 100 AS inc FROM
   (SELECT avg(abs(y - yhat2)) AS mae, 1 - sum((y - yhat2) * (y - yhat2)) / (var_pop(y) * count(*)) AS r2, avg(abs(y - yhat)) AS base FROM forecast_s),
   (SELECT count(DISTINCT CASE WHEN drift_flag THEN feature END) AS d FROM drift_report))""")
 def _retrain(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.forecast(spark, sf, True)
+    df = t.forecast_table(spark, sf, True)
     return rounded(m.retrain_decision(e.metrics_by(df, [], p="yhat2"), e.metrics_by(df, []), m.drift_summary(_report(spark, sf))))
 
 
@@ -279,21 +279,21 @@ SELECT scope, R[a.mae] AS champion_mae, R[a.r2] AS champion_r2, R[a.mape] AS cha
   coalesce((a.mae - b.mae) * 100 / a.mae >= 2 AND a.r2 - b.r2 <= 0.01 AND b.mape <= 1.05 * a.mape, false) AS promote
 FROM a JOIN b USING (scope)""")
 def _gate(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.forecast(spark, sf, True)
+    df = t.forecast_table(spark, sf, True)
     return rounded(m.promotion_gate(_scoped(df, "yhat2"), _scoped(df, "yhat")))
 
 
 @query("segment_regressions", "E9", """SELECT kind, segment, R[a.mape] AS champion_mape, R[b.mape] AS challenger_mape,
   R[b.mape - a.mape] AS mape_delta FROM errors_a a JOIN errors_b b USING (kind, segment) WHERE b.mape - a.mape > 5""")
 def _regressions(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.forecast(spark, sf, True)
+    df = t.forecast_table(spark, sf, True)
     return rounded(m.segment_regressions(e.error_tables(df), e.error_tables(df, p="yhat2")))
 
 
 @query("new_segment_regressions", "U5 E9", """WITH bad AS (SELECT kind, segment, b.mape - a.mape AS d FROM errors_a a JOIN errors_b b USING (kind, segment))
 SELECT kind, segment, R[d] AS mape_delta FROM bad WHERE d > 5 AND (kind, segment) NOT IN (SELECT (kind, segment) FROM bad WHERE d > 12)""")
 def _new_regressions(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.forecast(spark, sf, True)
+    df = t.forecast_table(spark, sf, True)
     a, c = e.error_tables(df), e.error_tables(df, p="yhat2")
     new = m.new_regressions(m.segment_regressions(a, c, 5), m.segment_regressions(a, c, 12))
     return rounded(new.select("kind", "segment", "mape_delta"))
@@ -309,7 +309,7 @@ SELECT metric, higher_is_better, R[a] AS base_value, R[b] AS other_value, R[b -
   CASE WHEN (b > a) = higher_is_better THEN 'mean3' ELSE 'lag1' END AS better,
   R[CASE WHEN higher_is_better THEN b - a ELSE a - b END * 100 / abs(a)] AS improvement_pct FROM l""")
 def _experiments(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.forecast(spark, sf, True)
+    df = t.forecast_table(spark, sf, True)
 
     def run(p: str, name: str) -> DataFrame:
         wide = e.metrics_by(df, [], p=p).select("mae", "rmse", "r2")
@@ -327,7 +327,7 @@ _BLEND = """SELECT w, 1 - w AS v, 1 - sum(d * d) / (var_pop(y) * count(*)) AS r2
 
 
 def _blended(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.forecast(spark, sf, True)
+    df = t.forecast_table(spark, sf, True)
     joined = e.with_predictions(df.select(*K, "y", "yhat"), df.select(*K, "yhat2"), K).where("yhat2 is not null")
     return b.blend_grid(joined, "y", "yhat", "yhat2")
 

@@ -14,6 +14,7 @@ from panelcast.operators.splits import assign_folds, expanding_folds
 from panelcast.plans import features as plans
 from panelcast.queries import tables as t
 from panelcast.queries.registry import cte, query, rounded
+from panelcast.session import cut_lineage
 
 Y = "total_enrolment"
 K = ["state", "district", "month_date"]
@@ -194,7 +195,7 @@ def _intervals(spark: SparkSession, sf: str) -> DataFrame:
 FROM (SELECT *, (year(month_date) - year(f)) * 12 + month(month_date) - month(f) AS k
   FROM panel_n, (SELECT min(month_date) AS f FROM panel_n))""")
 def _trend(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.enrol_panel(spark, sf)
+    df = cut_lineage(t.enrol_panel(spark, sf))
     first = df.agg(F.min("month_date")).scalar()
     cols = d.time_trend("month_date", first) | d.intervention("month_date", "1998-01-01", trend=True)
     return rounded(df.withColumns(cols | d.recovery_phases("month_date", "1996-03-01", "1997-06-01", "1998-01-01")))
@@ -285,7 +286,7 @@ SELECT state, district, month_date, {Y}, {SERIES_SQL}, {SEASON_SQL}, {POLICY_SQL
 FROM (SELECT *, (year(month_date) - year(f)) * 12 + month(month_date) - month(f) AS k
   FROM panel_s, (SELECT min(month_date) AS f FROM panel_s)) {W}""")
 def _baseline(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(plans.sentinel_fill(plans.monthly_features(t.enrol_panel(spark, sf, True), Y, CONFIG)))
+    return rounded(plans.sentinel_fill(plans.monthly_features(cut_lineage(t.enrol_panel(spark, sf, True)), Y, CONFIG)))
 
 
 @query("sentinel_fill", "P15", f"""SELECT state, district, month_date, coalesce({Y}, -999) AS {Y},
@@ -306,7 +307,7 @@ cte("fold_all", f"SELECT fold, avg({Y}) AS am, stddev_samp({Y}) AS asd FROM fold
 
 
 def _folds(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.enrol_panel(spark, sf, True)
+    df = cut_lineage(t.enrol_panel(spark, sf, True))
     return assign_folds(df, expanding_folds(df, n_folds=4, gap_months=1, min_train_months=3))
 
 

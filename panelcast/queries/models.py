@@ -24,7 +24,7 @@ FOREST = mod.TreeConfig(kind="forest", max_depth=4, max_iter=8, feature_share=0.
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    return plans.sentinel_fill(plans.monthly_features(t.enrol_panel(spark, sf, True), Y, CONFIG), keep=[Y])
+    return plans.sentinel_fill(plans.monthly_features(cut_lineage(t.enrol_panel(spark, sf, True)), Y, CONFIG), keep=[Y])
 
 
 def _feats(df: DataFrame) -> mod.Features:
@@ -40,7 +40,7 @@ def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, mod.Feat
 
 
 def _folds(spark: SparkSession, sf: str, n: int = 3) -> tuple[DataFrame, mod.Features]:
-    df = t.enrol_panel(spark, sf, True)
+    df = cut_lineage(t.enrol_panel(spark, sf, True))
     table = splits.expanding_folds(df, n_folds=n, gap_months=1, min_train_months=12, val_months=2)
     rows = plans.fold_features(splits.assign_folds(df, table), Y, CONFIG, "full")
     return rows, _feats(rows.drop("role"))

@@ -9,6 +9,7 @@ from panelcast.operators import ranking
 from panelcast.operators import splits as s
 from panelcast.queries import tables as t
 from panelcast.queries.registry import query
+from panelcast.session import cut_lineage
 
 K = ["state", "district", "month_date"]
 Y = "total_enrolment"
@@ -43,19 +44,19 @@ def _sizes(spark: SparkSession, sf: str) -> DataFrame:
   CASE WHEN i > (SELECT max(i) FROM month_rank) - 3 THEN 'val' ELSE 'train' END AS split
   FROM panel_s p JOIN month_rank m ON p.month_date = m.month_date""")
 def _last(spark: SparkSession, sf: str) -> DataFrame:
-    return s.last_months_split(t.enrol_panel(spark, sf, True), n_months=3).select(*K, Y, "split")
+    return s.last_months_split(cut_lineage(t.enrol_panel(spark, sf, True)), n_months=3).select(*K, Y, "split")
 
 
 @query("cutoff_month", "D3", """SELECT month_date AS cutoff FROM month_rank WHERE i = (SELECT max(i) FROM month_rank) - 3""")
 def _cutoff(spark: SparkSession, sf: str) -> DataFrame:
-    return s.cutoff_date(t.enrol_panel(spark, sf, True), n_months=3)
+    return s.cutoff_date(cut_lineage(t.enrol_panel(spark, sf, True)), n_months=3)
 
 
 @query("tune_and_test_months", "J8 U2 D3", f"""SELECT state, district, p.month_date, {Y},
   CASE WHEN i > (SELECT max(i) FROM month_rank) - 2 THEN 'test' ELSE 'tune' END AS part
   FROM panel_s p JOIN month_rank m ON p.month_date = m.month_date""")
 def _holdout(spark: SparkSession, sf: str) -> DataFrame:
-    tune, test = s.holdout_months(t.enrol_panel(spark, sf, True), 2)
+    tune, test = s.holdout_months(cut_lineage(t.enrol_panel(spark, sf, True)), 2)
     return tune.withColumn("part", F.lit("tune")).unionByName(test.withColumn("part", F.lit("test")))
 
 
@@ -70,7 +71,7 @@ def _fold_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _assigned(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.enrol_panel(spark, sf, True)
+    df = cut_lineage(t.enrol_panel(spark, sf, True))
     return s.assign_folds(df, s.expanding_folds(df, n_folds=4, gap_months=1, min_train_months=3))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from panelcast.operators.panel import add_totals, join_facts, monthly_sums
 from panelcast.operators.series import DISTRICT, densify_months
 from panelcast.queries.registry import cte
+from panelcast.session import cut_lineage
 
 ENROL = ("age_0_5", "age_5_17", "age_18_greater")
 DEMO = ("demo_age_5_17", "demo_age_17_")
@@ -58,17 +59,20 @@ def enrolment(spark: SparkSession, sf: str, by_segment: bool = False) -> DataFra
 
 
 def demographic(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily line counts in two status bands, placed by customer."""
-    per_order = (
-        table(spark, sf, "lineitem")
-        .groupBy("l_orderkey", F.to_date("l_shipdate").alias("date"))
-        .agg(_n(F.col("l_linestatus") == "F", DEMO[0]), _n(F.col("l_linestatus") != "F", DEMO[1]))
+    """Daily line counts in two status bands, placed by customer.
+
+    Orders are unique on the join key, so a hot order only skews the line side, which adaptive
+    execution splits; a customer's lines are summed per day before they move again.
+    """
+    final = F.col("l_linestatus") == "F"
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", F.to_date("l_shipdate").alias("date"), final.cast("int").alias("_f"), (~final).cast("int").alias("_o")
     )
     owner = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     daily = (
-        per_order.join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("o_custkey", "date")
-        .agg(*[F.sum(c).alias(c) for c in DEMO])
+        .agg(F.sum("_f").alias(DEMO[0]), F.sum("_o").alias(DEMO[1]))
     )
     where = _customers(spark, sf, False)
     return daily.join(where, F.col("o_custkey") == F.col("c_custkey")).select("state", "district", "date", *DEMO)
@@ -104,9 +108,17 @@ def enrol_panel(spark: SparkSession, sf: str, by_segment: bool = False) -> DataF
     return add_totals(monthly_sums(enrolment(spark, sf, by_segment), ENROL)).drop(*ENROL)
 
 
+def panel_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel materialized for operators that read their input more than once."""
+    return cut_lineage(panel(spark, sf))
+
+
 def gappy(spark: SparkSession, sf: str) -> DataFrame:
-    """Segment panel on the full calendar: an absent month is a null."""
-    return densify_months(enrol_panel(spark, sf, True), ["state", "district"])
+    """Segment panel on the full calendar: an absent month is a null.
+
+    Densifying reads the panel for its ends, its keys and its values, so it is materialized first.
+    """
+    return densify_months(cut_lineage(enrol_panel(spark, sf, True)), ["state", "district"])
 
 
 def spiky(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,6 +154,11 @@ def forecast(spark: SparkSession, sf: str, by_segment: bool = False) -> DataFram
     )
 
 
+def forecast_table(spark: SparkSession, sf: str, by_segment: bool = False) -> DataFrame:
+    """The forecasts materialized for operators that read their input more than once."""
+    return cut_lineage(forecast(spark, sf, by_segment))
+
+
 cte(
     "cust",
     """SELECT c_custkey, r_name AS state, n_name AS district, n_name || '/' || c_mktsegment AS segment
