@@ -37,8 +37,17 @@ def with_centres(df: DataFrame, centres: DataFrame, default: int = DEFAULT_CENTR
     return lookup(df, centres, ["state"], "centres", default)
 
 
+def _steady(x: Column) -> Column:
+    """Drop the last digits of a floating sum, which depend on the order of addition, before cutting or rounding up."""
+    return F.round(x, 9)
+
+
+def _whole(x: Column) -> Column:
+    return _steady(x).cast("bigint")
+
+
 def _extra(gap: Column, per_centre: float) -> Column:
-    return F.greatest(F.ceil(gap / per_centre), F.lit(0)).cast("bigint")
+    return F.greatest(F.ceil(_steady(gap / per_centre)), F.lit(0)).cast("bigint")
 
 
 def state_needs(df: DataFrame, centres: DataFrame, pred: str = "yhat", per_centre: float = PER_CENTRE_CAPACITY,
@@ -65,9 +74,9 @@ def over_capacity_states(df: DataFrame, centres: DataFrame, month: str | None, t
     out = out.orderBy(F.desc("_gap"), "state").limit(top_k)
     return out.select(
         "state",
-        F.col("_f").cast("bigint").alias("forecast"),
-        F.col("_c").cast("bigint").alias("capacity"),
-        F.col("_gap").cast("bigint").alias("gap"),
+        _whole(F.col("_f")).alias("forecast"),
+        _whole(F.col("_c")).alias("capacity"),
+        _whole(F.col("_gap")).alias("gap"),
         (F.col("_gap") / F.col("_c") * 100).alias("gap_pct"),
         _extra(F.col("_gap"), per_centre).alias("extra_centres"),
     )
@@ -85,9 +94,9 @@ def over_capacity_districts(df: DataFrame, centres: DataFrame, month: str | None
     return out.select(
         "state",
         "district",
-        F.col(pred).cast("bigint").alias("forecast"),
-        F.col("_c").cast("bigint").alias("capacity"),
-        F.col("_gap").cast("bigint").alias("gap"),
+        _whole(F.col(pred)).alias("forecast"),
+        _whole(F.col("_c")).alias("capacity"),
+        _whole(F.col("_gap")).alias("gap"),
         "gap_pct",
         _extra(F.col("_gap"), per_centre).alias("extra_centres"),
     )
@@ -99,8 +108,8 @@ def needs_from_history(df: DataFrame, y: str = "y", pred: str = "yhat", per_cent
     out = df.groupBy("state").agg(F.sum(y).alias("_y"), F.sum(pred).alias("_p"))
     out = out.select(
         "state",
-        F.bround(F.col("_y") / months, 0).alias("actual_monthly_avg"),
-        F.bround(F.col("_p") / months, 0).alias("forecast_monthly_avg"),
+        F.bround(_steady(F.col("_y") / months), 0).alias("actual_monthly_avg"),
+        F.bround(_steady(F.col("_p") / months), 0).alias("forecast_monthly_avg"),
     )
     held = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("actual_monthly_avg") / per_centre))
     out = out.withColumn("current_centres", held)
@@ -108,7 +117,7 @@ def needs_from_history(df: DataFrame, y: str = "y", pred: str = "yhat", per_cent
     out = out.withColumn("gap", F.col("forecast_monthly_avg") - F.col("current_capacity"))
     return out.withColumns(
         {
-            "gap_pct": F.bround(F.col("gap") / F.col("current_capacity") * 100, 1),
+            "gap_pct": F.bround(_steady(F.col("gap") / F.col("current_capacity") * 100), 1),
             "extra_centres": F.when(F.col("gap") > 0, _extra(F.col("gap"), per_centre)).otherwise(F.lit(0).cast("bigint")),
         }
     )
@@ -141,7 +150,7 @@ def what_if(df: DataFrame, centres: DataFrame, scenarios: Sequence[tuple[str, in
     sums = sums.withColumns({"_gap": F.col("_f") - F.col("_c"), "_cap": F.col("_c") + added})
     sums = sums.withColumn("_after", F.greatest(F.lit(0.0), F.col("_gap") - added))
     sums = sums.withColumn("gap_pct_after", F.when(F.col("_cap") > 0, F.col("_after") / F.col("_cap") * 100).otherwise(0.0))
-    more = F.ceil(F.col("_after") / per_centre)
+    more = _extra(F.col("_after"), per_centre)
     advice = (
         F.when(F.col("_after") <= 0, F.format_string(GAP_CLOSED, "camps", "region"))
         .when(F.col("gap_pct_after") < 5, F.format_string(GAP_ACCEPTABLE, "camps"))
@@ -149,9 +158,9 @@ def what_if(df: DataFrame, centres: DataFrame, scenarios: Sequence[tuple[str, in
     )
     return sums.select(
         "region", "month", "camps",
-        F.col("_gap").cast("bigint").alias("gap_before"),
+        _whole(F.col("_gap")).alias("gap_before"),
         F.when(F.col("_c") > 0, F.col("_gap") / F.col("_c") * 100).otherwise(0.0).alias("gap_pct_before"),
-        F.col("_after").cast("bigint").alias("gap_after"),
+        _whole(F.col("_after")).alias("gap_after"),
         "gap_pct_after",
         advice.alias("recommendation"),
     )

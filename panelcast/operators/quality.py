@@ -26,6 +26,7 @@ def require_rows(df: DataFrame, context: str = "input") -> DataFrame:
 def quality_report(df: DataFrame, target: str, date: str, cols: Sequence[str] = ()) -> DataFrame:
     """One row: size, months, null and negative targets, null features."""
     cols = list(cols) or [c for c in df.columns if c not in (target, date)]
+    numeric = isinstance(df.schema[target].dataType, T.NumericType)
     any_null = F.lit(False)
     for c in cols:
         any_null = any_null | F.col(c).isNull()
@@ -33,9 +34,9 @@ def quality_report(df: DataFrame, target: str, date: str, cols: Sequence[str] =
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct(F.trunc(date, "MM")).alias("n_months"),
         F.count_if(F.col(target).isNull()).alias("null_targets"),
-        F.count_if(F.col(target) < 0).alias("negative_targets"),
+        F.count_if(F.col(target) < 0 if numeric else F.lit(False)).alias("negative_targets"),
         F.count_if(any_null).alias("rows_with_null_features"),
-    ).withColumn("target_is_numeric", F.lit(isinstance(df.schema[target].dataType, T.NumericType)))
+    ).withColumn("target_is_numeric", F.lit(numeric))
 
 
 def require_training_input(df: DataFrame, target: str, date: str, min_months: int = 3, cols: Sequence[str] = ()) -> DataFrame:

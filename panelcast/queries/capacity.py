@@ -28,15 +28,15 @@ def _lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("state_capacity_needs", "A17 P19 J5", """
 SELECT state, R[f] AS forecast, n AS centres, R[n * 1.5] AS capacity, R[f - n * 1.5] AS gap,
-  CAST(greatest(ceil((f - n * 1.5) / 1.5), 0) AS BIGINT) AS extra_centres
+  CAST(greatest(ceil(round((f - n * 1.5) / 1.5, 9)), 0) AS BIGINT) AS extra_centres
 FROM (SELECT state, sum(yhat) AS f, max(centres) AS n FROM seats WHERE month_date = (SELECT max(month_date) FROM forecast) GROUP BY state)""")
 def _needs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(c.state_needs(t.forecast_table(spark, sf), _centres(spark, sf), per_centre=1.5, default=20))
 
 
 def _over(seats: str) -> str:
-    return f"""SELECT state, CAST(trunc(f) AS BIGINT) AS forecast, CAST(trunc(cap) AS BIGINT) AS capacity, CAST(trunc(f - cap) AS BIGINT) AS gap,
-  R[(f - cap) / cap * 100] AS gap_pct, CAST(ceil((f - cap) / 0.25) AS BIGINT) AS extra_centres
+    return f"""SELECT state, CAST(trunc(round(f, 9)) AS BIGINT) AS forecast, CAST(trunc(round(cap, 9)) AS BIGINT) AS capacity, CAST(trunc(round(f - cap, 9)) AS BIGINT) AS gap,
+  R[(f - cap) / cap * 100] AS gap_pct, CAST(ceil(round((f - cap) / 0.25, 9)) AS BIGINT) AS extra_centres
 FROM (SELECT state, sum(yhat) AS f, {seats}(centres) * 0.25 AS cap FROM seats WHERE month_date = DATE '1998-03-01' GROUP BY state)
 WHERE f > cap ORDER BY f - cap DESC, state LIMIT 4"""
 
@@ -53,8 +53,8 @@ def _states_once(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("over_capacity_districts", "A19 J10 T4", """
-SELECT state, district, CAST(trunc(yhat) AS BIGINT) AS forecast, CAST(trunc(cap) AS BIGINT) AS capacity, CAST(trunc(yhat - cap) AS BIGINT) AS gap,
-  R[(yhat - cap) / cap * 100] AS gap_pct, CAST(ceil(yhat - cap) AS BIGINT) AS extra_centres
+SELECT state, district, CAST(trunc(round(yhat, 9)) AS BIGINT) AS forecast, CAST(trunc(round(cap, 9)) AS BIGINT) AS capacity, CAST(trunc(round(yhat - cap, 9)) AS BIGINT) AS gap,
+  R[(yhat - cap) / cap * 100] AS gap_pct, CAST(ceil(round(yhat - cap, 9)) AS BIGINT) AS extra_centres
 FROM (SELECT s.*, centres * 1.0 / n AS cap FROM seats s JOIN (SELECT state, count(DISTINCT district) AS n FROM seats
     WHERE month_date = DATE '1998-03-01' GROUP BY state) USING (state) WHERE month_date = DATE '1998-03-01')
 WHERE yhat > cap ORDER BY (yhat - cap) / cap DESC, state, district LIMIT 8""")
@@ -64,11 +64,11 @@ def _districts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("capacity_from_history", "A20 F11", """
 SELECT state, a AS actual_monthly_avg, p AS forecast_monthly_avg, n AS current_centres, n * 5e0 AS current_capacity, p - n * 5 AS gap,
-  CAST(round_even((p - n * 5) / (n * 5) * 100, 1) AS DOUBLE) AS gap_pct,
-  CASE WHEN p - n * 5 > 0 THEN CAST(ceil((p - n * 5) / 5) AS BIGINT) ELSE 0 END AS extra_centres
+  CAST(round_even(round((p - n * 5) / (n * 5) * 100, 9), 1) AS DOUBLE) AS gap_pct,
+  CASE WHEN p - n * 5 > 0 THEN CAST(ceil(round((p - n * 5) / 5, 9)) AS BIGINT) ELSE 0 END AS extra_centres
 FROM (SELECT *, CAST(greatest(1, floor(a / 5)) AS BIGINT) AS n FROM (
-  SELECT state, round_even(sum(y) / (SELECT count(DISTINCT month_date) FROM forecast), 0) AS a,
-    round_even(sum(yhat) / (SELECT count(DISTINCT month_date) FROM forecast), 0) AS p FROM forecast GROUP BY state))""")
+  SELECT state, round_even(round(sum(y) / (SELECT count(DISTINCT month_date) FROM forecast), 9), 0) AS a,
+    round_even(round(sum(yhat) / (SELECT count(DISTINCT month_date) FROM forecast), 9), 0) AS p FROM forecast GROUP BY state))""")
 def _history(spark: SparkSession, sf: str) -> DataFrame:
     return c.needs_from_history(t.forecast_table(spark, sf), per_centre=5)
 
@@ -82,11 +82,11 @@ g AS (SELECT region, strftime(month_date, '%Y-%m') AS month, camps, sum(yhat) AS
   ON (contains(lower(state), lower(region)) OR contains(lower(district), lower(region)))
   AND strftime(month_date, '%Y-%m') = coalesce(month, (SELECT strftime(max(month_date), '%Y-%m') FROM forecast)) GROUP BY ALL),
 r AS (SELECT *, greatest(0, f - c - camps * 0.25) AS after, greatest(0, f - c - camps * 0.25) / (c + camps * 0.25) * 100 AS pct FROM g)
-SELECT region, month, camps, CAST(trunc(f - c) AS BIGINT) AS gap_before, R[(f - c) / c * 100] AS gap_pct_before,
-  CAST(trunc(after) AS BIGINT) AS gap_after, R[pct] AS gap_pct_after,
+SELECT region, month, camps, CAST(trunc(round(f - c, 9)) AS BIGINT) AS gap_before, R[(f - c) / c * 100] AS gap_pct_before,
+  CAST(trunc(round(after, 9)) AS BIGINT) AS gap_after, R[pct] AS gap_pct_after,
   CASE WHEN after <= 0 THEN 'Adding ' || camps || ' centre(s) fully closes the gap. ' || region || ' would have surplus capacity.'
     WHEN pct < 5 THEN 'Adding ' || camps || ' centre(s) reduces gap to acceptable level (<5%). Recommended action.'
-    ELSE 'Gap remains at ' || format('{:.1f}', pct) || '%. Consider adding ' || CAST(ceil(after / 0.25) AS BIGINT)
+    ELSE 'Gap remains at ' || format('{:.1f}', pct) || '%. Consider adding ' || CAST(ceil(round(after / 0.25, 9)) AS BIGINT)
       || ' more centre(s) to fully close the gap.' END AS recommendation FROM r""")
 def _what_if(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(c.what_if(t.forecast_table(spark, sf), _centres(spark, sf), _SCENARIOS, per_centre=0.25, default=20))

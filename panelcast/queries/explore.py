@@ -103,11 +103,11 @@ def _extremes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("worst_districts_per_state", "T5 P22", """SELECT state, district, R[mae] AS mae, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY state ORDER BY mae DESC, district) AS rank
+  SELECT *, row_number() OVER (PARTITION BY state ORDER BY round(mae, 9) DESC, district) AS rank
   FROM (SELECT state, district, avg(abs(y - yhat)) AS mae FROM forecast_s GROUP BY ALL)) WHERE rank <= 3""")
 def _worst(spark: SparkSession, sf: str) -> DataFrame:
     errors = t.forecast(spark, sf, True).groupBy("state", "district").agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"))
-    return rounded(r.top_k_per_group(errors, ["state"], F.desc("mae"), ["district"], 3))
+    return rounded(r.top_k_per_group(errors, ["state"], F.round("mae", 9).desc(), ["district"], 3))
 
 
 @query("keep_first_duplicate", "T2", """SELECT o_custkey, month_date, o_orderkey, o_totalprice FROM (
