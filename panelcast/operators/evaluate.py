@@ -59,11 +59,18 @@ def residual_stats(df: DataFrame, by: Sequence[str], y: str = "y", p: str = "yha
     )
 
 
-def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
-    """Equal-width bins from minimum to maximum, the last one closed; a single value gets a unit-wide range."""
+def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = (), few_keys: bool = False) -> DataFrame:
+    """Equal-width bins from minimum to maximum, the last one closed; a single value gets a unit-wide range.
+
+    ``few_keys`` states that the groups are an enumeration, so their end points may be broadcast
+    and the rows are not shuffled by a handful of hot keys.
+    """
     src = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     ends = src.groupBy(*by).agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("_e"))
-    src = src.join(ends, list(by)) if by else src.withColumn("_e", ends.select("_e").scalar())
+    if by:
+        src = src.join(F.broadcast(ends) if few_keys else ends, list(by))
+    else:
+        src = src.withColumn("_e", ends.select("_e").scalar())
     flat = F.col("_e.lo") == F.col("_e.hi")
     src = src.withColumns(
         {
@@ -200,7 +207,7 @@ def top_share(df: DataFrame, by: str, value: str, n: int) -> DataFrame:
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Rows and percentage per value; the window runs over the few aggregated rows."""
+    """Rows and percentage per value of an enumeration; the window runs over its few aggregated rows."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
 

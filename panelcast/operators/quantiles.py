@@ -16,6 +16,30 @@ from pyspark.sql import functions as F
 # Groups below this size are ordered as a whole; larger ones only inside the brackets.
 WHOLE_GROUP = 5000
 
+BINS = 1000
+
+
+def _narrow(tagged: DataFrame, keys: list[str]) -> DataFrame:
+    """Replace each bracket by the range of the equal-width bins that contain its two ranks.
+
+    The ordered window sees at most ``BINS`` + 1 rows per quantile.
+    """
+    width = (F.col("b.hi") - F.col("b.lo")) / BINS
+    bins = F.least(F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("b.lo"), width)), F.lit(0)), F.lit(BINS - 1))
+    bin_no = F.when(F.col("_v") < F.col("b.lo"), F.lit(-1)).when(F.col("b.lo") == float("-inf"), F.lit(0)).otherwise(bins)
+    counts = tagged.groupBy(*keys, "b.name", "b.pos", bin_no.cast("int").alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    )
+    w = Window.partitionBy(*keys, "name").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_upto", F.sum("_c").over(w))
+
+    def bin_of(rank):
+        return F.min_by(F.struct("_lo", "_hi"), F.when(F.col("_upto") > rank, F.col("_upto")))
+
+    found = ranked.groupBy(*keys, "name", "pos").agg(bin_of(F.floor("pos")).alias("a"), bin_of(F.ceil("pos")).alias("z"))
+    row = F.struct("name", F.col("a._lo").alias("lo"), F.col("z._hi").alias("hi"), "pos")
+    return found.groupBy(*keys).agg(F.collect_list(row).alias("_b"))
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -24,11 +48,14 @@ def exact_quantiles(
     keys: Sequence[str] = (),
     accuracy: int = 10000,
     few_keys: bool = False,
+    refine: int = 0,
 ) -> DataFrame:
     """Linearly interpolated quantiles: one row per key, one column per name in ``probs``.
 
     ``few_keys`` states that the keys are bounded by a calendar or a schema (months, column
-    names), so that the one-row-per-key bracket table may be broadcast.
+    names), so that the one-row-per-key bracket table may be broadcast.  ``refine`` adds passes
+    that cut every bracket to the histogram bins holding the wanted ranks; one such pass suits raw
+    facts, where a thousandth of a group is still too much for one task.
     """
     keys = list(keys)
     src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -52,13 +79,19 @@ def exact_quantiles(
         ]
     )
     brackets = sketch.select(*keys, wanted.alias("_b"))
-    if keys:
-        tagged = src.join(F.broadcast(brackets) if few_keys else brackets, keys)
-    else:
-        tagged = src.withColumn("_b", brackets.select("_b").scalar())
+
+    def tag(b: DataFrame) -> DataFrame:
+        """Every value once per quantile whose bracket it does not exceed."""
+        if keys:
+            rows = src.join(F.broadcast(b) if few_keys else b, keys)
+        else:
+            rows = src.withColumn("_b", b.select("_b").scalar())
+        return rows.select(*keys, "_v", F.explode("_b").alias("b")).where("_v <= b.hi")
+
+    for _ in range(refine):
+        brackets = _narrow(tag(brackets), keys)
     inside = (
-        tagged.select(*keys, "_v", F.explode("_b").alias("b"))
-        .where("_v <= b.hi")
+        tag(brackets)
         .groupBy(*keys, "b.name", "b.pos", F.expr("CASE WHEN _v >= b.lo THEN _v END").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )

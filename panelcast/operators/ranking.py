@@ -15,14 +15,12 @@ Order = Sequence[str | Column]
 def global_position(df: DataFrame, order: Order, name: str = "position") -> DataFrame:
     """0-based position of every row in the total order, exact and fully distributed.
 
-    Rows are range-partitioned and sorted, then written to the shared checkpoint folder so that
-    the layout is fixed; a row's position is the size of the partitions before its own plus its
-    index inside it.  The offset table has one row per partition and is the only broadcast side.
+    Rows are range-partitioned and sorted, and written with partition number and row number so
+    that the layout is fixed; a row's position is the size of the partitions before its own plus
+    its index inside it.  The offset table has one row per partition and is the only broadcast side.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid_out = (
-        df.repartitionByRange(parts, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))

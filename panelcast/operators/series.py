@@ -176,9 +176,11 @@ def volume_segments(
 def densify_months(df: DataFrame, keys: Sequence[str], date: str = "month_date") -> DataFrame:
     """One row per key and calendar month between the first and last month of the table.
 
-    Months are generated per key by ``sequence`` from two scalars, so nothing but the distinct
-    keys is shuffled before the join back on (keys, month).
+    Empty grid rows, generated per distinct key by ``sequence``, are added to the data and merged
+    by an aggregate.  Rows are partitioned by the series keys up front, which serves the
+    aggregate and every series window that follows: one exchange for all of them.
     """
+    values = [c for c in df.columns if c not in (*keys, date)]
     ends = df.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi"))).scalar()
     grid = (
         df.select(*keys)
@@ -187,4 +189,6 @@ def densify_months(df: DataFrame, keys: Sequence[str], date: str = "month_date")
         .withColumn(date, F.explode(F.sequence("_ends.lo", "_ends.hi", F.expr("interval 1 month"))))
         .drop("_ends")
     )
-    return grid.join(df, [*keys, date], "left")
+    both = df.unionByName(grid, allowMissingColumns=True).repartition(*keys)
+    merged = both.groupBy(*keys, date).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
+    return merged.select(*df.columns)

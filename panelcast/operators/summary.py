@@ -30,7 +30,7 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"), F.max("v").alias("max"),
     )
-    return base.join(exact_quantiles(long, "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column"], few_keys=True), "column")
+    return base.join(exact_quantiles(long, "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column"], few_keys=True, refine=1), "column")
 
 
 def null_audit(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

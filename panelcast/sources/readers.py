@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,18 +53,34 @@ def sample_scan(df: DataFrame, n: int = 5000) -> DataFrame:
     return df.limit(n)
 
 
+def _first_line_udf():
+    """First line of each file, read in the task through the file system the path names."""
+
+    def read(path: str) -> str:
+        fs, name = pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+        text = b""
+        with fs.open_input_stream(name) as stream:
+            while b"\n" not in text and (chunk := stream.read(4096)):
+                text += chunk
+        return text.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
+
+    # Nested, so that it travels by value and executors need no copy of this package.
+    @F.pandas_udf(T.StringType())
+    def first_line(paths: pd.Series) -> pd.Series:
+        return paths.map(read)
+
+    return first_line
+
+
 def header_check(spark: SparkSession, sources: Mapping[str, str]) -> DataFrame:
     """Per kind of file: number of files and of distinct headers, and whether all agree.
 
-    Reads only the leading block of each file as text and keeps its first line.
+    Files are listed without their content; tasks then read just the first line of each.
     """
-    parts = None
+    first_line, parts = _first_line_udf(), None
     for kind, path in sources.items():
-        lines = spark.read.text(path, recursiveFileLookup=True).select(
-            F.lit(kind).alias("kind"), F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"), "value",
-        )
-        head = lines.where("at = 0").groupBy("kind", "file").agg(F.min_by("value", "line").alias("header"))
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        head = listed.where("length > 0").select(F.lit(kind).alias("kind"), first_line("path").alias("header"))
         parts = head if parts is None else parts.unionByName(head)
     return parts.groupBy("kind").agg(
         F.count(F.lit(1)).alias("n_files"),

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def write_panel(df: DataFrame, path: str, month: str = "year_month", fmt: str = "parquet") -> None:
-    """Panel laid out by month so that a month filter reads one folder; rows are grouped by month first."""
-    df.repartition(month).write.mode("overwrite").partitionBy(month).format(fmt).save(path)
+    """Panel laid out by month so that a month filter reads one folder.
+
+    Rebalancing groups the rows by month for few files, and splits a month that is too large for one task.
+    """
+    df.hint("rebalance", month).write.mode("overwrite").partitionBy(month).format(fmt).save(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
