@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.text import name_contains
-from panelcast.operators.groups import add_distinct_count, lookup
+from panelcast.operators.groups import lookup
 
 # Defaults of the capacity model.
 PER_CENTRE_CAPACITY = 5000
@@ -65,11 +65,13 @@ def over_capacity_states(df: DataFrame, centres: DataFrame, month: str | None, t
                          grain: Literal["row", "state"] = "row") -> DataFrame:
     """States over capacity in a month, largest gap first.
 
-    ``grain="row"`` counts the state's centres once per district row, ``"state"`` once.
+    ``grain="row"`` counts the state's centres once per district row, ``"state"`` once.  Rows are
+    summed per state before the lookup, so no row is shuffled for the join.
     """
-    rows = with_centres(month_or_latest(df, month), centres, default)
-    seats = F.sum("centres") if grain == "row" else F.max("centres")
-    out = rows.groupBy("state").agg(F.sum(pred).alias("_f"), (seats * F.lit(float(per_centre))).alias("_c"))
+    sums = month_or_latest(df, month).groupBy("state").agg(F.sum(pred).alias("_f"), F.count(F.lit(1)).alias("_rows"))
+    out = with_centres(sums, centres, default)
+    seats = F.col("centres") * F.col("_rows") if grain == "row" else F.col("centres")
+    out = out.withColumn("_c", seats * F.lit(float(per_centre)))
     out = out.withColumn("_gap", F.col("_f") - F.col("_c")).where("_gap > 0")
     out = out.orderBy(F.desc("_gap"), "state").limit(top_k)
     return out.select(
@@ -87,8 +89,10 @@ def over_capacity_districts(df: DataFrame, centres: DataFrame, month: str | None
     """Districts over their equal share of the state's capacity, largest gap in percent first."""
     key = F.date_format("month_date", "yyyy-MM")
     rows = df.where(key == F.lit(month)) if month else latest_month(df)
-    rows = add_distinct_count(with_centres(rows, centres, default), ["state"], "district", "_n")
-    rows = rows.withColumn("_c", F.col("centres") * F.lit(float(per_centre)) / F.col("_n"))
+    share = rows.select("state", "district").distinct().groupBy("state").agg(F.count(F.lit(1)).alias("_n"))
+    share = with_centres(share, centres, default)
+    share = share.select("state", (F.col("centres") * F.lit(float(per_centre)) / F.col("_n")).alias("_c"))
+    rows = rows.join(share, "state")
     rows = rows.withColumn("_gap", F.col(pred) - F.col("_c")).withColumn("gap_pct", F.col("_gap") / F.col("_c") * 100)
     out = rows.where("_gap > 0").orderBy(F.desc("gap_pct"), "state", "district").limit(top_k)
     return out.select(
@@ -136,15 +140,17 @@ def what_if(df: DataFrame, centres: DataFrame, scenarios: Sequence[tuple[str, in
           for r, n, m in scenarios]
     )
     key = F.date_format("month_date", "yyyy-MM")
-    rows = with_centres(df, centres, default).withColumns({"_key": key, "_latest": latest})
+    rows = df.withColumns({"_key": key, "_latest": latest})
 
     def concerns(s: Column) -> Column:
         place = name_contains("state", s["region"]) | name_contains("district", s["region"])
         return place & (F.col("_key") == F.coalesce(s["month"], F.col("_latest")))
 
-    hits = rows.select(pred, "centres", "_key", F.explode(F.filter(listed, concerns)).alias("s"))
-    sums = hits.groupBy(F.col("s.region").alias("region"), F.col("_key").alias("month"), F.col("s.camps").alias("camps")).agg(
-        F.sum(pred).alias("_f"), (F.sum("centres") * F.lit(float(per_centre))).alias("_c")
+    hits = rows.select(pred, "state", "_key", F.explode(F.filter(listed, concerns)).alias("s"))
+    scenario = [F.col("s.region").alias("region"), F.col("_key").alias("month"), F.col("s.camps").alias("camps")]
+    by_state = hits.groupBy(*scenario, "state").agg(F.sum(pred).alias("_f"), F.count(F.lit(1)).alias("_rows"))
+    sums = with_centres(by_state, centres, default).groupBy("region", "month", "camps").agg(
+        F.sum("_f").alias("_f"), (F.sum(F.col("centres") * F.col("_rows")) * F.lit(float(per_centre))).alias("_c")
     )
     added = F.col("camps") * F.lit(float(per_centre))
     sums = sums.withColumns({"_gap": F.col("_f") - F.col("_c"), "_cap": F.col("_c") + added})

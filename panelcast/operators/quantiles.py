@@ -10,35 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Groups below this size are ordered as a whole; larger ones only inside the brackets.
 WHOLE_GROUP = 5000
-
+# Bins of one refining pass.
 BINS = 1000
 
-
-def _narrow(tagged: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace each bracket by the range of the equal-width bins that contain its two ranks.
-
-    The ordered window sees at most ``BINS`` + 1 rows per quantile.
-    """
-    width = (F.col("b.hi") - F.col("b.lo")) / BINS
-    bins = F.least(F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("b.lo"), width)), F.lit(0)), F.lit(BINS - 1))
-    bin_no = F.when(F.col("_v") < F.col("b.lo"), F.lit(-1)).when(F.col("b.lo") == float("-inf"), F.lit(0)).otherwise(bins)
-    counts = tagged.groupBy(*keys, "b.name", "b.pos", bin_no.cast("int").alias("_bin")).agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    w = Window.partitionBy(*keys, "name").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_upto", F.sum("_c").over(w))
-
-    def bin_of(rank):
-        return F.min_by(F.struct("_lo", "_hi"), F.when(F.col("_upto") > rank, F.col("_upto")))
-
-    found = ranked.groupBy(*keys, "name", "pos").agg(bin_of(F.floor("pos")).alias("a"), bin_of(F.ceil("pos")).alias("z"))
-    row = F.struct("name", F.col("a._lo").alias("lo"), F.col("z._hi").alias("hi"), "pos")
-    return found.groupBy(*keys).agg(F.collect_list(row).alias("_b"))
+BELOW, INSIDE, ABOVE = 0, 1, 2
 
 
 def exact_quantiles(
@@ -57,59 +37,105 @@ def exact_quantiles(
     that cut every bracket to the histogram bins holding the wanted ranks; one such pass suits raw
     facts, where a thousandth of a group is still too much for one task.
     """
-    keys = list(keys)
+    keys, names = list(keys), list(probs)
     src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    # Sketch error on both sides, plus the one rank by which p * n and p * (n - 1) differ.
-    margin = 2.0 / accuracy + 1.5 / WHOLE_GROUP
-    names = list(probs)
-    edges = [e for n in names for e in (max(0.0, probs[n] - margin), min(1.0, probs[n] + margin))]
-    sketch = src.groupBy(*keys).agg(
-        F.count("_v").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e")
-    )
-    small = F.col("_n") < WHOLE_GROUP
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("name"),
-                F.when(small, F.lit(float("-inf"))).otherwise(F.col("_e")[2 * i]).alias("lo"),
-                F.when(small, F.lit(float("inf"))).otherwise(F.col("_e")[2 * i + 1]).alias("hi"),
-                ((F.col("_n") - 1) * F.lit(float(probs[n]))).alias("pos"),
-            )
-            for i, n in enumerate(names)
-        ]
-    )
-    brackets = sketch.select(*keys, wanted.alias("_b"))
 
-    def tag(b: DataFrame) -> DataFrame:
-        """Every value once per quantile whose bracket it does not exceed."""
+    def attach(rows: DataFrame, brackets: DataFrame) -> DataFrame:
         if keys:
-            rows = src.join(F.broadcast(b) if few_keys else b, keys)
-        else:
-            rows = src.withColumn("_b", b.select("_b").scalar())
-        return rows.select(*keys, "_v", F.explode("_b").alias("b")).where("_v <= b.hi")
+            return rows.join(F.broadcast(brackets) if few_keys else brackets, keys)
+        return rows.withColumn("_b", brackets.select("_b").scalar())
+
+    def tag(brackets: DataFrame) -> DataFrame:
+        """Counted values per quantile: those inside its bracket, and one null row for all below.
+
+        A source row stays one row: its place relative to all brackets is a single number, and
+        the value is kept in the grouping key only where it lies inside one of them.
+        """
+        code, hit = F.lit(0), F.lit(False)
+        for i in range(len(names)):
+            lo, hi = F.col("_b")[i]["lo"], F.col("_b")[i]["hi"]
+            inside = F.col("_v").between(lo, hi)
+            place = F.when(inside, INSIDE).when(F.col("_v") < lo, BELOW).otherwise(ABOVE)
+            code, hit = code + place * 3**i, hit | inside
+        counted = (
+            attach(src, brackets)
+            .select(*keys, code.alias("_code"), F.when(hit, F.col("_v")).alias("_v"))
+            .groupBy(*keys, "_code", "_v")
+            .agg(F.count(F.lit(1)).alias("_c"))
+        )
+        each = F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(i).alias("i"), *[F.col("_b")[i][c].alias(c) for c in ("lo", "hi", "pos")],
+                             (F.floor(F.col("_code") / 3**i) % 3).alias("place"))
+                    for i in range(len(names))
+                ]
+            )
+        )
+        rows = attach(counted, brackets).select(*keys, "_v", "_c", each.alias("q")).where(F.col("q.place") != ABOVE)
+        return rows.select(*keys, "q.i", "q.lo", "q.hi", "q.pos", F.when(F.col("q.place") == INSIDE, F.col("_v")).alias("_v"), "_c")
 
+    brackets = _sketch(src, keys, [probs[n] for n in names], accuracy)
     for _ in range(refine):
         brackets = _narrow(tag(brackets), keys)
-    inside = (
-        tag(brackets)
-        .groupBy(*keys, "b.name", "b.pos", F.expr("CASE WHEN _v >= b.lo THEN _v END").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    w = Window.partitionBy(*keys, "name").orderBy(F.asc_nulls_first("_v"))
-    upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    inside = tag(brackets).groupBy(*keys, "i", "pos", "_v").agg(F.sum("_c").alias("_c"))
+    w = Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
 
-    def at(rank):
+    def at(rank: Column) -> Column:
         return F.min(F.when(F.col("_upto") > rank, F.struct(F.col("_v").isNotNull(), "_v")))["_v"]
 
     k = F.floor("pos")
     found = (
-        inside.withColumn("_upto", upto)
-        .groupBy(*keys, "name", "pos")
+        inside.withColumn("_upto", F.sum("_c").over(w))
+        .groupBy(*keys, "i", "pos")
         .agg(at(k).alias("a"), at(F.ceil("pos")).alias("z"))
     )
     missed = F.raise_error(F.lit("quantile bracket missed; raise accuracy")).cast("double")
     q = F.when(F.col("a").isNull() | F.col("z").isNull(), missed).otherwise(
         F.col("a") + (F.col("z") - F.col("a")) * (F.col("pos") - k)
     )
-    pick = [F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in names]
+    pick = [F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
     return found.withColumn("q", q).groupBy(*keys).agg(*pick)
+
+
+def _sketch(src: DataFrame, keys: list[str], probs: list[float], accuracy: int) -> DataFrame:
+    """One row per key: array of (lo, hi, pos), bracket and wanted 0-based rank of every quantile."""
+    # Sketch error on both sides, plus the one rank by which p * n and p * (n - 1) differ.
+    margin = 2.0 / accuracy + 1.5 / WHOLE_GROUP
+    edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = src.groupBy(*keys).agg(
+        F.count("_v").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e")
+    )
+    small = F.col("_n") < WHOLE_GROUP
+    rows = [
+        F.struct(
+            F.when(small, F.lit(float("-inf"))).otherwise(F.col("_e")[2 * i]).alias("lo"),
+            F.when(small, F.lit(float("inf"))).otherwise(F.col("_e")[2 * i + 1]).alias("hi"),
+            ((F.col("_n") - 1) * F.lit(float(p))).alias("pos"),
+        )
+        for i, p in enumerate(probs)
+    ]
+    return sketch.select(*keys, F.array(*rows).alias("_b"))
+
+
+def _narrow(tagged: DataFrame, keys: list[str]) -> DataFrame:
+    """Replace each bracket by the range of the equal-width bins that contain its two ranks.
+
+    The ordered window sees at most ``BINS`` + 1 rows per quantile.
+    """
+    width = (F.col("hi") - F.col("lo")) / BINS
+    at = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("lo"), width)), F.lit(0))
+    whole = F.col("lo") == float("-inf")
+    bin_no = F.when(F.col("_v").isNull(), -1).when(whole, 0).otherwise(F.least(at, F.lit(BINS - 1)))
+    counts = tagged.groupBy(*keys, "i", "pos", bin_no.cast("int").alias("_bin")).agg(
+        F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    )
+    w = Window.partitionBy(*keys, "i").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_upto", F.sum("_c").over(w))
+
+    def bin_of(rank: Column) -> Column:
+        return F.min_by(F.struct("_lo", "_hi"), F.when(F.col("_upto") > rank, F.col("_upto")))
+
+    found = ranked.groupBy(*keys, "i", "pos").agg(bin_of(F.floor("pos")).alias("a"), bin_of(F.ceil("pos")).alias("z"))
+    row = F.struct("i", F.col("a._lo").alias("lo"), F.col("z._hi").alias("hi"), "pos")
+    return found.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_b"))

@@ -41,7 +41,7 @@ FROM (SELECT state, sum(yhat) AS f, {seats}(centres) * 0.25 AS cap FROM seats WH
 WHERE f > cap ORDER BY f - cap DESC, state LIMIT 4"""
 
 
-@query("over_capacity_states", "A18 P17 T4 Q14", _over("sum"))
+@query("over_capacity_states", "A18 P17 T4", _over("sum"))
 def _states(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(c.over_capacity_states(t.forecast_table(spark, sf), _centres(spark, sf), "1998-03", 4, per_centre=0.25, default=20))
 

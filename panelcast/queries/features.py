@@ -120,6 +120,12 @@ def _ratio(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(groups.ratio_to_peers(t.enrol_panel(spark, sf, True), Y))
 
 
+@query("district_count_on_rows", "J10", """SELECT p.*, n AS n_districts FROM panel_s p JOIN (
+  SELECT state, month_date, count(DISTINCT district) AS n FROM panel_s GROUP BY ALL) USING (state, month_date)""")
+def _district_count(spark: SparkSession, sf: str) -> DataFrame:
+    return groups.add_distinct_count(t.enrol_panel(spark, sf, True), ["state", "month_date"], "district", "n_districts")
+
+
 @query("group_long_term_stats", "A6 J2", f"""SELECT state, district, month_date, {Y},
   R[avg({Y}) OVER {ALL}] AS group_long_term_mean, R[stddev_samp({Y}) OVER {ALL}] AS group_long_term_std FROM panel_s""")
 def _stats(spark: SparkSession, sf: str) -> DataFrame:
