@@ -47,14 +47,14 @@ def interval_flags(
     """Flags of the named intervals containing the date, for an interval table of any size.
 
     Distinct dates (calendar-bounded) meet the intervals by day: each interval is expanded to
-    its days, so the join is an equi-join, and the flags come back on the date.
+    its days, so the join is an equi-join.  The result has one row per day, hence broadcast.
     """
     days = (
         intervals.select("name", F.explode(F.sequence("start", "end", F.expr("interval 1 day"))).alias(date))
         .groupBy(date)
         .agg(F.collect_set(F.when(F.col("name").isin(*names), F.col("name"))).alias("_in"))
     )
-    joined = df.join(days, date, "left")
+    joined = df.join(F.broadcast(days), date, "left")
     named = {f"in_{n}": F.coalesce(F.array_contains("_in", n), F.lit(False)).cast("int") for n in names}
     return joined.withColumns(named | {any_name: F.col("_in").isNotNull().cast("int")}).drop("_in")
 
@@ -63,11 +63,11 @@ def ended_before_count(df: DataFrame, date: str, intervals: DataFrame, name: str
     """Number of intervals that ended before the date.
 
     A theta join in disguise: interval ends are counted per day and accumulated over the union
-    of both date sets (calendar-bounded), then joined back on the date.
+    of both date sets, then joined back on the date: one row per day, hence broadcast.
     """
     ends = intervals.groupBy(F.col("end").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
     days = df.select(F.col(date).alias("_d"), F.lit(0).cast("bigint").alias("_n")).distinct()
     per_day = ends.unionByName(days).groupBy("_d").agg(F.sum("_n").alias("_n"))
     earlier = Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
     running = per_day.select(F.col("_d").alias(date), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(name))
-    return df.join(running, date, "left")
+    return df.join(F.broadcast(running), date, "left")

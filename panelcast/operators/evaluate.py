@@ -181,7 +181,7 @@ def mean_quantile_buckets(df: DataFrame, by: Sequence[str], value: str, labels:
     for i in range(2, k):
         bucket = bucket.when(F.col("mean_value") <= F.col(f"_e.e{i}"), labels[i - 1])
     out = out.withColumn("bucket", bucket.otherwise(labels[-1])).drop("_e")
-    return top_k_per_group(out, ["bucket"], F.xxhash64(*by).asc(), list(by), picks)
+    return top_k_per_group(out, ["bucket"], F.md5(F.concat_ws("|", *by)).asc(), list(by), picks)
 
 
 def mape_grid(df: DataFrame, months: Sequence[int], y: str = "y", p: str = "yhat", state: str = "state",

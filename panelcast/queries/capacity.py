@@ -17,7 +17,7 @@ cte("seats", "SELECT f.*, coalesce(centres, 20) AS centres FROM forecast f LEFT
 def _centres(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers per region; one region is left to the default."""
     s = t.table(spark, sf, "supplier").select("s_nationkey")
-    where = s.join(t._regions(spark, sf), F.col("s_nationkey") == F.col("n_nationkey")).where("state <> 'EUROPE'")
+    where = s.join(t.regions(spark, sf), F.col("s_nationkey") == F.col("n_nationkey")).where("state <> 'EUROPE'")
     return where.groupBy("state").agg(F.count(F.lit(1)).alias("centres"))
 
 

@@ -172,7 +172,12 @@ def _quantile_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(df.groupBy("bucket").agg(F.count("*").alias("n_groups"), F.min("mean_value").alias("low"), F.max("mean_value").alias("high")))
 
 
-@query("bucket_sample_series", "W22")
+@query("bucket_sample_series", "W22", """
+SELECT state, district, R[mean_value] AS mean_value, n, bucket, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5(state || '|' || district), state, district) AS rank FROM (
+    SELECT s.*, CASE WHEN mean_value <= e1 THEN 'q1' WHEN mean_value <= e2 THEN 'q2' WHEN mean_value <= e3 THEN 'q3' ELSE 'q4' END AS bucket
+    FROM series_means s, (SELECT quantile_cont(mean_value, 0.25) AS e1, quantile_cont(mean_value, 0.5) AS e2,
+      quantile_cont(mean_value, 0.75) AS e3 FROM series_means))) WHERE rank <= 2""")
 def _bucket_picks(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(e.mean_quantile_buckets(t.forecast_table(spark, sf, True), K[:2], "y", ("q1", "q2", "q3", "q4"), picks=2))
 

@@ -12,6 +12,8 @@ from panelcast.operators import evaluate as e
 from panelcast.operators import quality as q
 from panelcast.operators import ranking as r
 from panelcast.operators import summary as s
+from panelcast.operators.capacity import latest_month, month_or_latest
+from panelcast.operators.panel import model_dataset, monthly_sums
 from panelcast.queries import tables as t
 from panelcast.queries.registry import cte, query, rounded
 
@@ -135,8 +137,6 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query("union_of_parts", "U1", """SELECT * FROM month_a WHERE year(month_date) < 1998 UNION ALL
   SELECT * FROM month_a WHERE year(month_date) >= 1998""")
 def _parts(spark: SparkSession, sf: str) -> DataFrame:
-    from panelcast.operators.panel import monthly_sums
-
     fact = t.enrolment(spark, sf)
     parts = fact.where("year(date) < 1998").unionByName(fact.where("year(date) >= 1998"))
     return monthly_sums(parts, t.ENROL)
@@ -156,16 +156,12 @@ def _region_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("latest_month_rows", "P19", "SELECT * FROM panel_s WHERE month_date = (SELECT max(month_date) FROM panel_s)")
 def _latest(spark: SparkSession, sf: str) -> DataFrame:
-    from panelcast.operators.capacity import latest_month
-
     return latest_month(t.enrol_panel(spark, sf, True))
 
 
 @query("month_or_latest", "P17", """SELECT 'asked' AS part, * FROM panel_s WHERE month_date = DATE '1997-05-01' UNION ALL
   SELECT 'fallback', * FROM panel_s WHERE month_date = (SELECT max(month_date) FROM panel_s)""")
 def _fallback(spark: SparkSession, sf: str) -> DataFrame:
-    from panelcast.operators.capacity import month_or_latest
-
     df = t.enrol_panel(spark, sf, True)
     asked = month_or_latest(df, "1997-05").select(F.lit("asked").alias("part"), "*")
     return asked.unionByName(month_or_latest(df, "2031-01").select(F.lit("fallback").alias("part"), "*"))
@@ -235,7 +231,7 @@ def _names(spark: SparkSession, sf: str) -> DataFrame:
         .when((key == 3) & (state == "ASIA"), "Asia  Pacific").when((key == 3) & (state == "AMERICA"), "Am.")
         .when((key == 4) & (state == "MIDDLE EAST"), "Mid East").otherwise(state)
     )
-    j = o.join(t._customers(spark, sf, False), F.col("o_custkey") == F.col("c_custkey"))
+    j = o.join(t.customers(spark, sf, False), F.col("o_custkey") == F.col("c_custkey"))
     return x.canonical_names(j.select("o_orderkey", name.alias("name")), "name", NAMES)
 
 
@@ -253,7 +249,7 @@ def _changes(spark: SparkSession, sf: str) -> DataFrame:
   FROM orders JOIN cust ON o_custkey = c_custkey""")
 def _keys(spark: SparkSession, sf: str) -> DataFrame:
     o = t.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    j = o.join(t._customers(spark, sf, False), F.col("o_custkey") == F.col("c_custkey"))
+    j = o.join(t.customers(spark, sf, False), F.col("o_custkey") == F.col("c_custkey"))
     j = j.withColumn("padded", F.concat(F.lit("  "), F.lower("district"), F.lit(" ")))
     return j.select("o_orderkey", x.composite_key("state", "district").alias("group_id"), x.trimmed("padded").alias("clean"))
 
@@ -276,8 +272,6 @@ def _quality(spark: SparkSession, sf: str) -> DataFrame:
     WHERE target_enrolment_next_month IS NOT NULL WINDOW w AS (PARTITION BY state, district ORDER BY month_date))
   WHERE total_enrolment_prev_1 IS NOT NULL)""")
 def _projection(spark: SparkSession, sf: str) -> DataFrame:
-    from panelcast.operators.panel import model_dataset
-
     df = model_dataset(t.panel(spark, sf))
     target = "target_enrolment_next_month"
     numeric, _ = q.feature_list(df, target, "month_date")
@@ -303,7 +297,7 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     o = t.table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", F.col("o_orderkey").cast("string").alias("key"),
         d.month_key(F.add_months(F.to_date("o_orderdate"), 300)).alias("ym"))
-    j = o.join(t._customers(spark, sf, False), F.col("o_custkey") == F.col("c_custkey"))
+    j = o.join(t.customers(spark, sf, False), F.col("o_custkey") == F.col("c_custkey"))
     texts = F.array(*[F.concat(F.lit(a), F.col(c), F.lit(z)) for a, c, z in MESSAGES.values()])
     return j.select("o_orderkey", texts[(F.col("o_orderkey") % 7).cast("int")].alias("message"))
 

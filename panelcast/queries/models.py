@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators import models as mod
 from panelcast.operators import splits
 from panelcast.operators.blend import fold_summary, rank_trials
+from panelcast.operators.panel import model_dataset
 from panelcast.operators.quality import feature_list
 from panelcast.plans import features as plans
 from panelcast.plans import training
@@ -126,10 +128,31 @@ def _routing(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mod.routed(train, val, feats, high, SMALL, SMALL).select(*K, Y, "prediction", "route"))
 
 
+@query("residual_booster_identity", "M9", f"""SELECT state, district, p.month_date, {Y} AS y_true, true AS adds_up
+  FROM panel_s p JOIN month_rank m ON p.month_date = m.month_date WHERE i > (SELECT max(i) FROM month_rank) - 12""")
+def _residual_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """The boosted forecast is the base plus the residual forecast, and the errors follow from it."""
+    train, val, feats = _split(spark, sf)
+    out = mod.residual_booster(train, val, feats, mod.TreeConfig(max_iter=2), mod.TreeConfig(max_iter=2))
+    boosted = F.col("base_pred") + F.col("residual_pred")
+    adds_up = (F.abs(F.col("boosted_pred") - boosted) < 1e-9) & (F.abs(F.abs(F.col(Y) - boosted) - F.col("ae_boosted")) < 1e-9)
+    return out.select(*K, F.col(Y).alias("y_true"), adds_up.alias("adds_up"))
+
+
+@query("segment_routes", "M10", f"""WITH f AS (SELECT *, coalesce(avg({Y}) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING),
+    avg({Y}) OVER (PARTITION BY state, district)) AS r FROM panel_s WINDOW w AS (PARTITION BY state, district ORDER BY month_date)),
+s AS (SELECT f.*, i > (SELECT max(i) FROM month_rank) - 12 AS is_val FROM f JOIN month_rank m ON f.month_date = m.month_date)
+SELECT state, district, month_date, {Y}, CASE WHEN r >= (SELECT avg(r) FROM s WHERE NOT is_val) THEN 'high_volume' ELSE 'general' END AS route
+FROM s WHERE is_val""")
+def _routes(spark: SparkSession, sf: str) -> DataFrame:
+    train, val, feats = _split(spark, sf)
+    high = F.col(f"{Y}_rolling_6_mean") >= train.agg(F.avg(f"{Y}_rolling_6_mean")).first()[0]
+    small = mod.TreeConfig(max_iter=2)
+    return mod.routed(train, val, feats, high, small, small).where("prediction is not null").select(*K, Y, "route")
+
+
 @query("saved_model_scores", "K6 M3")
 def _saved(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.ml import PipelineModel
-
     registry = scratch_path(spark, "registry")
     train, val, feats = _split(spark, sf)
     for version, trees in (("v1", 2), ("v2", 6)):
@@ -142,8 +165,6 @@ def _saved(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("training_run_decision", "C9 M1 M6 E7 D1 T2")
 def _run(spark: SparkSession, sf: str) -> DataFrame:
-    from panelcast.operators.panel import model_dataset
-
     cfg = training.TrainingConfig("target_enrolment_next_month", lag="total_enrolment", tree=SMALL, drift_features=(Y,))
     return rounded(training.train(model_dataset(t.panel(spark, sf)), cfg).decision)
 
@@ -155,7 +176,5 @@ WITH d AS (SELECT *, row_number() OVER (ORDER BY month_date, state, district) -
 SELECT state, district, month_date, total_enrolment, target AS target_enrolment_next_month,
   CASE WHEN pos < CAST(floor(n * 0.8e0) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM d""")
 def _training_split(spark: SparkSession, sf: str) -> DataFrame:
-    from panelcast.operators.panel import model_dataset
-
     data = training.training_data(model_dataset(t.panel(spark, sf)), training.TrainingConfig("target_enrolment_next_month"))
     return data.split.select(*K, Y, "target_enrolment_next_month", "split")

@@ -28,16 +28,16 @@ def _n(cond: Column, name: str) -> Column:
     return F.count_if(cond).alias(name)
 
 
-def _regions(spark: SparkSession, sf: str) -> DataFrame:
+def regions(spark: SparkSession, sf: str) -> DataFrame:
     """Nation and region names: 25 rows at every scale factor, hence broadcast."""
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
     names = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
     return F.broadcast(names.select("n_nationkey", F.col("r_name").alias("state"), F.col("n_name").alias("nation")))
 
 
-def _customers(spark: SparkSession, sf: str, by_segment: bool) -> DataFrame:
+def customers(spark: SparkSession, sf: str, by_segment: bool) -> DataFrame:
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    c = c.join(_regions(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.join(regions(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
     district = F.concat_ws("/", "nation", "c_mktsegment") if by_segment else F.col("nation")
     return c.select("c_custkey", "state", district.alias("district"))
 
@@ -54,7 +54,7 @@ def enrolment(spark: SparkSession, sf: str, by_segment: bool = False) -> DataFra
             _n(~level.isin("1", "2", "3"), ENROL[2]),
         )
     )
-    where = _customers(spark, sf, by_segment)
+    where = customers(spark, sf, by_segment)
     return daily.join(where, F.col("o_custkey") == F.col("c_custkey")).select("state", "district", "date", *ENROL)
 
 
@@ -74,7 +74,7 @@ def demographic(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("o_custkey", "date")
         .agg(F.sum("_f").alias(DEMO[0]), F.sum("_o").alias(DEMO[1]))
     )
-    where = _customers(spark, sf, False)
+    where = customers(spark, sf, False)
     return daily.join(where, F.col("o_custkey") == F.col("c_custkey")).select("state", "district", "date", *DEMO)
 
 
@@ -86,7 +86,7 @@ def biometric(spark: SparkSession, sf: str) -> DataFrame:
         .agg(_n(F.col("l_quantity") <= 25, BIO[0]), _n(F.col("l_quantity") > 25, BIO[1]))
     )
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    where = s.join(_regions(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
+    where = s.join(regions(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
     return daily.join(where, F.col("l_suppkey") == F.col("s_suppkey")).select(
         "state", F.col("nation").alias("district"), "date", *BIO
     )

@@ -182,3 +182,38 @@ def test_durbin_levinson_solves_yule_walker(spark):
 
 def test_recommended_lags_without_long_series(spark):
     assert lags.recommended_lags(panel(spark, 5), "y").first()["lags"] == [1, 2, 3, 6]
+
+
+def test_one_hot_ignores_unseen_values(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from panelcast.operators import groups
+
+    train = spark.createDataFrame([("b",), ("a",)], "state string")
+    model = groups.one_hot(train, ["state"]).fit(train)
+    rows = model.transform(spark.createDataFrame([("a",), ("b",), ("zz",)], "state string"))
+    got = {r[0]: r[1] for r in rows.select("state", vector_to_array("state_vec")).collect()}
+    assert got == {"a": [1.0, 0.0], "b": [0.0, 1.0], "zz": [0.0, 0.0]}
+
+
+def test_label_index_is_sorted_and_unseen_is_minus_one(spark):
+    from panelcast.operators import groups
+
+    train = spark.createDataFrame([("c",), ("a",), ("c",), (None,)], "k string")
+    encoder = groups.fit_label_index(train, "k")
+    out = groups.apply_label_index(spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string"), encoder, "k")
+    assert {r["k"]: r["k_idx"] for r in out.collect()} == {"a": 0, "b": -1, "c": 1, None: -1}
+
+
+def test_monthly_sums_with_a_hot_key(spark):
+    from panelcast.operators.panel import monthly_sums
+
+    hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("d"), (F.col("id") % 500).cast("string")))
+    fact = spark.range(90_000).select(
+        F.lit("S").alias("state"), hot.alias("district"), F.expr("date_add(date'2024-01-01', cast(id % 60 as int))").alias("date"),
+        F.lit(1).cast("bigint").alias("n"))
+    out = monthly_sums(fact, ["n"])
+    assert out.agg(F.sum("n")).first()[0] == 90_000
+    assert out.where("district = 'hot'").agg(F.sum("n")).first()[0] == 30_000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan
