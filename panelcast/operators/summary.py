@@ -21,8 +21,17 @@ def sums_by_levels(df: DataFrame, region: str, month: str, measure: str) -> Data
     return df.rollup(region, month).agg(F.sum(measure).alias("total"), F.avg(measure).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max per column, quartiles exact at any size."""
+# Above this many rows the quantile brackets are narrowed by one more pass.
+LARGE = 50_000_000
+
+
+def describe(df: DataFrame, cols: Sequence[str], refine: int | None = None) -> DataFrame:
+    """count, mean, std, min, quartiles and max per column, quartiles exact at any size.
+
+    Without ``refine`` the rows are counted first, which for a stored table reads only metadata.
+    """
+    if refine is None:
+        refine = 1 if df.count() > LARGE else 0
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols
     ])).alias("_s")).select("_s.*")
@@ -30,7 +39,7 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"), F.max("v").alias("max"),
     )
-    return base.join(exact_quantiles(long, "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column"], few_keys=True, refine=1), "column")
+    return base.join(exact_quantiles(long, "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column"], few_keys=True, refine=refine), "column")
 
 
 def null_audit(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
