@@ -10,7 +10,7 @@ from panelcast.operators import evaluate as e
 from panelcast.operators import monitor as m
 from panelcast.operators import series as ts
 from panelcast.queries import tables as t
-from panelcast.queries.registry import cte, query, rounded
+from panelcast.queries.registry import cte, joined, query, rounded
 
 K = ["state", "district", "month_date"]
 
@@ -254,14 +254,15 @@ def _alert_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("retrain_decision", "E7", """
 SELECT R[mae] AS mae, R[r2] AS r2, R[inc] AS mae_increase_pct, d AS features_with_drift,
-  list_filter([CASE WHEN r2 < 0.5 THEN 'r2_below_minimum' END, CASE WHEN inc > 10 THEN 'mae_increased' END,
-    CASE WHEN d >= 3 THEN 'features_drifting' END], lambda x: x IS NOT NULL) AS reasons, r2 < 0.5 OR inc > 10 OR d >= 3 AS retrain
+  array_to_string(list_filter([CASE WHEN r2 < 0.5 THEN 'r2_below_minimum' END, CASE WHEN inc > 10 THEN 'mae_increased' END,
+    CASE WHEN d >= 3 THEN 'features_drifting' END], lambda x: x IS NOT NULL), ',') AS reasons, r2 < 0.5 OR inc > 10 OR d >= 3 AS retrain
 FROM (SELECT *, (mae - base) / base * 100 AS inc FROM
   (SELECT avg(abs(y - yhat2)) AS mae, 1 - sum((y - yhat2) * (y - yhat2)) / (var_pop(y) * count(*)) AS r2, avg(abs(y - yhat)) AS base FROM forecast_s),
   (SELECT count(DISTINCT CASE WHEN drift_flag THEN feature END) AS d FROM drift_report))""")
 def _retrain(spark: SparkSession, sf: str) -> DataFrame:
     df = t.forecast_table(spark, sf, True)
-    return rounded(m.retrain_decision(e.metrics_by(df, [], p="yhat2"), e.metrics_by(df, []), m.drift_summary(_report(spark, sf))))
+    decision = m.retrain_decision(e.metrics_by(df, [], p="yhat2"), e.metrics_by(df, []), m.drift_summary(_report(spark, sf)))
+    return joined(rounded(decision))
 
 
 def _scoped(df: DataFrame, p: str) -> DataFrame:
@@ -278,14 +279,14 @@ def _scope_sql(p: str, name: str) -> str:
 @query("promotion_gate", "E8 E10", f"""WITH {_scope_sql('yhat2', 'a')}, {_scope_sql('yhat', 'b')}
 SELECT scope, R[a.mae] AS champion_mae, R[a.r2] AS champion_r2, R[a.mape] AS champion_mape, R[b.mae] AS challenger_mae,
   R[b.r2] AS challenger_r2, R[b.mape] AS challenger_mape, R[(a.mae - b.mae) * 100 / a.mae] AS mae_gain_pct,
-  list_filter([CASE WHEN (a.mae - b.mae) * 100 / a.mae >= 2 THEN NULL ELSE 'mae_gain_too_small' END,
+  array_to_string(list_filter([CASE WHEN (a.mae - b.mae) * 100 / a.mae >= 2 THEN NULL ELSE 'mae_gain_too_small' END,
     CASE WHEN a.r2 - b.r2 <= 0.01 THEN NULL ELSE 'r2_drop' END,
-    CASE WHEN b.mape <= 1.05 * a.mape THEN NULL ELSE 'mape_worse' END], lambda x: x IS NOT NULL) AS failed,
+    CASE WHEN b.mape <= 1.05 * a.mape THEN NULL ELSE 'mape_worse' END], lambda x: x IS NOT NULL), ',') AS failed,
   coalesce((a.mae - b.mae) * 100 / a.mae >= 2 AND a.r2 - b.r2 <= 0.01 AND b.mape <= 1.05 * a.mape, false) AS promote
 FROM a JOIN b USING (scope)""")
 def _gate(spark: SparkSession, sf: str) -> DataFrame:
     df = t.forecast_table(spark, sf, True)
-    return rounded(m.promotion_gate(_scoped(df, "yhat2"), _scoped(df, "yhat")))
+    return joined(rounded(m.promotion_gate(_scoped(df, "yhat2"), _scoped(df, "yhat"))))
 
 
 @query("segment_regressions", "E9", """SELECT kind, segment, R[a.mape] AS champion_mape, R[b.mape] AS challenger_mape,

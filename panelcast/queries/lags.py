@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelcast.operators import lags as l
 from panelcast.queries import tables as t
-from panelcast.queries.registry import cte, query
+from panelcast.queries.registry import cte, joined, query
 
 Y = "total_enrolment"
 
@@ -38,9 +38,9 @@ def _acf(spark: SparkSession, sf: str) -> DataFrame:
         "state", "district", "n_obs", "lag", "round(v.acf, 6) + 0D AS acf", "round(v.pacf, 6) + 0D AS pacf")
 
 
-@query("significant_lags", "A25", "SELECT state, district, lags FROM lag_sets")
+@query("significant_lags", "A25", "SELECT state, district, array_to_string(CAST(lags AS VARCHAR[]), ',') AS lags FROM lag_sets")
 def _significant(spark: SparkSession, sf: str) -> DataFrame:
-    return l.significant_lags(l.pacf(l.acf(t.enrol_panel(spark, sf, True), Y))).select("state", "district", "lags")
+    return joined(l.significant_lags(l.pacf(l.acf(t.enrol_panel(spark, sf, True), Y))).select("state", "district", "lags"))
 
 
 @query("recommended_lags", "A26", """WITH v AS (SELECT lag, count(*) AS votes FROM (SELECT unnest(lags) AS lag FROM lag_sets) GROUP BY lag),
@@ -48,9 +48,9 @@ n AS (SELECT greatest(1, CAST(floor(count(*) * 0.4e0) AS BIGINT)) AS need FROM (
 c AS (SELECT lag FROM v, n WHERE votes >= need),
 u AS (SELECT lag FROM c WHERE (SELECT count(*) FROM c) >= 3 UNION SELECT * FROM (SELECT lag FROM v
   WHERE (SELECT count(*) FROM c) < 3 ORDER BY votes DESC, lag LIMIT 5) UNION SELECT 1)
-SELECT list(lag ORDER BY lag) AS lags FROM u""")
+SELECT array_to_string(CAST(list(lag ORDER BY lag) AS VARCHAR[]), ',') AS lags FROM u""")
 def _recommended(spark: SparkSession, sf: str) -> DataFrame:
-    return l.recommended_lags(t.enrol_panel(spark, sf, True), Y)
+    return joined(l.recommended_lags(t.enrol_panel(spark, sf, True), Y))
 
 
 @query("lag_votes", "A26", "SELECT lag, count(*) AS votes FROM (SELECT unnest(lags) AS lag FROM lag_sets) GROUP BY lag")

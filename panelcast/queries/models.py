@@ -15,7 +15,7 @@ from panelcast.plans import features as plans
 from panelcast.plans import training
 from panelcast.queries import tables as t
 from panelcast.queries.features import CONFIG
-from panelcast.queries.registry import query, rounded
+from panelcast.queries.registry import joined, query, rounded
 from panelcast.session import cut_lineage, scratch_path
 from panelcast.sources import sinks
 
@@ -166,7 +166,7 @@ def _saved(spark: SparkSession, sf: str) -> DataFrame:
 @query("training_run_decision", "C9 M1 M6 E7 D1 T2")
 def _run(spark: SparkSession, sf: str) -> DataFrame:
     cfg = training.TrainingConfig("target_enrolment_next_month", lag="total_enrolment", tree=SMALL, drift_features=(Y,))
-    return rounded(training.train(model_dataset(t.panel(spark, sf)), cfg).decision)
+    return joined(rounded(training.train(model_dataset(t.panel(spark, sf)), cfg).decision))
 
 
 @query("training_split", "C9 D1 P9 P14 T2", """

@@ -59,7 +59,7 @@ def oracle(sql: str) -> str:
         recursive = any(re.search(rf"\bFROM {n}\b", CTES[n]) for n in found)
         head = ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts)
         body = f"{head},\n{body[4:].strip()}" if body.upper().startswith("WITH") else f"{head}\n{body}"
-    return re.sub(r"R\[(.*?)\]", r"(round(CAST(\1 AS DOUBLE), 6) + 0e0)", body, flags=re.S)
+    return re.sub(r"\bR\[(.*?)\]", r"(round(CAST(\1 AS DOUBLE), 6) + 0e0)", body, flags=re.S)
 
 
 def rounded(df: DataFrame, scale: int = 6) -> DataFrame:
@@ -71,3 +71,14 @@ def rounded(df: DataFrame, scale: int = 6) -> DataFrame:
         return F.col(f.name)
 
     return df.select(*[fix(f) for f in df.schema.fields])
+
+
+def joined(df: DataFrame) -> DataFrame:
+    """Print array columns as comma-separated text, which both engines compare alike."""
+
+    def text(f: T.StructField) -> Column:
+        if isinstance(f.dataType, T.ArrayType):
+            return F.array_join(F.col(f.name).cast("array<string>"), ",").alias(f.name)
+        return F.col(f.name)
+
+    return df.select(*[text(f) for f in df.schema.fields])
