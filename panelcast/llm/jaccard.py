@@ -9,11 +9,13 @@ Allocation by cost.  Signatures that many sets share are expensive.  The sharing
 is counted; a set whose cheap signatures alone exceed the bound needs no expensive one (their
 allocation is 0).  Only sets that fall short sign again, now with one-deletion neighbourhoods: a
 segment of two or more shingles counts 2, as it also matches when one shingle differs.  What is
-still short (members of large near-copy groups, in practice) is compared through the least member of
-each shared signature, and then across the components that these links leave apart, so no pair of
-different components that share a signature goes unchecked and no pair inside one is spent.
+still short (members of large near-copy groups, in practice) is compared with one hub of each shared
+signature, and then across the components that these links leave apart, so no pair of different
+components that share a signature goes unchecked and no pair inside one is spent.  Shingles that no
+other short set holds count as differences of every pair, which settles many of those pairs unseen, as do the parities of hashed shingle counts.
 
-All candidates are verified on the full shingle sets.  Equal sets are one node throughout.
+A pair must pass a bound on two histograms of shingles before the texts are fetched, and is then
+verified on the full shingle sets.  Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ _BANDS = [3]
 while _BANDS[-1] < 1 << 40:
     _BANDS.append(max(_BANDS[-1] + 1, int(_BANDS[-1] * BAND_RATIO)))
 BANDS = np.array(_BANDS, np.int64)
+#: Stands for the band in records of single shingles.
+SHINGLE = 255
 _RECORD = {"band": "u1", "key": "<u4", "id": "<u8", "weight": "u1"}
 
 
@@ -135,7 +139,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
 
 
 def _node_rows(k: int):
-    """doc_id, n, set_id and for both bands and levels the signatures beyond the bound."""
+    """doc_id, n, set_id, for both bands and levels the signatures beyond the bound, a histogram of the shingles, and the parities of a finer one."""
 
     def run(batches):
         for batch, a, b, tokens, at, ids in _sets(batches, k):
@@ -145,12 +149,18 @@ def _node_rows(k: int):
                     s = Signed(tokens, at, nxt, level)
                     out.append(pa.array(s.slack.astype(np.int32), mask=~s.used))
                 out.append(pa.array(s.band.astype(np.int16)))
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "set_id", "a0", "a1", "band_a", "b0", "b1", "band_b"])
+            cells = np.repeat(np.arange(b - a) * 256, np.diff(at)) + (tokens >> np.uint64(56)).astype(np.int64)
+            shape = np.minimum(np.bincount(cells, minlength=(b - a) * 256), 255).astype(np.uint8).reshape(-1, 256)
+            out.append(pa.array([x.tobytes() for x in shape], pa.binary()))
+            cells = np.repeat(np.arange(b - a) * 512, np.diff(at)) + (tokens >> np.uint64(55)).astype(np.int64)
+            odd = np.packbits((np.bincount(cells, minlength=(b - a) * 512) & 1).astype(np.uint8).reshape(-1, 512), axis=1)
+            out.append(pa.array([x.tobytes() for x in odd], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "set_id", "a0", "a1", "band_a", "b0", "b1", "band_b", "shape", "odd"])
 
     return run
 
 
-_NODES = "doc_id bigint, n bigint, set_id bigint, a0 int, a1 int, band_a smallint, b0 int, b1 int, band_b smallint"
+_NODES = "doc_id bigint, n bigint, set_id bigint, a0 int, a1 int, band_a smallint, b0 int, b1 int, band_b smallint, shape binary, odd binary"
 
 
 def _sign(k: int, buckets: int, level: int, only: np.ndarray | None):
@@ -172,6 +182,12 @@ def _sign(k: int, buckets: int, level: int, only: np.ndarray | None):
                     ((s.key >> np.uint64(44)) % np.uint64(buckets)).astype(np.int32),
                     band=s.band[s.row], key=s.key & np.uint64(0xFFFFFFFF), id=ids[s.row], weight=s.weight,
                 )
+            if level == 1:  # every shingle too, to see which ones only one set holds
+                yield from packer.add(
+                    ((tokens >> np.uint64(44)) % np.uint64(buckets)).astype(np.int32),
+                    band=np.full(len(tokens), SHINGLE), key=tokens & np.uint64(0xFFFFFFFF),
+                    id=np.repeat(ids, np.diff(at)), weight=np.zeros(len(tokens)),
+                )
         yield from packer.rest()
 
     return run
@@ -203,7 +219,7 @@ def _pack(kind: int, bucket: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.nda
 
 _FOUND = "kind int, bucket int, x binary, y binary, w binary"
 _FOUND_NAMES = ["kind", "bucket", "x", "y", "w"]
-PAIR, COUNT, SHARED = 0, 1, 2
+PAIR, COUNT, SHARED, LONE = 0, 1, 2, 3
 
 
 def _all_pairs(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,6 +239,16 @@ def _match(buckets: int, level: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         here = int(pdf["bucket"].iloc[0])
         band, key, ids, weight = (unpack(pdf[c], t) for c, t in _RECORD.items())
+        out = []
+        if level == 1:
+            single = band == SHINGLE
+            lone = ids[single][np.argsort(key[single], kind="stable")]
+            held = np.sort(key[single])
+            at = _runs(held)
+            lone = np.sort(lone[at[np.diff(np.append(at, len(held))) == 1]])
+            at = _runs(lone)
+            out += _pack(LONE, _bucket(lone[at], buckets), lone[at], np.diff(np.append(at, len(lone))).astype("<u4"))
+            band, key, ids, weight = band[~single], key[~single], ids[~single], weight[~single]
         full = key.astype(np.uint64) | band.astype(np.uint64) << np.uint64(32)
         order = np.lexsort((weight, ids, full))[::-1]  # a set may hold a key twice: its larger weight counts
         full, ids, weight, band = full[order], ids[order], weight[order], band[order]
@@ -231,7 +257,7 @@ def _match(buckets: int, level: int):
         starts = _runs(full)
         sizes = np.diff(np.append(starts, len(full)))
         a, b = _unique_pairs(*_all_pairs(ids, starts, sizes))
-        out = _pack(PAIR, _bucket(a, buckets), a, b)
+        out += _pack(PAIR, _bucket(a, buckets), a, b)
         hot = np.repeat(sizes > CHEAP, sizes)
         full, ids, weight, band = full[hot], ids[hot], weight[hot], band[hot]
         if level == 0:
@@ -270,45 +296,66 @@ def _short_sets(nodes: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
 
 
 def _stuck(nodes: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-    """Expensive signatures of the sets that still need them."""
-    ids, key, weight = unpack(found["x"], "<u8"), unpack(found["y"], "<u8"), unpack(found["w"], "u1")
+    """Expensive signatures of the sets that still need them, unless their lone shingles rule out every link."""
+    if not len(nodes) or not len(found):
+        return pd.DataFrame(columns=["bucket", *_STUCK])
+    shared, lone = found[found["kind"] == SHARED], found[found["kind"] == LONE]
+    ids, key, weight = unpack(shared["x"], "<u8"), unpack(shared["y"], "<u8"), unpack(shared["w"], "u1")
     band = ((key >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
     short = _short(nodes, 1, ids, band, weight)
-    keep = np.fromiter(((i, b) in short for i, b in zip(ids.tolist(), band.tolist(), strict=True)), bool, len(ids))
+    node, n = nodes["set_id"].to_numpy(np.int64).view(np.uint64), nodes["n"].to_numpy(np.int64)
+    order = np.argsort(node)
+    node, n, odd = node[order], n[order], unpack(nodes["odd"], "V64")[order]
+    alone = np.zeros(len(node), np.int64)
+    lone_ids, lone_n = unpack(lone["x"], "<u8"), unpack(lone["y"], "<u4")
+    at = np.minimum(np.searchsorted(node, lone_ids), len(node) - 1)
+    known = node[at] == lone_ids
+    np.add.at(alone, at[known], lone_n[known])
+    possible = alone <= _differences(n, n * DEN // NUM)
+    at = np.minimum(np.searchsorted(node, ids), len(node) - 1)
+    keep = (node[at] == ids) & possible[at]
+    keep &= np.fromiter(((i, b) in short for i, b in zip(ids.tolist(), band.tolist(), strict=True)), bool, len(ids))
     if not keep.any():
-        return pd.DataFrame(columns=["bucket", "key", "id"])
-    return pd.DataFrame([(int(found["bucket"].iloc[0]), key[keep].tobytes(), ids[keep].tobytes())], columns=["bucket", "key", "id"])
+        return pd.DataFrame(columns=["bucket", *_STUCK])
+    at = at[keep]
+    columns = (key[keep], ids[keep], np.minimum(n[at], 2**32 - 1).astype("<u4"), alone[at].astype("<u4"), odd[at])
+    return pd.DataFrame([(int(found["bucket"].iloc[0]), *(c.tobytes() for c in columns))], columns=["bucket", *_STUCK])
+
+
+_STUCK = {"key": "<u8", "id": "<u8", "n": "<u4", "lone": "<u4", "odd": "V64"}
+_LABELLED = {**_STUCK, "label": "<u8"}
 
 
-_STUCK = {"key": "<u8", "id": "<u8"}
-_LABELLED = {"key": "<u8", "id": "<u8", "label": "<u8"}
+def _may_link(n: np.ndarray, lone: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sizes and lone shingles leave room for a link."""
+    x, y = n[i].astype(np.int64), n[j].astype(np.int64)
+    near = NUM * np.maximum(x, y) <= DEN * np.minimum(x, y)
+    return near & (lone[i].astype(np.int64) + lone[j] <= (x + y) * (DEN - NUM) // (DEN + NUM))
 
 
 def _by_key(buckets: int):
     def run(batches):
         packer = Packer(_STUCK)
         for batch in batches:
-            for key, ids in zip(batch.column("key").to_pylist(), batch.column("id").to_pylist(), strict=True):
-                key = np.frombuffer(key, "<u8")
-                yield from packer.add((mix(key) % np.uint64(buckets)).astype(np.int32), key=key, id=np.frombuffer(ids, "<u8"))
+            for row in batch.to_pylist():
+                columns = {c: np.frombuffer(row[c], t) for c, t in _STUCK.items()}
+                yield from packer.add((mix(columns["key"]) % np.uint64(buckets)).astype(np.int32), **columns)
         yield from packer.rest()
 
     return run
 
 
 def _hub_pairs(buckets: int):
-    """Every member of an expensive signature with its least member; all pairs once few are left."""
+    """Every member of an expensive signature with a hub, the one with the fewest lone shingles."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, ids = unpack(pdf["key"], "<u8"), unpack(pdf["id"], "<u8")
-        order = np.lexsort((ids, key))
-        key, ids = key[order], ids[order]
+        key, ids, n, lone, _ = (unpack(pdf[c], t) for c, t in _STUCK.items())
+        order = np.lexsort((ids, lone, key))
+        key, ids, n, lone = key[order], ids[order], n[order], lone[order]
         starts = _runs(key)
-        sizes = np.diff(np.append(starts, len(key)))
-        a, b = _all_pairs(ids, starts, sizes)
-        hub = np.repeat(ids[starts], sizes)
-        many = np.repeat(sizes > CHEAP, sizes) & (hub != ids)
-        a, b = _unique_pairs(np.append(a, hub[many]), np.append(b, ids[many]))
+        hub, one = np.repeat(starts, np.diff(np.append(starts, len(key)))), np.arange(len(key))
+        ok = (hub != one) & _may_link(n, lone, hub, one)
+        a, b = _unique_pairs(ids[hub[ok]], ids[one[ok]])
         return pd.DataFrame(_pack(PAIR, _bucket(a, buckets), a, b), columns=_FOUND_NAMES)
 
     return run
@@ -320,7 +367,8 @@ def _label(buckets: int):
     def run(stuck: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
         if not len(stuck):
             return pd.DataFrame(columns=["bucket", *_LABELLED])
-        key, ids = unpack(stuck["key"], "<u8"), unpack(stuck["id"], "<u8")
+        columns = {c: unpack(stuck[c], t) for c, t in _STUCK.items()}
+        key, ids = columns["key"], columns["id"]
         node = labels["node"].to_numpy(np.int64).view(np.uint64)
         to = labels["label"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(node)
@@ -330,32 +378,38 @@ def _label(buckets: int):
             at = np.minimum(np.searchsorted(node, ids), len(node) - 1)
             own = np.where(node[at] == ids, to[at], ids)
         packer = Packer(_LABELLED)
-        rows = [*packer.add((mix(key) % np.uint64(buckets)).astype(np.int32), key=key, id=ids, label=own), *packer.rest()]
+        rows = [*packer.add((mix(key) % np.uint64(buckets)).astype(np.int32), label=own, **columns), *packer.rest()]
         return pa.Table.from_batches(rows).to_pandas()
 
     return run
 
 
 def _cross_pairs(buckets: int):
-    """Pairs of different components that share an expensive signature."""
+    """Pairs of different components that share an expensive signature and may link."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, ids, label = (unpack(pdf[c], t) for c, t in _LABELLED.items())
-        order = np.lexsort((ids, label, key))
-        key, ids, label = key[order], ids[order], label[order]
+        key, ids, n, lone, odd, label = (unpack(pdf[c], t) for c, t in _LABELLED.items())
+        order = np.lexsort((ids, lone, key))
+        key, ids, n, lone, label = key[order], ids[order], n[order], lone[order], label[order]
+        odd = odd[order].view("<u8").reshape(-1, 8)
         cuts = np.append(_runs(key), len(key))
-        left, right = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            own = label[i:j]
-            if own[0] == own[-1]:
+            own, most = label[i:j], int(n[i:j].max()) * 2 * (DEN - NUM) // (DEN + NUM)
+            if (own == own[0]).all():
                 continue
-            parts = np.append(_runs(own), j - i)
-            for p, q in sorted(zip(parts[:-1], parts[1:], strict=True), key=lambda x: x[1] - x[0])[:-1]:
-                rest = np.concatenate((ids[i : i + p], ids[i + q : j]))
-                for one in ids[i + p : i + q]:
-                    left.append(np.full(len(rest), one))
-                    right.append(rest)
-        a, b = _unique_pairs(np.concatenate(left), np.concatenate(right))
+            value, back, count = np.unique(own, return_inverse=True, return_counts=True)
+            main = back == count.argmax()  # pairs inside the largest component need no look
+            for p in np.flatnonzero(~main):
+                end = i + int(np.searchsorted(lone[i:j], most - int(lone[i + p]), "right"))  # sorted by lone shingles
+                other = np.arange(i, max(i, end))
+                other = other[(label[other] != own[p]) & (main[other - i] | (other < i + p))]
+                other = other[_may_link(n, lone, np.full(len(other), i + p), other)]
+                apart = np.bitwise_count(odd[other] ^ odd[i + p]).sum(axis=1)  # cells of unequal parity hold a difference each
+                other = other[apart <= (n[other].astype(np.int64) + int(n[i + p])) * (DEN - NUM) // (DEN + NUM)]
+                left.append(np.full(len(other), i + p))
+                right.append(other)
+        a, b = _unique_pairs(ids[np.concatenate(left)], ids[np.concatenate(right)])
         return pd.DataFrame(_pack(PAIR, _bucket(a, buckets), a, b), columns=_FOUND_NAMES)
 
     return run
@@ -397,9 +451,21 @@ def _verify(k: int):
     return run
 
 
-def _links(docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
+def _bounded(batches):
+    """Pairs whose sizes and shingle histograms leave room for a link."""
+    for batch in batches:
+        n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+        sides = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for c in ("sa", "sb"))
+        apart = np.abs(next(sides) - next(sides)).sum(axis=1)
+        keep = (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m)) & (apart <= (n + m) * (DEN - NUM) // (DEN + NUM))
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+
+def _links(docs: DataFrame, sets: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """Verified (a, b) among the candidate pairs in ``found``."""
-    pairs = cut_lineage(found.where(f"kind = {PAIR}").groupBy("bucket").applyInPandas(_distinct_pairs, "a bigint, b bigint"))
+    pairs = found.where(f"kind = {PAIR}").groupBy("bucket").applyInPandas(_distinct_pairs, "a bigint, b bigint")
+    left, right = (sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("shape").alias(f"s{c}")) for c in ("a", "b"))
+    pairs = cut_lineage(pairs.join(left, "a").join(right, "b").mapInArrow(_bounded, "a bigint, b bigint"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     texts = docs.select("text").mapInArrow(_texts(k, bitmap(ids, F.col("set_id"))), "set_id bigint, text string")
     texts = cut_lineage(texts.groupBy("set_id").agg(F.first("text").alias("text")))
@@ -421,9 +487,9 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     buckets = bucket_count(spark)
     nodes = cut_lineage(docs.mapInArrow(_node_rows(k), _NODES))
     sets = cut_lineage(
-        nodes.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("a0", "a1", "band_a", "b0", "b1", "band_b")))
+        nodes.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n", "a0", "a1", "band_a", "b0", "b1", "band_b", "shape", "odd")))
     )
-    dealt = sets.withColumn("bucket", _bucket_column("set_id", buckets)).groupBy("bucket")
+    dealt = sets.drop("shape").withColumn("bucket", _bucket_column("set_id", buckets)).groupBy("bucket")
 
     def matched(level: int, only: np.ndarray | None) -> DataFrame:
         signed = docs.select("text").mapInArrow(_sign(k, buckets, level, only), schema(_RECORD))
@@ -436,20 +502,20 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     if not short.isEmpty():
         again = matched(1, bitmap(short, F.col("set_id")))
         found = found.unionByName(again)
-        rest = sets.join(short, "set_id", "left_semi").withColumn("bucket", _bucket_column("set_id", buckets))
+        rest = sets.drop("shape").join(short, "set_id", "left_semi").withColumn("bucket", _bucket_column("set_id", buckets))
         stuck = cut_lineage(
-            rest.groupBy("bucket").cogroup(again.where(f"kind = {SHARED}").groupBy("bucket")).applyInPandas(_stuck, schema(_STUCK))
+            rest.groupBy("bucket").cogroup(again.where(f"kind IN ({SHARED}, {LONE})").groupBy("bucket")).applyInPandas(_stuck, schema(_STUCK))
         )
         hubs = stuck.mapInArrow(_by_key(buckets), schema(_STUCK)).groupBy("bucket").applyInPandas(_hub_pairs(buckets), _FOUND)
         found = found.unionByName(hubs)
-    links = _links(docs, found, k)
+    links = _links(docs, sets, found, k)
     label = components(links)
     if stuck is not None and not stuck.isEmpty():
         own = label.withColumn("bucket", _bucket_column("node", buckets))
         labelled = stuck.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInPandas(_label(buckets), schema(_LABELLED))
         cross = cut_lineage(labelled.groupBy("bucket").applyInPandas(_cross_pairs(buckets), _FOUND))
         if not cross.isEmpty():
-            more = _links(docs, cross, k)
+            more = _links(docs, sets, cross, k)
             label = components(links.unionByName(more))
     joined = sets.join(label, sets["set_id"] == label["node"], "left").select("set_id", "doc", F.coalesce("label", "set_id").alias("label"))
     least = joined.groupBy("label").agg(F.min("doc").alias("component_id"))

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are turned into numpy arrays at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 21
+#: Rows of a chunk at most.
+CHUNK_ROWS = 8192
 
 SPACES = (9, 10, 11, 12, 13, 32)
 IS_SPACE = np.isin(np.arange(256), SPACES)
@@ -79,7 +81,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
     values, offsets = buffers(column)
     a, rows = 0, len(offsets) - 1
     while a < rows:
-        b = min(rows, max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1))
+        b = min(rows, a + CHUNK_ROWS, max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1))
         yield a, b, values[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
 
