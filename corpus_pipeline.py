@@ -1,28 +1,71 @@
-"""A training-data pipeline over ``documents``: each stage is one corpus operator, written and read again."""
+"""A training-data pipeline over ``documents``: each stage is one corpus operator, written and read again.
+
+quality rules -> exact copies -> near copies -> mix of the sources -> token ids.  Every stage but the last
+returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelcast.llm import bpe
 from panelcast.llm.jaccard import jaccard_components
+from panelcast.llm.mixing import mixed
+from panelcast.llm.quality import keep_good
+from panelcast.llm.queries import PATTERN, RANKS
+from panelcast.llm.stream_dedup import deduplicate
 from panelcast.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the certified rules accept."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays; the stream takes the rows from files of its own."""
+    folder = scratch_path(spark, "stream-input")
+    docs.write.parquet(folder)
+    kept = deduplicate(spark, folder).where("kept").select(F.col("path").alias("_path"), F.col("row").alias("_row"))
+    rows = spark.read.schema(docs.schema).parquet(folder).select(
+        F.struct(*(f"`{c}`" for c in docs.columns)).alias("_doc"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row")
+    )
+    return rows.join(kept, ["_path", "_row"], "left_semi").select("_doc.*")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a shingle similarity of 3/4, the one with the least doc_id stays."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of documents linked at a shingle similarity of 3/4, directly or through others, the one with the least doc_id stays."""
+    gone = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of the documents as the mix takes them, in training order."""
+    return mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids (packed little-endian unsigned 32-bit) and whether they decode to the text."""
+    ids = bpe.encode(docs.select("doc_id", "source", "text"), RANKS, PATTERN).withColumn("ids", F.col("_ids"))
+    back = bpe.decode(ids, RANKS, PATTERN)
+    same = F.col("_bytes") == F.coalesce("text", F.lit("")).cast("binary")
+    return back.select("doc_id", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality),
+    ("exact dedup", exact_copies),
     ("n-gram Jaccard join", near_copies),
+    ("mixing sources to target weights", mix),
+    ("byte-level BPE encoding and decoding", tokens),
 ]
 
-#: The stages hash, fit and mix; they are tested against brute force instead.
+#: The stages fit, hash and encode; they are tested against brute force instead.
 ORACLE_SQL: str | None = None
 
 

@@ -47,9 +47,12 @@ def schema(dtypes: dict[str, str]) -> str:
     return "bucket int, " + ", ".join(f"{c} binary" for c in dtypes)
 
 
-def bucket_count(spark: SparkSession, per_partition: int = 4) -> int:
-    """Buckets of a packed shuffle: a few for each shuffle partition, so a bucket shrinks as that setting grows."""
-    return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of a packed shuffle: one for each shuffle partition, so a bucket shrinks as that setting grows.
+
+    A task gives out one packed row for each bucket it reaches, as a shuffle writes one block.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 #: Bits of a membership bitmap: 4 MB whatever the corpus size.  It only spares work; false hits are harmless.

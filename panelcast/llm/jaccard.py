@@ -461,11 +461,15 @@ def _bounded(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _links(docs: DataFrame, sets: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """Verified (a, b) among the candidate pairs in ``found``."""
+def _bounded_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """The different candidate pairs in ``found`` that pass the bound."""
     pairs = found.where(f"kind = {PAIR}").groupBy("bucket").applyInPandas(_distinct_pairs, "a bigint, b bigint")
     left, right = (sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("shape").alias(f"s{c}")) for c in ("a", "b"))
-    pairs = cut_lineage(pairs.join(left, "a").join(right, "b").mapInArrow(_bounded, "a bigint, b bigint"))
+    return cut_lineage(pairs.join(left, "a").join(right, "b").mapInArrow(_bounded, "a bigint, b bigint"))
+
+
+def _links(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The pairs that are links, by their texts."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     texts = docs.select("text").mapInArrow(_texts(k, bitmap(ids, F.col("set_id"))), "set_id bigint, text string")
     texts = cut_lineage(texts.groupBy("set_id").agg(F.first("text").alias("text")))
@@ -473,6 +477,13 @@ def _links(docs: DataFrame, sets: DataFrame, found: DataFrame, k: int) -> DataFr
     return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(k), "a bigint, b bigint"))
 
 
+def _joined(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs whose sets are not in one component yet."""
+    of = {c: label.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in ("a", "b")}
+    known = pairs.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    return known.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, set_id, component_id of documents linked at a shingle similarity of 3/4.
 
@@ -502,21 +513,27 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     if not short.isEmpty():
         again = matched(1, bitmap(short, F.col("set_id")))
         found = found.unionByName(again)
-        rest = sets.drop("shape").join(short, "set_id", "left_semi").withColumn("bucket", _bucket_column("set_id", buckets))
+        again_sets = sets.drop("shape").join(short, "set_id", "left_semi").withColumn("bucket", _bucket_column("set_id", buckets))
         stuck = cut_lineage(
-            rest.groupBy("bucket").cogroup(again.where(f"kind IN ({SHARED}, {LONE})").groupBy("bucket")).applyInPandas(_stuck, schema(_STUCK))
+            again_sets.groupBy("bucket").cogroup(again.where(f"kind IN ({SHARED}, {LONE})").groupBy("bucket")).applyInPandas(_stuck, schema(_STUCK))
         )
         hubs = stuck.mapInArrow(_by_key(buckets), schema(_STUCK)).groupBy("bucket").applyInPandas(_hub_pairs(buckets), _FOUND)
         found = found.unionByName(hubs)
-    links = _links(docs, sets, found, k)
+    pairs = _bounded_pairs(sets, found)
+    # each set with its least partner first; most other pairs then lie inside a component and need no look
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _links(docs, first, k)
     label = components(links)
+    rest = cut_lineage(_joined(pairs, label).exceptAll(first))
+    if not rest.isEmpty():
+        links = links.unionByName(_links(docs, rest, k))
+        label = components(links)
     if stuck is not None and not stuck.isEmpty():
         own = label.withColumn("bucket", _bucket_column("node", buckets))
         labelled = stuck.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInPandas(_label(buckets), schema(_LABELLED))
-        cross = cut_lineage(labelled.groupBy("bucket").applyInPandas(_cross_pairs(buckets), _FOUND))
+        cross = _bounded_pairs(sets, labelled.groupBy("bucket").applyInPandas(_cross_pairs(buckets), _FOUND))
         if not cross.isEmpty():
-            more = _links(docs, sets, cross, k)
-            label = components(links.unionByName(more))
+            label = components(links.unionByName(_links(docs, cross, k)))
     joined = sets.join(label, sets["set_id"] == label["node"], "left").select("set_id", "doc", F.coalesce("label", "set_id").alias("label"))
     least = joined.groupBy("label").agg(F.min("doc").alias("component_id"))
     of_set = joined.join(least, "label").select("set_id", "component_id")

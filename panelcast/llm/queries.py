@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelcast.llm import bpe, html_extract, langid, warc
 from panelcast.llm.jaccard import jaccard_components
+from panelcast.llm.mixing import mix_plan
+from panelcast.llm.quality import quality_verdicts
+from panelcast.llm.rlz import remove_repeats
+from panelcast.llm.sharding import shard_by_bytes
+from panelcast.llm.stream_dedup import deduplicate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Vocabulary of the byte-level BPE query; a path that every executor has.
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -19,13 +31,94 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back in byte ranges."""
+    folder, _ = warc.write_archives(_pages(spark, sf_dir))
+    records = warc.read_archives(spark, folder, with_payload=False)
+    return records.select(
+        warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number("refers_to").alias("refers_to")
+    )
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by a string-kernel classifier fitted on three quarters of the ids."""
+    docs = _documents(spark, sf_dir)
+    held_out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out")
+    model = langid.fit(docs.where(~F.coalesce(held_out, F.lit(False))), F.xxhash64("doc_id", "text"))
+    texts = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    return langid.identify(texts, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles agree to three quarters."""
     return jaccard_components(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and the bytes they decode to, as digests."""
+    ids = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), RANKS, PATTERN).drop("text")
+    counted = ids.select(
+        "doc_id", (F.octet_length("_ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"), "_ids"
+    )
+    return bpe.decode(counted, RANKS, PATTERN).select("doc_id", "n_tokens", "ids_sha256", F.sha2("_bytes", 256).alias("decoded_sha256"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of rules whose cutoffs are certified on the labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_verdicts(_documents(spark, sf_dir), labels).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curriculum mix of all sources, in order of the first training position."""
+    plan = mix_plan(_documents(spark, sf_dir), ["doc_id"])
+    first = F.when(F.size("positions") > 0, F.array_min("positions")).alias("position")
+    rows = plan.select("_doc.doc_id", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", "taken", first)
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def op7_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies, A-Z folded, by a stateful stream over the documents; the largest id stays."""
+    rows = deduplicate(spark, f"{sf_dir}/documents.parquet")
+    return rows.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty shards of nearly equal bytes by sampled splitters."""
+    rows = shard_by_bytes(_documents(spark, sf_dir))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the words of 35-word windows that start anywhere else too."""
+    rows = remove_repeats(_documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "n_factors")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by boosted trees over their elements."""
+    pages = _pages(spark, sf_dir)
+    texts = html_extract.extract(pages.select("page_id", "url", "html"), html_extract.fit(pages))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 QUERIES: dict[str, Query] = {
-    "op3_jaccard_join": op3_jaccard_join,
-}
+    f.__name__: f
+    for f in (
+        op1_warc, op2_language_id, op3_jaccard_join, op4_byte_bpe, op5_quality_rules,
+        op6_source_mixing, op7_stream_dedup, op8_sharding, op9_substring_dedup, op10_html_text,
+    )
+}
+
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 #: DuckDB SQL that gives the same rows, where SQL can express the query.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_stream_dedup": f"""
+        WITH d AS (SELECT doc_id, {_FOLD} AS t FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY t)""",
+}
