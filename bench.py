@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -49,7 +50,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(cpus, "panelcast-bench")
+    spark = local_session(cpus, "panelcast-bench", checkpoints=tempfile.mkdtemp(prefix="panelcast-bench-"))
     QUERIES["enrolment_by_month"].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:

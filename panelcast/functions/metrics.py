@@ -1,4 +1,7 @@
-"""Regression metrics as aggregate expressions; usable globally or per group in the same pass."""
+"""Regression metrics as aggregate expressions; usable globally or per group in the same pass.
+
+Only rows with both an actual and a prediction count, in every metric.
+"""
 
 from __future__ import annotations
 
@@ -22,9 +25,10 @@ def rmse(y: str, p: str) -> Column:
 def r2(y: str, p: str, small: float | None = None) -> Column:
     """1 - SSE / SST.  SST = 0 gives null; groups under two rows give ``small`` when it is set."""
     e = F.col(y) - F.col(p)
-    sst = F.var_pop(y) * F.count(y)
+    scored = F.when(e.isNotNull(), F.col(y))
+    sst = F.var_pop(scored) * F.count(scored)
     value = 1 - F.try_divide(F.sum(e * e), F.when(sst > 0, sst))
-    return value if small is None else F.when(F.count(y) < 2, F.lit(float(small))).otherwise(value)
+    return value if small is None else F.when(F.count(scored) < 2, F.lit(float(small))).otherwise(value)
 
 
 def mape(y: str, p: str, variant: MapeVariant = "nonzero") -> Column:
@@ -42,5 +46,5 @@ def regression_metrics(y: str, p: str, variant: MapeVariant = "nonzero") -> list
         rmse(y, p).alias("rmse"),
         r2(y, p).alias("r2"),
         mape(y, p, variant).alias("mape"),
-        F.count(F.lit(1)).alias("n_samples"),
+        F.count(F.col(y) - F.col(p)).alias("n_samples"),
     ]

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Triage rules, tried in this order on the message.
-SENSITIVE_PATTERN = r"(?i)(aadhaar|aadhar|id\s*number|enroll?ment\s*id|\b\d{10,12}\b)"
+# (One more alternative, an organisation's name, is left to the ``sensitive`` argument.)
+SENSITIVE_PATTERN = r"(?i)(aadhaar|aadhar|id\s*number|enrol(?:l)?ment\s*id|\b\d{10,12}\b)"
 EXPORT_PATTERN = r"(export|download|dump|csv|excel|all\s+districts|full\s+table|show\s+all)"
 OVER_CAPACITY_WORDS = (
     "over capacity", "over-capacity", "overcapacity", "capacity gap", "gap", "exceeding capacity",

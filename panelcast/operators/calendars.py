@@ -46,11 +46,14 @@ def interval_flags(
 ) -> DataFrame:
     """Flags of the named intervals containing the date, for an interval table of any size.
 
-    Distinct dates (calendar-bounded) meet the intervals by day: each interval is expanded to
-    its days, so the join is an equi-join.  The result has one row per day, hence broadcast.
+    Distinct dates (calendar-bounded) meet the intervals by day: each interval is cut to the
+    data's first and last date and expanded to its days, so the join is an equi-join and an open
+    end costs nothing.  The result has one row per day of the data, hence broadcast.
     """
+    span = df.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi"))).scalar()
+    cut = intervals.select("name", F.greatest("start", span["lo"]).alias("_a"), F.least("end", span["hi"]).alias("_z"))
     days = (
-        intervals.select("name", F.explode(F.sequence("start", "end", F.expr("interval 1 day"))).alias(date))
+        cut.where("_a <= _z").select("name", F.explode(F.sequence("_a", "_z", F.expr("interval 1 day"))).alias(date))
         .groupBy(date)
         .agg(F.collect_set(F.when(F.col("name").isin(*names), F.col("name"))).alias("_in"))
     )

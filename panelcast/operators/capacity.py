@@ -18,6 +18,7 @@ DEFAULT_CENTRES = 200
 GAP_CLOSED = "Adding %d centre(s) fully closes the gap. %s would have surplus capacity."
 GAP_ACCEPTABLE = "Adding %d centre(s) reduces gap to acceptable level (<5%%). Recommended action."
 GAP_REMAINS = "Gap remains at %.1f%%. Consider adding %d more centre(s) to fully close the gap."
+NO_DATA = "No data available for %s in %s."
 
 
 def month_or_latest(df: DataFrame, month: str | None, date: str = "month_date") -> DataFrame:
@@ -132,12 +133,14 @@ def what_if(df: DataFrame, centres: DataFrame, scenarios: Sequence[tuple[str, in
     """Effect of adding centres, many (region text, number, month) scenarios in one pass.
 
     Each row keeps the scenarios whose text occurs in its state or district name and whose month
-    it belongs to (no month means the latest); the short scenario list travels as a literal.
+    it belongs to (no month means the latest); the short scenario list travels as a literal.  One
+    row for each scenario, numbered as listed: repeated ones are answered each by itself, one that
+    matches nothing with zeros.
     """
     latest = df.agg(F.date_format(F.max("month_date"), "yyyy-MM")).scalar()
     listed = F.array(
-        *[F.struct(F.lit(r).alias("region"), F.lit(int(n)).alias("camps"), F.lit(m).cast("string").alias("month"))
-          for r, n, m in scenarios]
+        *[F.struct(F.lit(i).alias("scenario"), F.lit(r).alias("region"), F.lit(int(n)).alias("camps"), F.lit(m).cast("string").alias("month"))
+          for i, (r, n, m) in enumerate(scenarios)]
     )
     key = F.date_format("month_date", "yyyy-MM")
     rows = df.withColumns({"_key": key, "_latest": latest})
@@ -146,27 +149,34 @@ def what_if(df: DataFrame, centres: DataFrame, scenarios: Sequence[tuple[str, in
         place = name_contains("state", s["region"]) | name_contains("district", s["region"])
         return place & (F.col("_key") == F.coalesce(s["month"], F.col("_latest")))
 
-    hits = rows.select(pred, "state", "_key", F.explode(F.filter(listed, concerns)).alias("s"))
-    scenario = [F.col("s.region").alias("region"), F.col("_key").alias("month"), F.col("s.camps").alias("camps")]
-    by_state = hits.groupBy(*scenario, "state").agg(F.sum(pred).alias("_f"), F.count(F.lit(1)).alias("_rows"))
-    sums = with_centres(by_state, centres, default).groupBy("region", "month", "camps").agg(
+    hits = rows.select(pred, "state", F.explode(F.filter(listed, concerns)["scenario"]).alias("_hit"))
+    by_state = hits.groupBy("_hit", "state").agg(F.sum(pred).alias("_f"), F.count(F.lit(1)).alias("_rows"))
+    sums = with_centres(by_state, centres, default).groupBy("_hit").agg(
         F.sum("_f").alias("_f"), (F.sum(F.col("centres") * F.col("_rows")) * F.lit(float(per_centre))).alias("_c")
     )
+    asked = df.sparkSession.range(1).select(F.explode(listed).alias("s")).select("s.*")
+    asked = asked.withColumn("month", F.coalesce("month", latest))
     added = F.col("camps") * F.lit(float(per_centre))
+    sums = asked.join(sums, F.col("scenario") == F.col("_hit"), "left")
     sums = sums.withColumns({"_gap": F.col("_f") - F.col("_c"), "_cap": F.col("_c") + added})
     sums = sums.withColumn("_after", F.greatest(F.lit(0.0), F.col("_gap") - added))
     sums = sums.withColumn("gap_pct_after", F.when(F.col("_cap") > 0, F.col("_after") / F.col("_cap") * 100).otherwise(0.0))
     more = _extra(F.col("_after"), per_centre)
     advice = (
-        F.when(F.col("_after") <= 0, F.format_string(GAP_CLOSED, "camps", "region"))
+        F.when(F.col("_hit").isNull(), F.format_string(NO_DATA, "region", "month"))
+        .when(F.col("_after") <= 0, F.format_string(GAP_CLOSED, "camps", "region"))
         .when(F.col("gap_pct_after") < 5, F.format_string(GAP_ACCEPTABLE, "camps"))
         .otherwise(F.format_string(GAP_REMAINS, "gap_pct_after", more))
     )
+
+    def found(c: Column) -> Column:
+        return F.when(F.col("_hit").isNull(), F.lit(0)).otherwise(c)
+
     return sums.select(
-        "region", "month", "camps",
-        _whole(F.col("_gap")).alias("gap_before"),
+        "scenario", "region", "month", "camps",
+        found(_whole(F.col("_gap"))).alias("gap_before"),
         F.when(F.col("_c") > 0, F.col("_gap") / F.col("_c") * 100).otherwise(0.0).alias("gap_pct_before"),
-        _whole(F.col("_after")).alias("gap_after"),
+        found(_whole(F.col("_after"))).alias("gap_after"),
         "gap_pct_after",
         advice.alias("recommendation"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions import metrics as m
@@ -136,6 +136,17 @@ def weak_segments(df: DataFrame, errors: DataFrame, top_n: int = 3, y: str = "y"
     )
 
 
+def rows_in_segments(df: DataFrame, segments: DataFrame, state: str = "state", date: str = "month_date") -> DataFrame:
+    """Rows of a listed state or month.  States and calendar months are few, hence broadcast."""
+
+    def listed(kind: str, name: str) -> DataFrame:
+        return F.broadcast(segments.where(F.col("kind") == kind).select(F.col("segment").alias(name)).distinct())
+
+    marked = df.join(listed("state", "_s"), F.col(state) == F.col("_s"), "left")
+    marked = marked.join(listed("month", "_m"), F.date_format(date, "yyyy-MM") == F.col("_m"), "left")
+    return marked.where("_s IS NOT NULL OR _m IS NOT NULL").drop("_s", "_m")
+
+
 def residual_trend(df: DataFrame, y: str = "y", p: str = "yhat", by: Sequence[str] = ()) -> DataFrame:
     """Least-squares line of the residual on the prediction."""
     e = F.col(y) - F.col(p)
@@ -207,9 +218,9 @@ def top_share(df: DataFrame, by: str, value: str, n: int) -> DataFrame:
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Rows and percentage per value of an enumeration; the window runs over its few aggregated rows."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+    """Rows and percentage per value; the total is one number, so any number of values will do."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).withColumn("pct", F.col("n") * 100.0 / total)
 
 
 def largest_groups(df: DataFrame, group: str, unit: str, k: int) -> DataFrame:

@@ -2,8 +2,9 @@
 
 ``percentile`` keeps every distinct value of a group in one task.  Here a mergeable sketch first
 brackets each quantile.  A second pass counts the values below a bracket map-side and shuffles
-only the few values inside it (a fixed small share of the group), whose order gives the exact
-ranks.
+only the few values inside it, whose order gives the exact ranks.  A bracket is as wide as the
+sketch's error and the group's size ask for: the same rule from one value to any number, and a
+rank cannot lie outside.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups below this size are ordered as a whole; larger ones only inside the brackets.
-WHOLE_GROUP = 5000
+# Half widths a bracket can have, as shares of the group; the last one takes in everything.
+HALF_WIDTHS = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0)
 # Bins of one refining pass.
 BINS = 1000
 
@@ -90,29 +91,34 @@ def exact_quantiles(
         .groupBy(*keys, "i", "pos")
         .agg(at(k).alias("a"), at(F.ceil("pos")).alias("z"))
     )
-    missed = F.raise_error(F.lit("quantile bracket missed; raise accuracy")).cast("double")
-    q = F.when(F.col("a").isNull() | F.col("z").isNull(), missed).otherwise(
-        F.col("a") + (F.col("z") - F.col("a")) * (F.col("pos") - k)
-    )
+    q = F.col("a") + (F.col("z") - F.col("a")) * (F.col("pos") - k)
     pick = [F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
     return found.withColumn("q", q).groupBy(*keys).agg(*pick)
 
 
 def _sketch(src: DataFrame, keys: list[str], probs: list[float], accuracy: int) -> DataFrame:
-    """One row per key: array of (lo, hi, pos), bracket and wanted 0-based rank of every quantile."""
-    # Sketch error on both sides, plus the one rank by which p * n and p * (n - 1) differ.
-    margin = 2.0 / accuracy + 1.5 / WHOLE_GROUP
-    edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    """One row per key: array of (lo, hi, pos), bracket and wanted 0-based rank of every quantile.
+
+    A sketched quantile is off by at most 1 / accuracy of the group, and p * n and p * (n - 1)
+    differ by less than one rank; the narrowest listed half width beyond twice that is taken.
+    """
+    steps = len(HALF_WIDTHS)
+    edges = [e for p in probs for d in HALF_WIDTHS for e in (max(0.0, p - d), min(1.0, p + d))]
     sketch = src.groupBy(*keys).agg(
-        F.count("_v").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e")
+        F.count("_v").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
     )
-    small = F.col("_n") < WHOLE_GROUP
+    need = F.lit(2.0 / accuracy) + F.lit(2.0) / F.col("_n")
+
+    def edge(i: int, side: int) -> Column:
+        p, whole = probs[i], F.col("_max" if side else "_min")
+        out = whole
+        for j in reversed(range(steps - 1)):
+            inside = p + HALF_WIDTHS[j] < 1 if side else p - HALF_WIDTHS[j] > 0
+            out = F.when(need <= HALF_WIDTHS[j], F.col("_e")[2 * (steps * i + j) + side] if inside else whole).otherwise(out)
+        return out
+
     rows = [
-        F.struct(
-            F.when(small, F.lit(float("-inf"))).otherwise(F.col("_e")[2 * i]).alias("lo"),
-            F.when(small, F.lit(float("inf"))).otherwise(F.col("_e")[2 * i + 1]).alias("hi"),
-            ((F.col("_n") - 1) * F.lit(float(p))).alias("pos"),
-        )
+        F.struct(edge(i, 0).alias("lo"), edge(i, 1).alias("hi"), ((F.col("_n") - 1) * F.lit(float(p))).alias("pos"))
         for i, p in enumerate(probs)
     ]
     return sketch.select(*keys, F.array(*rows).alias("_b"))
@@ -125,8 +131,7 @@ def _narrow(tagged: DataFrame, keys: list[str]) -> DataFrame:
     """
     width = (F.col("hi") - F.col("lo")) / BINS
     at = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("lo"), width)), F.lit(0))
-    whole = F.col("lo") == float("-inf")
-    bin_no = F.when(F.col("_v").isNull(), -1).when(whole, 0).otherwise(F.least(at, F.lit(BINS - 1)))
+    bin_no = F.when(F.col("_v").isNull(), -1).otherwise(F.least(at, F.lit(BINS - 1)))
     counts = tagged.groupBy(*keys, "i", "pos", bin_no.cast("int").alias("_bin")).agg(
         F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )

@@ -56,8 +56,8 @@ def split_sizes(df: DataFrame, date: str, by: tuple[str, ...] = ("split",)) -> D
 
 def require_splits(df: DataFrame, names: tuple[str, ...] = ("train", "val", "test")) -> None:
     """Raise when one of the splits is empty."""
-    present = {r["split"] for r in df.select("split").distinct().limit(len(names) + 1).collect()}
-    if missing := set(names) - present:
+    held = df.agg(*[F.count_if(F.col("split") == n).alias(n) for n in names]).first()
+    if missing := [n for n in names if not held[n]]:
         raise ValueError(f"empty splits: {sorted(missing)}")
 
 

@@ -21,17 +21,11 @@ def sums_by_levels(df: DataFrame, region: str, month: str, measure: str) -> Data
     return df.rollup(region, month).agg(F.sum(measure).alias("total"), F.avg(measure).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-# Above this many rows the quantile brackets are narrowed by one more pass.
-LARGE = 50_000_000
-
-
-def describe(df: DataFrame, cols: Sequence[str], refine: int | None = None) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], refine: int = 1) -> DataFrame:
     """count, mean, std, min, quartiles and max per column, quartiles exact at any size.
 
-    Without ``refine`` the rows are counted first, which for a stored table reads only metadata.
+    ``refine`` narrows the quantile brackets by that many more passes, whatever the number of rows.
     """
-    if refine is None:
-        refine = 1 if df.count() > LARGE else 0
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols
     ])).alias("_s")).select("_s.*")

@@ -129,7 +129,7 @@ def calendar_and_group_features(df: DataFrame, y: str, s: Series = DISTRICT, sta
 
 
 def log_context_features(df: DataFrame, y: str, s: Series = DISTRICT) -> DataFrame:
-    """Date parts, lags 1/3/6/12, past means, volume segment and log target; incomplete rows dropped.
+    """Date parts, lags 1/3/6/12, past means, and volume segment; incomplete rows dropped.
 
     Lags run within the series; a table that is one single series is passed as one key value.
     """

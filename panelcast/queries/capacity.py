@@ -73,18 +73,26 @@ def _history(spark: SparkSession, sf: str) -> DataFrame:
     return c.needs_from_history(t.forecast_table(spark, sf), per_centre=5)
 
 
-_SCENARIOS = (("asia", 3, "1998-03"), ("NATION_1", 5, "1998-03"), ("Africa", 1, None), ("america", 400, "1998-03"), ("nowhere", 2, None))
+_SCENARIOS = (
+    ("asia", 3, "1998-03"), ("NATION_1", 5, "1998-03"), ("Africa", 1, None), ("america", 400, "1998-03"), ("nowhere", 2, None),
+    ("asia", 3, "1998-03"), ("asia", 3, None), ("europe", 1, "1888-01"),
+)
 
 
 @query("what_if_scenarios", "A21 P18 J9", """
-WITH s(region, camps, month) AS (VALUES ('asia', 3, '1998-03'), ('NATION_1', 5, '1998-03'), ('Africa', 1, NULL), ('america', 400, '1998-03'), ('nowhere', 2, NULL)),
-g AS (SELECT region, strftime(month_date, '%Y-%m') AS month, camps, sum(yhat) AS f, sum(centres) * 0.25 AS c FROM seats JOIN s
+WITH s(scenario, region, camps, month) AS (VALUES (0, 'asia', 3, '1998-03'), (1, 'NATION_1', 5, '1998-03'), (2, 'Africa', 1, NULL),
+  (3, 'america', 400, '1998-03'), (4, 'nowhere', 2, NULL), (5, 'asia', 3, '1998-03'), (6, 'asia', 3, NULL), (7, 'europe', 1, '1888-01')),
+q AS (SELECT scenario, region, camps, coalesce(month, (SELECT strftime(max(month_date), '%Y-%m') FROM forecast)) AS month FROM s),
+g AS (SELECT scenario, sum(yhat) AS f, sum(centres) * 0.25 AS c FROM seats JOIN q
   ON (contains(lower(state), lower(region)) OR contains(lower(district), lower(region)))
-  AND strftime(month_date, '%Y-%m') = coalesce(month, (SELECT strftime(max(month_date), '%Y-%m') FROM forecast)) GROUP BY ALL),
-r AS (SELECT *, greatest(0, f - c - camps * 0.25) AS after, greatest(0, f - c - camps * 0.25) / (c + camps * 0.25) * 100 AS pct FROM g)
-SELECT region, month, camps, CAST(trunc(round(f - c, 9)) AS BIGINT) AS gap_before, R[(f - c) / c * 100] AS gap_pct_before,
-  CAST(trunc(round(after, 9)) AS BIGINT) AS gap_after, R[pct] AS gap_pct_after,
-  CASE WHEN after <= 0 THEN 'Adding ' || camps || ' centre(s) fully closes the gap. ' || region || ' would have surplus capacity.'
+  AND strftime(month_date, '%Y-%m') = month GROUP BY ALL),
+r AS (SELECT q.*, f, c, greatest(0, f - c - camps * 0.25) AS after, greatest(0, f - c - camps * 0.25) / (c + camps * 0.25) * 100 AS pct
+  FROM q LEFT JOIN g USING (scenario))
+SELECT scenario, region, month, camps, coalesce(CAST(trunc(round(f - c, 9)) AS BIGINT), 0) AS gap_before,
+  CASE WHEN c IS NULL THEN 0.0 ELSE R[(f - c) / c * 100] END AS gap_pct_before,
+  CASE WHEN c IS NULL THEN 0 ELSE CAST(trunc(round(after, 9)) AS BIGINT) END AS gap_after, CASE WHEN c IS NULL THEN 0.0 ELSE R[pct] END AS gap_pct_after,
+  CASE WHEN c IS NULL THEN 'No data available for ' || region || ' in ' || month || '.'
+    WHEN after <= 0 THEN 'Adding ' || camps || ' centre(s) fully closes the gap. ' || region || ' would have surplus capacity.'
     WHEN pct < 5 THEN 'Adding ' || camps || ' centre(s) reduces gap to acceptable level (<5%). Recommended action.'
     ELSE 'Gap remains at ' || format('{:.1f}', pct) || '%. Consider adding ' || CAST(ceil(round(after / 0.25, 9)) AS BIGINT)
       || ' more centre(s) to fully close the gap.' END AS recommendation FROM r""")

@@ -11,6 +11,7 @@ from panelcast.operators import monitor as m
 from panelcast.operators import series as ts
 from panelcast.queries import tables as t
 from panelcast.queries.registry import cte, joined, query, rounded
+from panelcast.session import cut_lineage
 
 K = ["state", "district", "month_date"]
 
@@ -92,16 +93,16 @@ def _hist_by(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("box_stats_by_calendar_month", "A13", """
-WITH q AS (SELECT month(month_date) AS m, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.5) AS median, quantile_cont(y, 0.75) AS q3
+WITH q AS (SELECT month(month_date) AS m, quantile_cont(y - yhat, 0.25) AS q1, quantile_cont(y - yhat, 0.5) AS median, quantile_cont(y - yhat, 0.75) AS q3
   FROM forecast_s GROUP BY ALL)
 SELECT CAST(m AS INTEGER) AS month, R[q1] AS q1, R[median] AS median, R[q3] AS q3,
-  min(CASE WHEN y BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN y END) AS whisker_low,
-  max(CASE WHEN y BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN y END) AS whisker_high,
-  CAST(count_if(NOT y BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS BIGINT) AS n_outliers
+  min(CASE WHEN y - yhat BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN R[y - yhat] END) AS whisker_low,
+  max(CASE WHEN y - yhat BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN R[y - yhat] END) AS whisker_high,
+  CAST(count_if(NOT y - yhat BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS BIGINT) AS n_outliers
 FROM forecast_s JOIN q ON month(month_date) = m GROUP BY m, q1, median, q3""")
 def _box(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.forecast_table(spark, sf, True).withColumn("month", F.month("month_date"))
-    return rounded(e.box_stats(df, "y", ["month"], few_keys=True))
+    df = t.forecast_table(spark, sf, True).select(F.month("month_date").alias("month"), (F.col("y") - F.col("yhat")).alias("residual"))
+    return rounded(e.box_stats(df, "residual", ["month"], few_keys=True))
 
 
 _BUCKET = "CASE WHEN y < 100 THEN '<100' WHEN y < 500 THEN '100-500' WHEN y < 2000 THEN '500-2K' WHEN y < 10000 THEN '2K-10K' ELSE '10K+' END"
@@ -265,15 +266,21 @@ def _retrain(spark: SparkSession, sf: str) -> DataFrame:
     return joined(rounded(decision))
 
 
-def _scoped(df: DataFrame, p: str) -> DataFrame:
-    weak = e.metrics_by(df.where("y < 2"), [], p=p).select(F.lit("weak").alias("scope"), "mae", "r2", "mape")
-    return e.metrics_by(df, [], p=p).select(F.lit("overall").alias("scope"), "mae", "r2", "mape").unionByName(weak)
+def _scoped(df: DataFrame, weak: DataFrame, p: str) -> DataFrame:
+    part = e.metrics_by(e.rows_in_segments(df, weak), [], p=p).select(F.lit("weak").alias("scope"), "mae", "r2", "mape")
+    return e.metrics_by(df, [], p=p).select(F.lit("overall").alias("scope"), "mae", "r2", "mape").unionByName(part)
+
+
+# The champion's weak rows: states with the largest errors and months it under-predicts.
+_WEAK_ROWS = """state IN (SELECT segment FROM (SELECT segment FROM errors_b WHERE kind = 'state' ORDER BY mae DESC, segment LIMIT 2))
+  OR state IN (SELECT segment FROM (SELECT segment FROM errors_b WHERE kind = 'state' ORDER BY mape DESC, segment LIMIT 2))
+  OR month_date IN (SELECT month_date FROM forecast_s GROUP BY month_date HAVING median((yhat2 - y) / y) < 0)"""
 
 
 def _scope_sql(p: str, name: str) -> str:
     cols = f"""avg(abs(y - {p})) AS mae, 1 - sum((y - {p}) * (y - {p})) / nullif(var_pop(y) * count(*), 0) AS r2,
     avg(CASE WHEN y <> 0 THEN abs(y - {p}) / abs(y) END) * 100 AS mape"""
-    return f"""{name} AS (SELECT 'overall' AS scope, {cols} FROM forecast_s UNION ALL SELECT 'weak', {cols} FROM forecast_s WHERE y < 2)"""
+    return f"""{name} AS (SELECT 'overall' AS scope, {cols} FROM forecast_s UNION ALL SELECT 'weak', {cols} FROM forecast_s WHERE {_WEAK_ROWS})"""
 
 
 @query("promotion_gate", "E8 E10", f"""WITH {_scope_sql('yhat2', 'a')}, {_scope_sql('yhat', 'b')}
@@ -286,7 +293,8 @@ SELECT scope, R[a.mae] AS champion_mae, R[a.r2] AS champion_r2, R[a.mape] AS cha
 FROM a JOIN b USING (scope)""")
 def _gate(spark: SparkSession, sf: str) -> DataFrame:
     df = t.forecast_table(spark, sf, True)
-    return joined(rounded(m.promotion_gate(_scoped(df, "yhat2"), _scoped(df, "yhat"))))
+    weak = cut_lineage(e.weak_segments(df, e.error_tables(df, p="yhat2"), 2, p="yhat2"))
+    return joined(rounded(m.promotion_gate(_scoped(df, weak, "yhat2"), _scoped(df, weak, "yhat"))))
 
 
 @query("segment_regressions", "E9", """SELECT kind, segment, R[a.mape] AS champion_mape, R[b.mape] AS challenger_mape,

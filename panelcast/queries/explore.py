@@ -16,6 +16,7 @@ from panelcast.operators.capacity import latest_month, month_or_latest
 from panelcast.operators.panel import model_dataset, monthly_sums
 from panelcast.queries import tables as t
 from panelcast.queries.registry import cte, query, rounded
+from panelcast.session import cut_lineage
 
 Y = "total_enrolment"
 TOTALS = ("total_enrolment", "total_demo", "total_bio")
@@ -88,7 +89,7 @@ def _samples(spark: SparkSession, sf: str) -> DataFrame:
 @query("largest_states", "A29 J8", f"""SELECT p.* FROM panel_s p WHERE state IN (SELECT state FROM panel_s GROUP BY state
   ORDER BY count(DISTINCT district) DESC, state LIMIT 2)""")
 def _largest(spark: SparkSession, sf: str) -> DataFrame:
-    return e.largest_groups(t.enrol_panel(spark, sf, True), "state", "district", 2)
+    return e.largest_groups(cut_lineage(t.enrol_panel(spark, sf, True)), "state", "district", 2)
 
 
 @query("groups_with_min_rows", "P20", """SELECT state, district, count(*) AS n_rows FROM panel_s GROUP BY ALL HAVING count(*) >= 60""")
@@ -180,12 +181,35 @@ def _grid(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(e.mape_grid(t.forecast(spark, sf, True), range(1, 13)))
 
 
-@query("transposed_totals", "P22", f"""SELECT 'total' AS measure, CAST(sum({Y}) FILTER (state = 'ASIA') AS BIGINT) AS "ASIA",
-  CAST(sum({Y}) FILTER (state = 'EUROPE') AS BIGINT) AS "EUROPE" FROM panel_n UNION ALL
-  SELECT 'n', CAST(count(*) FILTER (state = 'ASIA') AS BIGINT), CAST(count(*) FILTER (state = 'EUROPE') AS BIGINT) FROM panel_n""")
+_PLACES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+def _by_place(value: str) -> str:
+    return ", ".join(f"""CAST({value} FILTER (state = '{p}') AS BIGINT) AS "{p}\"""" for p in _PLACES)
+
+
+@query("transposed_totals", "P22", f"""SELECT 'total' AS measure, {_by_place(f"sum({Y})")} FROM panel_n
+  UNION ALL SELECT 'n', {_by_place("count(*)")} FROM panel_n""")
 def _transposed(spark: SparkSession, sf: str) -> DataFrame:
     sums = t.enrol_panel(spark, sf).groupBy("state").agg(F.sum(Y).alias("total"), F.count(F.lit(1)).alias("n"))
-    return s.transposed(sums, "measure", ["total", "n"], ["ASIA", "EUROPE"], "state")
+    return s.transposed(sums, "measure", ["total", "n"], _PLACES, "state")
+
+
+@query("worst_district_pivot", "P22 T5", """WITH m AS (SELECT state, district, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY state ORDER BY round(mae, 9) DESC, district) AS rank
+  FROM (SELECT state, district, avg(abs(y - yhat)) AS mae FROM forecast_s GROUP BY ALL)) WHERE rank <= 3)
+SELECT f.state, strftime(f.month_date, '%Y-%m') AS month, R[max(abs(y - yhat)) FILTER (rank = 1)] AS worst_1,
+  R[max(abs(y - yhat)) FILTER (rank = 2)] AS worst_2, R[max(abs(y - yhat)) FILTER (rank = 3)] AS worst_3
+FROM forecast_s f JOIN m USING (state, district) GROUP BY ALL""")
+def _worst_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly errors of the three worst districts of every state, one column each."""
+    df = t.forecast_table(spark, sf, True).withColumn("error", F.abs(F.col("y") - F.col("yhat")))
+    mae = df.groupBy("state", "district").agg(F.avg("error").alias("mae"))
+    worst = r.top_k_per_group(mae, ["state"], F.round("mae", 9).desc(), ["district"], 3)
+    rows = df.join(worst.select("state", "district", "rank"), ["state", "district"])
+    month = F.date_format("month_date", "yyyy-MM").alias("month")
+    out = rows.groupBy("state", month).pivot("rank", [1, 2, 3]).agg(F.max("error"))
+    return rounded(out.withColumnsRenamed({str(k): f"worst_{k}" for k in (1, 2, 3)}))
 
 
 cte("dates_dirty", """SELECT o_orderkey, CASE WHEN o_orderkey % 101 = 0 THEN 'n/a ' || o_orderkey ELSE strftime(o_orderdate, '%d-%m-%Y') END
@@ -302,15 +326,15 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("o_orderkey", texts[(F.col("o_orderkey") % 7).cast("int")].alias("message"))
 
 
-_TRIAGE = """SELECT o_orderkey, message, CASE
-  WHEN regexp_matches(message, '(?i)(aadhaar|aadhar|id\\s*number|enroll?ment\\s*id|\\b\\d{10,12}\\b)') THEN 'unsafe_personal'
-  WHEN regexp_matches(lower(message), 'export|download|dump|csv|excel|all\\s+districts|full\\s+table|show\\s+all') THEN 'raw_export'
-  WHEN regexp_matches(lower(message), 'over capacity|over-capacity|overcapacity|gap|exceeding capacity|highest demand|top states|top districts|which states|which districts') THEN 'over_capacity'
-  WHEN regexp_matches(lower(message), 'extra cent|add cent|camp|if we add|what if|simulat|impact of adding') THEN 'simulate'
-  WHEN regexp_matches(lower(message), 'explain|what does|how is|meaning of|define|dashboard') THEN 'explain_dashboard'
+_TRIAGE = f"""SELECT o_orderkey, message, CASE
+  WHEN regexp_matches(message, '{x.SENSITIVE_PATTERN}') THEN 'unsafe_personal'
+  WHEN regexp_matches(lower(message), '{x.EXPORT_PATTERN}') THEN 'raw_export'
+  WHEN regexp_matches(lower(message), '{"|".join(x.OVER_CAPACITY_WORDS)}') THEN 'over_capacity'
+  WHEN regexp_matches(lower(message), '{"|".join(x.SIMULATION_WORDS)}') THEN 'simulate'
+  WHEN regexp_matches(lower(message), '{"|".join(x.EXPLAIN_WORDS)}') THEN 'explain_dashboard'
   ELSE 'unsupported' END AS intent,
-  nullif(regexp_extract(message, '\\b(20[2-9]\\d)-(0[1-9]|1[0-2])\\b'), '') AS asked_month,
-  greatest(1, coalesce(TRY_CAST(nullif(regexp_extract(message, '\\b\\d+\\b'), '') AS BIGINT), 1)) AS asked_camps,
+  nullif(regexp_extract(message, '{x.MONTH_PATTERN}'), '') AS asked_month,
+  greatest(1, coalesce(TRY_CAST(nullif(regexp_extract(message, '{x.NUMBER_PATTERN}'), '') AS BIGINT), 1)) AS asked_camps,
   CASE WHEN contains(lower(message), 'africa') THEN 'AFRICA' WHEN contains(lower(message), 'america') THEN 'AMERICA'
     WHEN contains(lower(message), 'asia') THEN 'ASIA' WHEN contains(lower(message), 'europe') THEN 'EUROPE'
     WHEN contains(lower(message), 'middle east') THEN 'MIDDLE EAST' END AS asked_region FROM messages"""

@@ -117,7 +117,7 @@ def _segments(spark: SparkSession, sf: str) -> DataFrame:
   R[CASE WHEN m > 0 THEN {Y} / m ELSE 1 END] AS ratio_to_state_mean
   FROM (SELECT *, avg({Y}) OVER (PARTITION BY state, month_date) AS m FROM panel_s)""")
 def _ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(groups.ratio_to_peers(t.enrol_panel(spark, sf, True), Y))
+    return rounded(groups.ratio_to_peers(cut_lineage(t.enrol_panel(spark, sf, True)), Y))
 
 
 @query("district_count_on_rows", "J10", """SELECT p.*, n AS n_districts FROM panel_s p JOIN (
@@ -173,22 +173,24 @@ def _policy(spark: SparkSession, sf: str) -> DataFrame:
     return t.enrol_panel(spark, sf).withColumns(d.policy_flags("month_date", PHASES, CAMPAIGNS))
 
 
-@query("interval_table_join", "J6 J7", """
-WITH iv AS (SELECT n_name AS name, min(date) AS s, CAST(min(date) + INTERVAL 40 DAY AS DATE) AS e
-  FROM (SELECT district AS n_name, date FROM daily_a) GROUP BY n_name),
+_NATIONS = tuple(f"NATION_{i}" for i in range(25))
+_IN = ",\n  ".join(f"CAST(coalesce(bool_or(name = '{n}'), false) AS INTEGER) AS in_{n}" for n in _NATIONS)
+
+
+@query("interval_table_join", "J6 J7", f"""
+WITH iv AS (SELECT n_name AS name, min(date) AS s, CASE WHEN n_name = 'NATION_7' THEN DATE '9999-12-31'
+    ELSE CAST(min(date) + INTERVAL 40 DAY AS DATE) END AS e FROM (SELECT district AS n_name, date FROM daily_a) GROUP BY n_name),
 d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY ALL)
-SELECT day, CAST(n AS BIGINT) AS n, CAST(coalesce((SELECT bool_or(name = 'NATION_3') FROM iv WHERE day BETWEEN s AND e), false)
-    AS INTEGER) AS in_NATION_3,
-  CAST(EXISTS (SELECT 1 FROM iv WHERE day BETWEEN s AND e) AS INTEGER) AS in_any_interval,
-  CAST((SELECT count(*) FROM iv WHERE e < day) AS BIGINT) AS ended_count FROM d""")
+SELECT day, CAST(n AS BIGINT) AS n, {_IN}, CAST(count(name) > 0 AS INTEGER) AS in_any_interval,
+  CAST((SELECT count(*) FROM iv WHERE e < day) AS BIGINT) AS ended_count
+FROM d LEFT JOIN iv ON day BETWEEN s AND e GROUP BY day, n""")
 def _intervals(spark: SparkSession, sf: str) -> DataFrame:
-    iv = (
-        t.enrolment(spark, sf)
-        .groupBy(F.col("district").alias("name"))
-        .agg(F.min("date").alias("start"), F.date_add(F.min("date"), 40).alias("end"))
-    )
-    days = t.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
-    return calendars.ended_before_count(calendars.interval_flags(days, "day", iv, ["NATION_3"]), "day", iv)
+    """Forty days from each nation's first order; one interval never ends."""
+    daily = cut_lineage(t.enrolment(spark, sf))
+    end = F.when(F.col("district") == "NATION_7", F.lit("9999-12-31").cast("date")).otherwise(F.date_add(F.min("date"), 40))
+    iv = daily.groupBy("district").agg(F.min("date").alias("start"), end.alias("end")).withColumnRenamed("district", "name")
+    days = cut_lineage(t.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n")))
+    return calendars.ended_before_count(calendars.interval_flags(days, "day", iv, _NATIONS), "day", iv)
 
 
 @query("trend_and_event_features", "F6 F7 F8", f"""SELECT state, district, month_date, {Y},
@@ -219,7 +221,7 @@ FROM (SELECT *, month(month_date) AS m FROM panel_n) p
 JOIN (SELECT state, row_number() OVER (ORDER BY state) - 1 AS idx FROM (SELECT DISTINCT state FROM panel_n)) i
 ON p.state = i.state""")
 def _challenger(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.enrol_panel(spark, sf)
+    df = cut_lineage(t.enrol_panel(spark, sf))
     df = groups.apply_label_index(df, groups.fit_label_index(df, "state"), "state")
     flags = d.challenger_flags("month_date", "state_idx", (4, 7), (3, 9), (4, 8, 10), (5, 6), (12,))
     return df.withColumns(flags).drop(Y)
@@ -231,7 +233,7 @@ WITH e AS (SELECT district, row_number() OVER (ORDER BY district) - 1 AS idx FRO
 SELECT state, p.district, month_date, total_enrolment, CAST(coalesce(idx, -1) AS INTEGER) AS district_idx
 FROM panel_s p LEFT JOIN e ON p.district = e.district""")
 def _encode(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.enrol_panel(spark, sf, True)
+    df = cut_lineage(t.enrol_panel(spark, sf, True))
     return groups.apply_label_index(df, groups.fit_label_index(df.where("month_date <= '1995-01-31'"), "district"), "district")
 
 
@@ -239,7 +241,7 @@ def _encode(spark: SparkSession, sf: str) -> DataFrame:
   CAST((SELECT count(DISTINCT state) FROM panel_n q WHERE q.state < p.state) AS INTEGER) AS hot_position,
   CAST((SELECT count(DISTINCT state) FROM panel_n) AS INTEGER) AS width FROM panel_n p""")
 def _one_hot(spark: SparkSession, sf: str) -> DataFrame:
-    df = t.enrol_panel(spark, sf)
+    df = cut_lineage(t.enrol_panel(spark, sf))
     df = groups.one_hot(df, ["state"]).fit(df).transform(df)
     hot = vector_to_array("state_vec")
     return df.select(*K, (F.array_position(hot, F.lit(1.0)) - 1).cast("int").alias("hot_position"), F.size(hot).alias("width"))

@@ -28,17 +28,17 @@ def _model_dataset(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("enrolment_by_month", "A1 P3", "SELECT * FROM month_a")
 def _enrol(spark: SparkSession, sf: str) -> DataFrame:
-    return monthly_sums(t.enrolment(spark, sf), t.ENROL)
+    return t.monthly(spark, sf)[0]
 
 
 @query("demographic_by_month", "A1", "SELECT * FROM month_b")
 def _demo(spark: SparkSession, sf: str) -> DataFrame:
-    return monthly_sums(t.demographic(spark, sf), t.DEMO)
+    return t.monthly(spark, sf)[1]
 
 
 @query("biometric_by_month", "A1", "SELECT * FROM month_c")
 def _bio(spark: SparkSession, sf: str) -> DataFrame:
-    return monthly_sums(t.biometric(spark, sf), t.BIO)
+    return t.monthly(spark, sf)[2]
 
 
 @query("district_month_panel", "J1 P7 P3", "SELECT * FROM panel")

@@ -1,8 +1,11 @@
-"""The given tables cast into the roles of the panel: three daily count facts and what follows from them.
-
-State is the region, district the nation (optionally split by market segment).  Raw rows are
-summed per entity and day before they meet a dimension, so a customer, order or supplier that
-holds a large share of the rows reaches the join as a few rows per day.
+"""The given tables cast into the roles of the panel: three count facts and what follows from them.
+
+State is the region, district the nation (optionally split by market segment).  Customers have
+almost as many order days as orders, so summing by customer and day first would move all rows once
+more for nothing: the narrow projection meets its dimension directly and is summed once, to nation
+and day, with partial sums on the map side.  A customer or order with a large share of the rows
+skews one side of an equi-join only, which adaptive execution splits.  Suppliers do repeat within a
+day and a month; their lines are summed before the join.
 """
 
 from __future__ import annotations
@@ -42,70 +45,75 @@ def customers(spark: SparkSession, sf: str, by_segment: bool) -> DataFrame:
     return c.select("c_custkey", "state", district.alias("district"))
 
 
-def enrolment(spark: SparkSession, sf: str, by_segment: bool = False) -> DataFrame:
-    """Daily order counts in three priority bands."""
+def _ones(cond: Column, name: str) -> Column:
+    return cond.cast("bigint").alias(name)
+
+
+def _daily(rows: DataFrame, bands: tuple[str, ...]) -> DataFrame:
+    """Rows of 0 / 1 bands summed to (state, district, date): at most nations x days rows."""
+    return rows.groupBy("state", "district", "date").agg(*[F.sum(b).alias(b) for b in bands])
+
+
+def enrolment(spark: SparkSession, sf: str, by_segment: bool = False, summed: bool = True) -> DataFrame:
+    """Daily order counts in three priority bands; not ``summed``, the rows for a coarser sum to take up."""
     level = F.substring("o_orderpriority", 1, 1)
-    daily = (
-        table(spark, sf, "orders")
-        .groupBy("o_custkey", F.to_date("o_orderdate").alias("date"))
-        .agg(
-            _n(level.isin("1", "2"), ENROL[0]),
-            _n(level == "3", ENROL[1]),
-            _n(~level.isin("1", "2", "3"), ENROL[2]),
-        )
+    rows = table(spark, sf, "orders").select(
+        "o_custkey",
+        F.to_date("o_orderdate").alias("date"),
+        _ones(level.isin("1", "2"), ENROL[0]),
+        _ones(level == "3", ENROL[1]),
+        _ones(~level.isin("1", "2", "3"), ENROL[2]),
     )
-    where = customers(spark, sf, by_segment)
-    return daily.join(where, F.col("o_custkey") == F.col("c_custkey")).select("state", "district", "date", *ENROL)
+    placed = rows.join(customers(spark, sf, by_segment), F.col("o_custkey") == F.col("c_custkey")).select("state", "district", "date", *ENROL)
+    return _daily(placed, ENROL) if summed else placed
 
 
-def demographic(spark: SparkSession, sf: str) -> DataFrame:
+def demographic(spark: SparkSession, sf: str, summed: bool = True) -> DataFrame:
     """Daily line counts in two status bands, placed by customer.
 
-    Orders are unique on the join key, so a hot order only skews the line side, which adaptive
-    execution splits; a customer's lines are summed per day before they move again.
+    Orders meet their customer first, so lineitem, the largest table, moves once.
     """
     final = F.col("l_linestatus") == "F"
     lines = table(spark, sf, "lineitem").select(
-        "l_orderkey", F.to_date("l_shipdate").alias("date"), final.cast("int").alias("_f"), (~final).cast("int").alias("_o")
+        "l_orderkey", F.to_date("l_shipdate").alias("date"), _ones(final, DEMO[0]), _ones(~final, DEMO[1])
     )
     owner = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    daily = (
-        lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_custkey", "date")
-        .agg(F.sum("_f").alias(DEMO[0]), F.sum("_o").alias(DEMO[1]))
-    )
-    where = customers(spark, sf, False)
-    return daily.join(where, F.col("o_custkey") == F.col("c_custkey")).select("state", "district", "date", *DEMO)
+    owner = owner.join(customers(spark, sf, False), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "state", "district")
+    placed = lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select("state", "district", "date", *DEMO)
+    return _daily(placed, DEMO) if summed else placed
 
 
-def biometric(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily line counts in two quantity bands, placed by supplier."""
-    daily = (
+def biometric(spark: SparkSession, sf: str, summed: bool = True) -> DataFrame:
+    """Daily line counts in two quantity bands, placed by supplier; not ``summed``, months of each supplier."""
+    date = F.to_date("l_shipdate") if summed else F.trunc("l_shipdate", "MM")
+    entity = (
         table(spark, sf, "lineitem")
-        .groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
+        .groupBy("l_suppkey", date.alias("date"))
         .agg(_n(F.col("l_quantity") <= 25, BIO[0]), _n(F.col("l_quantity") > 25, BIO[1]))
     )
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     where = s.join(regions(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
-    return daily.join(where, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        "state", F.col("nation").alias("district"), "date", *BIO
+    placed = entity.join(where, F.col("l_suppkey") == F.col("s_suppkey")).select("state", F.col("nation").alias("district"), "date", *BIO)
+    return _daily(placed, BIO) if summed else placed
+
+
+def monthly(spark: SparkSession, sf: str, by_segment: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three facts by (state, district, month), each summed once."""
+    return (
+        monthly_sums(enrolment(spark, sf, by_segment, summed=False), ENROL),
+        monthly_sums(demographic(spark, sf, summed=False), DEMO),
+        monthly_sums(biometric(spark, sf, summed=False), BIO),
     )
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
     """Nation x month panel of all three facts."""
-    return add_totals(
-        join_facts(
-            monthly_sums(enrolment(spark, sf), ENROL),
-            monthly_sums(demographic(spark, sf), DEMO),
-            monthly_sums(biometric(spark, sf), BIO),
-        )
-    )
+    return add_totals(join_facts(*monthly(spark, sf)))
 
 
 def enrol_panel(spark: SparkSession, sf: str, by_segment: bool = False) -> DataFrame:
     """Enrolment alone by month: district is the nation or the nation's market segment."""
-    return add_totals(monthly_sums(enrolment(spark, sf, by_segment), ENROL)).drop(*ENROL)
+    return add_totals(monthly(spark, sf, by_segment)[0]).drop(*ENROL)
 
 
 def panel_table(spark: SparkSession, sf: str) -> DataFrame:

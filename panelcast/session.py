@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int = 8, app: str = "panelcast", shuffle_partitions: int | None = None) -> SparkSession:
-    """A single-JVM session for tests and the benchmark; a cluster brings its own settings."""
+def local_session(cpus: int = 8, app: str = "panelcast", shuffle_partitions: int | None = None, checkpoints: str | None = None) -> SparkSession:
+    """A single-JVM session for tests and the benchmark; a cluster brings its own settings.
+
+    ``checkpoints`` is the folder for intermediate tables; the caller owns it and what is left there.
+    """
+    builder = SparkSession.builder
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
@@ -28,13 +37,13 @@ def local_session(cpus: int = 8, app: str = "panelcast", shuffle_partitions: int
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local master, where driver and executors are one process, may fall back to a
-    temporary folder; on a cluster a missing setting is an error.
+    Only where driver and executors are one process (``local[...]``) may it be a temporary folder;
+    on a cluster, also a simulated one, a missing setting is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="panelcast-")
     if sc.getCheckpointDir() is None:
@@ -56,3 +65,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a context; needed where executors have not installed it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_panelcast_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="panelcast-"), "panelcast.zip")  # read by the driver alone, which serves it
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    sc._panelcast_shipped = True

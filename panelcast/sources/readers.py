@@ -53,15 +53,24 @@ def sample_scan(df: DataFrame, n: int = 5000) -> DataFrame:
     return df.limit(n)
 
 
-def _first_line_udf():
-    """First line of each file, read in the task through the file system the path names."""
+# How Spark spells a path, and how Arrow's file systems do.
+SPELLINGS = ((r"^file:/(?!/)", "file:///"), (r"^s3[an]:", "s3:"))
+
+
+def _first_line_udf(limit: int = 1 << 20):
+    """First line of each file, read in the task through the file system the path names; a longer one is an error."""
+    spellings = SPELLINGS
 
     def read(path: str) -> str:
-        fs, name = pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+        for spark_way, arrow_way in spellings:
+            path = re.sub(spark_way, arrow_way, path)
+        fs, name = pafs.FileSystem.from_uri(path)
         text = b""
         with fs.open_input_stream(name) as stream:
             while b"\n" not in text and (chunk := stream.read(4096)):
                 text += chunk
+                if len(text) > limit and b"\n" not in text:
+                    raise ValueError(f"no line end in the first {limit} bytes of {path}")
         return text.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
 
     # Nested, so that it travels by value and executors need no copy of this package.

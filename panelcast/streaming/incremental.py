@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from panelcast.operators.monitor import alerts, drift_flags, drift_stats
 from panelcast.operators.series import DISTRICT, Series
+from panelcast.session import scratch_path
 
 
 def monthly_stream(stream: DataFrame, keys: Sequence[str], date: str, sums: Sequence[str]) -> DataFrame:
@@ -53,6 +54,22 @@ def compact(spark: SparkSession, path: str, keys: Sequence[str], out: str) -> No
     latest_rows(spark, path, keys).write.mode("errorifexists").parquet(out)
 
 
+def fold_batches(spark: SparkSession, path: str, keys: Sequence[str], batch_id: int) -> None:
+    """Replace the batches up to ``batch_id`` by their newest rows, kept as that batch.
+
+    The folded rows are complete before anything is taken away: they are written beside the table, then
+    overwrite the last batch, and only then the earlier folders are emptied.  Interrupted in between, the
+    table holds some rows twice with equal values, and the next fold clears them.
+    """
+    aside = scratch_path(spark, "folded")
+    latest_rows(spark, path, keys).write.parquet(aside)
+    folded = spark.read.parquet(aside)
+    earlier = [r["batch_id"] for r in spark.read.parquet(path).where(F.col("batch_id") < batch_id).select("batch_id").distinct().collect()]
+    folded.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    for b in earlier:
+        folded.limit(0).write.mode("overwrite").parquet(f"{path}/batch_id={b}")
+
+
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Process everything that has arrived, then stop; the checkpoint remembers what was read."""
     query = (
@@ -71,6 +88,12 @@ def rows_dropped_as_late(query: StreamingQuery) -> int:
     return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
+def require_no_late_rows(query: StreamingQuery) -> None:
+    """Fail a run that lost rows to the watermark, so that nobody takes its table for complete."""
+    if late := rows_dropped_as_late(query):
+        raise ValueError(f"{late} rows came later than the watermark allows and are missing; rerun with a larger lateness")
+
+
 def refresh_monitoring(panel: DataFrame, y: str, out: str, version: int, s: Series = DISTRICT) -> None:
     """Drift report and alerts of the current panel, written as one version.
 
@@ -85,12 +108,18 @@ def refresh_monitoring(panel: DataFrame, y: str, out: str, version: int, s: Seri
 
 
 def incremental_refresh(spark: SparkSession, stream: DataFrame, keys: Sequence[str], date: str, y: str, out: str,
-                        checkpoint: str) -> StreamingQuery:
-    """Monthly panel kept current by the stream; after every increment drift and alerts are rebuilt from it."""
+                        checkpoint: str, compact_every: int = 16) -> StreamingQuery:
+    """Monthly panel kept current by the stream; after every increment drift and alerts are rebuilt from it.
+
+    Every ``compact_every`` batches the earlier ones are folded into one, so a refresh reads at most
+    that many versions of the panel.
+    """
     panel_path = f"{out}/panel"
     s = Series(tuple(keys), "month_date")
 
     def rebuild(batch_id: int) -> None:
+        if batch_id and batch_id % compact_every == 0:
+            fold_batches(spark, panel_path, [*keys, "month_date"], batch_id)
         refresh_monitoring(latest_rows(spark, panel_path, [*keys, "month_date"]), y, out, batch_id, s)
 
     return run_available(monthly_stream(stream, keys, date, [y]), changed_rows_writer(panel_path, rebuild), checkpoint)

@@ -9,5 +9,7 @@ from panelcast.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(8, "panelcast-tests")
+def spark(tmp_path_factory):
+    session = local_session(8, "panelcast-tests", checkpoints=str(tmp_path_factory.mktemp("checkpoints")))
+    yield session
+    session.stop()

@@ -1,6 +1,7 @@
 """Exact quantiles, global positions and their behaviour under skew and partitioning."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -18,7 +19,8 @@ def check(df, values_by_key, keys, **how):
     got = {tuple(row[k] for k in keys): row for row in exact_quantiles(df, "v", PROBS, keys, **how).collect()}
     for key, values in values_by_key.items():
         for name, p in PROBS.items():
-            assert got[key][name] == pytest.approx(np.percentile(values, p * 100), rel=1e-12, abs=1e-12), (key, name)
+            scale = max(np.abs(values), default=0)
+            assert got[key][name] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12 * max(1.0, scale)), (key, name)
 
 
 @pytest.mark.parametrize("shape", ["uniform", "one_value_third", "heavy_tail", "few_values"])
@@ -39,6 +41,18 @@ def test_quantiles_of_large_groups(spark, shape):
     check(df, {(): values}, [], refine=1)
 
 
+@pytest.mark.parametrize("tied", [False, True])
+def test_quantiles_of_every_size_in_one_table(spark, tied):
+    """One value, sizes around a former limit, and a large group, with and without heavy ties."""
+    rng = np.random.default_rng(5)
+    groups = {n: np.floor(rng.random(n) * 3) if tied else rng.normal(size=n) for n in (1, 2, 3, 7, 100, 1999, 4999, 5000, 100_000)}
+    rows = spark.createDataFrame(
+        pd.DataFrame({"k": np.concatenate([np.full(n, n) for n in groups]), "v": np.concatenate(list(groups.values()))})
+    )
+    for refine in (0, 1):
+        check(rows.repartition(9), {(n,): v for n, v in groups.items()}, ["k"], refine=refine)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e6, 1e6, allow_nan=False), min_size=1, max_size=40))
 def test_quantiles_of_small_groups(spark, values):

@@ -6,6 +6,7 @@ from datetime import date
 import numpy as np
 import pytest
 
+from panelcast.functions import metrics
 from panelcast.operators import blend, capacity, evaluate, monitor
 
 
@@ -102,8 +103,27 @@ def test_what_if_texts(spark):
     df = spark.createDataFrame([("Asia.", "x", m, 0.0, 130.0)], FORECAST)
     centres = spark.createDataFrame([("Asia.", 10)], "state string, centres int")
     got = capacity.what_if(df, centres, [("asia.", 3, None), ("ASIA", 1, "2024-03"), ("a.ia", 1, None)], per_centre=10)
-    texts = {r["camps"]: r["recommendation"] for r in got.collect()}
-    assert texts == {
-        3: "Adding 3 centre(s) fully closes the gap. asia. would have surplus capacity.",
-        1: "Gap remains at 18.2%. Consider adding 2 more centre(s) to fully close the gap.",
-    }
+    assert [r["recommendation"] for r in got.orderBy("scenario").collect()] == [
+        "Adding 3 centre(s) fully closes the gap. asia. would have surplus capacity.",
+        "Gap remains at 18.2%. Consider adding 2 more centre(s) to fully close the gap.",
+        "No data available for a.ia in 2024-03.",
+    ]
+
+
+def test_what_if_answers_each_scenario_by_itself(spark):
+    """The same question twice, once with the latest month spelt out, must not add up."""
+    m = date(2024, 3, 1)
+    df = spark.createDataFrame([("A", "x", m, 0.0, 10.0)], FORECAST)
+    centres = spark.createDataFrame([("A", 2)], "state string, centres int")
+    got = capacity.what_if(df, centres, [("a", 0, None), ("a", 0, "2024-03"), ("a", 0, None), ("z", 5, "2030-01")], per_centre=1)
+    assert [(r["scenario"], r["month"], r["gap_before"], r["gap_after"], r["gap_pct_before"]) for r in got.orderBy("scenario").collect()] == [
+        (0, "2024-03", 8, 8, 400.0), (1, "2024-03", 8, 8, 400.0), (2, "2024-03", 8, 8, 400.0), (3, "2030-01", 0, 0, 0.0),
+    ]
+
+
+def test_metrics_count_only_scored_rows(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (5.0, 4.0), (100.0, None), (None, 3.0)], "y double, yhat double")
+    row = evaluate.metrics_by(df, []).collect()[0]
+    assert (row["n_samples"], row["r2"], row["mae"]) == (2, 0.875, 0.5)
+    lone = spark.createDataFrame([(1.0, 2.0), (7.0, None)], "y double, yhat double")
+    assert lone.agg(metrics.r2("y", "yhat", 0.0).alias("r")).collect()[0]["r"] == 0.0
