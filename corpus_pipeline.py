@@ -17,13 +17,14 @@ from panelcast.llm.mixing import mixed
 from panelcast.llm.quality import keep_good
 from panelcast.llm.queries import PATTERN, RANKS
 from panelcast.llm.stream_dedup import deduplicate
-from panelcast.session import scratch_path
+from panelcast.session import scratch_path, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the certified rules accept."""
+    ship_package(spark)
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -15,6 +15,7 @@ from panelcast.llm.quality import quality_verdicts
 from panelcast.llm.rlz import remove_repeats
 from panelcast.llm.sharding import shard_by_bytes
 from panelcast.llm.stream_dedup import deduplicate
+from panelcast.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,10 +25,12 @@ PATTERN = public_tokenizers.PATTERN
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
