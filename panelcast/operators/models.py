@@ -37,6 +37,8 @@ class TreeConfig:
     feature_share: float = 0.9
     validation_tol: float = 0.01
     seed: int = 42
+    bootstrap: bool = True
+    max_bins: int = 32
 
 
 @dataclass(frozen=True)
@@ -61,10 +63,10 @@ SEARCH_SPACE: Mapping[str, Sequence[float]] = {
 
 
 def _learner(cfg: TreeConfig, label: str, early_stop: bool) -> GBTRegressor | RandomForestRegressor:
-    common = dict(featuresCol="features", labelCol=label, maxDepth=cfg.max_depth, seed=cfg.seed,
+    common = dict(featuresCol="features", labelCol=label, maxDepth=cfg.max_depth, maxBins=cfg.max_bins, seed=cfg.seed,
                   subsamplingRate=cfg.subsample, featureSubsetStrategy=str(cfg.feature_share))
     if cfg.kind == "forest":
-        return RandomForestRegressor(numTrees=cfg.max_iter, **common)
+        return RandomForestRegressor(numTrees=cfg.max_iter, bootstrap=cfg.bootstrap, **common)
     extra = dict(validationIndicatorCol="_is_val", validationTol=cfg.validation_tol) if early_stop else {}
     return GBTRegressor(maxIter=cfg.max_iter, stepSize=cfg.step_size, **common, **extra)
 
@@ -105,12 +107,12 @@ def _each(items: Sequence, task: Callable, parallelism: int) -> list:
 
 
 def cross_validate(folds: DataFrame, feats: Features, cfg: TreeConfig = TreeConfig(), keys: Sequence[str] = (),
-                   parallelism: int = 2) -> DataFrame:
+                   parallelism: int = 2, stored: bool = False) -> DataFrame:
     """Out-of-fold predictions (fold, keys, y, prediction) over a feature table carrying (fold, role).
 
-    The feature table is checkpointed once and read by every fit.
+    The feature table is checkpointed once and read by every fit; ``stored`` says that it already is.
     """
-    folds = cut_lineage(folds)
+    folds = folds if stored else cut_lineage(folds)
     ids = sorted(r["fold"] for r in folds.select("fold").distinct().collect())
 
     def one(fold: int) -> DataFrame:
@@ -155,6 +157,34 @@ def search(train: DataFrame, val: DataFrame, feats: Features, candidates: Sequen
     return train.sparkSession.createDataFrame(rows)
 
 
+def grid_candidates(space: Mapping[str, Sequence[float]] = SEARCH_SPACE, base: TreeConfig = TreeConfig()) -> list[TreeConfig]:
+    """Every combination of the settings."""
+    return [replace(base, **dict(zip(space, values))) for values in itertools.product(*space.values())]
+
+
+def search_folds(folds: DataFrame, feats: Features, candidates: Sequence[TreeConfig | tuple[TreeConfig, Features]],
+                 parallelism: int = 2) -> DataFrame:
+    """Trial table over time-ordered folds: mean and deviation of the folds' validation metrics, one row per candidate.
+
+    A candidate is a setting, or a setting with a feature list of its own.  The fold table is written
+    once and read by every fit.
+    """
+    folds = cut_lineage(folds)
+
+    def one(item: tuple[int, TreeConfig | tuple[TreeConfig, Features]]) -> dict:
+        trial, candidate = item
+        cfg, own = candidate if isinstance(candidate, tuple) else (candidate, feats)
+        each = fold_metrics(cross_validate(folds, own, cfg, parallelism=1, stored=True))
+        got = each.agg(
+            F.avg("mae").alias("val_mae"), F.stddev_samp("mae").alias("val_mae_std"), F.avg("rmse").alias("val_rmse"),
+            F.avg("r2").alias("val_r2"), F.count(F.lit(1)).alias("n_folds"),
+        ).first()
+        return {"trial": trial, **asdict(cfg), "features": ",".join([*own.numeric, *own.categorical]), **got.asDict()}
+
+    rows = _each(list(enumerate(candidates)), one, parallelism)
+    return folds.sparkSession.createDataFrame(rows)
+
+
 def refit(train: DataFrame, val: DataFrame, feats: Features, cfg: TreeConfig, best_iteration: int) -> PipelineModel:
     """Final fit on train and validation rows with a tenth more rounds than the search kept."""
     return fit(train.unionByName(val), feats, replace(cfg, max_iter=max(1, round(best_iteration * 1.1))))
@@ -179,10 +209,10 @@ def ablation(folds: DataFrame, feats: Features, families: Mapping[str, Sequence[
     sets = {"none": feats} | {name: feats.without(cols) for name, cols in families.items()}
 
     def mae_of(name: str) -> float:
-        oof = cross_validate(folds, sets[name], cfg, parallelism=parallelism)
+        oof = cross_validate(folds, sets[name], cfg, parallelism=1, stored=True)
         return oof.agg(m.mae("y", "prediction")).first()[0]
 
-    maes = {name: mae_of(name) for name in sets}
+    maes = dict(zip(sets, _each(list(sets), mae_of, parallelism)))
     rows = [(n, v, v - maes["none"], bool(v - maes["none"] >= min_gain)) for n, v in maes.items() if n != "none"]
     return folds.sparkSession.createDataFrame(rows, "dropped_family string, mae double, mae_increase double, keep boolean")
 

@@ -107,7 +107,7 @@ def _sketch(src: DataFrame, keys: list[str], probs: list[float], accuracy: int)
     sketch = src.groupBy(*keys).agg(
         F.count("_v").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
     )
-    need = F.lit(2.0 / accuracy) + F.lit(2.0) / F.col("_n")
+    need = F.lit(2.0 / accuracy) + F.try_divide(F.lit(2.0), F.col("_n"))  # null without rows
 
     def edge(i: int, side: int) -> Column:
         p, whole = probs[i], F.col("_max" if side else "_min")

@@ -38,10 +38,14 @@ def _dates(df: DataFrame, cfg: FeatureConfig, reference: Column) -> DataFrame:
     )
 
 
-def monthly_features(df: DataFrame, y: str, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """Baseline feature table: series, calendar, policy, trend and date parts; nothing is left null."""
+def monthly_features(df: DataFrame, y: str, cfg: FeatureConfig = FeatureConfig(), start: Column | None = None) -> DataFrame:
+    """Baseline feature table: series, calendar, policy, trend and date parts; nothing is left null.
+
+    The trend counts months from ``start``, by default the table's first month; rows scored later
+    need the start of the training run.
+    """
     out = ts.add_series_features(df, y, cfg.series, cfg.lags, cfg.windows, pct_change=True)
-    first = df.agg(F.min(cfg.series.date)).scalar()
+    first = df.agg(F.min(cfg.series.date)).scalar() if start is None else start
     out = _dates(out, cfg, first)
     parts = d.calendar_parts(cfg.series.date)
     return out.withColumns({k: parts[k] for k in ("year", "month", "quarter")})

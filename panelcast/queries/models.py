@@ -12,10 +12,10 @@ from panelcast.operators.blend import fold_summary, rank_trials
 from panelcast.operators.panel import model_dataset
 from panelcast.operators.quality import feature_list
 from panelcast.plans import features as plans
-from panelcast.plans import training
+from panelcast.plans import scoring, training
 from panelcast.queries import tables as t
 from panelcast.queries.features import CONFIG
-from panelcast.queries.registry import joined, query, rounded
+from panelcast.queries.registry import cte, joined, query, rounded
 from panelcast.session import cut_lineage, scratch_path
 from panelcast.sources import sinks
 
@@ -128,6 +128,158 @@ def _routing(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mod.routed(train, val, feats, high, SMALL, SMALL).select(*K, Y, "prediction", "route"))
 
 
+# Stumps: one round, depth one, no sampling, on features with fewer values than bins.  The split with the
+# largest fall of the squared error and the two leaf means are plain SQL, so every prediction is checked.
+STUMP = mod.TreeConfig(max_depth=1, max_iter=1, step_size=1.0, subsample=1.0, feature_share=1.0, max_bins=1024)
+_F = ("month", "year")
+
+
+def _stump(name: str, rows: str, feats: tuple[str, ...] = _F, y: str = "y", by: str = "0") -> str:
+    """CTEs that leave the best split of ``rows`` in ``name``: by group, feature f, threshold and the leaf means."""
+    each = " UNION ALL ".join(f"SELECT {by} AS g, '{f}' AS f, {i} AS o, CAST({f} AS DOUBLE) AS v, CAST({y} AS DOUBLE) AS t FROM {rows}" for i, f in enumerate(feats))
+    return f"""{name}_c AS (SELECT g, f, o, v, count(*) AS n, sum(t) AS s FROM ({each}) GROUP BY ALL),
+{name}_p AS (SELECT g, f, o, v, lead(v) OVER w AS nv, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY g, f) AS n,
+  sum(s) OVER (PARTITION BY g, f) AS s FROM {name}_c WINDOW w AS (PARTITION BY g, f ORDER BY v)),
+{name} AS (SELECT g, f, (v + nv) / 2 AS thr, sl / nl AS lo, (s - sl) / (n - nl) AS hi FROM {name}_p WHERE nv IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(sl * sl / nl + (s - sl) * (s - sl) / (n - nl), 6) DESC, o, v) = 1)"""
+
+
+def _leaf(feats: tuple[str, ...] = _F, s: str = "s") -> str:
+    """Prediction of a row from the split ``s``."""
+    return f"CASE WHEN (CASE {s}.f " + " ".join(f"WHEN '{f}' THEN {f}" for f in feats) + f" END) <= {s}.thr THEN {s}.lo ELSE {s}.hi END"
+
+
+cte("stump_rows", f"""SELECT state, district, p.month_date, {Y} AS y, month(p.month_date) AS month, year(p.month_date) AS year, i,
+  i > (SELECT max(i) FROM month_rank) - 12 AS is_val FROM panel_s p JOIN month_rank m ON p.month_date = m.month_date""")
+cte("stump_train", "SELECT * FROM stump_rows WHERE NOT is_val")
+cte("stump_val", "SELECT * FROM stump_rows WHERE is_val")
+cte("stump_folds", """SELECT r.*, 3 - f AS fold, CASE WHEN i >= n - 2 - f THEN 'val' ELSE 'train' END AS role
+  FROM stump_rows r, (SELECT max(i) + 1 AS n FROM month_rank), (SELECT unnest([0, 1, 2]) AS f)
+  WHERE i BETWEEN n - 2 - f AND n - 1 - f OR i < n - 3 - f""")
+
+
+def _plain(spark: SparkSession, sf: str) -> DataFrame:
+    return t.enrol_panel(spark, sf, True).withColumns({"month": F.month("month_date"), "year": F.year("month_date")})
+
+
+def _stump_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, mod.Features]:
+    rows = cut_lineage(splits.last_months_split(cut_lineage(_plain(spark, sf)), n_months=12))
+    return rows.where("split = 'train'").drop("split"), rows.where("split = 'val'").drop("split"), mod.Features(_F, Y)
+
+
+def _stump_folds(spark: SparkSession, sf: str) -> tuple[DataFrame, mod.Features]:
+    df = cut_lineage(_plain(spark, sf))
+    table = splits.expanding_folds(df, n_folds=3, gap_months=1, min_train_months=12, val_months=2)
+    return cut_lineage(splits.assign_folds(df, table)), mod.Features(_F, Y)
+
+
+@query("stump_forecast", "M1 M3", f"""WITH {_stump('s', 'stump_train')}
+SELECT state, district, month_date, y AS {Y}, R[{_leaf()}] AS prediction, R[y - {_leaf()}] AS residual FROM stump_val, s""")
+def _stump_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    train, val, feats = _stump_split(spark, sf)
+    return rounded(mod.score(mod.fit(train, feats, STUMP), val, Y).select(*K, Y, "prediction", "residual"))
+
+
+@query("stump_forest", "M2", f"""WITH {_stump('s', 'stump_train')}
+SELECT state, district, month_date, R[{_leaf()}] AS prediction FROM stump_val, s""")
+def _stump_forest(spark: SparkSession, sf: str) -> DataFrame:
+    train, val, feats = _stump_split(spark, sf)
+    tree = mod.TreeConfig(kind="forest", max_depth=1, max_iter=1, subsample=1.0, feature_share=1.0, bootstrap=False)
+    return rounded(mod.score(mod.fit(train, feats, tree), val).select(*K, "prediction"))
+
+
+@query("stump_cross_validation", "M4 D4", f"""WITH tr AS (SELECT * FROM stump_folds WHERE role = 'train'), {_stump('s', 'tr', by='fold')}
+SELECT CAST(fold AS INTEGER) AS fold, state, district, month_date, CAST(y AS BIGINT) AS y, R[{_leaf()}] AS prediction
+FROM stump_folds JOIN s ON g = fold WHERE role = 'val'""")
+def _stump_oof(spark: SparkSession, sf: str) -> DataFrame:
+    rows, feats = _stump_folds(spark, sf)
+    return rounded(mod.cross_validate(rows, feats, STUMP, K, stored=True))
+
+
+_TRIALS = {"month,year": _F, "month": ("month",), "year": ("year",)}
+_TRIAL_SQL = " UNION ALL ".join(
+    f"""SELECT CAST({i} AS BIGINT) AS trial, '{name}' AS features, fold, avg(abs(y - {_leaf(feats, f's{i}')})) AS mae
+  FROM stump_folds JOIN s{i} ON g = fold WHERE role = 'val' GROUP BY fold""" for i, (name, feats) in enumerate(_TRIALS.items()))
+
+
+@query("stump_search_over_folds", "M5 T6", "WITH tr AS (SELECT * FROM stump_folds WHERE role = 'train'), "
+       + ", ".join(_stump(f"s{i}", "tr", f, by="fold") for i, f in enumerate(_TRIALS.values()))
+       + f""" SELECT trial, features, R[avg(mae)] AS val_mae, R[stddev_samp(mae)] AS val_mae_std, count(*) AS n_folds FROM ({_TRIAL_SQL}) GROUP BY ALL""")
+def _stump_search(spark: SparkSession, sf: str) -> DataFrame:
+    rows, feats = _stump_folds(spark, sf)
+    trials = mod.search_folds(rows, feats, [(STUMP, mod.Features(f, Y)) for f in _TRIALS.values()])
+    return rounded(trials.select("trial", "features", "val_mae", "val_mae_std", "n_folds"))
+
+
+@query("stump_importance", "M7 F16", f"""WITH {_stump('s', 'stump_train')}
+SELECT n AS feature, 'calendar' AS family, CASE WHEN n = f THEN 1.0e0 ELSE 0.0e0 END AS importance FROM s, (SELECT unnest(['month', 'year']) AS n)""")
+def _stump_importance(spark: SparkSession, sf: str) -> DataFrame:
+    train, _, feats = _stump_split(spark, sf)
+    return rounded(mod.importance(mod.fit(train, feats, STUMP), feats, train).select("feature", "family", "importance"))
+
+
+@query("stump_ablation", "M8", "WITH tr AS (SELECT * FROM stump_folds WHERE role = 'train'), "
+       + ", ".join(_stump(f"s{i}", "tr", f, by="fold") for i, f in enumerate(_TRIALS.values())) + ", "
+       + ", ".join(f"e{i} AS (SELECT avg(abs(y - {_leaf(f, f's{i}')})) AS mae FROM stump_folds JOIN s{i} ON g = fold WHERE role = 'val')"
+                   for i, f in enumerate(_TRIALS.values()))
+       + """ SELECT 'year' AS dropped_family, R[e1.mae] AS mae, R[e1.mae - e0.mae] AS mae_increase, e1.mae - e0.mae >= 0.01 AS keep FROM e0, e1
+  UNION ALL SELECT 'month', R[e2.mae], R[e2.mae - e0.mae], e2.mae - e0.mae >= 0.01 FROM e0, e2""")
+def _stump_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    rows, feats = _stump_folds(spark, sf)
+    return rounded(mod.ablation(rows, feats, {"month": ["month"], "year": ["year"]}, STUMP, min_gain=0.01))
+
+
+_F2 = (*_F, "base_pred")
+
+
+@query("stump_residual_booster", "M9", f"""WITH {_stump('s', 'stump_train')},
+lt AS (SELECT stump_train.*, {_leaf()} AS base_pred, y - {_leaf()} AS e FROM stump_train, s), {_stump('u', 'lt', _F2, 'e')},
+v AS (SELECT stump_val.*, {_leaf()} AS base_pred FROM stump_val, s)
+SELECT state, district, month_date, R[base_pred] AS base_pred, R[{_leaf(_F2, 'u')}] AS residual_pred, R[base_pred + {_leaf(_F2, 'u')}] AS boosted_pred,
+  R[abs(y - base_pred - {_leaf(_F2, 'u')})] AS ae_boosted FROM v, u""")
+def _stump_residual(spark: SparkSession, sf: str) -> DataFrame:
+    train, val, feats = _stump_split(spark, sf)
+    return rounded(mod.residual_booster(train, val, feats, STUMP, STUMP).select(*K, "base_pred", "residual_pred", "boosted_pred", "ae_boosted"))
+
+
+@query("stump_routing", "M10", f"""WITH hi AS (SELECT * FROM stump_train WHERE month >= 9), {_stump('s', 'stump_train')}, {_stump('u', 'hi')}
+SELECT state, district, month_date, CASE WHEN month >= 9 THEN 'high_volume' ELSE 'general' END AS route,
+  R[CASE WHEN month >= 9 THEN {_leaf(_F, 'u')} ELSE {_leaf()} END] AS prediction FROM stump_val, s, u""")
+def _stump_routing(spark: SparkSession, sf: str) -> DataFrame:
+    train, val, feats = _stump_split(spark, sf)
+    return rounded(mod.routed(train, val, feats, F.col("month") >= 9, STUMP, STUMP).select(*K, "route", "prediction"))
+
+
+@query("stump_champion_scores", "K6 M3", f"""WITH {_stump('s', 'stump_train', ('year',))}
+SELECT state, district, month_date, 'v2' AS version, R[{_leaf(('year',))}] AS prediction FROM stump_val, s""")
+def _stump_champion(spark: SparkSession, sf: str) -> DataFrame:
+    registry = scratch_path(spark, "registry")
+    train, val, _ = _stump_split(spark, sf)
+    for version, feats in (("v1", ("month",)), ("v2", ("year",))):
+        path = sinks.save_model_version(mod.fit(train, mod.Features(feats, Y), STUMP), registry, version)
+        sinks.set_champion(spark, registry, version, f"2024-01-0{version[1]} 00:00:00", path)
+    champion = sinks.current_champion(spark, registry).first()
+    scored = mod.score(PipelineModel.load(champion["path"]), val)
+    return rounded(scored.select(F.lit(champion["version"]).alias("version"), *K, "prediction"))
+
+
+_NEW = ("months_since_start", "month")
+
+
+@query("new_month_scores", "M3 K6 C3", f"""WITH r AS (SELECT *, datediff('month', (SELECT min(month_date) FROM panel_s), month_date) AS months_since_start,
+  i > (SELECT max(i) FROM month_rank) - 2 AS is_new FROM stump_rows), tr AS (SELECT * FROM r WHERE NOT is_new),
+{_stump('s', 'tr', _NEW)}
+SELECT state, district, month_date, 'v1' AS version, R[{_leaf(_NEW)}] AS prediction FROM r, s WHERE is_new""")
+def _new_months(spark: SparkSession, sf: str) -> DataFrame:
+    """Two new months scored by a stored model; their trend goes on from the training run's start."""
+    registry = scratch_path(spark, "registry")
+    df = splits.last_months_split(cut_lineage(t.enrol_panel(spark, sf, True)), n_months=2)
+    known, new = (cut_lineage(df.where(F.col("split") == x).drop("split")) for x in ("train", "val"))
+    scoring.train_and_store(spark, known, mod.Features(_NEW, Y), STUMP, registry, "v1", CONFIG)
+    recent = known.where(F.col("month_date") >= F.add_months(known.agg(F.max("month_date")).scalar(), -12))
+    return rounded(scoring.score_new(spark, recent, new, registry, CONFIG).select(*K, "version", "prediction"))
+
+
 @query("residual_booster_identity", "M9", f"""SELECT state, district, p.month_date, {Y} AS y_true, true AS adds_up
   FROM panel_s p JOIN month_rank m ON p.month_date = m.month_date WHERE i > (SELECT max(i) FROM month_rank) - 12""")
 def _residual_identity(spark: SparkSession, sf: str) -> DataFrame:

@@ -47,9 +47,10 @@ def _rows(cols, rows):
     return sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
-def difference(spark, con, q, sf_dir: str) -> str | None:
-    """None when columns, types and values agree, else what differs."""
+def difference(spark, con, q, sf_dir: str, seen=lambda df: None) -> str | None:
+    """None when columns, types and values agree, else what differs; ``seen`` gets the frame that ran."""
     df = q.run(spark, sf_dir)
+    seen(df)
     got = [tuple(r) for r in df.collect()]
     if q.sql is None:
         return None if got else "no rows"

@@ -53,6 +53,13 @@ def test_quantiles_of_every_size_in_one_table(spark, tied):
         check(rows.repartition(9), {(n,): v for n, v in groups.items()}, ["k"], refine=refine)
 
 
+def test_quantiles_of_nothing(spark):
+    none = spark.createDataFrame([(1, None)], "k int, v double")
+    assert exact_quantiles(none, "v", PROBS, ["k"]).count() == 0
+    row = exact_quantiles(none, "v", PROBS, [], refine=1).collect()
+    assert all(v is None for r in row for v in r)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e6, 1e6, allow_nan=False), min_size=1, max_size=40))
 def test_quantiles_of_small_groups(spark, values):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators.panel import monthly_sums
-from panelcast.session import scratch_path
+from panelcast.session import scratch_path, shared_dir
 from panelcast.sources import readers, sinks
 from panelcast.streaming import incremental as inc
 
@@ -82,3 +82,54 @@ def test_late_rows_are_counted(spark):
         stream = inc.tumbling_stream(spark.readStream.schema(schema).parquet(f"{path}/in"), "ts", ["k"], aggs, lateness="1 day")
         query = inc.run_available(stream, inc.changed_rows_writer(f"{path}/out"), f"{path}/checkpoint")
     assert inc.rows_dropped_as_late(query) == 1
+    with pytest.raises(ValueError, match="1 rows"):
+        inc.require_no_late_rows(query)
+
+
+def test_folded_batches_keep_the_newest_rows(spark):
+    path, keys = scratch_path(spark, "t"), ["k"]
+    write = inc.changed_rows_writer(path)
+    for b, rows in enumerate(([("a", 1), ("b", 1)], [("a", 2)], [("c", 3)], [("b", 4)])):
+        write(spark.createDataFrame(rows, "k string, v int"), b)
+    before = sorted(inc.latest_rows(spark, path, keys).collect())
+    for _ in range(2):  # a repeated fold changes nothing
+        inc.fold_batches(spark, path, keys, 3)
+        assert sorted(inc.latest_rows(spark, path, keys).collect()) == before == [("a", 2), ("b", 4), ("c", 3)]
+        assert spark.read.parquet(path).count() == 3
+    write(spark.createDataFrame([("a", 9)], "k string, v int"), 4)
+    assert dict(inc.latest_rows(spark, path, keys).collect()) == {"a": 9, "b": 4, "c": 3}
+
+
+def test_refresh_folds_as_it_goes(spark):
+    path = scratch_path(spark, "t")
+    for month in (1, 2, 3, 4, 5):
+        fact(spark, [date(2024, month, 5)] * month).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(FACT).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    inc.incremental_refresh(spark, stream, ["state", "district"], "date", "n", f"{path}/out", f"{path}/checkpoint", compact_every=2)
+    panel = inc.latest_rows(spark, f"{path}/out/panel", ["state", "district", "month_date"])
+    assert sorted(r["n"] for r in panel.collect()) == [1, 2, 3, 4, 5]
+    assert spark.read.parquet(f"{path}/out/panel").count() == 5
+
+
+def test_a_header_is_bounded_and_paths_are_spelled_for_arrow(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.csv").write_text("b" * (2 << 20))
+    with pytest.raises(Exception, match="no line end"):
+        readers.header_check(spark, {"x": str(tmp_path / "x")}).collect()
+    spelled = "s3a://bucket/key"
+    for spark_way, arrow_way in readers.SPELLINGS:
+        spelled = readers.re.sub(spark_way, arrow_way, spelled)
+    assert spelled == "s3://bucket/key"
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Context:
+        master = "local-cluster[2,1,1024]"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
