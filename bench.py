@@ -11,7 +11,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from panelcast.queries import QUERIES  # noqa: E402
-from panelcast.session import local_session  # noqa: E402
+from panelcast.session import drop_scratch, local_session  # noqa: E402
 
 HEADLINE = (
     "district_month_panel",
@@ -59,6 +59,7 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - start, 3)
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "headline_queries_wall_time", "value": total, "unit": "sec", "queries": seconds, "sf": sf_dir}))
+    drop_scratch(spark)
     spark.stop()
 
 

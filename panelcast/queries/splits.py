@@ -94,13 +94,24 @@ def _summary(spark: SparkSession, sf: str) -> DataFrame:
     return s.split_sizes(_assigned(spark, sf), "month_date", ("fold", "role"))
 
 
-@query("row_count_folds", "D5", f"""WITH r AS (SELECT *, {_POS} AS pos, (SELECT count(*) FROM panel_s) AS n FROM panel_s),
+def _row_folds_sql(first: str) -> str:
+    return f"""WITH r AS (SELECT *, {_POS} AS pos, (SELECT count(*) FROM panel_s) AS n FROM panel_s),
 f AS (SELECT r.*, fold, n - (4 - fold) * (n // 4) AS start FROM r, (SELECT unnest([1, 2, 3]) AS fold))
 SELECT state, district, month_date, {Y}, CAST(pos AS BIGINT) AS position, CAST(fold AS INTEGER) AS fold,
   CASE WHEN pos < start - 50 THEN 'train' ELSE 'val' END AS role FROM f
-WHERE (pos >= greatest(0, start - 50 - 3000) AND pos < start - 50) OR (pos >= start AND pos < start + n // 4)""")
+WHERE (pos >= {first} AND pos < start - 50) OR (pos >= start AND pos < start + n // 4)"""
+
+
+@query("row_count_folds", "D5", _row_folds_sql("0"))
 def _row_folds(spark: SparkSession, sf: str) -> DataFrame:
-    return s.row_folds(t.enrol_panel(spark, sf, True), ORDER, n_splits=3, gap=50, max_train_size=3000)
+    """Training takes every row before the gap."""
+    return s.row_folds(cut_lineage(t.enrol_panel(spark, sf, True)), ORDER, n_splits=3, gap=50)
+
+
+@query("row_count_folds_with_train_limit", "D5", _row_folds_sql("greatest(0, start - 50 - 3000)"))
+def _row_folds_limited(spark: SparkSession, sf: str) -> DataFrame:
+    """The learner's sliding window: only the last 3,000 rows before the gap train."""
+    return s.row_folds(cut_lineage(t.enrol_panel(spark, sf, True)), ORDER, n_splits=3, gap=50, max_train_size=3000)
 
 
 @query("split_union", "U2 D2", f"""SELECT state, district, month_date, {Y} FROM panel_s WHERE month_date <= DATE '2000-06-30'""")

@@ -51,9 +51,31 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    """The application's own folder below the shared one; Hadoop removes it when the driver's JVM ends."""
+    sc = spark.sparkContext
+    root = f"{shared_dir(spark)}/panelcast-{sc.applicationId}"
+    if getattr(sc, "_panelcast_scratch", None) != root:
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._panelcast_scratch = root
+    return root
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application now; call it when a job's results are stored."""
+    sc = spark.sparkContext
+    if root := getattr(sc, "_panelcast_scratch", None):
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        sc._panelcast_scratch = None
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for an intermediate table."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for an intermediate table, below the application's folder in the shared one."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

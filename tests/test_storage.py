@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators.panel import monthly_sums
-from panelcast.session import scratch_path, shared_dir
+from panelcast.session import cut_lineage, drop_scratch, scratch_path, shared_dir
 from panelcast.sources import readers, sinks
 from panelcast.streaming import incremental as inc
 
@@ -122,6 +122,17 @@ def test_a_header_is_bounded_and_paths_are_spelled_for_arrow(spark, tmp_path):
     assert spelled == "s3://bucket/key"
 
 
+def test_scratch_tables_are_dropped_together(spark):
+    df = cut_lineage(fact(spark, [date(2024, 1, 5)]))
+    path = scratch_path(spark, "t")
+    df.write.parquet(path)
+    assert spark.read.parquet(path).count() == 1
+    drop_scratch(spark)
+    assert not readers.existing_paths(spark, [path])
+    drop_scratch(spark)
+    assert cut_lineage(fact(spark, [date(2024, 1, 5)])).count() == 1  # a later job starts a folder of its own
+
+
 def test_a_cluster_must_name_its_shared_folder():
     class Context:
         master = "local-cluster[2,1,1024]"
