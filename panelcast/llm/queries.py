@@ -97,7 +97,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without the words of 35-word windows that start anywhere else too."""
     rows = remove_repeats(_documents(spark, sf_dir))
-    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "n_factors")
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,12 +116,45 @@ QUERIES: dict[str, Query] = {
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
+
+_NIBBLES = "['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']"
+_BITS = f"list_aggregate(list_transform(string_split(sha1(payload), ''), lambda h: {_NIBBLES}[instr('0123456789abcdef', h)]), 'string_agg', '')"
+_FIVE = "substr(bits, 5 * i + 1, 5)"
+_VALUE = " + ".join(f"CAST(substr({_FIVE}, {k + 1}, 1) AS INTEGER) * {16 >> k}" for k in range(5))
 
 #: DuckDB SQL that gives the same rows, where SQL can express the query.
 SQL: dict[str, str] = {
+    "op1_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        b AS (SELECT page_id, payload, {_BITS} AS bits, min(page_id) OVER (PARTITION BY payload) AS least FROM p)
+        SELECT page_id, strlen(payload) AS payload_bytes,
+          list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {_VALUE} + 1, 1)), 'string_agg', '') AS payload_digest,
+          CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to FROM b""",
+    "op3_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_words(_FOLD)} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS g FROM w),
+        n AS (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY ALL),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        linked AS (SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+        edges AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+        reach AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.seen = e.a)
+        SELECT n.doc_id, n.n AS n_shingles, min(seen) AS component_id FROM n JOIN reach USING (doc_id) GROUP BY ALL""",
     "op7_stream_dedup": f"""
         WITH d AS (SELECT doc_id, {_FOLD} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op9_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_words("coalesce(text, '')")} AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+        dup AS (SELECT doc_id, i FROM win WHERE g IN (SELECT g FROM win GROUP BY g HAVING count(*) > 1)),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM dup),
+        word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+        kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.j) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY word.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
 }
