@@ -23,8 +23,11 @@ from pyspark.sql import types as T
 
 from panelcast.session import cut_lineage, scratch_path
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; a store is closed when its task has committed, so that only running tasks hold one open.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 _LOG = "doc_id bigint, size bigint, digest binary, path string, row bigint"
 
 
@@ -63,8 +66,9 @@ def update(
     prints = _located(new).select("doc_id", F.octet_length(text).cast("bigint").alias("size"), digest(text).alias("digest"), "path", "row")
     log = prints.writeStream.format("parquet").option("checkpointLocation", f"{state}/log_checkpoint").trigger(availableNow=True)
     log.start(f"{state}/log").awaitTermination()
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         index = (
             spark.readStream.schema(_LOG).parquet(f"{state}/log").groupBy("digest", "size")
@@ -73,7 +77,8 @@ def update(
         run = index.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{state}/index").trigger(availableNow=True)
         run.start().awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def _index(spark: SparkSession, state: str) -> DataFrame:
@@ -86,7 +91,8 @@ def _index(spark: SparkSession, state: str) -> DataFrame:
 def _differing(spark: SparkSession, folder: str, schema: T.StructType, marked: DataFrame) -> DataFrame:
     """Rows whose text is not that of the row their digest keeps, with their text."""
     hits = marked.where("n > 1").select("path", "row", "digest", "size", F.col("keep.path").alias("_path"), F.col("keep.row").alias("_row"))
-    texts = _located(spark.read.schema(schema).parquet(folder)).join(hits, ["path", "row"])
+    # all texts move once to meet the hits; only those of the hits are kept, and read twice
+    texts = cut_lineage(_located(spark.read.schema(schema).parquet(folder)).join(hits, ["path", "row"]))
     stays = F.expr("path = _path AND row = _row")
     kept = texts.where(stays).select("digest", "size", F.col("text").alias("_text"))
     pairs = texts.where(~stays).join(kept, ["digest", "size"])
