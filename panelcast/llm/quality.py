@@ -2,7 +2,7 @@
 
 Every rule compares one measure of a text with a cutoff.  For each rule the cutoffs are tried from
 lenient to strict.  A cutoff is accepted in a stratum when an exact (Clopper-Pearson) upper bound on
-the share of good documents it rejects is at most the rule's share of ``risk``; the first refusal ends
+the share of good documents it rejects is at most the rule's part of ``risk``; the first refusal ends
 the sequence, so only the families (strata x rules) need a Bonferroni correction.  With probability
 1 - ``error`` over the labels no stratum loses more than ``risk`` of its good documents to all rules
 together.  A stratum with too few labels to certify a rule goes without it.
@@ -37,13 +37,14 @@ class Rule:
     name: str
     share: str
     cutoffs: tuple[float, ...]
+    weight: float = 1.0
 
 
-#: Cutoffs from lenient to strict, fixed before any label is seen.
+#: Cutoffs from lenient to strict, and each rule's weight in the risk, fixed before any label is seen.
 RULES = (
-    Rule("symbols", "n_symbols / greatest(word_chars, 1)", (0.30, 0.20, 0.15, 0.10, 0.07, 0.05, 0.03)),
-    Rule("capitals", "n_upper / greatest(n_letters, 1)", (0.95, 0.90, 0.80, 0.60, 0.40, 0.25, 0.15)),
-    Rule("exclaims", "n_exclaims / greatest(n_words, 1)", (1.0, 0.8, 0.6, 0.4, 0.25, 0.15, 0.10)),
+    Rule("symbols", "n_symbols / greatest(word_chars, 1)", (0.30, 0.20, 0.15, 0.10, 0.07, 0.05, 0.03), 3),
+    Rule("capitals", "n_upper / greatest(n_letters, 1)", (0.95, 0.90, 0.80, 0.60, 0.40, 0.25, 0.15), 2),
+    Rule("exclaims", "n_exclaims / greatest(n_words, 1)", (1.0, 0.8, 0.6, 0.4, 0.25, 0.15, 0.10), 2),
     Rule("repeats", "n_repeat_words / greatest(n_words, 1)", (0.50, 0.45, 0.40, 0.35, 0.30, 0.25, 0.20)),
     Rule("repeated lines", "n_dup_lines / greatest(n_lines, 1)", (0.60, 0.50, 0.40, 0.30, 0.25, 0.20, 0.15)),
     Rule("few different words", "1 - n_distinct / greatest(n_words, 1)", (0.98, 0.95, 0.92, 0.90, 0.85)),
@@ -171,12 +172,12 @@ def certify(measured: DataFrame, labels: DataFrame, config: QualityConfig = Qual
     for r in rows:
         counts.setdefault(r["stratum"], {}).setdefault(r["rule"], {})[r["level"]] = r["count"]
     families = max(1, len(counts) * len(config.rules))
-    share = config.risk / max(1, len(config.rules))
+    weights = sum(r.weight for r in config.rules)
     out: dict[str | None, dict[str, float]] = {}
     for stratum, by_rule in counts.items():
         out[stratum] = {}
         for i, rule in enumerate(config.rules):
-            by_level = by_rule.get(i, {})
+            by_level, share = by_rule.get(i, {}), config.risk * rule.weight / weights
             n = sum(by_level.values())
             # shares above cutoff j: a level counts the cutoffs exceeded, the lenient ones are the last to be
             for j, cutoff in enumerate(rule.cutoffs):
