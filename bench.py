@@ -43,6 +43,7 @@ HEADLINE = (
     "message_triage",
     "incremental_monthly_events",
     "booster_forecast",
+    "training_run_decision",
 )
 
 

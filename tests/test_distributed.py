@@ -1,8 +1,11 @@
 """Exact quantiles, global positions and their behaviour under skew and partitioning."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
+from compare import connect, difference
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from panelcast.operators import ranking as r
 from panelcast.operators.evaluate import histogram
 from panelcast.operators.quantiles import exact_quantiles
-from panelcast.queries import QUERIES
+from panelcast.queries import QUERIES, tables
 
 PROBS = {"p0": 0.0, "p1": 0.01, "third": 1 / 3, "half": 0.5, "p90": 0.9, "p100": 1.0}
 
@@ -106,3 +109,29 @@ def test_result_does_not_depend_on_partitioning(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] == seen[1] and seen[0]
+
+
+def test_each_fact_moves_a_table_once(spark):
+    """Exchanges of the fact plans when nothing is broadcast: one for each join side and one for the sums."""
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        plans = [f._jdf.queryExecution().executedPlan().toString() for f in tables.monthly(spark, "/root/testdata/sf0.001")]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [3, 5, 4]
+    assert all(p.count("/lineitem.parquet") == n for p, n in zip(plans, (0, 1, 1)))
+
+
+def test_panel_with_a_hot_customer_order_and_supplier(spark, tmp_path):
+    for path in Path("/root/testdata/sf0.001").iterdir():
+        (tmp_path / path.name).symlink_to(path)
+    for name, column in (("orders", "o_custkey"), ("lineitem", "l_suppkey"), ("lineitem", "l_orderkey")):
+        rows = pd.read_parquet(tmp_path / f"{name}.parquet")
+        rows.loc[rows.index % 3 == 0, column] = rows[column].iloc[0]
+        (tmp_path / f"{name}.parquet").unlink()
+        rows.to_parquet(tmp_path / f"{name}.parquet", index=False)
+    assert difference(spark, connect(str(tmp_path)), QUERIES["district_month_panel"], str(tmp_path)) is None
