@@ -9,7 +9,9 @@ from dataclasses import dataclass, field
 import numpy as np
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp svg math select".split())
+#: Their content is not page text: up to the closing tag or the end of the page, or only if they are closed.
+RAW = frozenset("script style textarea title iframe xmp".split())
+HIDDEN = frozenset("noscript template svg math select".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -64,7 +66,7 @@ class Tree:
 def parse(page: str) -> Tree:
     """The tree of a whole page; unclosed, misplaced and cut-off tags are tolerated, raw elements carry no text."""
     tree, stack, opened, block, at, n = Tree(), [0], {}, 0, 0, len(page)
-    tags, parents, pieces = tree.tag, tree.parent, tree.pieces
+    tags, parents, pieces, unclosed = tree.tag, tree.parent, tree.pieces, set()
 
     def pop_to(depth: int) -> None:
         nonlocal block
@@ -109,9 +111,11 @@ def parse(page: str) -> Tree:
                         pop_to(d)
                         break
             continue
-        if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
+        if name in RAW or name in HIDDEN:
+            close = None if name in unclosed else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if close is None:
+                unclosed.add(name)  # nor is any later one
+            at = close.end() if close else n if name in RAW else at
             continue
         if name in _CLOSES_P:
             end(("p",), ("table", "td", "th", "button"))

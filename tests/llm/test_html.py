@@ -24,6 +24,7 @@ def text_of(page):
         ("cut <b>off <a href='x", "cut off"),
         ("</p></div>ok</b>", "ok"),
         ("<script>never closed", ""),
+        ("a<svg><text>x</text></svg>b<select><option>c</select>d<svg>e", "abde"),
         ("", ""),
     ],
 )
@@ -35,6 +36,7 @@ def test_deep_and_wide_pages_do_not_break():
     assert text_of("<div>" * 20000 + "x" + "</span>" * 20000) == "x"
     assert text_of("<p>" + "\"'" * 20000 + "<b" * 20000) .startswith("\"'")
     assert len(text_of("<p>a" * 5000).split("\n")) == 5000
+    assert text_of("<svg>a" * 20000) == "a" * 20000
 
 
 def test_a_subtree_is_a_range_of_features():
