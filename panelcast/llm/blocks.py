@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Records gathered in a task before they are packed and passed on.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 
 
 class Packer:
@@ -55,6 +55,21 @@ def bucket_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bucket_names(spark: SparkSession) -> np.ndarray:
+    """A number for each bucket that Spark's hash sends to a partition of its own, so that no task gets several.
+
+    A few numbers for each partition are hashed; the first that falls to a partition names its bucket.
+    """
+    n = bucket_count(spark)
+    tried = 16
+    while True:
+        rows = spark.range(tried * n).select(F.col("id").cast("int").alias("name"))
+        first = rows.groupBy(F.pmod(F.hash("name"), F.lit(n)).alias("part")).agg(F.min("name").alias("name")).collect()
+        if len(first) == n:
+            return np.array([r["name"] for r in sorted(first, key=lambda r: r["part"])], np.int32)
+        tried *= 4
+
+
 #: Bits of a membership bitmap: 4 MB whatever the corpus size.  It only spares work; false hits are harmless.
 BITMAP_BITS = 1 << 25
 
@@ -79,7 +94,3 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = keys.astype(np.uint64) & np.uint64(len(bits) * 8 - 1)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-
-def per_bucket(df: DataFrame, fn: Callable, out_schema: str) -> DataFrame:
-    """Apply ``fn`` to the packed rows of each bucket."""
-    return df.groupBy("bucket").applyInPandas(fn, out_schema)

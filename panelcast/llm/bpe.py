@@ -21,10 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.llm.workers import tidy
+
 #: Longest piece that goes through the matrices.
 LONGEST = 256
-#: Cells of a matrix; entries of a worker's cache of pieces and the longest piece kept there.
-CELLS, CACHE, CACHE_BYTES = 1 << 20, 400_000, 64
+#: Cells of a matrix; entries of a task's cache of pieces and the longest piece kept there.
+CELLS, CACHE, CACHE_BYTES = 1 << 18, 250_000, 64
 #: Characters of a text, or ids, that are turned into Python objects at a time.
 BLOCK = 1 << 20
 _NONE = np.int32(2**31 - 1)
@@ -87,8 +89,8 @@ class Tokenizer:
             todo, at = todo[go], (at[go] + 1) & self.mask
         return out.reshape(shape)
 
-    def _matrix(self, pieces: list[bytes], width: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(place, ids) of pieces of at most ``width`` bytes."""
+    def _matrix(self, pieces: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, number of ids of each, their ids one after another) of pieces of at most ``width`` bytes, as they are done."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         ids = np.full((len(pieces), width), -1, np.int32)
@@ -102,8 +104,8 @@ class Tokenizer:
             rank = ranks[rows, best]
             done = rank == _NONE
             if done.any():
-                for i in np.flatnonzero(done):
-                    yield int(place[i]), ids[i, : lengths[i]]
+                ready = ids[done]
+                yield place[done], lengths[done], ready[ready >= 0]
                 go = ~done
                 ids, ranks, place, lengths, best, rank = ids[go], ranks[go], place[go], lengths[go], best[go], rank[go]
                 if not len(place):
@@ -161,32 +163,37 @@ class Tokenizer:
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers."""
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
-        out = {}
-        for piece in pieces:
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                out[piece] = whole.to_bytes(4, "little")
-            elif len(raw) > LONGEST:
-                out[piece] = self._long(raw).astype("<u4").tobytes()
-            else:
-                by_width.setdefault(max(4, 1 << (len(raw) - 1).bit_length()), []).append((piece, raw))
-        for width, items in by_width.items():
+        pieces = list(pieces)
+        raws = [p.encode() for p in pieces]
+        out = {p: r.to_bytes(4, "little") for p, r in zip(pieces, map(self.ranks.get, raws), strict=True) if r is not None}
+        left = [i for i, p in enumerate(pieces) if p not in out]
+        lengths = np.fromiter((len(raws[i]) for i in left), np.int64, len(left))
+        widths = np.maximum(4, 1 << np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64))
+        order = np.array(left, np.int64)
+        for i in order[lengths > LONGEST].tolist():
+            out[pieces[i]] = self._long(raws[i]).astype("<u4").tobytes()
+        for width in np.unique(widths[lengths <= LONGEST]).tolist():
+            own = order[widths == width].tolist()
             step = max(1, CELLS // width)
-            for a in range(0, len(items), step):
-                part = items[a : a + step]
-                for i, ids in self._matrix([raw for _, raw in part], width):
-                    out[part[i][0]] = ids.astype("<u4").tobytes()
+            for a in range(0, len(own), step):
+                part = own[a : a + step]
+                for places, counts, ids in self._matrix([raws[i] for i in part], width):
+                    blob, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(counts)
+                    for i, x, y in zip(places.tolist(), (ends - 4 * counts).tolist(), ends.tolist(), strict=True):
+                        out[pieces[part[i]]] = blob[x:y]
         return out
 
-    def _known(self, pieces: set[str]) -> dict[str, bytes]:
+    def _learn(self, pieces: list[list[str]]) -> dict[str, bytes]:
         """Puts the pieces into the cache; returns the long ones, which are not kept."""
-        if len(self.cache) + len(pieces) > CACHE:
-            self.cache = {}
-        fresh = self.encode_pieces(pieces.difference(self.cache))
+        have = self.cache
+        new = {p for ps in pieces for p in ps if p not in have}
+        if len(have) + len(new) > CACHE:
+            self.cache, new = {}, set().union(*pieces)
+        fresh = self.encode_pieces(new)
         long = {p: ids for p, ids in fresh.items() if len(p) > CACHE_BYTES}
-        self.cache.update((p, ids) for p, ids in fresh.items() if p not in long)
+        for p in long:
+            del fresh[p]
+        self.cache.update(fresh)
         return long
 
     def _join(self, pieces: list[str], long: dict[str, bytes]) -> bytes:
@@ -196,13 +203,13 @@ class Tokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as packed little-endian integers; each different piece of the batch is merged once."""
         pieces = [self.find(t) if t and len(t) <= BLOCK else [] for t in texts]
-        long = self._known(set().union(*pieces))
+        long = self._learn(pieces)
         out = [self._join(ps, long) for ps in pieces]
         for i, t in enumerate(texts):
             if t and len(t) > BLOCK:  # a block of pieces at a time
                 matches, parts = self.iterate(t), []
                 while ps := [m[0] for m in islice(matches, BLOCK // 8)]:
-                    parts.append(self._join(ps, self._known(set(ps))))
+                    parts.append(self._join(ps, self._learn([ps])))
                 out[i] = b"".join(parts)
         return out
 
@@ -222,43 +229,51 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
 
 
 #: Rows of text that are held as Python strings at a time.
-ROWS = 512
+ROWS = 256
+
+
+def _free(df: DataFrame, *names: str) -> None:
+    if clash := {n.lower() for n in names} & {c.lower() for c in df.columns}:
+        raise ValueError(f"the input already has {sorted(clash)}")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for a in range(0, whole.num_rows, ROWS):
+            yield whole.slice(a, ROWS)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", back: bool = False) -> DataFrame:
     """All columns of ``docs`` and ``_ids``: the token ids of ``text``, packed as little-endian unsigned 32-bit integers.
 
-    Null and empty texts have no ids.  Special tokens are ordinary text.  Other columns, their nulls and
-    repeated rows pass through; a column named ``_ids`` is refused.  An empty table gives an empty one.
+    With ``back`` also ``_bytes``, what the ids decode to, in the same pass.  Null and empty texts have no
+    ids.  Special tokens are ordinary text.  Other columns, their nulls and repeated rows pass through;
+    columns of the new names are refused.  An empty table gives an empty one.
     """
-    if "_ids" in docs.columns:
-        raise ValueError("the input already has a column _ids")
+    new = ["_ids", "_bytes"] if back else ["_ids"]
+    _free(docs, *new)
 
     def run(batches):
         t = tokenizer(path, pattern)
-        for whole in batches:
-            for a in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(a, ROWS)
-                ids = pa.array(t.encode(batch.column(text).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "_ids"])
+        t.cache = {}  # workers outlive their tasks; what they remember does not
+        for batch in _sliced(batches):
+            ids = t.encode(batch.column(text).to_pylist())
+            out = [pa.array(ids, pa.binary())] + ([pa.array(map(t.decode, ids), pa.binary())] if back else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, *new])
+        t.cache = {}
 
-    schema = docs.withColumn("_ids", F.lit(b"")).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), docs.select("*", *(F.lit(b"").alias(n) for n in new)).schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """All columns of ``encoded`` but ``_ids``, which becomes ``_bytes``: the bytes of the tokens one after another; null ids give null."""
-    if "_bytes" in encoded.columns:
-        raise ValueError("the input already has a column _bytes")
+    _free(encoded, "_bytes")
 
     def run(batches):
         t = tokenizer(path, pattern)
-        for whole in batches:
-            for a in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(a, ROWS)
-                raw = [None if x is None else t.decode(x) for x in batch.column("_ids").to_pylist()]
-                rest = batch.drop_columns(["_ids"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(raw, pa.binary())], [*rest.schema.names, "_bytes"])
-
-    schema = encoded.drop("_ids").withColumn("_bytes", F.lit(b"")).schema
-    return encoded.mapInArrow(run, schema)
+        for batch in _sliced(batches):
+            raw = [None if x is None else t.decode(x) for x in batch.column("_ids").to_pylist()]
+            rest = batch.drop_columns(["_ids"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(raw, pa.binary())], [*rest.schema.names, "_bytes"])
+
+    return encoded.mapInArrow(tidy(run), encoded.drop("_ids").withColumn("_bytes", F.lit(b"")).schema)

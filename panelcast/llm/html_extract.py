@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.dom import Tree, block_text, features, parse
+from panelcast.llm.workers import tidy
 
 
 @dataclass(frozen=True)
@@ -200,7 +201,7 @@ def fit(pages: DataFrame, config: ExtractConfig = ExtractConfig()) -> Boosted |
                     out = [pa.array([place]), pa.array([np.concatenate(xs).tobytes()], pa.binary()), pa.array([np.concatenate(ys).tobytes()], pa.binary())]
                     yield pa.RecordBatch.from_arrays(out, ["_at", "x", "y"])
 
-    rows = sorted(drawn.mapInArrow(run, "_at double, x binary, y binary").collect(), key=lambda r: (r["_at"], bytes(r["x"])))
+    rows = sorted(drawn.mapInArrow(tidy(run), "_at double, x binary, y binary").collect(), key=lambda r: (r["_at"], bytes(r["x"])))
     if not rows:
         return None
     y = np.concatenate([np.frombuffer(bytes(r["y"]), bool) for r in rows])
@@ -272,4 +273,4 @@ def extract(pages: DataFrame, model: Boosted | None, config: ExtractConfig = Ext
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.string())], [*rest.schema.names, "text"])
 
     schema = pages.drop("html").withColumn("text", F.lit("")).schema
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(tidy(run), schema)

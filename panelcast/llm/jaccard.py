@@ -29,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.blocks import Packer, bitmap, bucket_count, in_bitmap, schema, unpack
+from panelcast.llm.blocks import Packer, bitmap, bucket_count, bucket_names, in_bitmap, schema, unpack
 from panelcast.llm.graph import components
 from panelcast.llm.words import chunks, mix, shingle_sets
+from panelcast.llm.workers import tidy, tidy_group
 from panelcast.session import cut_lineage
 
 #: Similarity is NUM / DEN; the bounds below follow from it.
@@ -143,7 +144,7 @@ def _node_rows(k: int):
 
     def run(batches):
         for batch, a, b, tokens, at, ids in _sets(batches, k):
-            out = [batch.column("doc_id")[a:b], pa.array(np.diff(at)), pa.array(ids.view(np.int64))]
+            out = [batch.column("doc_id")[a:b], batch.column("_row")[a:b], pa.array(np.diff(at)), pa.array(ids.view(np.int64))]
             for nxt in (False, True):
                 for level in (False, True):
                     s = Signed(tokens, at, nxt, level)
@@ -155,15 +156,17 @@ def _node_rows(k: int):
             cells = np.repeat(np.arange(b - a) * 512, np.diff(at)) + (tokens >> np.uint64(55)).astype(np.int64)
             odd = np.packbits((np.bincount(cells, minlength=(b - a) * 512) & 1).astype(np.uint8).reshape(-1, 512), axis=1)
             out.append(pa.array([x.tobytes() for x in odd], pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "set_id", "a0", "a1", "band_a", "b0", "b1", "band_b", "shape", "odd"])
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "_row", "n", "set_id", "a0", "a1", "band_a", "b0", "b1", "band_b", "shape", "odd"])
 
     return run
 
 
-_NODES = "doc_id bigint, n bigint, set_id bigint, a0 int, a1 int, band_a smallint, b0 int, b1 int, band_b smallint, shape binary, odd binary"
+_NODES = "doc_id bigint, _row bigint, n bigint, set_id bigint, a0 int, a1 int, band_a smallint, b0 int, b1 int, band_b smallint, shape binary, odd binary"
 
 
-def _sign(k: int, buckets: int, level: int, only: np.ndarray | None):
+def _sign(k: int, names: np.ndarray, level: int, only: np.ndarray | None):
+    buckets = len(names)
+
     def run(batches):
         packer = Packer(_RECORD)
         for _, _, _, tokens, at, ids in _sets(batches, k):
@@ -179,12 +182,12 @@ def _sign(k: int, buckets: int, level: int, only: np.ndarray | None):
             for nxt in (False, True):
                 s = Signed(tokens, at, nxt, level == 1)
                 yield from packer.add(
-                    ((s.key >> np.uint64(44)) % np.uint64(buckets)).astype(np.int32),
+                    names[((s.key >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)],
                     band=s.band[s.row], key=s.key & np.uint64(0xFFFFFFFF), id=ids[s.row], weight=s.weight,
                 )
             if level == 1:  # every shingle too, to see which ones only one set holds
                 yield from packer.add(
-                    ((tokens >> np.uint64(44)) % np.uint64(buckets)).astype(np.int32),
+                    names[((tokens >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)],
                     band=np.full(len(tokens), SHINGLE), key=tokens & np.uint64(0xFFFFFFFF),
                     id=np.repeat(ids, np.diff(at)), weight=np.zeros(len(tokens)),
                 )
@@ -434,9 +437,13 @@ def _texts(k: int, only: np.ndarray):
     return run
 
 
+#: Pairs whose texts are held as shingle sets at a time.
+PAIRS = 256
+
+
 def _verify(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, PAIRS) for whole in batches for i in range(0, whole.num_rows, PAIRS)):
             keep = np.zeros(batch.num_rows, bool)
             right = [(tokens, at) for _, _, values, offsets in chunks(batch.column("tb")) for tokens, at in [shingle_sets(values, offsets, k)]]
             right = [t[at[i] : at[i + 1]] for t, at in right for i in range(len(at) - 1)]
@@ -465,16 +472,16 @@ def _bounded_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
     """The different candidate pairs in ``found`` that pass the bound."""
     pairs = found.where(f"kind = {PAIR}").groupBy("bucket").applyInPandas(_distinct_pairs, "a bigint, b bigint")
     left, right = (sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("shape").alias(f"s{c}")) for c in ("a", "b"))
-    return cut_lineage(pairs.join(left, "a").join(right, "b").mapInArrow(_bounded, "a bigint, b bigint"))
+    return cut_lineage(pairs.join(left, "a").join(right, "b").mapInArrow(tidy(_bounded), "a bigint, b bigint"))
 
 
 def _links(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """The pairs that are links, by their texts."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    texts = docs.select("text").mapInArrow(_texts(k, bitmap(ids, F.col("set_id"))), "set_id bigint, text string")
+    texts = docs.select("text").mapInArrow(tidy(_texts(k, bitmap(ids, F.col("set_id")))), "set_id bigint, text string")
     texts = cut_lineage(texts.groupBy("set_id").agg(F.first("text").alias("text")))
     left, right = (texts.select(F.col("set_id").alias(c), F.col("text").alias(f"t{c}")) for c in ("a", "b"))
-    return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(k), "a bigint, b bigint"))
+    return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(tidy(_verify(k)), "a bigint, b bigint"))
 
 
 def _joined(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -485,26 +492,28 @@ def _joined(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_id, component_id of documents linked at a shingle similarity of 3/4.
+    """doc_id, row_hash, n_shingles, set_id, component_id of documents linked at a shingle similarity of 3/4.
 
     ``docs`` has doc_id and text; other columns are ignored.  Null text, empty text and text without
     a word have an empty set: n_shingles 0, linked with nothing, a component of their own, whatever
     others are empty.  Fewer than ``k`` words are one shingle.  Rows repeated with one doc_id come
-    back repeated; copies share a set and thus a component.  An empty table gives an empty one.
+    back repeated; copies share a set and thus a component.  ``row_hash`` is xxhash64(doc_id, text), which tells
+    rows with a null or repeated doc_id apart.  A null doc_id names no component; one of null ids alone has a
+    null component_id.  An empty table gives an empty one.
     Links are exact up to 64-bit hash collisions.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    buckets = bucket_count(spark)
-    nodes = cut_lineage(docs.mapInArrow(_node_rows(k), _NODES))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("_row"))
+    buckets, names = bucket_count(spark), bucket_names(spark)
+    nodes = cut_lineage(docs.mapInArrow(tidy(_node_rows(k)), _NODES))
     sets = cut_lineage(
         nodes.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n", "a0", "a1", "band_a", "b0", "b1", "band_b", "shape", "odd")))
     )
     dealt = sets.drop("shape").withColumn("bucket", _bucket_column("set_id", buckets)).groupBy("bucket")
 
     def matched(level: int, only: np.ndarray | None) -> DataFrame:
-        signed = docs.select("text").mapInArrow(_sign(k, buckets, level, only), schema(_RECORD))
-        return cut_lineage(signed.groupBy("bucket").applyInPandas(_match(buckets, level), _FOUND))
+        signed = docs.select("text").mapInArrow(tidy(_sign(k, names, level, only)), schema(_RECORD))
+        return cut_lineage(signed.groupBy("bucket").applyInPandas(tidy_group(_match(buckets, level)), _FOUND))
 
     found = matched(0, None)
     counts = found.where(f"kind = {COUNT}")
@@ -517,7 +526,7 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
         stuck = cut_lineage(
             again_sets.groupBy("bucket").cogroup(again.where(f"kind IN ({SHARED}, {LONE})").groupBy("bucket")).applyInPandas(_stuck, schema(_STUCK))
         )
-        hubs = stuck.mapInArrow(_by_key(buckets), schema(_STUCK)).groupBy("bucket").applyInPandas(_hub_pairs(buckets), _FOUND)
+        hubs = stuck.mapInArrow(tidy(_by_key(buckets)), schema(_STUCK)).groupBy("bucket").applyInPandas(tidy_group(_hub_pairs(buckets)), _FOUND)
         found = found.unionByName(hubs)
     pairs = _bounded_pairs(sets, found)
     # each set with its least partner first; most other pairs then lie inside a component and need no look
@@ -531,12 +540,12 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     if stuck is not None and not stuck.isEmpty():
         own = label.withColumn("bucket", _bucket_column("node", buckets))
         labelled = stuck.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInPandas(_label(buckets), schema(_LABELLED))
-        cross = _bounded_pairs(sets, labelled.groupBy("bucket").applyInPandas(_cross_pairs(buckets), _FOUND))
+        cross = _bounded_pairs(sets, labelled.groupBy("bucket").applyInPandas(tidy_group(_cross_pairs(buckets)), _FOUND))
         if not cross.isEmpty():
             label = components(links.unionByName(_links(docs, cross, k)))
     joined = sets.join(label, sets["set_id"] == label["node"], "left").select("set_id", "doc", F.coalesce("label", "set_id").alias("label"))
     least = joined.groupBy("label").agg(F.min("doc").alias("component_id"))
     of_set = joined.join(least, "label").select("set_id", "component_id")
     return nodes.join(of_set, "set_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "set_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("_row").alias("row_hash"), F.col("n").alias("n_shingles"), "set_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

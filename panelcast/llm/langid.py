@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.words import chunks
+from panelcast.llm.workers import tidy
 
 
 @dataclass(frozen=True)
@@ -124,7 +125,7 @@ def _sampled(docs: DataFrame, config: KernelConfig) -> list:
                 out = [batch.column("lang")[a:b], batch.column("_at")[a:b], bits, pa.array(letter)]
                 yield pa.RecordBatch.from_arrays(out, ["lang", "_at", "bits", "letter"])
 
-    rows = drawn.mapInArrow(run, "lang string, _at double, bits binary, letter boolean").where("letter").collect()
+    rows = drawn.mapInArrow(tidy(run), "lang string, _at double, bits binary, letter boolean").where("letter").collect()
     return sorted(rows, key=lambda r: (r["lang"], r["_at"], bytes(r["bits"])))
 
 
@@ -201,4 +202,4 @@ def identify(docs: DataFrame, model: KernelModel | None, config: KernelConfig =
             )
 
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.words import chunks, mix, split_words, window_hashes, window_starts, word_hashes
+from panelcast.llm.workers import tidy
 from panelcast.session import cut_lineage
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -123,7 +124,7 @@ def with_measures(docs: DataFrame, prefix: str = "") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(out, [*batch.schema.names, *names])
 
     schema = docs.select("*", *(F.lit(0).cast("bigint").alias(n) for n in names)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _log_tail(k: int, n: int, p: float) -> float:

@@ -59,11 +59,9 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, and the bytes they decode to, as digests."""
-    ids = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), RANKS, PATTERN).drop("text")
-    counted = ids.select(
-        "doc_id", (F.octet_length("_ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"), "_ids"
-    )
-    return bpe.decode(counted, RANKS, PATTERN).select("doc_id", "n_tokens", "ids_sha256", F.sha2("_bytes", 256).alias("decoded_sha256"))
+    rows = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), RANKS, PATTERN, back=True)
+    n = (F.octet_length("_ids") / 4).cast("bigint").alias("n_tokens")
+    return rows.select("doc_id", n, F.sha2("_ids", 256).alias("ids_sha256"), F.sha2("_bytes", 256).alias("decoded_sha256"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.blocks import Packer, bucket_count, unpack
+from panelcast.llm.blocks import Packer, bucket_names, unpack
 from panelcast.llm.words import chunks, mix, split_words, window_hashes, window_starts, word_hashes
+from panelcast.llm.workers import tidy, tidy_group
 
 #: Words in an anchor.
 ANCHOR = 8
 #: Words gathered before equal units of a task are merged and its windows sent off.
-TASK_WORDS = 1 << 22
+TASK_WORDS = 1 << 21
 
 _UNIT = {"doc": "<i8", "start": "<i4", "count": "<i4", "multi": "u1"}
 _FACTOR = {"doc": "<i8", "start": "<i4", "count": "<i4", "src_doc": "<i8", "src_start": "<i4"}
@@ -64,8 +65,8 @@ def _units(doc_ids: np.ndarray, values: np.ndarray, offsets: np.ndarray, k: int)
 class _Sender:
     """Merges equal units of a task and packs the rest by block; equal ones are factors at once."""
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets, self.held, self.parts = buckets, 0, []
+    def __init__(self, names: np.ndarray) -> None:
+        self.names, self.held, self.parts = names, 0, []
 
     def add(self, units: tuple | None) -> Iterator[pa.RecordBatch]:
         if units is not None:
@@ -91,14 +92,14 @@ class _Sender:
         many = np.zeros(len(order), bool)
         many[order] = copies > 1
         sent = ~many | (lead == np.arange(len(order)))
-        bucket = (mix(anchor) % np.uint64(self.buckets)).astype(np.int32)
+        bucket = self.names[(mix(anchor) % np.uint64(len(self.names))).astype(np.int64)]
         yield from self._pack(bucket, sent, doc, start, count, many, first, hashes)
         if many.any():  # an equal unit is in this task: its factor is known; the lead's source is any other
             other = lead.copy()
             second = order[np.flatnonzero(new & (copies > 1)) + 1]
             other[lead[second]] = second
             packer = Packer(_FACTOR)
-            rows = packer.add(doc[many] % self.buckets, doc=doc[many], start=start[many], count=count[many], src_doc=doc[other[many]], src_start=start[other[many]])
+            rows = packer.add(self.names[doc[many] % len(self.names)], doc=doc[many], start=start[many], count=count[many], src_doc=doc[other[many]], src_start=start[other[many]])
             for b in [*rows, *packer.rest()]:
                 empty = pa.array([b""] * b.num_rows, pa.binary())
                 yield pa.RecordBatch.from_arrays(
@@ -122,9 +123,9 @@ class _Sender:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
-def _send(k: int, buckets: int):
+def _send(k: int, names: np.ndarray):
     def run(batches):
-        sender = _Sender(buckets)
+        sender = _Sender(names)
         for batch in batches:
             ids = batch.column("_row").to_numpy(zero_copy_only=False)
             for a, b, values, offsets in chunks(batch.column("text")):
@@ -134,7 +135,7 @@ def _send(k: int, buckets: int):
     return run
 
 
-def _parse_block(buckets: int):
+def _parse_block(names: np.ndarray):
     """Factors of the units of a reference block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -166,7 +167,7 @@ def _parse_block(buckets: int):
         cut = np.flatnonzero(new)
         packer = Packer(_FACTOR)
         d = doc[u[cut]]
-        rows = [*packer.add(d % buckets, doc=d, start=p[cut], count=np.diff(np.append(cut, len(at))), src_doc=sd[cut], src_start=sp[cut]), *packer.rest()]
+        rows = [*packer.add(names[d % len(names)], doc=d, start=p[cut], count=np.diff(np.append(cut, len(at))), src_doc=sd[cut], src_start=sp[cut]), *packer.rest()]
         return pa.Table.from_batches(rows).to_pandas()
 
     return run
@@ -196,22 +197,26 @@ def duplicate_spans(docs: DataFrame, k: int = 35) -> DataFrame:
     """(_doc, _factors, _from, _to): word ranges of the factors of each row of (_row, text) that has any, as packed arrays."""
     if k <= ANCHOR:
         raise ValueError(f"windows must be longer than {ANCHOR} words")
-    buckets = bucket_count(docs.sparkSession)
-    sent = docs.select("_row", "text").mapInArrow(_send(k, buckets), _SENT)
-    parse = _parse_block(buckets)
+    names = bucket_names(docs.sparkSession)
+    sent = docs.select("_row", "text").mapInArrow(tidy(_send(k, names)), _SENT)
+    parse = _parse_block(names)
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         """Units are parsed; factors found inside a task pass through."""
         done, units = pdf.loc[pdf["final"], ["bucket", *_FACTOR]], pdf[~pdf["final"]]
         return pd.concat([done, parse(units)]) if len(units) else done
 
-    factors = sent.groupBy("bucket").applyInPandas(block, "bucket int, " + ", ".join(f"{c} binary" for c in _FACTOR))
-    return factors.groupBy("bucket").applyInPandas(_spans(k), "_doc bigint, _factors int, _from binary, _to binary")
+    factors = sent.groupBy("bucket").applyInPandas(tidy_group(block), "bucket int, " + ", ".join(f"{c} binary" for c in _FACTOR))
+    return factors.groupBy("bucket").applyInPandas(tidy_group(_spans(k)), "_doc bigint, _factors int, _from binary, _to binary")
+
+
+#: Rows whose texts are held as words at a time.
+ROWS = 512
 
 
 def _cut(batches):
     """Word counts and the kept words of every text."""
-    for batch in batches:
+    for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
         counts, removed, kept = [], [], []
         columns = (batch.column(c).to_pylist() for c in ("text", "_from", "_to"))
         for text, a, b in zip(*columns, strict=True):
@@ -243,4 +248,4 @@ def remove_repeats(docs: DataFrame, k: int = 35) -> DataFrame:
     joined = docs.join(spans, docs["_row"] == spans["_doc"], "left").select(
         "doc_id", "text", F.coalesce("_factors", F.lit(0)).alias("n_factors"), "_from", "_to"
     )
-    return joined.mapInArrow(_cut, "doc_id bigint, n_factors int, n_words bigint, n_removed bigint, kept_text string")
+    return joined.mapInArrow(tidy(_cut), "doc_id bigint, n_factors int, n_words bigint, n_removed bigint, kept_text string")

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.llm.workers import tidy
 from panelcast.session import cut_lineage, scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
@@ -120,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, config: WarcConf
     first = keyed.groupBy("_sha", "_size").agg(F.min("page_id").alias("first"))
     first = first.select("_sha", "_size", F.when(F.col("_size") >= config.revisit_bytes, F.col("first")).alias("first"))
     joined = keyed.join(first, ["_sha", "_size"]).select("page_id", "url", "payload", "first")
-    return folder, cut_lineage(joined.mapInArrow(_writer(folder, config), "path string, records bigint"))
+    return folder, cut_lineage(joined.mapInArrow(tidy(_writer(folder, config)), "path string, records bigint"))
 
 
 def _member(raw: memoryview, more: Iterator[bytes]) -> tuple[bytes, int] | None:
@@ -240,7 +241,7 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True, c
     )
     splits = splits.select("path", "start", F.least(F.col("start") + step, F.col("length")).alias("end"))
     dealt = splits.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start")
-    return dealt.mapInArrow(_reader(with_payload), _ROW)
+    return dealt.mapInArrow(tidy(_reader(with_payload)), _ROW)
 
 
 def page_number(uri: str) -> F.Column:

@@ -14,9 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are turned into numpy arrays at a time; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Rows of a chunk at most.
-CHUNK_ROWS = 8192
+CHUNK_ROWS = 2048
 
 SPACES = (9, 10, 11, 12, 13, 32)
 IS_SPACE = np.isin(np.arange(256), SPACES)

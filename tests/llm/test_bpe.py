@@ -37,6 +37,8 @@ def test_ids_and_round_trip(spark, judge):
         text = r["text"] or ""
         assert np.frombuffer(bytes(r["kept"]), "<u4").tolist() == judge.encode_ordinary(text)
         assert bytes(r["_bytes"]) == text.encode()
+    both = bpe.encode(docs, PATH, PATTERN, back=True).select("doc_id", "_ids", "_bytes")
+    assert sorted(both.collect()) == sorted(bpe.decode(ids.withColumn("k", ids["_ids"]), PATH, PATTERN).selectExpr("doc_id", "k AS _ids", "_bytes").collect())
 
 
 def test_blocks_of_long_texts_and_a_small_cache(judge, monkeypatch):

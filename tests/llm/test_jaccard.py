@@ -75,6 +75,8 @@ def test_null_and_repeated_ids_and_empty_tables(spark):
         ("3", 0, "3"), ("4", 0, "4"), ("7", 2, "7"), ("7", 2, "7"), ("None", 2, "None"),
     ]
     assert jaccard_components(documents(spark, [])).count() == 0
+    lone = jaccard_components(documents(spark, ["a b c d e f", "a b c d e f"], [None, None])).collect()
+    assert [r["component_id"] for r in lone] == [None, None]
 
 
 def test_components_of_a_path_a_cycle_and_a_star(spark):
