@@ -28,10 +28,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays; the stream takes the rows from files of its own."""
+def _folder(spark: SparkSession, docs: DataFrame) -> str:
+    """The folder whose files ``docs`` is; anything but a plain scan of one folder is written to a new one."""
+    plain = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
+    folders = {f.rpartition("/")[0] for f in docs.inputFiles()} if plain else set()
+    if len(folders) == 1:
+        folder = folders.pop()
+        if {*spark.read.parquet(folder).inputFiles()} == {*docs.inputFiles()}:
+            return folder
     folder = scratch_path(spark, "stream-input")
     docs.write.parquet(folder)
+    return folder
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays; the stream takes the files the rows stand in."""
+    folder = _folder(spark, docs)
     kept = deduplicate(spark, folder).where("kept").select(F.col("path").alias("_path"), F.col("row").alias("_row"))
     rows = spark.read.schema(docs.schema).parquet(folder).select(
         F.struct(*(f"`{c}`" for c in docs.columns)).alias("_doc"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row")
@@ -40,9 +52,12 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a shingle similarity of 3/4, directly or through others, the one with the least doc_id stays."""
-    gone = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of documents linked at a shingle similarity of 3/4, directly or through others, the one with the least doc_id stays.
+
+    Rows are told apart by id and text; one with a null doc_id stays.
+    """
+    gone = jaccard_components(docs).where("doc_id <> component_id").select(F.col("row_hash").alias("_gone")).distinct()
+    return docs.join(gone, F.xxhash64("doc_id", "text") == F.col("_gone"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +67,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (packed little-endian unsigned 32-bit) and whether they decode to the text."""
-    ids = bpe.encode(docs.select("doc_id", "source", "text"), RANKS, PATTERN).withColumn("ids", F.col("_ids"))
-    back = bpe.decode(ids, RANKS, PATTERN)
+    rows = bpe.encode(docs.select("doc_id", "source", "text"), RANKS, PATTERN, back=True)
     same = F.col("_bytes") == F.coalesce("text", F.lit("")).cast("binary")
-    return back.select("doc_id", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", same.alias("round_trip"))
+    n = (F.octet_length("_ids") / 4).cast("bigint").alias("n_tokens")
+    return rows.select("doc_id", "source", n, F.col("_ids").alias("ids"), same.alias("round_trip"))
 
 
 STAGES: list[tuple[str, Stage]] = [

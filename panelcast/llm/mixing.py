@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelcast.session import cut_lineage
+
 #: Words of a text; null has none.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,7 +43,7 @@ def rotating(position: int) -> Schedule:
 class MixConfig:
     schedule: Callable[[int], Schedule] = rotating
     max_passes: int = 3
-    rows_per_range: int = 20_000
+    rows_per_range: int = 5_000
     seed: int = 0
 
 
@@ -101,10 +103,10 @@ def mix_plan(docs: DataFrame, carry: list[str], config: MixConfig = MixConfig())
         F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_doc"),
         F.col("source").cast("string").alias("source"),
         word_count().alias("size"),
-        F.xxhash64(F.lit(config.seed), "doc_id").alias("_draw"),
-        F.xxhash64("doc_id", "text").alias("_tie"),
+        F.xxhash64(F.lit(config.seed), "doc_id", "text").alias("_draw"),  # null ids are spread by their texts
     )
-    held = docs.select(F.col("source").cast("string").alias("source"), word_count().alias("size")).groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    narrow = cut_lineage(rows.select("source", "size", "_draw"))
+    held = narrow.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     sources = sorted(held.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     schedules = [config.schedule(i) for i in range(len(sources))]
     wanted = targets([r["words"] for r in sources], [integral(s) for s in schedules], config.max_passes)
@@ -115,21 +117,18 @@ def mix_plan(docs: DataFrame, carry: list[str], config: MixConfig = MixConfig())
         ],
         "_source string, source_size long, target double, _ranges long, _pieces array<struct<t0:double,t1:double,w0:double,w1:double,y0:double>>",
     )
-    # a source is a few numbers; the table is as long as the list of sources the driver has just held
-    ranged = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source"))).withColumn(
-        "_range", F.floor(F.shiftrightunsigned("_draw", 11) / F.lit(float(1 << 53)) * F.col("_ranges"))
-    )
-    keys = ["_source", "_range"]
+
+    def in_range(df: DataFrame) -> DataFrame:
+        """With the source's numbers and the range of the hash; the table is as long as the list of sources the driver holds."""
+        share = F.shiftrightunsigned("_draw", 11) / F.lit(float(1 << 53))
+        return df.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_range", F.floor(share * F.col("_ranges")))
+
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")))
-        .groupBy("_source", F.floor(F.shiftrightunsigned("_draw", 11) / F.lit(float(1 << 53)) * F.col("_ranges")).alias("_range"))
-        .agg(F.sum("size").alias("_words"))
-        .select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_start"))
-    )
-    inside = Window.partitionBy(*keys).orderBy("_draw", "_tie", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = in_range(narrow).groupBy("_source", "_range").agg(F.sum("size").alias("_words"))
+    starts = starts.select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_source", "_range").orderBy("_draw", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
-        ranged.withColumn("_upto", F.sum("size").over(inside))
+        in_range(rows).withColumn("_upto", F.sum("size").over(inside))
         .join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
         .withColumn("_middle", F.col("_start") + F.col("_upto") - F.col("size") / 2)
     )
@@ -148,5 +147,13 @@ def mixed(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     Columns are those of ``docs``; a document whose source has more than its target may be left out, one of a
     source with less comes up to ``max_passes`` times.
     """
-    plan = mix_plan(docs, docs.columns, config).select("_doc", F.explode("positions").alias("_at"))
-    return plan.orderBy("_at", F.xxhash64("_doc")).select("_doc.*")
+    columns = [f"`{c}`" for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("_doc"), "doc_id", "source", "text").withColumn("_row", F.xxhash64("_doc"))
+    # places are found without the texts, which then move twice: to their places, and into training order
+    plan = mix_plan(rows.select("doc_id", "source", "text", "_row"), ["_row"], config).select("_doc._row", "positions")
+    plan = plan.where(F.size("positions") > 0).groupBy("_row").agg(F.flatten(F.collect_list("positions")).alias("_all"))
+    placed = rows.select("_row", "_doc").join(plan, "_row")
+    # rows equal in every column have their places together; one of them stands for all
+    first = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+    copies = placed.withColumn("_n", first).where("_n = 1").select("_row", "_doc", F.explode("_all").alias("_at"))
+    return copies.orderBy("_at", "_row").select("_doc.*")

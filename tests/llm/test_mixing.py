@@ -69,6 +69,12 @@ def test_storage_does_not_matter_and_the_mix_is_sorted(spark):
     assert order == sorted(order)
 
 
+def test_equal_rows_have_all_their_copies(spark):
+    docs = documents(spark, ["a b c d"] * 3 + ["e f"] * 2, [1, 1, 1, 2, 2]).withColumn("n", F.lit(1)).withColumn("label", F.lit(1)).withColumn("source", F.lit("s"))
+    docs = docs.withColumn("lang", F.lit("en"))
+    assert sorted(r["doc_id"] for r in mixed(docs).collect()) == [1, 1, 1, 2, 2]
+
+
 def test_schedules_with_level_and_steep_parts(spark):
     config = MixConfig(schedule=lambda i: [(0.0, 0.0), (0.5, 2.0), (0.5000001, 1.0), (1.0, 1.0)])
     plan = mix_plan(documents(spark), ["doc_id"], config).collect()

@@ -48,3 +48,14 @@ def test_stages_follow_each_other(spark, tables):
 def test_run_applies_the_stages(spark, tables):
     folder, _ = tables
     assert sorted(pipeline.run(spark, folder).columns) == ["doc_id", "ids", "n_tokens", "round_trip", "source"]
+
+
+def test_the_stream_reads_the_files_of_a_plain_scan_only(spark, tables):
+    folder, rows = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert pipeline._folder(spark, docs).endswith("/documents.parquet")
+    part = docs.where("doc_id < 20")
+    assert spark.read.parquet(pipeline._folder(spark, part)).count() == 20
+    assert sorted(r["doc_id"] for r in pipeline.exact_copies(spark, part, folder).collect()) == list(range(20))
+    one = spark.read.parquet(docs.inputFiles()[0])
+    assert spark.read.parquet(pipeline._folder(spark, one)).count() == one.count()
