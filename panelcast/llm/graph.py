@@ -8,19 +8,37 @@ from pyspark.sql import functions as F
 from panelcast.session import cut_lineage
 
 
+def stars(label: DataFrame) -> DataFrame:
+    """The links of a component table: as many as nodes, so that more links can be added to it cheaply."""
+    return label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A graph of at most this many links has its minima sent to every task; a larger one joins them by shuffle.
+FEW = 200_000
+
+
+def by_size(df: DataFrame) -> DataFrame:
+    """For the side of a join: a table of a few numbers a row is counted, and sent to every task if it is small."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def _with_least(edges: DataFrame, least: DataFrame, few: bool) -> DataFrame:
+    return edges.join(F.broadcast(least) if few else least, "a")
+
+
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(both.where("b > a"), least, few).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(edges, least, few).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -36,7 +54,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut_lineage(edges)
     before = _state(edges)
     while before[0]:
-        edges = cut_lineage(_small_star(cut_lineage(_large_star(edges))))
+        few = before[0] <= FEW
+        edges = cut_lineage(_small_star(cut_lineage(_large_star(edges, few)), few))
         after = _state(edges)
         if after == before:
             break

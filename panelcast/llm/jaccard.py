@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.blocks import Packer, bitmap, bucket_count, bucket_names, in_bitmap, schema, unpack
-from panelcast.llm.graph import components
+from panelcast.llm.graph import by_size, components, stars
 from panelcast.llm.words import chunks, mix, shingle_sets
 from panelcast.llm.workers import tidy, tidy_group
 from panelcast.session import cut_lineage
@@ -477,17 +477,19 @@ def _bounded_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """The pairs that are links, by their texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
     texts = docs.select("text").mapInArrow(tidy(_texts(k, bitmap(ids, F.col("set_id")))), "set_id bigint, text string")
     texts = cut_lineage(texts.groupBy("set_id").agg(F.first("text").alias("text")))
     left, right = (texts.select(F.col("set_id").alias(c), F.col("text").alias(f"t{c}")) for c in ("a", "b"))
     return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(tidy(_verify(k)), "a bigint, b bigint"))
 
 
-def _joined(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs whose sets are not in one component yet."""
+def _apart(pairs: DataFrame, first: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs that were not first and whose sets are not in one component yet."""
+    label = by_size(label)
     of = {c: label.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in ("a", "b")}
-    known = pairs.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    later = pairs.join(by_size(first).withColumnRenamed("a", "_first"), "b").where("a <> _first")
+    known = later.join(of["a"], "a", "left").join(of["b"], "b", "left")
     return known.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
@@ -530,19 +532,17 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
         found = found.unionByName(hubs)
     pairs = _bounded_pairs(sets, found)
     # each set with its least partner first; most other pairs then lie inside a component and need no look
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = _links(docs, first, k)
-    label = components(links)
-    rest = cut_lineage(_joined(pairs, label).exceptAll(first))
+    first = cut_lineage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    label = components(_links(docs, first, k))
+    rest = cut_lineage(_apart(pairs, first, label))
     if not rest.isEmpty():
-        links = links.unionByName(_links(docs, rest, k))
-        label = components(links)
+        label = components(stars(label).unionByName(_links(docs, rest, k)))
     if stuck is not None and not stuck.isEmpty():
         own = label.withColumn("bucket", _bucket_column("node", buckets))
         labelled = stuck.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInPandas(_label(buckets), schema(_LABELLED))
         cross = _bounded_pairs(sets, labelled.groupBy("bucket").applyInPandas(tidy_group(_cross_pairs(buckets)), _FOUND))
         if not cross.isEmpty():
-            label = components(links.unionByName(_links(docs, cross, k)))
+            label = components(stars(label).unionByName(_links(docs, cross, k)))
     joined = sets.join(label, sets["set_id"] == label["node"], "left").select("set_id", "doc", F.coalesce("label", "set_id").alias("label"))
     least = joined.groupBy("label").agg(F.min("doc").alias("component_id"))
     of_set = joined.join(least, "label").select("set_id", "component_id")

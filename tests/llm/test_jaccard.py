@@ -4,8 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from panelcast.llm import jaccard
-from panelcast.llm.graph import components
+from panelcast.llm import graph, jaccard
+from panelcast.llm.graph import components, stars
 from panelcast.llm.jaccard import jaccard_components
 
 from .data import documents, fold, sentence, texts, words
@@ -79,8 +79,13 @@ def test_null_and_repeated_ids_and_empty_tables(spark):
     assert [r["component_id"] for r in lone] == [None, None]
 
 
-def test_components_of_a_path_a_cycle_and_a_star(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_of_a_path_a_cycle_and_a_star(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     edges = [(i + 1, i) for i in range(40)] + [(101, 102), (102, 103), (103, 101)] + [(500, 200 + i) for i in range(50)] + [(9, 9), (None, 3)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 101 for i in (101, 102, 103)}, **{i: 200 for i in [500, *range(200, 250)]}}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    label = components(spark.createDataFrame(edges[:20] + edges[40:], "a bigint, b bigint"))
+    again = components(stars(label).unionByName(spark.createDataFrame(edges[20:40], "a bigint, b bigint")))
+    assert {r["node"]: r["label"] for r in again.collect()} == got
