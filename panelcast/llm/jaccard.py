@@ -7,12 +7,14 @@ two is identical (pigeonhole).  A set signs a prefix of its segments, just long
 
 Allocation by cost.  Signatures that many sets share are expensive.  The sharing of every signature
 is counted; a set whose cheap signatures alone exceed the bound needs no expensive one (their
-allocation is 0).  Only sets that fall short sign again, now with one-deletion neighbourhoods: a
-segment of two or more shingles counts 2, as it also matches when one shingle differs.  What is
-still short (members of large near-copy groups, in practice) is compared with one hub of each shared
-signature, and then across the components that these links leave apart, so no pair of different
-components that share a signature goes unchecked and no pair inside one is spent.  Shingles that no
-other short set holds count as differences of every pair, which settles many of those pairs unseen, as do the parities of hashed shingle counts.
+allocation is 0).  Sets that fall short sign again, now with one-deletion neighbourhoods: a segment of
+two or more shingles counts 2, as it also matches when one shingle differs.  The bound holds for the
+set of a pair whose prefix ends first, and the other one may well be settled; so every set that shares
+an expensive signature with a short one signs again too.  Signatures with a holder that is still short
+(in large near-copy groups, in practice) are kept with all their holders.  These are compared with one
+hub of each signature, and then across the components that these links leave apart; only pairs without
+a short set are left out, as they have met.  Shingles that no other set signing again holds count as
+differences of every pair, which settles many of those pairs unseen, as do the parities of hashed shingle counts.
 
 A pair must pass a bound on two histograms of shingles before the texts are fetched, and is then
 verified on the full shingle sets.  Equal sets are one node throughout.
@@ -222,7 +224,7 @@ def _pack(kind: int, bucket: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.nda
 
 _FOUND = "kind int, bucket int, x binary, y binary, w binary"
 _FOUND_NAMES = ["kind", "bucket", "x", "y", "w"]
-PAIR, COUNT, SHARED, LONE = 0, 1, 2, 3
+PAIR, COUNT, SHARED, LONE, HELD = 0, 1, 2, 3, 4
 
 
 def _all_pairs(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,14 +265,15 @@ def _match(buckets: int, level: int):
         out += _pack(PAIR, _bucket(a, buckets), a, b)
         hot = np.repeat(sizes > CHEAP, sizes)
         full, ids, weight, band = full[hot], ids[hot], weight[hot], band[hot]
-        if level == 0:
-            order = np.lexsort((band, ids))
-            ids, band, weight = ids[order], band[order], weight[order]
-            at = _runs(ids, band)
-            total = np.add.reduceat(weight, at, dtype=np.uint32) if len(at) else np.empty(0, np.uint32)
-            out += _pack(COUNT, _bucket(ids[at], buckets), ids[at], total, band[at])
-        else:
-            out += _pack(SHARED, _bucket(ids, buckets), ids, full | np.uint64(here) << np.uint64(40), weight)
+        if len(full):
+            at = _runs(full)
+            groups = np.diff(np.append(at, len(full))).astype("<u4")
+            out.append((HELD, here, ids.tobytes(), (full[at] | np.uint64(here) << np.uint64(40)).tobytes(), groups.tobytes()))
+        order = np.lexsort((band, ids))
+        ids, band, weight = ids[order], band[order], weight[order]
+        at = _runs(ids, band)
+        total = np.add.reduceat(weight, at, dtype=np.uint32) if len(at) else np.empty(0, np.uint32)
+        out += _pack(COUNT, _bucket(ids[at], buckets), ids[at], total, band[at])
         return pd.DataFrame(out, columns=_FOUND_NAMES)
 
     return run
@@ -292,20 +295,67 @@ def _short(nodes: pd.DataFrame, level: int, ids: np.ndarray, band: np.ndarray, t
     return out
 
 
-def _short_sets(nodes: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-    ids, total, band = unpack(found["x"], "<u8"), unpack(found["y"], "<u4"), unpack(found["w"], "u1")
-    short = sorted({i for i, _ in _short(nodes, 0, ids, band, total)})
-    return pd.DataFrame({"set_id": np.array(short, np.uint64).view(np.int64)})
+_SHORT = "set_id bigint, band int"
+
+
+def _short_sets(level: int):
+    def run(nodes: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        ids, total, band = unpack(found["x"], "<u8"), unpack(found["y"], "<u4"), unpack(found["w"], "u1")
+        short = sorted(_short(nodes, level, ids, band, total)) if len(nodes) else []
+        return pd.DataFrame({"set_id": np.array([i for i, _ in short], np.uint64).view(np.int64), "band": np.array([b for _, b in short], np.int32)})
+
+    return run
+
+
+#: Spreads the bands of a set over a bitmap.
+_SPREAD = 0x13579B
+
+
+def _short_bitmap(short: DataFrame) -> np.ndarray:
+    return bitmap(short, F.col("set_id").bitwiseXOR(F.col("band").cast("bigint") * _SPREAD))
+
+
+def _held(batches: Iterator[pa.RecordBatch], *short: np.ndarray) -> Iterator[tuple]:
+    """Holders, their signatures and starts of the expensive signatures of a bucket; for each bitmap who is short in the signature's band."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            ids, key, groups = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("x", "<u8"), ("y", "<u8"), ("w", "<u4")))
+            key = np.repeat(key, groups)
+            band = (key >> np.uint64(32)) & np.uint64(0xFF)
+            yield ids, key, _runs(key), groups, [in_bitmap(bits, ids ^ band * np.uint64(_SPREAD)) for bits in short]
+
+
+def _beside(short: np.ndarray):
+    """All holders of the expensive signatures that a short set holds."""
+
+    def run(batches):
+        for ids, _, starts, groups, (flag,) in _held(batches, short):
+            near = np.unique(ids[np.repeat(np.logical_or.reduceat(flag, starts), groups)])
+            yield pa.RecordBatch.from_arrays([pa.array(near.view(np.int64))], ["set_id"])
+
+    return run
+
+
+def _shared(short: np.ndarray, still: np.ndarray, buckets: int):
+    """All holders of the expensive signatures with sets short at first and still, flagged 1 and 2."""
+
+    def run(batches):
+        for ids, key, starts, groups, (first, second) in _held(batches, short, still):
+            keep = np.repeat(np.logical_or.reduceat(first, starts) & np.logical_or.reduceat(second, starts), groups)
+            flag = (first.astype(np.uint8) | second.astype(np.uint8) << np.uint8(1))[keep]
+            rows = _pack(SHARED, _bucket(ids[keep], buckets), ids[keep], key[keep], flag) if keep.any() else []
+            types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(types)], _FOUND_NAMES)
+
+    return run
 
 
 def _stuck(nodes: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-    """Expensive signatures of the sets that still need them, unless their lone shingles rule out every link."""
+    """Expensive signatures that are still needed by holder, unless its lone shingles rule out every link."""
     if not len(nodes) or not len(found):
         return pd.DataFrame(columns=["bucket", *_STUCK])
     shared, lone = found[found["kind"] == SHARED], found[found["kind"] == LONE]
-    ids, key, weight = unpack(shared["x"], "<u8"), unpack(shared["y"], "<u8"), unpack(shared["w"], "u1")
-    band = ((key >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
-    short = _short(nodes, 1, ids, band, weight)
+    ids, key, flag = unpack(shared["x"], "<u8"), unpack(shared["y"], "<u8"), unpack(shared["w"], "u1")
     node, n = nodes["set_id"].to_numpy(np.int64).view(np.uint64), nodes["n"].to_numpy(np.int64)
     order = np.argsort(node)
     node, n, odd = node[order], n[order], unpack(nodes["odd"], "V64")[order]
@@ -317,15 +367,16 @@ def _stuck(nodes: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     possible = alone <= _differences(n, n * DEN // NUM)
     at = np.minimum(np.searchsorted(node, ids), len(node) - 1)
     keep = (node[at] == ids) & possible[at]
-    keep &= np.fromiter(((i, b) in short for i, b in zip(ids.tolist(), band.tolist(), strict=True)), bool, len(ids))
     if not keep.any():
         return pd.DataFrame(columns=["bucket", *_STUCK])
     at = at[keep]
-    columns = (key[keep], ids[keep], np.minimum(n[at], 2**32 - 1).astype("<u4"), alone[at].astype("<u4"), odd[at])
+    columns = (key[keep], ids[keep], np.minimum(n[at], 2**32 - 1).astype("<u4"), alone[at].astype("<u4"), odd[at], flag[keep])
     return pd.DataFrame([(int(found["bucket"].iloc[0]), *(c.tobytes() for c in columns))], columns=["bucket", *_STUCK])
 
 
-_STUCK = {"key": "<u8", "id": "<u8", "n": "<u4", "lone": "<u4", "odd": "V64"}
+_STUCK = {"key": "<u8", "id": "<u8", "n": "<u4", "lone": "<u4", "odd": "V64", "flag": "u1"}
+#: Flags of a pair that has not met yet: one set short at first, one still short.
+NEEDED = 3
 _LABELLED = {**_STUCK, "label": "<u8"}
 
 
@@ -349,15 +400,15 @@ def _by_key(buckets: int):
 
 
 def _hub_pairs(buckets: int):
-    """Every member of an expensive signature with a hub, the one with the fewest lone shingles."""
+    """Every member of an expensive signature with a hub, of the short ones that with the fewest lone shingles."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, ids, n, lone, _ = (unpack(pdf[c], t) for c, t in _STUCK.items())
-        order = np.lexsort((ids, lone, key))
-        key, ids, n, lone = key[order], ids[order], n[order], lone[order]
+        key, ids, n, lone, _, flag = (unpack(pdf[c], t) for c, t in _STUCK.items())
+        order = np.lexsort((ids, lone, flag != NEEDED, key))
+        key, ids, n, lone, flag = key[order], ids[order], n[order], lone[order], flag[order]
         starts = _runs(key)
         hub, one = np.repeat(starts, np.diff(np.append(starts, len(key)))), np.arange(len(key))
-        ok = (hub != one) & _may_link(n, lone, hub, one)
+        ok = (hub != one) & ((flag[hub] | flag[one]) == NEEDED) & _may_link(n, lone, hub, one)
         a, b = _unique_pairs(ids[hub[ok]], ids[one[ok]])
         return pd.DataFrame(_pack(PAIR, _bucket(a, buckets), a, b), columns=_FOUND_NAMES)
 
@@ -391,9 +442,9 @@ def _cross_pairs(buckets: int):
     """Pairs of different components that share an expensive signature and may link."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, ids, n, lone, odd, label = (unpack(pdf[c], t) for c, t in _LABELLED.items())
+        key, ids, n, lone, odd, flag, label = (unpack(pdf[c], t) for c, t in _LABELLED.items())
         order = np.lexsort((ids, lone, key))
-        key, ids, n, lone, label = key[order], ids[order], n[order], lone[order], label[order]
+        key, ids, n, lone, flag, label = key[order], ids[order], n[order], lone[order], flag[order], label[order]
         odd = odd[order].view("<u8").reshape(-1, 8)
         cuts = np.append(_runs(key), len(key))
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -406,7 +457,7 @@ def _cross_pairs(buckets: int):
             for p in np.flatnonzero(~main):
                 end = i + int(np.searchsorted(lone[i:j], most - int(lone[i + p]), "right"))  # sorted by lone shingles
                 other = np.arange(i, max(i, end))
-                other = other[(label[other] != own[p]) & (main[other - i] | (other < i + p))]
+                other = other[(label[other] != own[p]) & (main[other - i] | (other < i + p)) & ((flag[other] | flag[i + p]) == NEEDED)]
                 other = other[_may_link(n, lone, np.full(len(other), i + p), other)]
                 apart = np.bitwise_count(odd[other] ^ odd[i + p]).sum(axis=1)  # cells of unequal parity hold a difference each
                 other = other[apart <= (n[other].astype(np.int64) + int(n[i + p])) * (DEN - NUM) // (DEN + NUM)]
@@ -519,15 +570,20 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
 
     found = matched(0, None)
     counts = found.where(f"kind = {COUNT}")
-    short = cut_lineage(dealt.cogroup(counts.groupBy("bucket")).applyInPandas(_short_sets, "set_id bigint"))
+    short = cut_lineage(dealt.cogroup(counts.groupBy("bucket")).applyInPandas(_short_sets(0), _SHORT))
     stuck = None
     if not short.isEmpty():
-        again = matched(1, bitmap(short, F.col("set_id")))
+        first_short = _short_bitmap(short)
+        beside = found.where(f"kind = {HELD}").select("x", "y", "w").mapInArrow(tidy(_beside(first_short)), "set_id bigint")
+        signing = cut_lineage(short.select("set_id").unionByName(beside).distinct())
+        again = matched(1, bitmap(signing, F.col("set_id")))
         found = found.unionByName(again)
-        again_sets = sets.drop("shape").join(short, "set_id", "left_semi").withColumn("bucket", _bucket_column("set_id", buckets))
-        stuck = cut_lineage(
-            again_sets.groupBy("bucket").cogroup(again.where(f"kind IN ({SHARED}, {LONE})").groupBy("bucket")).applyInPandas(_stuck, schema(_STUCK))
-        )
+        again_sets = cut_lineage(sets.drop("shape").join(signing, "set_id", "left_semi").withColumn("bucket", _bucket_column("set_id", buckets)))
+        counts = again.where(f"kind = {COUNT}")
+        still = again_sets.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInPandas(_short_sets(1), _SHORT)
+        shared = again.where(f"kind = {HELD}").select("x", "y", "w").mapInArrow(tidy(_shared(first_short, _short_bitmap(still), buckets)), _FOUND)
+        needed = again.where(f"kind = {LONE}").unionByName(shared)
+        stuck = cut_lineage(again_sets.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInPandas(_stuck, schema(_STUCK)))
         hubs = stuck.mapInArrow(tidy(_by_key(buckets)), schema(_STUCK)).groupBy("bucket").applyInPandas(tidy_group(_hub_pairs(buckets)), _FOUND)
         found = found.unionByName(hubs)
     pairs = _bounded_pairs(sets, found)

@@ -89,3 +89,22 @@ def test_components_of_a_path_a_cycle_and_a_star(spark, monkeypatch, few):
     label = components(spark.createDataFrame(edges[:20] + edges[40:], "a bigint, b bigint"))
     again = components(stars(label).unionByName(spark.createDataFrame(edges[20:40], "a bigint, b bigint")))
     assert {r["node"]: r["label"] for r in again.collect()} == got
+
+
+def test_short_near_copies_of_many_seeds(spark):
+    """Groups of distinct short near copies: all signatures are shared widely, and the two sets of a pair differ in what they sign."""
+    rows, want = [], []
+    for seed in range(80):
+        rng = random.Random(seed)
+        origin = [f"g{seed}w{i}" for i in range(rng.randrange(8, 14))]
+        copies = {" ".join(origin)}
+        while len(copies) < 32:
+            copy = list(origin)
+            for _ in range(rng.randrange(1, 3)):
+                at = rng.choice([0, len(copy) - 1, rng.randrange(len(copy))])
+                copy[at : at + 1] = rng.choice([[], [f"g{seed}n{rng.randrange(99)}"], [f"g{seed}n{rng.randrange(99)}", copy[at]], [copy[at], f"g{seed}n{rng.randrange(99)}"]])
+            copies.add(" ".join(copy))
+        ids = list(range(len(rows), len(rows) + len(copies)))
+        rows += sorted(copies)
+        want += brute(ids, sorted(copies))
+    assert got(jaccard_components(documents(spark, rows))) == sorted(want)
