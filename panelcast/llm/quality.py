@@ -1,11 +1,12 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
-Every rule compares one measure of a text with a cutoff.  For each rule the cutoffs are tried from
-lenient to strict.  A cutoff is accepted in a stratum when an exact (Clopper-Pearson) upper bound on
-the share of good documents it rejects is at most the rule's part of ``risk``; the first refusal ends
-the sequence, so only the families (strata x rules) need a Bonferroni correction.  With probability
-1 - ``error`` over the labels no stratum loses more than ``risk`` of its good documents to all rules
-together.  A stratum with too few labels to certify a rule goes without it.
+Every rule compares one measure of a text with a cutoff.  All rules together make one sequence of rule
+sets, from lenient to strict: each step takes up the next cutoff of one rule, and a set rejects what
+any of its rules rejects.  A step is accepted in a stratum when an exact (Clopper-Pearson) upper bound
+on the share of good documents its whole set rejects is at most ``risk``; the first refusal ends the
+sequence, so only the strata need a Bonferroni correction.  With probability 1 - ``error`` over the
+labels no stratum loses more than ``risk`` of its good documents to all rules together.  A stratum
+with too few labels to certify the first step goes without rules.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ class Rule:
     weight: float = 1.0
 
 
-#: Cutoffs from lenient to strict, and each rule's weight in the risk, fixed before any label is seen.
+#: Cutoffs from lenient to strict, and weights (among equal levels, heavier rules step first), fixed before any label is seen.
 RULES = (
     Rule("symbols", "n_symbols / greatest(word_chars, 1)", (0.30, 0.20, 0.15, 0.10, 0.07, 0.05, 0.03), 3),
     Rule("capitals", "n_upper / greatest(n_letters, 1)", (0.95, 0.90, 0.80, 0.60, 0.40, 0.25, 0.15), 2),
@@ -154,38 +155,37 @@ def base_failed(config: QualityConfig, prefix: str = ""):
     return F.expr(f"{n} < {config.min_words} OR 100 * {r} > {config.max_repeat_percent} * {n}")
 
 
+def steps(rules: tuple[Rule, ...]) -> list[tuple[Rule, float]]:
+    """The sequence: first cutoffs of all rules, then second ones, and so on; heavier rules first."""
+    order = sorted((j, -r.weight, i) for i, r in enumerate(rules) for j in range(len(r.cutoffs)))
+    return [(rules[i], rules[i].cutoffs[j]) for j, _, i in order]
+
+
 def certify(measured: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> dict[str | None, dict[str, float]]:
     """Accepted cutoff of each rule by stratum (a null stratum is one of its own).
 
     ``measured`` has doc_id, the stratum column and the measures; ``labels`` doc_id and quality.  A
     document with several labels is good if one says so; null labels and null ids count as unlabelled.
-    One row for each stratum, rule and level reaches the driver.
+    One row for each stratum and step reaches the driver.
     """
     good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1")
     held = measured.where(~base_failed(config)).join(good.select("doc_id"), "doc_id", "left_semi")
-    levels = [
-        F.expr(" + ".join(f"CAST(({r.share}) > {c!r} AS int)" for c in r.cutoffs)).alias(f"r{i}") for i, r in enumerate(config.rules)
-    ]
-    named = held.select(F.col(config.stratum).alias("stratum"), *levels)
-    per = F.explode(F.array(*(F.struct(F.lit(i).alias("rule"), F.col(f"r{i}").alias("level")) for i in range(len(config.rules)))))
-    rows = named.select("stratum", per.alias("x")).groupBy("stratum", "x.rule", "x.level").count().collect()
-    counts: dict[str | None, dict[int, dict[int, int]]] = {}
+    sequence = steps(config.rules)
+    last = F.lit(len(sequence))
+    fires = [F.when(F.expr(f"({rule.share}) > {cutoff!r}"), F.lit(i)).otherwise(last) for i, (rule, cutoff) in enumerate(sequence)]
+    rows = held.select(F.col(config.stratum).alias("stratum"), F.least(last, last, *fires).alias("step")).groupBy("stratum", "step").count().collect()
+    counts: dict[str | None, dict[int, int]] = {}
     for r in rows:
-        counts.setdefault(r["stratum"], {}).setdefault(r["rule"], {})[r["level"]] = r["count"]
-    families = max(1, len(counts) * len(config.rules))
-    weights = sum(r.weight for r in config.rules)
+        counts.setdefault(r["stratum"], {})[r["step"]] = r["count"]
     out: dict[str | None, dict[str, float]] = {}
-    for stratum, by_rule in counts.items():
+    for stratum, by_step in counts.items():
         out[stratum] = {}
-        for i, rule in enumerate(config.rules):
-            by_level, share = by_rule.get(i, {}), config.risk * rule.weight / weights
-            n = sum(by_level.values())
-            # shares above cutoff j: a level counts the cutoffs exceeded, the lenient ones are the last to be
-            for j, cutoff in enumerate(rule.cutoffs):
-                rejected = sum(c for level, c in by_level.items() if level >= len(rule.cutoffs) - j)
-                if rejected > share * n or upper_bound(rejected, n, config.error / families) > share:
-                    break
-                out[stratum][rule.name] = cutoff
+        n, rejected = sum(by_step.values()), 0
+        for i, (rule, cutoff) in enumerate(sequence):
+            rejected += by_step.get(i, 0)
+            if rejected > config.risk * n or upper_bound(rejected, n, config.error / len(counts)) > config.risk:
+                break
+            out[stratum][rule.name] = cutoff
     return out
 
 

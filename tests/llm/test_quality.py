@@ -86,3 +86,10 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert quality_verdicts(documents(spark, []), labels).count() == 0
     with pytest.raises(ValueError):
         with_measures(documents(spark, ["a"]).withColumnRenamed("key", "N_Words"))
+
+
+def test_all_rules_share_one_sequence(spark):
+    """300 good labels certify the whole default rule set, though no rule could have a part of the risk."""
+    docs, labels = labelled(spark, 300, 20)
+    kept = {r["doc_id"]: r["kept"] for r in quality_verdicts(docs, labels).collect()}
+    assert all(kept[i] == (i < 300) for i in kept)
