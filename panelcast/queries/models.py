@@ -21,8 +21,10 @@ from panelcast.sources import sinks
 
 Y = "total_enrolment"
 K = ["state", "district", "month_date"]
-SMALL = mod.TreeConfig(max_iter=6, step_size=0.3, feature_share=1.0)
-FOREST = mod.TreeConfig(kind="forest", max_depth=4, max_iter=8, feature_share=0.7)
+TREE = mod.TreeConfig()
+FOREST = mod.TreeConfig(kind="forest")
+#: Settings a search tries, drawn from the 81 of SEARCH_SPACE.
+CANDIDATES = 10
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,14 +53,14 @@ def _folds(spark: SparkSession, sf: str, n: int = 3) -> tuple[DataFrame, mod.Fea
 @query("booster_forecast", "M1 M3 C3")
 def _booster(spark: SparkSession, sf: str) -> DataFrame:
     train, val, feats = _split(spark, sf)
-    model = mod.fit(train, feats, SMALL, val)
+    model = mod.fit(train, feats, TREE, val)
     return rounded(mod.score(model, val, Y).select(*K, Y, "prediction", "residual", "abs_error"))
 
 
 @query("cross_validated_predictions", "M4 D4 C4 U2")
 def _oof(spark: SparkSession, sf: str) -> DataFrame:
     rows, feats = _folds(spark, sf)
-    return rounded(mod.cross_validate(rows, feats, SMALL, K))
+    return rounded(mod.cross_validate(rows, feats, TREE, K))
 
 
 @query("cross_validated_rows", "M4 D4", f"""SELECT CAST(3 - f AS INTEGER) AS fold, state, district, p.month_date, CAST({Y} AS BIGINT) AS y
@@ -66,7 +68,7 @@ def _oof(spark: SparkSession, sf: str) -> DataFrame:
   WHERE i BETWEEN n - 2 - f AND n - 1 - f""")
 def _oof_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows, feats = _folds(spark, sf)
-    return mod.cross_validate(rows, feats, mod.TreeConfig(max_iter=2), K).where("prediction is not null").drop("prediction")
+    return mod.cross_validate(rows, feats, TREE, K).where("prediction is not null").drop("prediction")
 
 
 @query("forest_cross_validation", "M2 M4 E1")
@@ -77,8 +79,8 @@ def _forest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("parameter_search", "M5 T6")
 def _search(spark: SparkSession, sf: str) -> DataFrame:
-    train, val, feats = _split(spark, sf)
-    trials = mod.search(train, val, feats, mod.sample_candidates(3, base=SMALL))
+    rows, feats = _folds(spark, sf)
+    trials = mod.search_folds(rows, feats, mod.sample_candidates(CANDIDATES))
     return rounded(rank_trials(trials, k=3))
 
 
@@ -88,7 +90,7 @@ def _refit(spark: SparkSession, sf: str) -> DataFrame:
     feats = _feats(df)
     tune, test = splits.holdout_months(cut_lineage(df), 2)
     train, val = (splits.last_months_split(tune, n_months=6).where(F.col("split") == s).drop("split") for s in ("train", "val"))
-    candidates = mod.sample_candidates(2, base=SMALL)
+    candidates = mod.sample_candidates(CANDIDATES)
     best = rank_trials(mod.search(train, val, feats, candidates), k=1).first()
     model = mod.refit(train, val, feats, candidates[best["trial"]], best["best_iteration"])
     return rounded(mod.score(model, test, Y).select(*K, Y, "prediction", "abs_error"))
@@ -96,28 +98,28 @@ def _refit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("feature_importance", "M7 F16")
 def _importance(spark: SparkSession, sf: str) -> DataFrame:
-    train, _, feats = _split(spark, sf)
-    return rounded(mod.importance(mod.fit(train, feats, SMALL), feats, train, 20))
+    train, val, feats = _split(spark, sf)
+    return rounded(mod.importance(mod.fit(train, feats, TREE, val), feats, train, 20))
 
 
 @query("importance_by_family", "M7 F16")
 def _family(spark: SparkSession, sf: str) -> DataFrame:
-    train, _, feats = _split(spark, sf)
-    table = mod.importance(mod.fit(train, feats, SMALL), feats, train, len(feats.numeric) + 1)
+    train, val, feats = _split(spark, sf)
+    table = mod.importance(mod.fit(train, feats, TREE, val), feats, train, len(feats.numeric) + 1)
     return rounded(mod.importance_by_family(table))
 
 
 @query("family_ablation", "M8")
 def _ablation(spark: SparkSession, sf: str) -> DataFrame:
-    rows, feats = _folds(spark, sf, 2)
+    rows, feats = _folds(spark, sf)
     families = {"lag": [c for c in feats.numeric if "_lag_" in c], "rolling": [c for c in feats.numeric if "_rolling_" in c]}
-    return rounded(mod.ablation(rows, feats, families, mod.TreeConfig(max_iter=3, step_size=0.3), min_gain=0.01))
+    return rounded(mod.ablation(rows, feats, families, TREE, min_gain=0.01))
 
 
 @query("residual_booster", "M9 W23")
 def _residual(spark: SparkSession, sf: str) -> DataFrame:
     train, val, feats = _split(spark, sf)
-    out = mod.residual_booster(train, val, feats, SMALL, SMALL, F.col(Y) >= 2)
+    out = mod.residual_booster(train, val, feats, TREE, TREE, F.col(Y) >= 2)
     return rounded(out.select(*K, F.col(Y).alias("y_true"), "base_pred", "residual_pred", "boosted_pred", "ae_base", "ae_boosted"))
 
 
@@ -125,7 +127,7 @@ def _residual(spark: SparkSession, sf: str) -> DataFrame:
 def _routing(spark: SparkSession, sf: str) -> DataFrame:
     train, val, feats = _split(spark, sf)
     high = F.col(f"{Y}_rolling_6_mean") >= train.agg(F.avg(f"{Y}_rolling_6_mean")).first()[0]
-    return rounded(mod.routed(train, val, feats, high, SMALL, SMALL).select(*K, Y, "prediction", "route"))
+    return rounded(mod.routed(train, val, feats, high, TREE, TREE).select(*K, Y, "prediction", "route"))
 
 
 # Stumps: one round, depth one, no sampling, on features with fewer values than bins.  The split with the
@@ -285,7 +287,7 @@ def _new_months(spark: SparkSession, sf: str) -> DataFrame:
 def _residual_identity(spark: SparkSession, sf: str) -> DataFrame:
     """The boosted forecast is the base plus the residual forecast, and the errors follow from it."""
     train, val, feats = _split(spark, sf)
-    out = mod.residual_booster(train, val, feats, mod.TreeConfig(max_iter=2), mod.TreeConfig(max_iter=2))
+    out = mod.residual_booster(train, val, feats, TREE, TREE)
     boosted = F.col("base_pred") + F.col("residual_pred")
     adds_up = (F.abs(F.col("boosted_pred") - boosted) < 1e-9) & (F.abs(F.abs(F.col(Y) - boosted) - F.col("ae_boosted")) < 1e-9)
     return out.select(*K, F.col(Y).alias("y_true"), adds_up.alias("adds_up"))
@@ -299,16 +301,15 @@ FROM s WHERE is_val""")
 def _routes(spark: SparkSession, sf: str) -> DataFrame:
     train, val, feats = _split(spark, sf)
     high = F.col(f"{Y}_rolling_6_mean") >= train.agg(F.avg(f"{Y}_rolling_6_mean")).first()[0]
-    small = mod.TreeConfig(max_iter=2)
-    return mod.routed(train, val, feats, high, small, small).where("prediction is not null").select(*K, Y, "route")
+    return mod.routed(train, val, feats, high, TREE, TREE).where("prediction is not null").select(*K, Y, "route")
 
 
 @query("saved_model_scores", "K6 M3")
 def _saved(spark: SparkSession, sf: str) -> DataFrame:
     registry = scratch_path(spark, "registry")
     train, val, feats = _split(spark, sf)
-    for version, trees in (("v1", 2), ("v2", 6)):
-        path = sinks.save_model_version(mod.fit(train, feats, mod.TreeConfig(max_iter=trees, step_size=0.3)), registry, version)
+    for version, tree in (("v1", mod.TreeConfig(step_size=0.05)), ("v2", TREE)):
+        path = sinks.save_model_version(mod.fit(train, feats, tree, val), registry, version)
         sinks.set_champion(spark, registry, version, f"2024-01-0{version[1]} 00:00:00", path)
     champion = sinks.current_champion(spark, registry).first()
     model = PipelineModel.load(champion["path"])
@@ -317,7 +318,7 @@ def _saved(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("training_run_decision", "C9 M1 M6 E7 D1 T2")
 def _run(spark: SparkSession, sf: str) -> DataFrame:
-    cfg = training.TrainingConfig("target_enrolment_next_month", lag="total_enrolment", tree=SMALL, drift_features=(Y,))
+    cfg = training.TrainingConfig("target_enrolment_next_month", lag="total_enrolment", tree=TREE, drift_features=(Y,))
     return joined(rounded(training.train(model_dataset(t.panel(spark, sf)), cfg).decision))
 
 
