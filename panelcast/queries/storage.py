@@ -40,13 +40,14 @@ def _listed(spark: SparkSession, sf: str) -> DataFrame:
 @query("header_check", "S4", """SELECT 'orders' AS kind, CAST(1 AS BIGINT) AS n_headers, string_agg(column_name, ',') AS header, true AS consistent
   FROM (DESCRIBE orders) UNION ALL SELECT 'customer', 2, NULL, false""")
 def _headers(spark: SparkSession, sf: str) -> DataFrame:
-    """Small files with the tables' headers: only the first line of each is of interest."""
+    """The whole tables as CSV, in two parts by a date or a balance that cover every row; the customers' columns stand in two orders."""
     path = scratch_path(spark, "headers")
-    orders, customer = t.table(spark, sf, "orders").where("o_orderkey < 100"), t.table(spark, sf, "customer").where("c_custkey < 100")
-    for name in ("early", "late"):
-        sinks.write_csv(orders, f"{path}/orders/{name}")
-    sinks.write_csv(customer, f"{path}/customer/a")
-    sinks.write_csv(customer.select(*reversed(customer.columns)), f"{path}/customer/b")
+    orders, customer = t.table(spark, sf, "orders"), t.table(spark, sf, "customer")
+    early, low = F.coalesce(F.col("o_orderdate") < F.lit("1995-07-01").cast("date"), F.lit(False)), F.coalesce(F.col("c_acctbal") < 4500, F.lit(False))
+    sinks.write_csv(orders.where(early), f"{path}/orders/early")
+    sinks.write_csv(orders.where(~early), f"{path}/orders/late")
+    sinks.write_csv(customer.where(low), f"{path}/customer/a")
+    sinks.write_csv(customer.where(~low).select(*reversed(customer.columns)), f"{path}/customer/b")
     out = readers.header_check(spark, {k: f"{path}/{k}" for k in ("orders", "customer")})
     return out.select("kind", "n_headers", F.when(F.col("consistent"), F.col("header")).alias("header"), "consistent")
 

@@ -144,3 +144,20 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_header_check_writes_whole_tables(spark, monkeypatch):
+    from panelcast.queries import storage
+
+    written, write = {}, storage.sinks.write_csv
+
+    def counted(df, path):
+        kind = path.split("/")[-2]
+        written[kind] = written.get(kind, 0) + df.count()
+        write(df, path)
+
+    monkeypatch.setattr(storage.sinks, "write_csv", counted)
+    sf = "/root/testdata/sf0.001"
+    out = {r["kind"]: r["n_headers"] for r in storage._headers(spark, sf).collect()}
+    assert out == {"orders": 1, "customer": 2}
+    assert written == {k: spark.read.parquet(f"{sf}/{k}.parquet").count() for k in ("orders", "customer")}
