@@ -17,7 +17,7 @@ from panelcast.llm.mixing import mixed
 from panelcast.llm.quality import keep_good
 from panelcast.llm.queries import PATTERN, RANKS
 from panelcast.llm.stream_dedup import deduplicate
-from panelcast.session import scratch_path, ship_package
+from panelcast.session import cut_lineage, scratch_path, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -54,9 +54,12 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at a shingle similarity of 3/4, directly or through others, the one with the least doc_id stays.
 
-    Rows are told apart by id and text; one with a null doc_id stays.
+    Rows are told apart by id and text.  Of rows that share the least doc_id the one with the least hash stays;
+    a null doc_id comes last.  Texts without a word are linked with nothing and stay.
     """
-    gone = jaccard_components(docs).where("doc_id <> component_id").select(F.col("row_hash").alias("_gone")).distinct()
+    rows = cut_lineage(jaccard_components(docs).where("component_set IS NOT NULL").select("doc_id", "row_hash", "component_set"))
+    stays = rows.groupBy("component_set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_hash")).alias("_first"))
+    gone = rows.join(stays, "component_set").where("row_hash <> _first.row_hash").select(F.col("row_hash").alias("_gone")).distinct()
     return docs.join(gone, F.xxhash64("doc_id", "text") == F.col("_gone"), "left_anti")
 
 

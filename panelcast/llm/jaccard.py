@@ -545,14 +545,14 @@ def _apart(pairs: DataFrame, first: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, row_hash, n_shingles, set_id, component_id of documents linked at a shingle similarity of 3/4.
+    """doc_id, row_hash, n_shingles, set_id, component_id, component_set of documents linked at a shingle similarity of 3/4.
 
     ``docs`` has doc_id and text; other columns are ignored.  Null text, empty text and text without
     a word have an empty set: n_shingles 0, linked with nothing, a component of their own, whatever
     others are empty.  Fewer than ``k`` words are one shingle.  Rows repeated with one doc_id come
     back repeated; copies share a set and thus a component.  ``row_hash`` is xxhash64(doc_id, text), which tells
     rows with a null or repeated doc_id apart.  A null doc_id names no component; one of null ids alone has a
-    null component_id.  An empty table gives an empty one.
+    null component_id; ``component_set``, a set of the component, always names it (null for an empty set).  An empty table gives an empty one.
     Links are exact up to 64-bit hash collisions.
     """
     spark = docs.sparkSession
@@ -601,7 +601,7 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
             label = components(stars(label).unionByName(_links(docs, cross, k)))
     joined = sets.join(label, sets["set_id"] == label["node"], "left").select("set_id", "doc", F.coalesce("label", "set_id").alias("label"))
     least = joined.groupBy("label").agg(F.min("doc").alias("component_id"))
-    of_set = joined.join(least, "label").select("set_id", "component_id")
+    of_set = joined.join(least, "label").select("set_id", "component_id", F.col("label").alias("component_set"))
     return nodes.join(of_set, "set_id", "left").select(
-        "doc_id", F.col("_row").alias("row_hash"), F.col("n").alias("n_shingles"), "set_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("_row").alias("row_hash"), F.col("n").alias("n_shingles"), "set_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component_set"
     )

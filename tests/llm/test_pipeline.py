@@ -59,3 +59,16 @@ def test_the_stream_reads_the_files_of_a_plain_scan_only(spark, tables):
     assert sorted(r["doc_id"] for r in pipeline.exact_copies(spark, part, folder).collect()) == list(range(20))
     one = spark.read.parquet(docs.inputFiles()[0])
     assert spark.read.parquet(pipeline._folder(spark, one)).count() == one.count()
+
+
+def test_one_document_of_each_group_stays(spark):
+    """Near copies whose ids are null, or one and the same."""
+    def near(word):
+        common = [f"{word}{i}" for i in range(60)]
+        return [" ".join([*common, f"{word}end{k}"]) for k in range(3)]
+
+    rows = [*near("a"), *near("b"), *near("c"), None, ""]
+    docs = documents(spark, rows, [None, None, None, 5, 5, 7, None, 5, 5, None, 5])
+    kept = sorted((str(r["doc_id"]), r["text"] and r["text"][0]) for r in pipeline.near_copies(spark, docs, "").where("text <> ''").collect())
+    assert kept == [("5", "b"), ("5", "c"), ("None", "a")]
+    assert pipeline.near_copies(spark, docs, "").where("text IS NULL OR text = ''").count() == 2
