@@ -12,6 +12,7 @@ from panelcast.llm import bpe, html_extract, langid, warc
 from panelcast.llm.jaccard import jaccard_components
 from panelcast.llm.mixing import mix_plan
 from panelcast.llm.quality import quality_verdicts
+from panelcast.llm.resample import resample
 from panelcast.llm.rlz import remove_repeats
 from panelcast.llm.sharding import shard_by_bytes
 from panelcast.llm.stream_dedup import deduplicate
@@ -105,11 +106,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark texts by exact hashed-word weights and seeded noise."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resample(_documents(spark, sf_dir), benchmark).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc, op2_language_id, op3_jaccard_join, op4_byte_bpe, op5_quality_rules,
         op6_source_mixing, op7_stream_dedup, op8_sharding, op9_substring_dedup, op10_html_text,
+        op13_resample,
     )
 }
 
@@ -125,6 +133,18 @@ _BITS = f"list_aggregate(list_transform(string_split(sha1(payload), ''), lambda
 _FIVE = "substr(bits, 5 * i + 1, 5)"
 _VALUE = " + ".join(f"CAST(substr({_FIVE}, {k + 1}, 1) AS INTEGER) * {16 >> k}" for k in range(5))
 
+#: CRC-32 in SQL: the byte table by its rule, then one step a byte of the text ``x`` of the rows ``FROM``.
+_CRC_TABLE = """crc_step AS (SELECT range AS n, 0 AS k, range AS c FROM range(256)
+          UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_step WHERE k < 8),
+        crc_table AS (SELECT list(c ORDER BY n) AS t FROM crc_step WHERE k = 8)"""
+
+
+def _crc(x: str) -> str:
+    """CRC-32 of a text column, where ``crc_table`` is joined."""
+    octets = f"list_transform(range(strlen({x})), lambda i: CAST('0x' || substr(hex({x}), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda a, b: xor(t[xor(a, b) % 256 + 1], a >> 8)), 4294967295)"
+
+
 #: DuckDB SQL that gives the same rows, where SQL can express the query.
 SQL: dict[str, str] = {
     "op1_warc": f"""
@@ -155,4 +175,22 @@ SQL: dict[str, str] = {
         kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.j) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY word.doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op13_resample": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        b AS (SELECT regexp_extract_all({_FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        dw AS (SELECT doc_id, unnest(w) AS x FROM d), bw AS (SELECT unnest(w) AS x FROM b),
+        words AS (SELECT x, CAST({_crc("x")} AS BIGINT) % 10000 AS bucket FROM (SELECT x FROM dw UNION SELECT x FROM bw), crc_table),
+        s AS (SELECT bucket, count(*) AS s FROM dw JOIN words USING (x) GROUP BY ALL),
+        t AS (SELECT bucket, count(*) AS t FROM bw JOIN words USING (x) GROUP BY ALL),
+        g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM dw) + 10000)) /
+          (CAST(coalesce(s, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM bw) + 10000)))) AS BIGINT) AS g
+          FROM (SELECT DISTINCT bucket FROM words) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+        weighed AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS weight FROM dw JOIN words USING (x) JOIN g USING (bucket) GROUP BY ALL),
+        scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) +
+          CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score
+          FROM d LEFT JOIN weighed USING (doc_id)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r,
+          10 * count(*) OVER (PARTITION BY n_features >= 20) // 100 AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= n THEN r END AS rank FROM ranked""",
 }
