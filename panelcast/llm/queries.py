@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, html_extract, langid, warc
+from panelcast.llm import bpe, html_extract, langid, merkle, toxicity, warc
 from panelcast.llm.jaccard import jaccard_components
 from panelcast.llm.mixing import mix_plan
 from panelcast.llm.quality import quality_verdicts
@@ -106,6 +106,28 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, proofs and roots of all documents, and what the proofs say of rows tampered with."""
+    docs, config = _documents(spark, sf_dir), merkle.MerkleConfig()
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    changed = [F.col(c) + 1 if c == "n_chars" else c for c in config.columns]
+    m = merkle.manifest(docs, config, altered=F.when(tampered, merkle.leaf_digest(changed)))
+    if m is None:
+        return spark.createDataFrame([], "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+    again = merkle.folded(F.coalesce("altered", "leaf"), F.col("path"))
+    rows = merkle.proofs(m).select("row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), again.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from confirmed toxic and unlabelled ones of four fifths of the ids."""
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
+    texts = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return toxicity.score(texts, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn towards the benchmark texts by exact hashed-word weights and seeded noise."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -117,7 +139,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_warc, op2_language_id, op3_jaccard_join, op4_byte_bpe, op5_quality_rules,
         op6_source_mixing, op7_stream_dedup, op8_sharding, op9_substring_dedup, op10_html_text,
-        op13_resample,
+        op11_merkle, op12_toxicity, op13_resample,
     )
 }
 
@@ -145,6 +167,14 @@ def _crc(x: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda a, b: xor(t[xor(a, b) % 256 + 1], a >> 8)), 4294967295)"
 
 
+def _field(x: str) -> str:
+    """A value as it enters a leaf."""
+    return f"(CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || {x} END)"
+
+
+#: The digests one level up, in runs of two.
+_RUNS = "list_transform(range((len(h) + 1) // 2), lambda i: sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], '')))"
+
 #: DuckDB SQL that gives the same rows, where SQL can express the query.
 SQL: dict[str, str] = {
     "op1_warc": f"""
@@ -175,6 +205,28 @@ SQL: dict[str, str] = {
         kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.j) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY word.doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_merkle": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        f AS (SELECT doc_id, lang, n_chars, {_field("doc_id")} || {_field("source")} || {_field("lang")} AS a, {_field("text")} AS b,
+          {_crc("CAST(doc_id AS VARCHAR)")} % 7 = 0 AS tampered FROM documents, crc_table),
+        leaf AS (SELECT doc_id, lang, sha256(a || {_field("n_chars")} || b) AS leaf,
+          CASE WHEN tampered THEN sha256(a || {_field("(n_chars + 1)")} || b) ELSE sha256(a || {_field("n_chars")} || b) END AS changed FROM f),
+        level AS (SELECT lang, 0 AS l, list(leaf ORDER BY doc_id) AS h FROM leaf GROUP BY lang
+          UNION ALL SELECT lang, l + 1, {_RUNS} FROM level WHERE len(h) > 1),
+        sub AS (SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM level WHERE len(h) = 1),
+        upper AS (SELECT 0 AS l, list(subroot ORDER BY pos) AS h FROM sub UNION ALL SELECT l + 1, {_RUNS} FROM upper WHERE len(h) > 1),
+        spot AS (SELECT doc_id, lang, leaf, changed, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM leaf),
+        height AS (SELECT lang, max(l) AS height FROM level GROUP BY lang),
+        step AS (SELECT spot.doc_id, l, (pos >> l) % 2 = 1 AS is_right, coalesce(h[xor(pos >> l, 1) + 1], '') AS s
+          FROM spot JOIN level ON spot.lang IS NOT DISTINCT FROM level.lang AND len(h) > 1
+          UNION ALL SELECT spot.doc_id, height + upper.l, (sub.pos >> upper.l) % 2 = 1, coalesce(h[xor(sub.pos >> upper.l, 1) + 1], '')
+          FROM spot JOIN sub ON spot.lang IS NOT DISTINCT FROM sub.lang JOIN height ON spot.lang IS NOT DISTINCT FROM height.lang, upper WHERE len(h) > 1),
+        path AS (SELECT doc_id, list({{'r': is_right, 's': s}} ORDER BY l) AS p FROM step GROUP BY doc_id),
+        fold AS (SELECT spot.doc_id, p, 1 AS i, changed AS x FROM spot LEFT JOIN path USING (doc_id)
+          UNION ALL SELECT doc_id, p, i + 1, sha256(CASE WHEN p[i].r THEN p[i].s || x ELSE x || p[i].s END) FROM fold WHERE i <= len(p)),
+        final AS (SELECT doc_id, x, sha256(coalesce(list_aggregate(list_transform(p, lambda e: e.s), 'string_agg', ''), '')) AS proof FROM fold WHERE i = coalesce(len(p), 0) + 1)
+        SELECT spot.doc_id, leaf, subroot, u.h[1] AS root, proof AS proof_sha256, x AS folded_root, x = u.h[1] AS verified
+        FROM spot JOIN sub ON spot.lang IS NOT DISTINCT FROM sub.lang JOIN final USING (doc_id), (SELECT h FROM upper WHERE len(h) = 1) u""",
     "op13_resample": f"""
         WITH RECURSIVE {_CRC_TABLE},
         d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
