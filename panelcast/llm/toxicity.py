@@ -4,13 +4,16 @@ Confirmed toxic texts are the positives; every other text is unlabelled, not cle
 texts (the class prior) the risk of a scorer g under the logistic loss is
 ``prior * E_pos[loss(g, toxic)] + max(0, E_all[loss(g, clean)] - prior * E_pos[loss(g, clean)])``: the second
 part estimates the risk on clean texts and cannot be negative, so where it falls below zero its gradient is
-turned round.  The scorer is linear in the words a text holds, kept sparse by a proximal step, and fitted in
-numpy on a bounded sample of different texts; scoring covers every text.
+turned round.  The scorer is linear in the words of a text and in runs of five and six bytes of them (stems
+and endings), each counted as seen once, twice and three times, kept sparse by a proximal step, and fitted in numpy on a bounded sample of different texts;
+scoring covers every text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,29 +21,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.pieces import blocks, crc32
+from panelcast.llm.pieces import Block, blocks, crc32
 from panelcast.llm.workers import tidy
-from panelcast.llm.words import mix
+from panelcast.llm.words import chunks, mix
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SOLID = np.zeros(256, bool)
-_SOLID[97:123] = _SOLID[128:] = True
+_SOLID[48:58] = _SOLID[97:123] = _SOLID[128:] = True
+_SHINGLE = 5
+#: A word or run is a feature for each of these numbers of occurrences that it reaches.
+LEVELS = (1, 2, 3)
+_GRAMS = (5, 6)
 _SKETCH = mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """``positives`` and ``unlabelled`` bound the texts a fit sees; a text takes at most 4 * ``cells`` bytes of them.
+    """``positives`` and ``unlabelled`` bound the texts a fit sees; a text takes at most 12 * ``cells`` bytes of them.
 
     ``prior`` None: the share of toxic among the different labelled texts.
     """
 
-    positives: int = 4000
-    unlabelled: int = 12_000
+    positives: int = 3000
+    unlabelled: int = 6000
     prior: float | None = None
     cells: int = 1 << 20
+    features: int = 4096
     min_texts: int = 3
+    min_score: float = 3.0
     steps: int = 400
     rate: float = 0.5
     sparsity: float = 0.3
@@ -49,50 +58,100 @@ class ToxicityConfig:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    cells: np.ndarray
+    """``features`` (cell + cells * i, see ``features``) that have a weight."""
+
+    features: np.ndarray
     weights: np.ndarray
     bias: float
     prior: float
 
 
-def _cells(column: pa.Array, config: ToxicityConfig, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell) of the different hashed words of every text, sorted; ``wanted`` renumbers cells and drops the -1 ones."""
-    width = config.cells if wanted is None else int(wanted.max(initial=0)) + 1
-    keys = [np.empty(0, np.int64)]
+def _grams(b: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, hash) of every word and of every run of ``_GRAMS`` bytes of it, a space before and after counting as bytes."""
+    yield np.arange(len(b.start)), mix(crc32(b.values, b.start, b.end).astype(np.uint64))
+    size = b.end - b.start
+    first = np.concatenate(([0], np.cumsum(size + 1)))  # of each word's space in the words joined by one space
+    text = np.full(first[-1] + 1, 32, np.uint8)
+    word = np.repeat(np.arange(len(size)), size)
+    inner = np.arange(len(word)) - (np.cumsum(size) - size)[word]
+    text[first[word] + 1 + inner] = b.values[b.start[word] + inner]
+    word = np.repeat(np.arange(len(size)), size + 1)  # the word of each byte, its leading space included
+    wide = text.astype(np.uint64)
+    for n in _GRAMS:
+        at = np.arange(max(len(text) - n + 1, 0))
+        at = at[at + n <= first[word[at] + 1] + 1]  # up to the space after the word
+        code = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            code = (code << np.uint64(8)) | wide[at + k]
+        yield word[at], mix(code)
+
+
+def _counts(column: pa.Array, cells: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, count) of the hashed words and byte runs of every text; ``wanted`` renumbers cells and drops the -1 ones."""
+    width = cells if wanted is None else int(wanted.max(initial=0)) + 1
+    keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for b in blocks(column, _SOLID, 1, _FOLD):
-        cell = (crc32(b.values, b.start, b.end) & np.uint32(config.cells - 1)).astype(np.int64)
-        row = b.row
-        if wanted is not None:
-            cell = wanted[cell]
-            row, cell = row[cell >= 0], cell[cell >= 0]
-        keys.append(np.unique(row * width + cell))
-    key = np.unique(np.concatenate(keys))
-    return key // width, key % width
+        for word, code in _grams(b):
+            cell = (code & np.uint64(cells - 1)).astype(np.int64)
+            if wanted is not None:
+                cell = wanted[cell]
+                word, cell = word[cell >= 0], cell[cell >= 0]
+            key, count = np.unique(b.row[word] * width + cell, return_counts=True)
+            keys.append(key)
+            counts.append(count)
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key // width, key % width, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+
+
+def features(column: pa.Array, cells: int) -> list[np.ndarray]:
+    """Of every text the features it has: cell + cells * i for each cell that occurs ``LEVELS[i]`` times or more."""
+    out = []
+    for first, last, _, _ in chunks(column):  # a few rows at a time
+        row, cell, count = _counts(column.slice(first, last - first), cells)
+        rows, ids = (np.concatenate(x) for x in zip(*((row[count >= n], cell[count >= n] + cells * i) for i, n in enumerate(LEVELS)), strict=True))
+        order = np.argsort(rows, kind="stable")
+        at = np.searchsorted(rows[order], np.arange(last - first + 1))
+        out += [ids[order][a:b].astype(np.uint32) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    """Eight least hashes of the runs of ``_SHINGLE`` words of every text (fewer words: none, all ones)."""
+    out = np.full((len(column), len(_SKETCH)), np.iinfo(np.uint64).max)
+    for b in blocks(column, _SOLID, _SHINGLE, _FOLD):
+        word = mix(crc32(b.values, b.start, b.end).astype(np.uint64))
+        first = np.arange(min(b.own, max(len(word) - _SHINGLE + 1, 0)))
+        first = first[b.row[first] == b.row[first + _SHINGLE - 1]]
+        if len(first):
+            gram = sum(word[first + i] * np.uint64(2 * i + 1) for i in range(_SHINGLE))
+            rows, heads = np.unique(b.row[first], return_index=True)
+            least = np.stack([np.minimum.reduceat(mix(gram ^ salt), heads) for salt in _SKETCH], axis=1)
+            out[rows] = np.minimum(out[rows], least)
+    return out
 
 
-def _features(rows: DataFrame, config: ToxicityConfig) -> list:
-    """(kind, cells, sketch) of every text; texts are read in tasks, their word hashes reach the driver."""
+def _gathered(rows: DataFrame, config: ToxicityConfig) -> list:
+    """(cells, sketch) of every text; texts are read in tasks, their feature numbers reach the driver."""
 
     def run(batches):
         for batch in batches:
-            row, cell = _cells(batch.column("text"), config)
-            at = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            own = [cell[a:b].astype(np.uint32) for a, b in zip(at[:-1], at[1:], strict=True)]
-            least = [(mix(c.astype(np.uint64)[:, None] ^ _SKETCH).min(axis=0) if len(c) else np.zeros(len(_SKETCH), np.uint64)).tobytes() for c in own]
-            blobs = [pa.array([c.tobytes() for c in own], pa.binary()), pa.array(least, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), *blobs], ["kind", "cells", "sketch"])
+            own = [x.tobytes() for x in features(batch.column("text"), config.cells)]
+            sketch = [x.tobytes() for x in _sketches(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(sketch, pa.binary())], ["cells", "sketch"])
 
-    return rows.mapInArrow(tidy(run), "kind int, cells binary, sketch binary").collect()
+    return rows.mapInArrow(tidy(run), "cells binary, sketch binary").collect()
 
 
 def _different(found: list) -> list[np.ndarray]:
-    """Cells of the texts, one of each group of near copies (two equal values among eight least hashes)."""
+    """Cells of the texts, one of each group of near copies (two equal values among eight least hashes of word runs)."""
     seen, out = set(), []
     for r in sorted(found, key=lambda r: (bytes(r["sketch"]), bytes(r["cells"]))):
-        marks = np.frombuffer(bytes(r["sketch"]), np.uint64).tolist()
-        pairs = {(i, marks[i], marks[i + 1]) for i in range(0, len(marks), 2)}
+        marks = np.frombuffer(bytes(r["sketch"]), np.uint64)
+        if marks[0] == np.iinfo(np.uint64).max:  # too short for a run: the words themselves
+            marks = np.frombuffer(hashlib.sha512(bytes(r["cells"])).digest(), np.uint64)
+        pairs = {(i, *marks[i : i + 2].tolist()) for i in range(0, len(marks), 2)}
         if seen.isdisjoint(pairs):
-            out.append(np.frombuffer(bytes(r["cells"]), np.uint32).astype(np.int64))
+            out.append(np.frombuffer(bytes(r["cells"]), np.uint32))
         seen |= pairs
     return out
 
@@ -138,41 +197,47 @@ def risk(pos: Bags, unl: Bags, w: np.ndarray, bias: float, prior: float) -> tupl
 
 
 def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """A sparse linear model from the word cells of positive and of unlabelled texts.
+    """A sparse linear model from the cells of positive and of unlabelled texts.
 
-    Words in fewer than ``min_texts`` positives, and words as frequent in both, have no weight from the start.
+    Only the ``features`` cells whose shares of the two differ most (in standard deviations, ``min_score`` at
+    least) and that ``min_texts`` positives hold can have a weight.
     """
     prior = min(max(prior, 1e-6), 1 - 1e-6)
     start = math.log(prior / (1 - prior))
     if not positives or not unlabelled:
         return ToxicityModel(np.empty(0, np.int64), np.empty(0), start, prior)
-    counts = [np.bincount(np.concatenate([np.empty(0, np.int64), *t]), minlength=config.cells) for t in (positives, unlabelled)]
-    ratio = ((counts[0] + 0.5) / (len(positives) + 1)) / ((counts[1] + 0.5) / (len(unlabelled) + 1))
-    chosen = np.flatnonzero((counts[0] >= config.min_texts) & (np.abs(np.log(ratio)) > math.log(1.5)))
-    number = np.full(config.cells, -1, np.int64)
+    n, m = len(positives), len(unlabelled)
+    held, seen = (np.bincount(np.concatenate([np.empty(0, np.uint32), *t]).astype(np.int64), minlength=config.cells * len(LEVELS)) for t in (positives, unlabelled))
+    share = (held + seen + 1) / (n + m + 2)
+    apart = np.abs(held / n - seen / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m))
+    apart[held < config.min_texts] = 0
+    chosen = np.sort(np.argsort(-apart, kind="stable")[: config.features])
+    chosen = chosen[apart[chosen] >= config.min_score]
+    number = np.full(config.cells * len(LEVELS), -1, np.int64)
     number[chosen] = np.arange(len(chosen))
     pos, unl = Bags(positives, number), Bags(unlabelled, number)
     w, bias = np.zeros(len(chosen)), start
     sums, sum_bias = np.full(len(chosen), 1e-8), 1e-8
-    penalty = config.sparsity * prior / math.sqrt(len(positives))
-    for _ in range(config.steps if len(chosen) else 0):
+    penalty, free = config.sparsity * prior / math.sqrt(len(positives)), np.ones(len(chosen), bool)
+    for i in range(2 * config.steps if len(chosen) else 0):
+        if i == config.steps:  # those left get their weights with a tenth of the penalty
+            penalty, free = penalty / 10, w != 0
         _, dw, db = risk(pos, unl, w, bias, prior)
         sums += dw * dw
         sum_bias += db * db
         step = config.rate / np.sqrt(sums)
         w = w - step * dw
-        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0) * free
         bias -= config.rate / math.sqrt(sum_bias) * db
-    held = w != 0
-    return ToxicityModel(chosen[held], w[held], bias, prior)
+    return ToxicityModel(chosen[w != 0], w[w != 0], bias, prior)
 
 
 def _unit(x: Column) -> Column:
     return F.shiftrightunsigned(x, 11) / F.lit(float(1 << 53))
 
 
-def _drawn(texts: DataFrame, bound: int, kind: int, seed: int) -> DataFrame:
-    """At most ``bound`` different texts, those with the least hashes, whichever rows hold them; (kind, text).
+def _drawn(texts: DataFrame, bound: int, seed: int) -> DataFrame:
+    """At most ``bound`` different texts, those with the least hashes, whichever rows hold them.
 
     Equal texts fall under the threshold together and are one row a task before the shuffle.
     """
@@ -180,7 +245,7 @@ def _drawn(texts: DataFrame, bound: int, kind: int, seed: int) -> DataFrame:
     different = hashed.agg(F.approx_count_distinct("_hash")).first()[0]
     chance = min(1.0, 1.25 * bound / max(different, 1))
     some = hashed.where(_unit(F.col("_hash")) < chance).groupBy("_hash").agg(F.min("text").alias("text"))
-    return some.orderBy("_hash").limit(bound).select(F.lit(kind).alias("kind"), "text")
+    return some.orderBy("_hash").limit(bound).select("text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
@@ -199,21 +264,21 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
         n = own.count()
         ids = hashed.where(_unit(F.col("_h")) < min(1.0, 1.25 * bound / max(n, 1))).orderBy("_h").limit(bound).select("doc_id")
         rows = texts.join(F.broadcast(ids), "doc_id", "left_semi")  # at most ``bound`` ids
-        sampled.append((n, _different(_features(_drawn(rows, bound, kind, config.seed), config))))
+        sampled.append((n, _different(_gathered(_drawn(rows, bound, config.seed), config))))
     (n_pos, positives), (n_other, others) = sampled
     prior = config.prior
     if prior is None:  # groups of copies count once: scale each side's share of different texts to its whole
         a, b = (n * len(t) / max(1, min(n, bound)) for (n, t), bound in zip(sampled, (config.positives, config.unlabelled), strict=True))
         prior = a / (a + b) if a + b else 0.0
-    unlabelled = _different(_features(_drawn(texts, config.unlabelled, 0, config.seed + 1), config)) if positives else []
+    unlabelled = _different(_gathered(_drawn(texts, config.unlabelled, config.seed + 1), config)) if positives else []
     return train(positives, unlabelled, prior, config)
 
 
 def score(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
     """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` (1 where score >= 0.5), from the whole ``text`` alone.
 
-    A null or empty text, or one without a known word, gets the score of no evidence.  Texts are read in blocks, so
-    a very long one needs no more memory than a few copies of itself; a word counts once however often it occurs.
+    A null or empty text, or one without a known word or run, gets the score of no evidence.  Texts are read in blocks, so
+    a very long one needs no more memory than a few copies of itself; occurrences beyond the third add nothing.
     Other columns, nulls in them and repeated rows pass through; score and predicted must not be among them.
     """
     if clash := {"score", "predicted"} & {c.lower() for c in docs.columns}:
@@ -222,11 +287,17 @@ def score(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig = Toxici
 
     def run(batches):
         m = held.value
+        cells, at = np.unique(m.features % config.cells, return_inverse=True)
         wanted = np.full(config.cells, -1, np.int32)
-        wanted[m.cells] = np.arange(len(m.cells))
+        wanted[cells] = np.arange(len(cells))
+        table = np.zeros((len(LEVELS), len(cells)))
+        table[m.features // config.cells, at] = m.weights
         for batch in batches:
-            row, word = _cells(batch.column("text"), config, wanted)
-            total = m.bias + np.bincount(row, m.weights[word], batch.num_rows)
+            total = np.full(batch.num_rows, m.bias)
+            for first, last, _, _ in chunks(batch.column("text")):
+                row, cell, count = _counts(batch.column("text").slice(first, last - first), config.cells, wanted)
+                weight = sum((table[i, cell] * (count >= n) for i, n in enumerate(LEVELS)), np.zeros(len(cell)))
+                total[first:last] += np.bincount(row, weight, last - first)
             s = _sigmoid(total)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
