@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.pieces import Block, blocks, crc32
 from panelcast.llm.workers import tidy
 from panelcast.llm.words import chunks, mix
+from panelcast.session import cut_lineage
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -40,7 +41,7 @@ _SKETCH = mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 class ToxicityConfig:
     """``positives`` and ``unlabelled`` bound the texts a fit sees; a text takes at most 12 * ``cells`` bytes of them.
 
-    ``prior`` None: the share of toxic among the different labelled texts.
+    Only ``features`` features, the most different ones, can have a weight.  ``prior`` None: the share of toxic among the different labelled texts.
     """
 
     positives: int = 3000
@@ -130,32 +131,71 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _gathered(rows: DataFrame, config: ToxicityConfig) -> list:
-    """(cells, sketch) of every text; texts are read in tasks, their feature numbers reach the driver."""
+def _table(rows: DataFrame, config: ToxicityConfig) -> DataFrame:
+    """(kind, id, sketch, features) of the sampled texts (kind, id, text), written once; none of it reaches the driver."""
 
     def run(batches):
         for batch in batches:
-            own = [x.tobytes() for x in features(batch.column("text"), config.cells)]
-            sketch = [x.tobytes() for x in _sketches(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(sketch, pa.binary())], ["cells", "sketch"])
+            text, kind = batch.column("text"), batch.column("kind").to_pylist()
+            own = [x.tobytes() if k < 2 else b"" for x, k in zip(features(text, config.cells), kind, strict=True)]
+            sketch = []
+            for x, k in zip(_sketches(text), own, strict=True):  # too short for a run: the features themselves
+                sketch.append(hashlib.sha512(k).digest() if x[0] == np.iinfo(np.uint64).max else x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("id"), pa.array(sketch, pa.binary()), pa.array(own, pa.binary())], ["kind", "id", "sketch", "features"])
 
-    return rows.mapInArrow(tidy(run), "cells binary, sketch binary").collect()
+    return cut_lineage(rows.mapInArrow(tidy(run), "kind int, id bigint, sketch binary, features binary"))
 
 
-def _different(found: list) -> list[np.ndarray]:
-    """Cells of the texts, one of each group of near copies (two equal values among eight least hashes of word runs)."""
+def _different(found: list) -> list[int]:
+    """Ids of the texts, one of each group of near copies (two equal values among eight least hashes of word runs)."""
     seen, out = set(), []
-    for r in sorted(found, key=lambda r: (bytes(r["sketch"]), bytes(r["cells"]))):
+    for r in sorted(found, key=lambda r: (bytes(r["sketch"]), r["id"])):
         marks = np.frombuffer(bytes(r["sketch"]), np.uint64)
-        if marks[0] == np.iinfo(np.uint64).max:  # too short for a run: the words themselves
-            marks = np.frombuffer(hashlib.sha512(bytes(r["cells"])).digest(), np.uint64)
         pairs = {(i, *marks[i : i + 2].tolist()) for i in range(0, len(marks), 2)}
         if seen.isdisjoint(pairs):
-            out.append(np.frombuffer(bytes(r["cells"]), np.uint32))
+            out.append(r["id"])
         seen |= pairs
     return out
 
 
+def _chosen(table: DataFrame, n: int, m: int, config: ToxicityConfig) -> np.ndarray:
+    """The ``features`` features whose shares of ``n`` positives and ``m`` unlabelled texts differ most.
+
+    In standard deviations, ``min_score`` at least, and only those that ``min_texts`` positives have.  A task counts
+    its own texts; the sums stay in Spark.
+    """
+
+    def run(batches):
+        size = config.cells * len(LEVELS)
+        sums = np.zeros((2, size), np.int32)
+        for batch in batches:
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("features").to_pylist(), strict=True):
+                sums[kind, np.frombuffer(blob, np.uint32)] += 1
+        some = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[1, some]), pa.array(sums[0, some])], ["feature", "held", "seen"])
+
+    counts = table.mapInArrow(tidy(run), "feature int, held int, seen int").groupBy("feature").agg(F.sum("held").alias("held"), F.sum("seen").alias("seen"))
+    share = f"(held + seen + 1) / {n + m + 2}"
+    apart = F.expr(f"abs(held / {n} - seen / {m}) / sqrt({share} * (1 - {share}) * {1 / n + 1 / m!r})").alias("apart")
+    rows = counts.where(F.col("held") >= config.min_texts).select("feature", apart).where(F.col("apart") >= config.min_score)
+    return np.sort(np.array([r["feature"] for r in rows.orderBy(F.desc("apart"), "feature").limit(config.features).collect()], np.int64))
+
+
+def _bags(table: DataFrame, chosen: np.ndarray) -> dict[int, list[np.ndarray]]:
+    """Of every text the chosen features it has, by kind."""
+
+    def run(batches):
+        for batch in batches:
+            own = [np.frombuffer(x, np.uint32) for x in batch.column("features").to_pylist()]
+            own = [x[np.isin(x, chosen)].tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("id"), pa.array(own, pa.binary())], ["kind", "id", "features"])
+
+    out: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    for r in sorted(table.mapInArrow(tidy(run), "kind int, id bigint, features binary").collect(), key=lambda r: r["id"]):
+        out[r["kind"]].append(np.frombuffer(bytes(r["features"]), np.uint32))
+    return out
+
+
 def _softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, x)
 
@@ -196,23 +236,12 @@ def risk(pos: Bags, unl: Bags, w: np.ndarray, bias: float, prior: float) -> tupl
     return total, dw + dw_clean, db + db_clean
 
 
-def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """A sparse linear model from the cells of positive and of unlabelled texts.
-
-    Only the ``features`` cells whose shares of the two differ most (in standard deviations, ``min_score`` at
-    least) and that ``min_texts`` positives hold can have a weight.
-    """
+def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np.ndarray, prior: float, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
+    """A sparse linear model over the ``chosen`` features from the features of positive and of unlabelled texts."""
     prior = min(max(prior, 1e-6), 1 - 1e-6)
     start = math.log(prior / (1 - prior))
     if not positives or not unlabelled:
         return ToxicityModel(np.empty(0, np.int64), np.empty(0), start, prior)
-    n, m = len(positives), len(unlabelled)
-    held, seen = (np.bincount(np.concatenate([np.empty(0, np.uint32), *t]).astype(np.int64), minlength=config.cells * len(LEVELS)) for t in (positives, unlabelled))
-    share = (held + seen + 1) / (n + m + 2)
-    apart = np.abs(held / n - seen / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m))
-    apart[held < config.min_texts] = 0
-    chosen = np.sort(np.argsort(-apart, kind="stable")[: config.features])
-    chosen = chosen[apart[chosen] >= config.min_score]
     number = np.full(config.cells * len(LEVELS), -1, np.int64)
     number[chosen] = np.arange(len(chosen))
     pos, unl = Bags(positives, number), Bags(unlabelled, number)
@@ -236,42 +265,52 @@ def _unit(x: Column) -> Column:
     return F.shiftrightunsigned(x, 11) / F.lit(float(1 << 53))
 
 
-def _drawn(texts: DataFrame, bound: int, seed: int) -> DataFrame:
-    """At most ``bound`` different texts, those with the least hashes, whichever rows hold them.
+def _drawn(texts: DataFrame, bound: int, kind: int, seed: int) -> DataFrame:
+    """(kind, id, text) of at most ``bound`` different texts, those with the least hashes, whichever rows hold them.
 
     Equal texts fall under the threshold together and are one row a task before the shuffle.
     """
-    hashed = texts.select("text", F.xxhash64(F.lit(seed), "text").alias("_hash"))
-    different = hashed.agg(F.approx_count_distinct("_hash")).first()[0]
+    hashed = texts.select("text", F.xxhash64(F.lit(seed), "text").alias("id"))
+    different = hashed.agg(F.approx_count_distinct("id")).first()[0]
     chance = min(1.0, 1.25 * bound / max(different, 1))
-    some = hashed.where(_unit(F.col("_hash")) < chance).groupBy("_hash").agg(F.min("text").alias("text"))
-    return some.orderBy("_hash").limit(bound).select("text")
+    some = hashed.where(_unit(F.col("id")) < chance).groupBy("id").agg(F.min("text").alias("text"))
+    return some.orderBy("id").limit(bound).select(F.lit(kind).alias("kind"), "id", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     A document is a confirmed positive when one of its labels is 1; null labels, null ids and null texts do not
-    count.  Labels other than 1 enter only the class prior.  Without positives every text gets the prior, which is next to 0 when
-    there are no labels either.  Repeated rows and near copies count once.
+    count.  Labels other than 1 enter only the class prior.  Without positives every text gets the prior, which is
+    next to 0 when there are no labels either.  Repeated rows and near copies count once.  The driver sees a sketch
+    of 64 bytes a sampled text, and then only the chosen features of each.
     """
-    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("kind"))
+    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min(F.when(F.col("toxic") == 1, 1).otherwise(2)).alias("kind"))
     texts = docs.where("text IS NOT NULL").select("doc_id", "text")
-    sampled = []
-    for kind, bound in ((1, config.positives), (0, config.unlabelled)):
+    drawn, bounds, counts = _drawn(texts, config.unlabelled, 0, config.seed + 1), {1: config.positives, 2: config.unlabelled}, {}
+    for kind, bound in bounds.items():
         own = marks.where(F.col("kind") == kind)
+        counts[kind] = own.count()
         hashed = own.withColumn("_h", F.xxhash64(F.lit(config.seed), "doc_id"))
-        n = own.count()
-        ids = hashed.where(_unit(F.col("_h")) < min(1.0, 1.25 * bound / max(n, 1))).orderBy("_h").limit(bound).select("doc_id")
+        ids = hashed.where(_unit(F.col("_h")) < min(1.0, 1.25 * bound / max(counts[kind], 1))).orderBy("_h").limit(bound).select("doc_id")
         rows = texts.join(F.broadcast(ids), "doc_id", "left_semi")  # at most ``bound`` ids
-        sampled.append((n, _different(_gathered(_drawn(rows, bound, config.seed), config))))
-    (n_pos, positives), (n_other, others) = sampled
+        drawn = drawn.unionByName(_drawn(rows, bound, kind, config.seed))
+    table = _table(drawn, config)
+    sketches: dict[int, list] = {0: [], 1: [], 2: []}
+    for r in table.select("kind", "id", "sketch").collect():
+        sketches[r["kind"]].append(r)
+    kept = {kind: _different(own) for kind, own in sketches.items()}
     prior = config.prior
     if prior is None:  # groups of copies count once: scale each side's share of different texts to its whole
-        a, b = (n * len(t) / max(1, min(n, bound)) for (n, t), bound in zip(sampled, (config.positives, config.unlabelled), strict=True))
+        a, b = (counts[k] * len(kept[k]) / max(1, min(counts[k], bounds[k])) for k in (1, 2))
         prior = a / (a + b) if a + b else 0.0
-    unlabelled = _different(_gathered(_drawn(texts, config.unlabelled, config.seed + 1), config)) if positives else []
-    return train(positives, unlabelled, prior, config)
+    if not kept[1] or not kept[0]:
+        return train([], [], np.empty(0, np.int64), prior, config)
+    ids = table.sparkSession.createDataFrame([(k, i) for k in (0, 1) for i in kept[k]], "kind int, id bigint")
+    own = table.join(F.broadcast(ids), ["kind", "id"], "left_semi")
+    chosen = _chosen(own, len(kept[1]), len(kept[0]), config)
+    bags = _bags(own, chosen)
+    return train(bags[1], bags[0], chosen, prior, config)
 
 
 def score(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:

@@ -163,5 +163,5 @@ def test_given_documents(spark):
 
 
 def test_one_side_missing_gives_the_prior():
-    cells = [np.array([1, 2]), np.array([2, 3])]
-    assert train([], cells, 0.2).bias == pytest.approx(np.log(0.25)) and len(train(cells, [], 0.2).features) == 0
+    own, chosen = [np.array([1, 2]), np.array([2, 3])], np.array([1, 2])
+    assert train([], own, chosen, 0.2).bias == pytest.approx(np.log(0.25)) and len(train(own, [], chosen, 0.2).features) == 0
