@@ -1,95 +1,96 @@
-"""Tree-ensemble regressions on MLlib: fit, score, cross-validation, search and their variants.
+"""Regressions on trees: fit, score, cross-validation, search and their variants.
 
-Fits run distributed; only metrics, importances and fold numbers (a handful of values) reach the
-driver.  Folds and candidates are submitted from a small thread pool so that the cluster stays
-busy between the stages of one fit.
+Boosters of both families come from ``boosting``, which fits all models of a call together; random forests are
+MLlib's.  Only split choices, metrics, importances and fold numbers reach the driver.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import random
-from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, replace
+from collections.abc import Mapping, Sequence
+from dataclasses import asdict, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions import metrics as m
 from panelcast.functions.text import feature_family
+from panelcast.operators.boosting import BoostedModel, Features, Job, TreeConfig, fit_all, scored
 from panelcast.operators.evaluate import metrics_by
 from panelcast.session import cut_lineage, shared_dir
 
+__all__ = ["BoostedModel", "Features", "Model", "TreeConfig"]
 
-@dataclass(frozen=True)
-class TreeConfig:
-    """Booster settings; ``kind="forest"`` is the second family for comparison."""
+Model = BoostedModel | PipelineModel
 
-    kind: str = "booster"
-    max_depth: int = 3
-    step_size: float = 0.03
-    max_iter: int = 500
-    subsample: float = 0.7
-    feature_share: float = 0.9
-    validation_tol: float = 0.01
-    seed: int = 42
-    bootstrap: bool = True
-    max_bins: int = 32
-
-
-@dataclass(frozen=True)
-class Features:
-    """Explicit feature list: numeric columns, categorical columns, label."""
-
-    numeric: tuple[str, ...]
-    label: str
-    categorical: tuple[str, ...] = ()
-
-    def without(self, drop: Sequence[str]) -> "Features":
-        return replace(self, numeric=tuple(c for c in self.numeric if c not in drop))
-
-
-# Default search space over the settings the tree learner shares with other boosters.
+#: Default search space, the settings of the boosters.
 SEARCH_SPACE: Mapping[str, Sequence[float]] = {
-    "max_depth": (3, 4, 5),
+    "max_depth": (3, 4, 5, 6),
     "step_size": (0.03, 0.05, 0.07),
     "subsample": (0.7, 0.9, 1.0),
     "feature_share": (0.7, 0.9, 1.0),
+    "min_child_weight": (1, 3, 5),
+    "min_gain": (0.0, 0.3),
+    "l1": (0.0, 0.1, 0.3),
+    "l2": (0.5, 1.0, 1.5),
 }
 
 
-def _learner(cfg: TreeConfig, label: str, early_stop: bool) -> GBTRegressor | RandomForestRegressor:
-    common = dict(featuresCol="features", labelCol=label, maxDepth=cfg.max_depth, maxBins=cfg.max_bins, seed=cfg.seed,
-                  subsamplingRate=cfg.subsample, featureSubsetStrategy=str(cfg.feature_share))
-    if cfg.kind == "forest":
-        return RandomForestRegressor(numTrees=cfg.max_iter, bootstrap=cfg.bootstrap, **common)
-    extra = dict(validationIndicatorCol="_is_val", validationTol=cfg.validation_tol) if early_stop else {}
-    return GBTRegressor(maxIter=cfg.max_iter, stepSize=cfg.step_size, **common, **extra)
-
-
-def fit(train: DataFrame, feats: Features, cfg: TreeConfig = TreeConfig(), val: DataFrame | None = None) -> PipelineModel:
-    """Index categories (sorted, unseen kept apart), assemble, boost; ``val`` turns on early stopping."""
+def _forest(train: DataFrame, feats: Features, cfg: TreeConfig) -> PipelineModel:
     shared_dir(train.sparkSession)
-    data = train
-    if val is not None:
-        data = train.withColumn("_is_val", F.lit(False)).unionByName(val.withColumn("_is_val", F.lit(True)))
     stages = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep", stringOrderType="alphabetAsc")
               for c in feats.categorical]
     inputs = [*feats.numeric, *[f"{c}_idx" for c in feats.categorical]]
-    stages += [VectorAssembler(inputCols=inputs, outputCol="features"), _learner(cfg, feats.label, val is not None)]
-    return Pipeline(stages=stages).fit(data)
+    learner = RandomForestRegressor(
+        featuresCol="features", labelCol=feats.label, maxDepth=cfg.max_depth, maxBins=cfg.max_bins, seed=cfg.seed, subsamplingRate=cfg.subsample,
+        featureSubsetStrategy=str(cfg.feature_share), numTrees=cfg.max_iter, bootstrap=cfg.bootstrap,
+    )
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), learner]).fit(train)
+
+
+def _rows(train: DataFrame, val: DataFrame | None) -> DataFrame:
+    rows = train.drop("role").withColumn("role", F.lit("train"))
+    return rows if val is None else rows.unionByName(val.drop("role").withColumn("role", F.lit("val")))
 
 
-def n_trees(model: PipelineModel) -> int:
-    """Boosting rounds kept after early stopping."""
-    return model.stages[-1].getNumTrees
+def _fitted(model: BoostedModel | None) -> BoostedModel:
+    if model is None:
+        raise ValueError("there are no training rows")
+    return model
 
 
-def score(model: PipelineModel, df: DataFrame, label: str | None = None) -> DataFrame:
+def fit(train: DataFrame, feats: Features, cfg: TreeConfig = TreeConfig(), val: DataFrame | None = None) -> Model:
+    """One model; with ``val`` a booster stops after ``patience`` rounds without a better error and keeps its best round."""
+    if cfg.kind == "forest":
+        return _forest(train, feats, cfg)
+    return _fitted(fit_all(_rows(train, val), [Job(cfg, feats)])[0])
+
+
+def n_trees(model: Model) -> int:
+    """Boosting rounds kept, or trees of a forest."""
+    return len(model.trees) if isinstance(model, BoostedModel) else model.stages[-1].getNumTrees
+
+
+def save(model: Model, spark: SparkSession, path: str) -> None:
+    """Write a model of either kind; an existing one at ``path`` is replaced."""
+    if isinstance(model, BoostedModel):
+        model.save(spark, path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    """The model at ``path``, whichever kind its metadata name."""
+    kind = json.loads(spark.read.text(f"{path}/metadata").first()[0])["class"]
+    return BoostedModel.load(spark, path) if kind == "panelcast.boosted" else PipelineModel.load(path)
+
+
+def score(model: Model, df: DataFrame, label: str | None = None) -> DataFrame:
     """Prediction and, with a label, residual, absolute and relative error."""
     keep = [*df.columns, "prediction"]
     out = model.transform(df).select(*keep)
@@ -101,32 +102,46 @@ def score(model: PipelineModel, df: DataFrame, label: str | None = None) -> Data
     )
 
 
-def _each(items: Sequence, task: Callable, parallelism: int) -> list:
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return list(pool.map(task, items))
+def _fold_ids(folds: DataFrame) -> list[int]:
+    return sorted(r["fold"] for r in folds.select("fold").distinct().collect())
 
 
-def cross_validate(folds: DataFrame, feats: Features, cfg: TreeConfig = TreeConfig(), keys: Sequence[str] = (),
-                   parallelism: int = 2, stored: bool = False) -> DataFrame:
-    """Out-of-fold predictions (fold, keys, y, prediction) over a feature table carrying (fold, role).
+def _out_of_fold(folds: DataFrame, candidates: Sequence[tuple[TreeConfig, Features]], keys: Sequence[str], watch: bool) -> DataFrame:
+    """Predictions (fold, keys, y, model, prediction) for the validation rows of every fold by every candidate.
 
-    The feature table is checkpointed once and read by every fit; ``stored`` says that it already is.
+    All boosters of all folds are fitted in one run.  Without ``watch`` no fit sees a validation row.
     """
-    folds = folds if stored else cut_lineage(folds)
-    ids = sorted(r["fold"] for r in folds.select("fold").distinct().collect())
-
-    def one(fold: int) -> DataFrame:
-        rows = folds.where(F.col("fold") == fold)
-        model = fit(rows.where("role = 'train'"), feats, cfg)
-        return score(model, rows.where("role = 'val'")).select("fold", *keys, F.col(feats.label).alias("y"), "prediction")
-
-    parts = _each(ids, one, parallelism)
+    ids = _fold_ids(folds)
+    label = candidates[0][1].label
+    columns = ["fold", *keys, F.col(f"`{label}`").alias("y")]
+    val = folds.where("role = 'val'")
+    boosted = [(i, cfg, feats) for i, (cfg, feats) in enumerate(candidates) if cfg.kind != "forest"]
+    parts = []
+    if boosted:
+        rows = folds.withColumn("_group", F.col("fold").cast("int"))
+        jobs = [Job(cfg, feats, f) for _, cfg, feats in boosted for f in ids]
+        models = fit_all(rows if watch else rows.where("role = 'train'"), jobs)
+        numbered = [(i, f) for i, _, _ in boosted for f in ids]
+        parts.append(scored(val, [(i, f, x) for (i, f), x in zip(numbered, models, strict=True) if x], "fold", columns))
+    for i, (cfg, feats) in enumerate(candidates):
+        for f in ids if cfg.kind == "forest" else ():
+            one = folds.where(F.col("fold") == f)
+            model = _forest(one.where("role = 'train'"), feats, cfg)
+            parts.append(score(model, one.where("role = 'val'")).select(*columns, F.lit(i).alias("model"), "prediction"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def cross_validate(folds: DataFrame, feats: Features, cfg: TreeConfig = TreeConfig(), keys: Sequence[str] = (), stored: bool = False) -> DataFrame:
+    """Out-of-fold predictions (fold, keys, y, prediction) over a feature table carrying (fold, role).
+
+    No fit sees a validation row, so all rounds are kept.  The table is written once unless ``stored`` says it is.
+    """
+    return _out_of_fold(folds if stored else cut_lineage(folds), [(cfg, feats)], keys, False).drop("model")
+
+
 def fold_metrics(oof: DataFrame) -> DataFrame:
     return metrics_by(oof, ["fold"], "y", "prediction")
 
@@ -140,60 +155,62 @@ def sample_candidates(n: int, space: Mapping[str, Sequence[float]] = SEARCH_SPAC
     return [replace(base, **dict(zip(names, values))) for values in picked]
 
 
-def search(train: DataFrame, val: DataFrame, feats: Features, candidates: Sequence[TreeConfig], parallelism: int = 2) -> DataFrame:
-    """Trial table: settings, validation metrics and kept rounds, one row per candidate."""
-    train, val = cut_lineage(train), cut_lineage(val)
+def grid_candidates(space: Mapping[str, Sequence[float]] = SEARCH_SPACE, base: TreeConfig = TreeConfig()) -> list[TreeConfig]:
+    """Every combination of the settings."""
+    return [replace(base, **dict(zip(space, values))) for values in itertools.product(*space.values())]
 
-    def one(item: tuple[int, TreeConfig]) -> dict:
-        trial, cfg = item
-        model = fit(train, feats, cfg, val)
-        got = score(model, val).agg(
-            m.mae(feats.label, "prediction").alias("val_mae"), m.rmse(feats.label, "prediction").alias("val_rmse"),
-            m.r2(feats.label, "prediction").alias("val_r2"),
-        ).first()
-        return {"trial": trial, **asdict(cfg), **got.asDict(), "best_iteration": n_trees(model)}
 
-    rows = _each(list(enumerate(candidates)), one, parallelism)
-    return train.sparkSession.createDataFrame(rows)
+def _trials(spark: SparkSession, settings: Sequence[dict]) -> DataFrame:
+    """The settings as a table with their number in ``trial``."""
+    columns = ", ".join(f"{k} {'string' if isinstance(v, str) else 'boolean' if isinstance(v, bool) else 'bigint' if all(isinstance(s[k], int) for s in settings) else 'double'}" for k, v in settings[0].items())
+    whole = {k for k in settings[0] if all(isinstance(s[k], int | str) for s in settings)}
+    rows = [(i, *(v if k in whole else float(v) for k, v in s.items())) for i, s in enumerate(settings)]
+    return spark.createDataFrame(rows, f"trial bigint, {columns}")
 
 
-def grid_candidates(space: Mapping[str, Sequence[float]] = SEARCH_SPACE, base: TreeConfig = TreeConfig()) -> list[TreeConfig]:
-    """Every combination of the settings."""
-    return [replace(base, **dict(zip(space, values))) for values in itertools.product(*space.values())]
+def search(train: DataFrame, val: DataFrame, feats: Features, candidates: Sequence[TreeConfig]) -> DataFrame:
+    """Trial table: settings, validation metrics and kept rounds, one row per candidate; all are fitted in one run."""
+    rows = cut_lineage(_rows(train, val))
+    spark = rows.sparkSession
+    models = [_fitted(x) for x in fit_all(rows, [Job(cfg, feats) for cfg in candidates])]
+    seen = rows.where("role = 'val'").withColumn("_one", F.lit(0))
+    predictions = scored(seen, [(i, 0, x) for i, x in enumerate(models)], "_one", [F.col(f"`{feats.label}`").alias("y")])
+    got = predictions.groupBy(F.col("model").cast("bigint").alias("trial")).agg(
+        m.mae("y", "prediction").alias("val_mae"), m.rmse("y", "prediction").alias("val_rmse"), m.r2("y", "prediction").alias("val_r2")
+    )
+    table = _trials(spark, [{**asdict(cfg), "best_iteration": n_trees(x)} for cfg, x in zip(candidates, models, strict=True)])
+    return table.join(got, "trial")
 
 
-def search_folds(folds: DataFrame, feats: Features, candidates: Sequence[TreeConfig | tuple[TreeConfig, Features]],
-                 parallelism: int = 2) -> DataFrame:
+def search_folds(folds: DataFrame, feats: Features, candidates: Sequence[TreeConfig | tuple[TreeConfig, Features]], watch: bool = False) -> DataFrame:
     """Trial table over time-ordered folds: mean and deviation of the folds' validation metrics, one row per candidate.
 
-    A candidate is a setting, or a setting with a feature list of its own.  The fold table is written
-    once and read by every fit.
+    A candidate is a setting, or a setting with a feature list of its own.  All candidates and folds are fitted in
+    one run; ``watch`` lets a fit stop early by the validation rows of its fold.
     """
     folds = cut_lineage(folds)
+    pairs = [c if isinstance(c, tuple) else (c, feats) for c in candidates]
+    oof = _out_of_fold(folds, pairs, (), watch)
+    got = metrics_by(oof, ["model", "fold"], "y", "prediction").groupBy(F.col("model").cast("bigint").alias("trial")).agg(
+        F.avg("mae").alias("val_mae"), F.stddev_samp("mae").alias("val_mae_std"), F.avg("rmse").alias("val_rmse"),
+        F.avg("r2").alias("val_r2"), F.count(F.lit(1)).alias("n_folds"),
+    )
+    return _trials(folds.sparkSession, [{**asdict(cfg), "features": ",".join([*own.numeric, *own.categorical])} for cfg, own in pairs]).join(got, "trial")
 
-    def one(item: tuple[int, TreeConfig | tuple[TreeConfig, Features]]) -> dict:
-        trial, candidate = item
-        cfg, own = candidate if isinstance(candidate, tuple) else (candidate, feats)
-        each = fold_metrics(cross_validate(folds, own, cfg, parallelism=1, stored=True))
-        got = each.agg(
-            F.avg("mae").alias("val_mae"), F.stddev_samp("mae").alias("val_mae_std"), F.avg("rmse").alias("val_rmse"),
-            F.avg("r2").alias("val_r2"), F.count(F.lit(1)).alias("n_folds"),
-        ).first()
-        return {"trial": trial, **asdict(cfg), "features": ",".join([*own.numeric, *own.categorical]), **got.asDict()}
-
-    rows = _each(list(enumerate(candidates)), one, parallelism)
-    return folds.sparkSession.createDataFrame(rows)
 
-
-def refit(train: DataFrame, val: DataFrame, feats: Features, cfg: TreeConfig, best_iteration: int) -> PipelineModel:
+def refit(train: DataFrame, val: DataFrame, feats: Features, cfg: TreeConfig, best_iteration: int) -> Model:
     """Final fit on train and validation rows with a tenth more rounds than the search kept."""
     return fit(train.unionByName(val), feats, replace(cfg, max_iter=max(1, round(best_iteration * 1.1))))
 
 
-def importance(model: PipelineModel, feats: Features, df: DataFrame, top_n: int = 15) -> DataFrame:
-    """Largest feature importances with the family each feature belongs to."""
+def importance(model: Model, feats: Features, df: DataFrame, top_n: int = 15) -> DataFrame:
+    """Largest feature importances (share of the total gain) with the family each feature belongs to."""
     names = [*feats.numeric, *feats.categorical]
-    rows = list(zip(names, [float(v) for v in model.stages[-1].featureImportances.toArray()]))
+    if isinstance(model, BoostedModel):
+        gains = model.gains()
+        rows = [(n, gains.get(n, 0.0)) for n in names]
+    else:
+        rows = list(zip(names, [float(v) for v in model.stages[-1].featureImportances.toArray()]))
     table = df.sparkSession.createDataFrame(rows, "feature string, importance double")
     return table.withColumn("family", feature_family("feature")).orderBy(F.desc("importance"), "feature").limit(top_n)
 
@@ -203,16 +220,15 @@ def importance_by_family(table: DataFrame) -> DataFrame:
 
 
 def ablation(folds: DataFrame, feats: Features, families: Mapping[str, Sequence[str]], cfg: TreeConfig = TreeConfig(),
-             min_gain: float = 2.0, parallelism: int = 2) -> DataFrame:
-    """Drop one family at a time; a family is kept when leaving it out costs at least ``min_gain`` MAE."""
-    folds = cut_lineage(folds)
-    sets = {"none": feats} | {name: feats.without(cols) for name, cols in families.items()}
+             min_gain: float = 2.0) -> DataFrame:
+    """Drop one family at a time; a family is kept when leaving it out costs at least ``min_gain`` MAE.
 
-    def mae_of(name: str) -> float:
-        oof = cross_validate(folds, sets[name], cfg, parallelism=1, stored=True)
-        return oof.agg(m.mae("y", "prediction")).first()[0]
-
-    maes = dict(zip(sets, _each(list(sets), mae_of, parallelism)))
+    The full feature list and all reduced ones are fitted on all folds in one run.
+    """
+    sets = {"none": feats} | {name: feats.without(cols) for name, cols in families.items()}
+    oof = _out_of_fold(cut_lineage(folds), [(cfg, own) for own in sets.values()], (), False)
+    got = {r["model"]: r["mae"] for r in oof.groupBy("model").agg(m.mae("y", "prediction").alias("mae")).collect()}
+    maes = {name: got[i] for i, name in enumerate(sets)}
     rows = [(n, v, v - maes["none"], bool(v - maes["none"] >= min_gain)) for n, v in maes.items() if n != "none"]
     return folds.sparkSession.createDataFrame(rows, "dropped_family string, mae double, mae_increase double, keep boolean")
 
@@ -226,15 +242,24 @@ def residual_booster(train: DataFrame, test: DataFrame, feats: Features, base: T
         learned = learned.where(train_only)
     second_feats = Features((*feats.numeric, "base_pred"), "residual", feats.categorical)
     second = fit(learned, second_feats, booster)
-    scored = score(first, test).withColumnRenamed("prediction", "base_pred")
-    out = score(second, scored).withColumnRenamed("prediction", "residual_pred")
+    found = score(first, test).withColumnRenamed("prediction", "base_pred")
+    out = score(second, found).withColumnRenamed("prediction", "residual_pred")
     out = out.withColumn("boosted_pred", F.col("base_pred") + F.col("residual_pred"))
     y = F.col(feats.label)
     return out.withColumns({"ae_base": F.abs(y - F.col("base_pred")), "ae_boosted": F.abs(y - F.col("boosted_pred"))})
 
 
 def routed(train: DataFrame, test: DataFrame, feats: Features, high: Column, special: TreeConfig, general: TreeConfig) -> DataFrame:
-    """High-volume rows scored by a model trained on them alone, all others by the general model."""
-    a = score(fit(train.where(high), feats, special), test.where(high), feats.label).withColumn("route", F.lit("high_volume"))
-    b = score(fit(train, feats, general), test.where(~high), feats.label).withColumn("route", F.lit("general"))
+    """High-volume rows scored by a model trained on them alone, all others by the general model.
+
+    Both models are fitted in one run: high-volume training rows stand in two groups.
+    """
+    if "forest" in (special.kind, general.kind):
+        models = [fit(train.where(high), feats, special), fit(train, feats, general)]
+    else:
+        groups = F.explode(F.when(high, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))
+        rows = train.drop("role").withColumn("role", F.lit("train")).withColumn("_group", groups)
+        models = [_fitted(x) for x in fit_all(rows, [Job(special, feats, 0), Job(general, feats, 1)])]
+    a = score(models[0], test.where(high), feats.label).withColumn("route", F.lit("high_volume"))
+    b = score(models[1], test.where(~high), feats.label).withColumn("route", F.lit("general"))
     return a.unionByName(b)

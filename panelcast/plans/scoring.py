@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.operators.models import Features, TreeConfig, fit, score
+from panelcast.operators.models import Features, TreeConfig, fit, load, score
 from panelcast.plans import features as plans
 from panelcast.plans.training import TrainingResult
 from panelcast.sources import sinks
@@ -37,7 +36,7 @@ def score_new(spark: SparkSession, history: DataFrame, new: DataFrame, registry:
     both = history.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
     rows = plans.monthly_features(both, frozen["label"], features, F.lit(frozen["start"]).cast("date"))
     rows = plans.sentinel_fill(rows.where("_new").drop("_new"), keep=[frozen["label"]])
-    return score(PipelineModel.load(champion["path"]), rows).withColumn("version", F.lit(champion["version"]))
+    return score(load(spark, champion["path"]), rows).withColumn("version", F.lit(champion["version"]))
 
 
 def store_run(result: TrainingResult, folder: str, version: str) -> None:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators import evaluate, monitor
-from panelcast.operators.models import Features, TreeConfig, fit, score
+from panelcast.operators.models import Features, Model, TreeConfig, fit, score
 from panelcast.operators.quality import feature_list, require_training_input
 from panelcast.operators.ranking import keep_first
 from panelcast.operators.splits import positional_split
@@ -39,7 +38,7 @@ class TrainingData:
 
 @dataclass(frozen=True)
 class TrainingResult:
-    model: PipelineModel
+    model: Model
     feats: Features
     predictions: DataFrame
     metrics: DataFrame

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,7 +131,7 @@ def _routing(spark: SparkSession, sf: str) -> DataFrame:
 
 # Stumps: one round, depth one, no sampling, on features with fewer values than bins.  The split with the
 # largest fall of the squared error and the two leaf means are plain SQL, so every prediction is checked.
-STUMP = mod.TreeConfig(max_depth=1, max_iter=1, step_size=1.0, subsample=1.0, feature_share=1.0, max_bins=1024)
+STUMP = mod.TreeConfig(max_depth=1, max_iter=1, step_size=1.0, subsample=1.0, feature_share=1.0, l2=0.0, max_bins=1024)
 _F = ("month", "year")
 
 
@@ -261,7 +260,7 @@ def _stump_champion(spark: SparkSession, sf: str) -> DataFrame:
         path = sinks.save_model_version(mod.fit(train, mod.Features(feats, Y), STUMP), registry, version)
         sinks.set_champion(spark, registry, version, f"2024-01-0{version[1]} 00:00:00", path)
     champion = sinks.current_champion(spark, registry).first()
-    scored = mod.score(PipelineModel.load(champion["path"]), val)
+    scored = mod.score(mod.load(spark, champion["path"]), val)
     return rounded(scored.select(F.lit(champion["version"]).alias("version"), *K, "prediction"))
 
 
@@ -312,7 +311,7 @@ def _saved(spark: SparkSession, sf: str) -> DataFrame:
         path = sinks.save_model_version(mod.fit(train, feats, tree, val), registry, version)
         sinks.set_champion(spark, registry, version, f"2024-01-0{version[1]} 00:00:00", path)
     champion = sinks.current_champion(spark, registry).first()
-    model = PipelineModel.load(champion["path"])
+    model = mod.load(spark, champion["path"])
     return rounded(mod.score(model, val).select(F.lit(champion["version"]).alias("version"), *K, "prediction"))
 
 

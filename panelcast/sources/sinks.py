@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,9 +49,13 @@ def register_views(frames: Mapping[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def save_model_version(model: MLWritable, registry: str, version: str) -> str:
+def save_model_version(model: Any, registry: str, version: str) -> str:
+    """``model`` is an MLlib one or has ``save(spark, path)``."""
     path = f"{registry}/models/{version}"
-    model.write().overwrite().save(path)
+    if isinstance(model, MLWritable):
+        model.write().overwrite().save(path)
+    else:
+        model.save(SparkSession.active(), path)
     return path
 
 

@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.operators.models import Features, TreeConfig, grid_candidates, sample_candidates, score, search_folds
+from panelcast.operators.models import Features, TreeConfig, grid_candidates, load, sample_candidates, score, search_folds
 from panelcast.plans import features as plans
 from panelcast.plans import scoring, training
 from panelcast.session import scratch_path
@@ -31,10 +31,8 @@ def test_new_months_get_the_scores_of_the_full_history(spark, panel):
     scoring.train_and_store(spark, known, feats, TREE, registry, "v1")
     recent = known.where("month_date >= '2021-06-01'")  # scoring needs the last months only
     got = {r["district"]: r["prediction"] for r in scoring.score_new(spark, recent, new, registry).collect()}
-    from pyspark.ml import PipelineModel
-
     whole = plans.sentinel_fill(plans.monthly_features(panel, Y), keep=[Y]).where(F.col("month_date") == last)
-    model = PipelineModel.load(sinks.current_champion(spark, registry).first()["path"])
+    model = load(spark, sinks.current_champion(spark, registry).first()["path"])
     want = {r["district"]: r["prediction"] for r in score(model, whole).collect()}
     assert got == want and len(got) == 6 and len(set(got.values())) > 1
 
@@ -57,4 +55,4 @@ def test_search_covers_folds_and_grids(spark, panel):
     trials = search_folds(folds[0].unionByName(folds[1]), Features(("month", "year"), Y), [TREE, (TREE, Features(("year",), Y))]).orderBy("trial").collect()
     assert [(t["trial"], t["n_folds"], t["features"]) for t in trials] == [(0, 2, "month,year"), (1, 2, "year")]
     assert all(t["val_mae"] > 0 and t["val_mae_std"] is not None for t in trials)
-    assert len(grid_candidates()) == 81 and len(set(sample_candidates(10))) == 10
+    assert len(grid_candidates()) == 1944 and len(set(sample_candidates(10))) == 10
