@@ -273,8 +273,10 @@ def _drawn(texts: DataFrame, bound: int, kind: int, seed: int) -> DataFrame:
     hashed = texts.select("text", F.xxhash64(F.lit(seed), "text").alias("id"))
     different = hashed.agg(F.approx_count_distinct("id")).first()[0]
     chance = min(1.0, 1.25 * bound / max(different, 1))
-    some = hashed.where(_unit(F.col("id")) < chance).groupBy("id").agg(F.min("text").alias("text"))
-    return some.orderBy("id").limit(bound).select(F.lit(kind).alias("kind"), "id", "text")
+    some = hashed.where(_unit(F.col("id")) < chance)
+    last = some.select("id").distinct().orderBy("id").limit(bound).agg(F.max("id")).first()[0]
+    rows = some.where(F.col("id") <= F.lit(last)).groupBy("id").agg(F.min("text").alias("text"))
+    return rows.select(F.lit(kind).alias("kind"), "id", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
