@@ -576,8 +576,7 @@ def _stepped(table: DataFrame, parts: int, requests: list[dict], n_features: int
 def _binned(rows: DataFrame, groups: dict[int, Binning], names: Sequence[str], label: str, bases: dict[int, float], slots: int) -> DataFrame:
     """The table a fit reads: group, train, y, rid, bins and margins."""
     y = F.col(f"`{label}`").cast("double").alias("y")
-    rid = F.xxhash64(*(F.col(f"`{c}`") for c in (*names, label))).alias("rid")
-    source = rows.select(F.col("_group").alias("group"), (F.col("role") == "train").alias("train"), y, rid, *(F.col(f"`{n}`").alias(f"_f{i}") for i, n in enumerate(names)))
+    source = rows.select(F.col("_group").alias("group"), (F.col("role") == "train").alias("train"), y, F.col("_rid").alias("rid"), *(F.col(f"`{n}`").alias(f"_f{i}") for i, n in enumerate(names)))
 
     def run(batches):
         for batch in batches:
@@ -613,7 +612,7 @@ def fit_all(rows: DataFrame, jobs: Sequence[Job], prune: Callable[[list[_Fit]],
     """One model for each job from ``rows`` with ``role`` (train or val) and, for several groups, an int ``_group``.
 
     All jobs share one label.  Features may hold nulls; rows without a label take no part.  A group without
-    training rows gives None.  ``prune`` may name jobs to end after any step, from the validation errors so far.
+    training rows gives None.  Rows equal in all columns are drawn together.  ``prune`` may name jobs to end after any step, from the validation errors so far.
     """
     spark = rows.sparkSession
     ship_package(spark)
@@ -625,7 +624,9 @@ def fit_all(rows: DataFrame, jobs: Sequence[Job], prune: Callable[[list[_Fit]],
     numeric = list(dict.fromkeys(c for j in jobs for c in j.feats.numeric))
     categorical = list(dict.fromkeys(c for j in jobs for c in j.feats.categorical))
     names = [*numeric, *categorical]
-    rows = cut_lineage(rows.where(F.col(f"`{label}`").isNotNull() & F.col("role").isNotNull()).select("_group", "role", *(f"`{c}`" for c in dict.fromkeys([*names, label]))))
+    rid = F.xxhash64(*(F.col(f"`{c}`") for c in sorted(rows.columns) if c != "_group")).alias("_rid")  # draws do not depend on the jobs
+    used = rows.where(F.col(f"`{label}`").isNotNull() & F.col("role").isNotNull())
+    rows = cut_lineage(used.select("_group", "role", rid, *(f"`{c}`" for c in dict.fromkeys([*names, label]))))
     train = rows.where("role = 'train'")
     groups = binnings(train, numeric, categorical, max(j.cfg.max_bins for j in jobs))
     counts = {r["_group"]: r for r in rows.groupBy("_group").agg(F.avg(F.when(F.col("role") == "train", F.col(f"`{label}`").cast("double"))).alias("base"), F.count_if(F.col("role") == "val").alias("n_val")).collect()}
@@ -667,6 +668,35 @@ def fit_all(rows: DataFrame, jobs: Sequence[Job], prune: Callable[[list[_Fit]],
     return out
 
 
+def median_pruner(folds: int, first: int) -> Callable[[list[_Fit]], list[int]]:
+    """Ends candidates (``folds`` consecutive jobs each) whose mean best error falls behind.
+
+    A candidate is judged once all its fits have seen ``first`` rounds, at the number of rounds all of them have
+    behind them: it ends when the median of all candidates that far was better.
+    """
+
+    def best(own: list[_Fit], rounds: int) -> float | None:
+        if min(len(f.history) for f in own) < rounds:
+            return None
+        return sum(min(f.history[:rounds]) for f in own) / len(own)
+
+    def prune(fits: list[_Fit]) -> list[int]:
+        groups: dict[int, list[_Fit]] = {}
+        for f in fits:
+            groups.setdefault(f.index // folds, []).append(f)
+        out = []
+        for own in groups.values():
+            rounds = min(len(f.history) for f in own)
+            if rounds < first or all(f.done for f in own):
+                continue
+            others = sorted(x for g in groups.values() if (x := best(g, rounds)) is not None)
+            if len(others) * 2 >= len(groups) and best(own, rounds) > others[len(others) // 2]:
+                out += [f.index for f in own]
+        return out
+
+    return prune
+
+
 def scored(df: DataFrame, models: Sequence[tuple[int, int, BoostedModel]], group: str, keep: Sequence[str | Column]) -> DataFrame:
     """Rows of ``df`` with the predictions of all models of their group: ``keep``, model (its number), prediction.
 

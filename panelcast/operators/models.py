@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions import metrics as m
 from panelcast.functions.text import feature_family
-from panelcast.operators.boosting import BoostedModel, Features, Job, TreeConfig, fit_all, scored
+from panelcast.operators.boosting import BoostedModel, Features, Job, TreeConfig, fit_all, median_pruner, scored
 from panelcast.operators.evaluate import metrics_by
 from panelcast.session import cut_lineage, shared_dir
 
@@ -106,7 +106,8 @@ def _fold_ids(folds: DataFrame) -> list[int]:
     return sorted(r["fold"] for r in folds.select("fold").distinct().collect())
 
 
-def _out_of_fold(folds: DataFrame, candidates: Sequence[tuple[TreeConfig, Features]], keys: Sequence[str], watch: bool) -> DataFrame:
+def _out_of_fold(folds: DataFrame, candidates: Sequence[tuple[TreeConfig, Features]], keys: Sequence[str], watch: bool,
+                 prune_from: int | None = None) -> DataFrame:
     """Predictions (fold, keys, y, model, prediction) for the validation rows of every fold by every candidate.
 
     All boosters of all folds are fitted in one run.  Without ``watch`` no fit sees a validation row.
@@ -120,7 +121,8 @@ def _out_of_fold(folds: DataFrame, candidates: Sequence[tuple[TreeConfig, Featur
     if boosted:
         rows = folds.withColumn("_group", F.col("fold").cast("int"))
         jobs = [Job(cfg, feats, f) for _, cfg, feats in boosted for f in ids]
-        models = fit_all(rows if watch else rows.where("role = 'train'"), jobs)
+        prune = median_pruner(len(ids), prune_from) if watch and prune_from else None
+        models = fit_all(rows if watch else rows.where("role = 'train'"), jobs, prune)
         numbered = [(i, f) for i, _, _ in boosted for f in ids]
         parts.append(scored(val, [(i, f, x) for (i, f), x in zip(numbered, models, strict=True) if x], "fold", columns))
     for i, (cfg, feats) in enumerate(candidates):
@@ -134,12 +136,14 @@ def _out_of_fold(folds: DataFrame, candidates: Sequence[tuple[TreeConfig, Featur
     return out
 
 
-def cross_validate(folds: DataFrame, feats: Features, cfg: TreeConfig = TreeConfig(), keys: Sequence[str] = (), stored: bool = False) -> DataFrame:
+def cross_validate(folds: DataFrame, feats: Features, cfg: TreeConfig = TreeConfig(), keys: Sequence[str] = (), stored: bool = False,
+                   watch: bool = False) -> DataFrame:
     """Out-of-fold predictions (fold, keys, y, prediction) over a feature table carrying (fold, role).
 
-    No fit sees a validation row, so all rounds are kept.  The table is written once unless ``stored`` says it is.
+    No fit sees a validation row, so all rounds are kept, unless ``watch`` lets it stop by those of its fold.  The
+    table is written once unless ``stored`` says it is.
     """
-    return _out_of_fold(folds if stored else cut_lineage(folds), [(cfg, feats)], keys, False).drop("model")
+    return _out_of_fold(folds if stored else cut_lineage(folds), [(cfg, feats)], keys, watch).drop("model")
 
 
 def fold_metrics(oof: DataFrame) -> DataFrame:
@@ -182,15 +186,17 @@ def search(train: DataFrame, val: DataFrame, feats: Features, candidates: Sequen
     return table.join(got, "trial")
 
 
-def search_folds(folds: DataFrame, feats: Features, candidates: Sequence[TreeConfig | tuple[TreeConfig, Features]], watch: bool = False) -> DataFrame:
+def search_folds(folds: DataFrame, feats: Features, candidates: Sequence[TreeConfig | tuple[TreeConfig, Features]], watch: bool = False,
+                 prune_from: int | None = None) -> DataFrame:
     """Trial table over time-ordered folds: mean and deviation of the folds' validation metrics, one row per candidate.
 
     A candidate is a setting, or a setting with a feature list of its own.  All candidates and folds are fitted in
-    one run; ``watch`` lets a fit stop early by the validation rows of its fold.
+    one run; ``watch`` lets a fit stop early by the validation rows of its fold, and ``prune_from`` ends candidates
+    that are, from that round on, worse than the median of all at the same round.
     """
     folds = cut_lineage(folds)
     pairs = [c if isinstance(c, tuple) else (c, feats) for c in candidates]
-    oof = _out_of_fold(folds, pairs, (), watch)
+    oof = _out_of_fold(folds, pairs, (), watch, prune_from)
     got = metrics_by(oof, ["model", "fold"], "y", "prediction").groupBy(F.col("model").cast("bigint").alias("trial")).agg(
         F.avg("mae").alias("val_mae"), F.stddev_samp("mae").alias("val_mae_std"), F.avg("rmse").alias("val_rmse"),
         F.avg("r2").alias("val_r2"), F.count(F.lit(1)).alias("n_folds"),
@@ -234,14 +240,17 @@ def ablation(folds: DataFrame, feats: Features, families: Mapping[str, Sequence[
 
 
 def residual_booster(train: DataFrame, test: DataFrame, feats: Features, base: TreeConfig, booster: TreeConfig,
-                     train_only: Column | None = None) -> DataFrame:
-    """Second model on the residuals of the first; ``train_only`` limits the rows the second one learns from."""
-    first = fit(train, feats, base)
-    learned = score(first, train, feats.label).withColumnRenamed("prediction", "base_pred")
+                     train_only: Column | None = None, val: DataFrame | None = None) -> DataFrame:
+    """Second model on the residuals of the first; ``train_only`` limits the rows the second one learns from.
+
+    ``val`` tells both when to stop.
+    """
+    first = fit(train, feats, base, val)
+    learned, watched = (None if df is None else score(first, df, feats.label).withColumnRenamed("prediction", "base_pred") for df in (train, val))
     if train_only is not None:
         learned = learned.where(train_only)
     second_feats = Features((*feats.numeric, "base_pred"), "residual", feats.categorical)
-    second = fit(learned, second_feats, booster)
+    second = fit(learned, second_feats, booster, watched)
     found = score(first, test).withColumnRenamed("prediction", "base_pred")
     out = score(second, found).withColumnRenamed("prediction", "residual_pred")
     out = out.withColumn("boosted_pred", F.col("base_pred") + F.col("residual_pred"))
@@ -249,16 +258,17 @@ def residual_booster(train: DataFrame, test: DataFrame, feats: Features, base: T
     return out.withColumns({"ae_base": F.abs(y - F.col("base_pred")), "ae_boosted": F.abs(y - F.col("boosted_pred"))})
 
 
-def routed(train: DataFrame, test: DataFrame, feats: Features, high: Column, special: TreeConfig, general: TreeConfig) -> DataFrame:
+def routed(train: DataFrame, test: DataFrame, feats: Features, high: Column, special: TreeConfig, general: TreeConfig,
+           val: DataFrame | None = None) -> DataFrame:
     """High-volume rows scored by a model trained on them alone, all others by the general model.
 
-    Both models are fitted in one run: high-volume training rows stand in two groups.
+    Both models are fitted in one run: high-volume rows stand in two groups.  ``val`` tells them when to stop.
     """
     if "forest" in (special.kind, general.kind):
         models = [fit(train.where(high), feats, special), fit(train, feats, general)]
     else:
         groups = F.explode(F.when(high, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))
-        rows = train.drop("role").withColumn("role", F.lit("train")).withColumn("_group", groups)
+        rows = _rows(train, val).withColumn("_group", groups)
         models = [_fitted(x) for x in fit_all(rows, [Job(special, feats, 0), Job(general, feats, 1)])]
     a = score(models[0], test.where(high), feats.label).withColumn("route", F.lit("high_volume"))
     b = score(models[1], test.where(~high), feats.label).withColumn("route", F.lit("general"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.functions.text import feature_family
+from panelcast.operators import attribution, splits
 from panelcast.operators import models as mod
-from panelcast.operators import splits
 from panelcast.operators.blend import fold_summary, rank_trials
 from panelcast.operators.panel import model_dataset
 from panelcast.operators.quality import feature_list
@@ -22,6 +25,7 @@ Y = "total_enrolment"
 K = ["state", "district", "month_date"]
 TREE = mod.TreeConfig()
 FOREST = mod.TreeConfig(kind="forest")
+LEAFWISE = mod.TreeConfig(kind="leafwise", max_depth=-1, max_leaves=64, max_iter=700, step_size=0.04, subsample=0.9, feature_share=0.9, min_child_weight=20)
 #: Settings a search tries, drawn from the 81 of SEARCH_SPACE.
 CANDIDATES = 10
 
@@ -49,6 +53,12 @@ def _folds(spark: SparkSession, sf: str, n: int = 3) -> tuple[DataFrame, mod.Fea
     return rows, _feats(rows.drop("role"))
 
 
+def _last_months(df: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """All but the last months, and the last ones, which tell a fit when to stop."""
+    rows = cut_lineage(splits.last_months_split(df, n_months=n))
+    return rows.where("split = 'train'").drop("split"), rows.where("split = 'val'").drop("split")
+
+
 @query("booster_forecast", "M1 M3 C3")
 def _booster(spark: SparkSession, sf: str) -> DataFrame:
     train, val, feats = _split(spark, sf)
@@ -62,24 +72,23 @@ def _oof(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mod.cross_validate(rows, feats, TREE, K))
 
 
-@query("cross_validated_rows", "M4 D4", f"""SELECT CAST(3 - f AS INTEGER) AS fold, state, district, p.month_date, CAST({Y} AS BIGINT) AS y
-  FROM panel_s p JOIN month_rank m ON p.month_date = m.month_date, (SELECT max(i) + 1 AS n FROM month_rank), (SELECT unnest([0, 1, 2]) AS f)
-  WHERE i BETWEEN n - 2 - f AND n - 1 - f""")
-def _oof_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows, feats = _folds(spark, sf)
-    return mod.cross_validate(rows, feats, TREE, K).where("prediction is not null").drop("prediction")
-
-
 @query("forest_cross_validation", "M2 M4 E1")
 def _forest(spark: SparkSession, sf: str) -> DataFrame:
     rows, feats = _folds(spark, sf)
     return rounded(fold_summary(mod.fold_metrics(mod.cross_validate(rows, feats, FOREST, K))))
 
 
+@query("leafwise_cross_validation", "M2 M4 E1")
+def _leafwise(spark: SparkSession, sf: str) -> DataFrame:
+    """The second booster family on the folds, each fit watched by its validation months."""
+    rows, feats = _folds(spark, sf)
+    return rounded(fold_summary(mod.fold_metrics(mod.cross_validate(rows, feats, LEAFWISE, K, watch=True))))
+
+
 @query("parameter_search", "M5 T6")
 def _search(spark: SparkSession, sf: str) -> DataFrame:
     rows, feats = _folds(spark, sf)
-    trials = mod.search_folds(rows, feats, mod.sample_candidates(CANDIDATES))
+    trials = mod.search_folds(rows, feats, mod.sample_candidates(CANDIDATES), watch=True, prune_from=20)
     return rounded(rank_trials(trials, k=3))
 
 
@@ -108,6 +117,14 @@ def _family(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mod.importance_by_family(table))
 
 
+@query("attribution_by_family", "M7 F16")
+def _attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """What each family of features adds to every forecast of the validation year."""
+    train, val, feats = _split(spark, sf)
+    model = mod.fit(train, feats, TREE, val)
+    return rounded(attribution.by_family(attribution.contributions(model, val, K), K))
+
+
 @query("family_ablation", "M8")
 def _ablation(spark: SparkSession, sf: str) -> DataFrame:
     rows, feats = _folds(spark, sf)
@@ -117,16 +134,18 @@ def _ablation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("residual_booster", "M9 W23")
 def _residual(spark: SparkSession, sf: str) -> DataFrame:
-    train, val, feats = _split(spark, sf)
-    out = mod.residual_booster(train, val, feats, TREE, TREE, F.col(Y) >= 2)
+    train, test, feats = _split(spark, sf)
+    learn, watch = _last_months(train, 3)
+    out = mod.residual_booster(learn, test, feats, TREE, TREE, F.col(Y) >= 2, watch)
     return rounded(out.select(*K, F.col(Y).alias("y_true"), "base_pred", "residual_pred", "boosted_pred", "ae_base", "ae_boosted"))
 
 
 @query("segment_routing", "M10")
 def _routing(spark: SparkSession, sf: str) -> DataFrame:
-    train, val, feats = _split(spark, sf)
-    high = F.col(f"{Y}_rolling_6_mean") >= train.agg(F.avg(f"{Y}_rolling_6_mean")).first()[0]
-    return rounded(mod.routed(train, val, feats, high, TREE, TREE).select(*K, Y, "prediction", "route"))
+    train, test, feats = _split(spark, sf)
+    learn, watch = _last_months(train, 3)
+    high = F.col(f"{Y}_rolling_6_mean") >= learn.agg(F.avg(f"{Y}_rolling_6_mean")).first()[0]
+    return rounded(mod.routed(learn, test, feats, high, TREE, TREE, watch).select(*K, Y, "prediction", "route"))
 
 
 # Stumps: one round, depth one, no sampling, on features with fewer values than bins.  The split with the
@@ -281,26 +300,96 @@ def _new_months(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scoring.score_new(spark, recent, new, registry, CONFIG).select(*K, "version", "prediction"))
 
 
-@query("residual_booster_identity", "M9", f"""SELECT state, district, p.month_date, {Y} AS y_true, true AS adds_up
-  FROM panel_s p JOIN month_rank m ON p.month_date = m.month_date WHERE i > (SELECT max(i) FROM month_rank) - 12""")
+def _two_levels(name: str, rows: str, by: str) -> str:
+    """CTEs for trees of depth two by group: root splits in ``name``, splits of their sides in ``name``2."""
+    root = _stump(name, rows, by=by)
+    sides = f"{name}_s AS (SELECT r.*, {by} * 2 + ({_side(name)}) AS part FROM {rows} r JOIN {name} ON {name}.g = {by})"
+    means = f"{name}_m AS (SELECT part, avg(y) AS m FROM {name}_s GROUP BY part)"
+    return f"{root}, {sides}, {means}, {_stump(name + '2', name + '_s', by='part')}"
+
+
+def _side(s: str, feats: tuple[str, ...] = _F) -> str:
+    return f"CASE WHEN (CASE {s}.f " + " ".join(f"WHEN '{f}' THEN {f}" for f in feats) + f" END) <= {s}.thr THEN 0 ELSE 1 END"
+
+
+DEEP = replace(STUMP, max_depth=2)
+
+
+@query("cross_validated_rows", "M4 D4 M1", f"""WITH tr AS (SELECT * FROM stump_folds WHERE role = 'train'), {_two_levels('s', 'tr', 'fold')},
+v AS (SELECT x.*, fold * 2 + ({_side('s')}) AS part FROM stump_folds x JOIN s ON s.g = fold WHERE role = 'val')
+SELECT CAST(fold AS INTEGER) AS fold, state, district, month_date, CAST(y AS BIGINT) AS y, R[CASE WHEN s2.g IS NULL THEN m ELSE {_leaf(_F, 's2')} END] AS prediction
+FROM v JOIN s_m USING (part) LEFT JOIN s2 ON s2.g = part""")
+def _oof_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Trees of depth two on all folds in one run."""
+    rows, feats = _stump_folds(spark, sf)
+    return rounded(mod.cross_validate(rows, feats, DEEP, K, stored=True))
+
+
+HALF = replace(STUMP, max_iter=2, step_size=0.5)
+_ROUND_1 = f"a.m + 0.5e0 * (({_leaf()}) - a.m)"
+
+
+@query("two_round_forecast", "M1 M3", f"""WITH {_stump('s', 'stump_train')}, a AS (SELECT avg(y) AS m FROM stump_train),
+e AS (SELECT stump_train.*, y - ({_ROUND_1}) AS e FROM stump_train, s, a), {_stump('u', 'e', y='e')}
+SELECT state, district, month_date, R[{_ROUND_1} + 0.5e0 * ({_leaf(_F, 'u')})] AS prediction FROM stump_val, s, u, a""")
+def _two_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rounds at half the step: the second tree learns what the first one left."""
+    train, val, feats = _stump_split(spark, sf)
+    return rounded(mod.score(mod.fit(train, feats, HALF), val).select(*K, "prediction"))
+
+
+@query("stump_attribution", "M7", f"""WITH {_stump('s', 'stump_train')}, a AS (SELECT avg(y) AS m FROM stump_train),
+e AS (SELECT stump_train.*, y - ({_ROUND_1}) AS e FROM stump_train, s, a), {_stump('u', 'e', y='e')}, b AS (SELECT avg(e) AS m FROM e),
+c AS (SELECT state, district, month_date, s.f AS feature, 0.5e0 * (({_leaf()}) - a.m) AS x FROM stump_val, s, a
+  UNION ALL SELECT state, district, month_date, u.f, 0.5e0 * (({_leaf(_F, 'u')}) - b.m) FROM stump_val, u, b)
+SELECT state, district, month_date, feature, 'calendar' AS family, R[sum(x)] AS contribution FROM c GROUP BY ALL""")
+def _stump_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Contributions to a forecast of two rounds, by feature."""
+    train, val, feats = _stump_split(spark, sf)
+    table = attribution.contributions(mod.fit(train, feats, HALF), val, K)
+    return rounded(table.select(*K, "feature", feature_family("feature").alias("family"), "contribution"))
+
+
+SHRUNK = replace(STUMP, l1=25.0, l2=40.0)
+
+
+@query("shrunk_leaf_forecast", "M1", f"""WITH a AS (SELECT avg(y) AS m FROM stump_train), r AS (SELECT t.*, m - y AS e FROM stump_train t, a),
+c AS (SELECT f, o, v, count(*) AS n, sum(e) AS s FROM (SELECT 'month' AS f, 0 AS o, month AS v, e FROM r UNION ALL SELECT 'year', 1, year, e FROM r) GROUP BY ALL),
+p AS (SELECT f, o, v, lead(v) OVER w AS nv, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY f) AS n, sum(s) OVER (PARTITION BY f) AS s
+  FROM c WINDOW w AS (PARTITION BY f ORDER BY v)),
+s AS (SELECT f, (v + nv) / 2 AS thr, -sign(sl) * greatest(abs(sl) - 25, 0) / (nl + 40) AS lo, -sign(s - sl) * greatest(abs(s - sl) - 25, 0) / (n - nl + 40) AS hi FROM p
+  WHERE nv IS NOT NULL QUALIFY row_number() OVER (ORDER BY round(greatest(abs(sl) - 25, 0) ** 2 / (nl + 40) + greatest(abs(s - sl) - 25, 0) ** 2 / (n - nl + 40), 6) DESC, o, v) = 1)
+SELECT state, district, month_date, R[m + ({_leaf()})] AS prediction FROM stump_val, s, a""")
+def _shrunk(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaf values and gains under L1 and L2."""
+    train, val, feats = _stump_split(spark, sf)
+    return rounded(mod.score(mod.fit(train, feats, SHRUNK), val).select(*K, "prediction"))
+
+
+@query("residual_booster_identity", "M9", f"""WITH {_stump('s', 'stump_train')},
+lt AS (SELECT stump_train.*, {_leaf()} AS base_pred, y - {_leaf()} AS e FROM stump_train, s WHERE y >= 2), {_stump('u', 'lt', _F2, 'e')},
+v AS (SELECT stump_val.*, {_leaf()} AS base_pred FROM stump_val, s)
+SELECT state, district, month_date, y AS y_true, R[base_pred] AS base_pred, R[base_pred + {_leaf(_F2, 'u')}] AS boosted_pred FROM v, u""")
 def _residual_identity(spark: SparkSession, sf: str) -> DataFrame:
-    """The boosted forecast is the base plus the residual forecast, and the errors follow from it."""
-    train, val, feats = _split(spark, sf)
-    out = mod.residual_booster(train, val, feats, TREE, TREE)
-    boosted = F.col("base_pred") + F.col("residual_pred")
-    adds_up = (F.abs(F.col("boosted_pred") - boosted) < 1e-9) & (F.abs(F.abs(F.col(Y) - boosted) - F.col("ae_boosted")) < 1e-9)
-    return out.select(*K, F.col(Y).alias("y_true"), adds_up.alias("adds_up"))
+    """The second model learns from some of the rows only."""
+    train, val, feats = _stump_split(spark, sf)
+    out = mod.residual_booster(train, val, feats, STUMP, STUMP, F.col(Y) >= 2)
+    return rounded(out.select(*K, F.col(Y).alias("y_true"), "base_pred", "boosted_pred"))
 
 
 @query("segment_routes", "M10", f"""WITH f AS (SELECT *, coalesce(avg({Y}) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING),
     avg({Y}) OVER (PARTITION BY state, district)) AS r FROM panel_s WINDOW w AS (PARTITION BY state, district ORDER BY month_date)),
-s AS (SELECT f.*, i > (SELECT max(i) FROM month_rank) - 12 AS is_val FROM f JOIN month_rank m ON f.month_date = m.month_date)
-SELECT state, district, month_date, {Y}, CASE WHEN r >= (SELECT avg(r) FROM s WHERE NOT is_val) THEN 'high_volume' ELSE 'general' END AS route
-FROM s WHERE is_val""")
+q AS (SELECT f.*, {Y} AS y, month(f.month_date) AS month, year(f.month_date) AS year, i > (SELECT max(i) FROM month_rank) - 12 AS is_val
+  FROM f JOIN month_rank m ON f.month_date = m.month_date),
+lim AS (SELECT avg(r) AS m FROM q WHERE NOT is_val), tr AS (SELECT * FROM q WHERE NOT is_val), hi AS (SELECT tr.* FROM tr, lim WHERE r >= m),
+{_stump('s', 'tr')}, {_stump('u', 'hi')}
+SELECT state, district, month_date, {Y}, CASE WHEN r >= m THEN 'high_volume' ELSE 'general' END AS route,
+  R[CASE WHEN r >= m THEN {_leaf(_F, 'u')} ELSE {_leaf()} END] AS prediction FROM q, s, u, lim WHERE is_val""")
 def _routes(spark: SparkSession, sf: str) -> DataFrame:
-    train, val, feats = _split(spark, sf)
+    """Routes by the rolling volume of the baseline features, predictions of a stump for each route."""
+    train, val, _ = _split(spark, sf)
     high = F.col(f"{Y}_rolling_6_mean") >= train.agg(F.avg(f"{Y}_rolling_6_mean")).first()[0]
-    return mod.routed(train, val, feats, high, TREE, TREE).where("prediction is not null").select(*K, Y, "route")
+    return rounded(mod.routed(train, val, mod.Features(_F, Y), high, STUMP, STUMP).select(*K, Y, "route", "prediction"))
 
 
 @query("saved_model_scores", "K6 M3")
