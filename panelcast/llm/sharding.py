@@ -3,7 +3,7 @@
 Records are sorted by (hash of the text, doc_id), so equal texts stand together.  A sample drawn with
 chances in proportion to size gives splitters at its quantiles; the ranges between them hold about equal
 bytes, and one text that fills many ranges is split by doc_id.  Exact sums show ranges that are still
-overfull; they are sampled again, more finely, and subdivided.  A record's place in its range plus the
+overfull, by bytes or by rows; they are sampled again, more finely, and subdivided until none is left.  A record's place in its range plus the
 sums of the ranges before it is its place in the whole, and the shard follows from that: shards differ
 by one record's bytes at most, and no task sorts more than a range.
 """
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.session import cut_lineage
@@ -23,7 +23,8 @@ from panelcast.session import cut_lineage
 
 @dataclass(frozen=True)
 class ShardConfig:
-    """``rows_per_range`` bounds what a task sorts; the driver holds ``samples_per_range`` keys for each range."""
+    """``rows_per_range`` bounds what a task sorts, but for rows of one key and id; the driver holds ``samples_per_range``
+    keys for each range."""
 
     shards: int = 40
     overhead: int = 16
@@ -31,7 +32,6 @@ class ShardConfig:
     rows_per_range: int = 500_000
     samples_per_range: int = 24
     overfull: float = 2.0
-    rounds: int = 3
 
 
 class Splitters:
@@ -78,9 +78,15 @@ def _ranged(rows: DataFrame, splitters: Splitters) -> DataFrame:
     return rows.mapInArrow(_in_range(splitters, rows.columns), schema)
 
 
-def _draw(rows: DataFrame, per_byte: float, salt: int) -> list:
-    """A sample with chance ``size * per_byte``; larger records than that count for more."""
-    chance = F.col("size") * F.lit(per_byte)
+def _parts(held, config: ShardConfig, usual: float) -> int:
+    """Into how many parts a range (bytes, n, low, high) has to be cut; 0 when it is not overfull or one (key, id) alone."""
+    if held["low"] == held["high"] or held["bytes"] <= config.overfull * usual and held["n"] <= config.rows_per_range:
+        return 0
+    return 1 + max(int(held["bytes"] / usual), 2 * held["n"] // config.rows_per_range)
+
+
+def _draw(rows: DataFrame, chance: Column, salt: int) -> list:
+    """A sample with the given chances; a record with a chance above 1 counts for more."""
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(salt), "_key", "_id"), 11) / F.lit(float(1 << 53))
     return rows.where(unit < chance).select("_key", "_id", F.greatest(chance, F.lit(1.0)).alias("_weight")).collect()
 
@@ -107,21 +113,30 @@ def shard_by_bytes(docs: DataFrame, config: ShardConfig = ShardConfig()) -> Data
     out = "doc_id bigint, size bigint, text_crc32 bigint, shard int, _place bigint"
     if not count:
         return rows.sparkSession.createDataFrame([], out.replace("_place", "slot"))
-    ranges = max(config.shards * config.ranges_per_shard, -(-count // config.rows_per_range))
+    ranges = max(config.shards * config.ranges_per_shard, -(-2 * count // config.rows_per_range))
     rate = ranges * config.samples_per_range / total
-    pairs = _quantiles(_draw(rows, rate, 0), ranges)
-    for again in range(config.rounds + 1):
+    pairs = _quantiles(_draw(rows, F.col("size") * F.lit(rate), 0), ranges)
+    again = 0
+    while True:
         splitters = Splitters(pairs)
-        held = _ranged(rows, splitters).groupBy("_range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("_range").collect()
-        full = {r["_range"]: r["bytes"] for r in held if r["n"] > 1 and r["bytes"] > config.overfull * total / ranges}
-        if not full or again == config.rounds:
+        ends = F.min(F.struct("_key", "_id")).alias("low"), F.max(F.struct("_key", "_id")).alias("high")
+        held = _ranged(rows, splitters).groupBy("_range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *ends).orderBy("_range").collect()
+        parts = {r["_range"]: _parts(r, config, total / ranges) for r in held}
+        if not any(parts.values()):
             break
-        sample = _ranged(rows, splitters).where(F.col("_range").isin(list(full)))
+        again += 1
+        wanted = F.create_map(*(F.lit(x) for r in held if (k := parts[r["_range"]]) for x in (r["_range"], k * config.samples_per_range / r["n"])))
+        sizes = F.create_map(*(F.lit(x) for r in held if parts[r["_range"]] for x in (r["_range"], r["bytes"] / r["n"])))
+        some = _ranged(rows, splitters).where(F.col("_range").isin([r for r, k in parts.items() if k]))
+        # by bytes as by rows: half of the chance of a record goes with its size
+        chance = wanted[F.col("_range")] * (F.lit(0.5) + F.lit(0.5) * F.col("size") / sizes[F.col("_range")])
         drawn: dict[int, list] = {}
         place = splitters.place
-        for r in _draw(sample, rate * 4, again + 1):
+        for r in _draw(some, chance, again):
             drawn.setdefault(int(place(np.array([r["_key"]]), np.array([r["_id"]]))[0]), []).append(r)
-        pairs = pairs + [p for at, own in drawn.items() for p in _quantiles(own, 1 + int(full[at] * ranges / total))]
+        for r in held:
+            if k := parts[r["_range"]]:
+                pairs = pairs + _quantiles(drawn.get(r["_range"], []), k) + [tuple(r["high"])]  # the last record is cut off at least
     numbers = np.array([r["_range"] for r in held])
     before_bytes = np.concatenate(([0], np.cumsum([r["bytes"] for r in held])))
     before_rows = np.concatenate(([0], np.cumsum([r["n"] for r in held])))

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 
+from panelcast.llm import sharding
 from panelcast.llm.sharding import ShardConfig, Splitters, shard_by_bytes
 
 from .data import documents, texts
@@ -53,3 +54,21 @@ def test_odd_tables(spark):
     check(rows, ids, shard_by_bytes(documents(spark, rows, ids), ShardConfig(shards=3)).collect(), 3)
     assert shard_by_bytes(documents(spark, [])).count() == 0
     check(["one"], [1], shard_by_bytes(documents(spark, ["one"], [1]), ShardConfig(shards=1)).collect(), 1)
+
+
+def test_no_range_holds_more_rows_than_allowed(spark, monkeypatch):
+    """Many tiny texts beside a few long ones: ranges are cut by rows too, but for one key and id."""
+    rows = ["x" * 100_000 if i % 1000 == 0 else None if i % 3 else "" for i in range(20_000)]
+    ids = [7 if 100 <= i < 1500 and rows[i] is None else i for i in range(20_000)]
+    seen, real = [], sharding._parts
+
+    def spy(held, config, usual):
+        seen.append((held["n"], held["low"] == held["high"], real(held, config, usual)))
+        return seen[-1][2]
+
+    monkeypatch.setattr(sharding, "_parts", spy)
+    out = shard_by_bytes(documents(spark, rows, ids), ShardConfig(shards=7, rows_per_range=500, ranges_per_shard=1)).collect()
+    check(rows, ids, out, 7)
+    last = seen[-next(k for k in range(1, len(seen) + 1) if sum(n for n, _, _ in seen[-k:]) == len(rows)) :]
+    assert all(n <= 500 or single for n, single, _ in last) and any(single and n > 500 for n, single, _ in last)
+    assert max(n for n, _, _ in seen) > 2000  # the first sample alone leaves full ranges
