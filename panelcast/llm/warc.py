@@ -43,11 +43,18 @@ class WarcConfig:
     date: str = "1970-01-01T00:00:00Z"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as Spark resolves it: a path without a scheme lies in the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def open_path(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a Hadoop-style URI or a plain path, for use inside a task."""
-    if "://" not in uri:
-        return fs.LocalFileSystem(), re.sub(r"^file:", "", uri)
-    return fs.FileSystem.from_uri(uri)
+    """File system and path of a full URI, for use inside a task; Hadoop's names for a store are mapped to Arrow's."""
+    scheme = uri.partition(":")[0] if ":" in uri else ""
+    if scheme in ("", "file"):
+        return fs.LocalFileSystem(), re.sub(r"^file:(//)?", "", uri)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -112,12 +119,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, config: WarcConf
     ``folder`` is a shared place all executors can write to, by default a new one below the checkpoint folder.
     Null html is an empty payload; null url leaves the target out, control characters and spaces in it are
     percent-encoded.  A null page_id cannot be referred to: such a row is always a response.  Rows that repeat
-    the least id of a payload are all responses.  Other columns are ignored.  An empty table writes nothing.
+    the least id of a payload are all responses.  Other columns are ignored.  An empty table leaves an empty folder.
     """
-    folder = folder or scratch_path(pages.sparkSession, "warc")
+    spark = pages.sparkSession
+    folder = qualified(spark, folder or scratch_path(spark, "warc"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    keyed = rows.withColumn("_sha", F.sha1("payload")).withColumn("_size", F.octet_length("payload"))
+    keyed = rows.withColumn("_sha", F.sha2("payload", 256)).withColumn("_size", F.octet_length("payload"))
     first = keyed.groupBy("_sha", "_size").agg(F.min("page_id").alias("first"))
     first = first.select("_sha", "_size", F.when(F.col("_size") >= config.revisit_bytes, F.col("first")).alias("first"))
     joined = keyed.join(first, ["_sha", "_size"]).select("page_id", "url", "payload", "first")
@@ -229,11 +239,8 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True, c
 
     The digest of a response is that of the payload read; ``digest_ok`` says whether the header agrees (null
     without one).  A revisit has the digest and length it declares, and no payload.  A missing header is null.
-    A file that ends inside a record is an error.  An empty or missing folder gives no rows.
+    A file that ends inside a record is an error, and so is a missing folder.  An empty folder gives no rows.
     """
-    system, base = open_path(folder)
-    if system.get_file_info(base).type == fs.FileType.NotFound:
-        return spark.createDataFrame([], _ROW)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length")  # the contents are not read
     step = config.split_bytes
     splits = files.where("length > 0").select(

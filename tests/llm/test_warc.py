@@ -5,10 +5,14 @@ import random
 import zlib
 
 import pytest
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 
 from panelcast.llm import warc
 from panelcast.session import scratch_path
 
+from .data import documents
+
 
 def pages(spark, rows):
     return spark.createDataFrame([(i, u, h, 1, "x") for i, u, h in rows], "page_id long, url string, html string, first int, payload string")
@@ -74,4 +78,29 @@ def test_nulls_repeats_and_nothing(spark):
     assert sorted((r["record_id"], r["record_type"]) for r in out) == [("<urn:page:1>", "response")] * 2 + [("<urn:page:>", "response")] * 2
     folder, manifest = warc.write_archives(pages(spark, []))
     assert manifest.count() == 0 and warc.read_archives(spark, folder).count() == 0
-    assert warc.read_archives(spark, scratch_path(spark, "nowhere")).count() == 0
+    with pytest.raises(AnalysisException):
+        warc.read_archives(spark, scratch_path(spark, "nowhere"))
+
+
+def test_folders_are_full_uris(spark, tmp_path):
+    """Writers get the folder as Spark resolves it, so a path without a scheme lies where Spark reads it."""
+    assert warc.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    folder, manifest = warc.write_archives(documents(spark, ["a"]).selectExpr("doc_id page_id", "'u' url", "text html"), str(tmp_path / "x"))
+    assert folder == f"file:{tmp_path}/x" and manifest.count() == 1 and warc.read_archives(spark, folder).count() == 1
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://made")
+    conf.set("fs.viewfs.mounttable.made.link./warc", f"file:{tmp_path}")
+    try:
+        assert warc.qualified(spark, "/warc/y") == "viewfs://made/warc/y"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
+def test_names_of_stores():
+    for uri, want in (("file:/a/b", "/a/b"), ("file:///a/b", "/a/b"), ("/a/b", "/a/b")):
+        system, path = warc.open_path(uri)
+        assert isinstance(system, fs.LocalFileSystem) and path == want
+    for scheme in ("s3", "s3a", "s3n"):
+        system, path = warc.open_path(f"{scheme}://bucket/a/b?region=us-east-1")
+        assert system.type_name == "s3" and path == "bucket/a/b"
