@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators import cleaning as c
+from panelcast.operators import long_series, running
 from panelcast.operators.quantiles import exact_quantiles
-from panelcast.operators.series import DISTRICT, densify_months
+from panelcast.operators.series import DISTRICT, Series, densify_months
 from panelcast.queries import tables as t
 from panelcast.queries.registry import cte, query, rounded
 from panelcast.session import cut_lineage
@@ -54,6 +55,52 @@ def _iqr(spark: SparkSession, sf: str) -> DataFrame:
     return t.spiky(spark, sf).select(*K, Y, c.iqr_outlier(DISTRICT, Y).alias("is_outlier"))
 
 
+@query("past_quartiles_and_medians", "W8 W18", f"""
+SELECT state, district, month_date, coalesce(rn > 4 AND ({Y} < q1 - 1.5 * (q3 - q1) OR {Y} > q3 + 1.5 * (q3 - q1)), false) AS is_outlier, R[med] AS running_median
+FROM (SELECT *, row_number() OVER w AS rn,
+    quantile_cont(CAST({Y} AS DOUBLE), 0.25) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q1,
+    quantile_cont(CAST({Y} AS DOUBLE), 0.75) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q3,
+    median(CAST({Y} AS DOUBLE)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS med
+  FROM spiky WINDOW w AS (PARTITION BY state, district ORDER BY month_date))""")
+def _running(spark: SparkSession, sf: str) -> DataFrame:
+    """Running order statistics: the past is kept sorted, not sorted again for every row."""
+    rows = running.past_iqr_outliers(t.spiky(spark, sf).select(*K, Y), Y)
+    rows = running.running_quantiles(rows, Y, probs=(0.5,), name="_med", upto=True)
+    return rounded(rows.select(*K, "is_outlier", F.col("_med")[0].alias("running_median")))
+
+
+# Events of a type are one series, far longer than the calendar; every run of nulls is two rows or more.
+EVENTS = Series(("event_type",), "ts")
+_GAPPY = "SELECT event_id, event_type, ts, CASE WHEN event_id % 7 < 4 THEN value END AS v FROM events"
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.when(F.col("event_id") % 7 < 4, F.col("value")).alias("v")
+    return t.table(spark, sf, "events").select("event_id", "event_type", "ts", v)
+
+
+@query("long_series_gaps", "W10 W11 W13", f"""
+WITH g AS ({_GAPPY}), r AS (SELECT *, count(v) OVER (w ROWS UNBOUNDED PRECEDING) AS island,
+    last_value(v IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS pv, last_value(CASE WHEN v IS NOT NULL THEN epoch_us(ts) END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS pt,
+    first_value(v IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv,
+    first_value(CASE WHEN v IS NOT NULL THEN epoch_us(ts) END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nt
+  FROM g WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+n AS (SELECT *, CAST(sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY event_type, island ORDER BY ts) AS INTEGER) AS run FROM r)
+SELECT event_id, run AS null_run, R[CASE WHEN run <= 2 THEN pv END] AS locf,
+  R[CASE WHEN v IS NOT NULL THEN v WHEN pv IS NULL THEN NULL WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) * ((epoch_us(ts) - pt) / CAST(nt - pt AS DOUBLE)) END] AS linear FROM n""")
+def _long_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Gap position, last value carried forward and straight lines on raw events, whose series go over many partitions."""
+    return rounded(long_series.fill_gaps(_events(spark, sf), "v", EVENTS, 2).select("event_id", "null_run", "locf", "linear"))
+
+
+@query("long_series_rolling", "W3", f"""
+SELECT event_id, R[avg(v) OVER p] AS rolling_6_mean, R[stddev_samp(v) OVER p] AS rolling_6_std
+FROM ({_GAPPY}) WINDOW p AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)""")
+def _long_rolling(spark: SparkSession, sf: str) -> DataFrame:
+    """Rolling mean and deviation of the past six events of a type."""
+    return rounded(long_series.rolling(_events(spark, sf), "v", EVENTS, 6).select("event_id", "rolling_6_mean", "rolling_6_std"))
+
+
 @query("outlier_median_cap", "W9", "SELECT state, district, month_date, flag, R[after_cap] AS after_cap FROM z_capped")
 def _cap(spark: SparkSession, sf: str) -> DataFrame:
     df = t.gappy_spiky(spark, sf).withColumn("flag", c.zscore_outlier(DISTRICT, Y))

@@ -10,6 +10,7 @@ from panelcast.functions import dates as d
 from panelcast.functions import numbers as n
 from panelcast.operators import calendars, groups
 from panelcast.operators import series as ts
+from panelcast.operators.fold_stats import fold_group_features
 from panelcast.operators.panel import add_next_month_target
 from panelcast.operators.series import DISTRICT, Series
 from panelcast.operators.splits import assign_folds, expanding_folds
@@ -312,9 +313,13 @@ cte("fold_stats", f"""SELECT fold, state, district, avg({Y}) AS gm, stddev_samp(
 cte("fold_all", f"SELECT fold, avg({Y}) AS am, stddev_samp({Y}) AS asd FROM fold_rows WHERE role = 'train' GROUP BY ALL")
 
 
+def _fold_table(df: DataFrame) -> DataFrame:
+    return expanding_folds(df, n_folds=4, gap_months=1, min_train_months=3)
+
+
 def _folds(spark: SparkSession, sf: str) -> DataFrame:
     df = cut_lineage(t.enrol_panel(spark, sf, True))
-    return assign_folds(df, expanding_folds(df, n_folds=4, gap_months=1, min_train_months=3))
+    return assign_folds(df, _fold_table(df))
 
 
 def _fold_sql(scope: str) -> str:
@@ -349,7 +354,7 @@ def _fold_only(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(plans.fold_features(_folds(spark, sf), Y, CONFIG, "fold"))
 
 
-@query("fold_group_aggregates", "C4 A6 J5 W14", f"""
+_FOLD_GROUPS = f"""
 SELECT r.state, r.district, month_date, {Y}, r.fold, role, R[coalesce(gm, am)] AS group_long_term_mean,
   R[coalesce(gs, asd)] AS group_long_term_std, R[coalesce(m3, gm, am)] AS rolling_3_mean,
   R[coalesce(m6, gm, am)] AS rolling_6_mean,
@@ -359,11 +364,21 @@ FROM (SELECT *, avg({Y}) OVER {BACK3} AS m3, avg({Y}) OVER {BACK6} AS m6 FROM fo
 LEFT JOIN fold_stats g ON r.fold = g.fold AND r.state = g.state AND r.district = g.district
 LEFT JOIN (SELECT fold, state, avg({Y}) AS sm FROM fold_rows WHERE role = 'train' GROUP BY ALL) s
   ON r.fold = s.fold AND r.state = s.state
-JOIN fold_all a ON r.fold = a.fold""")
+JOIN fold_all a ON r.fold = a.fold"""
+
+
+@query("fold_group_aggregates", "C4 A6 J5 W14", _FOLD_GROUPS)
 def _fold_groups(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(plans.train_group_features(_folds(spark, sf), Y))
 
 
+@query("fold_statistics_from_prefixes", "C4 A6 W14", _FOLD_GROUPS)
+def _fold_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same table from monthly partials: no copy of the panel enters a statistic."""
+    df = cut_lineage(t.enrol_panel(spark, sf, True))
+    return rounded(fold_group_features(df, _fold_table(df), Y))
+
+
 @query("daily_context_features", "C5 F1 W1 W4 P12", """
 WITH d AS (SELECT state, date, CAST(count(*) AS BIGINT) AS y FROM daily_a GROUP BY ALL)
 SELECT * FROM (SELECT state, date, y, CAST(isodow(date) - 1 AS INTEGER) AS dow, CAST(month(date) AS INTEGER) AS month,
