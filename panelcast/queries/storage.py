@@ -11,6 +11,7 @@ from panelcast.queries import tables as t
 from panelcast.queries.registry import query, rounded
 from panelcast.session import cut_lineage, scratch_path
 from panelcast.sources import readers, sinks
+from panelcast.streaming import corrections
 from panelcast.streaming import incremental as inc
 
 Y = "total_enrolment"
@@ -167,6 +168,20 @@ def _daily(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
 
 
+@query("corrected_event_windows", "R1", """SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start,
+  CAST(count(*) AS BIGINT) AS n, R[sum(value)] AS value FROM events GROUP BY ALL""")
+def _corrected(spark: SparkSession, sf: str) -> DataFrame:
+    """All events in shuffled files, one file a batch: most come late, and their days are restated."""
+    path = scratch_path(spark, "stream")
+    events = t.table(spark, sf, "events")
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    write = corrections.restating_writer(f"{path}/out", "ts", ["event_type"], {"n": F.lit(1).cast("bigint"), "value": F.col("value")})
+    inc.run_available(stream, write, f"{path}/checkpoint")
+    out = corrections.newest_windows(spark, f"{path}/out", ["event_type"])
+    return rounded(out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "value"))
+
+
 @query("incremental_alerts", "R2 E3 E6", """SELECT state, district, month_date, R[yhat] AS yhat, alert_type FROM (
   SELECT *, CASE WHEN h AND u THEN 'both' WHEN h THEN 'high_load' WHEN u THEN 'underperforming' ELSE 'none' END AS alert_type
   FROM (SELECT *, yhat >= p90 AND (yhat - yhat2) / (yhat2 + 1e-6) > 0.2 AS h,
