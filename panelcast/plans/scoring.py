@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +15,17 @@ from panelcast.sources import sinks
 
 
 def train_and_store(spark: SparkSession, panel: DataFrame, feats: Features, cfg: TreeConfig, registry: str, version: str,
-                    features: plans.FeatureConfig = plans.FeatureConfig()) -> None:
-    """Fit on the baseline features of ``panel``; store the model with its feature list and trend start, and promote it."""
+                    features: plans.FeatureConfig = plans.FeatureConfig(), at: datetime | None = None) -> None:
+    """Fit on the baseline features of ``panel``; store the model with its feature list and trend start, and promote it.
+
+    ``at`` is the time of promotion, by default now.
+    """
     start = panel.agg(F.min(features.series.date)).first()[0]
     rows = plans.sentinel_fill(plans.monthly_features(panel, feats.label, features, F.lit(start)), keep=[feats.label])
     path = sinks.save_model_version(fit(rows, feats, cfg), registry, version)
     frozen = {"numeric": list(feats.numeric), "categorical": list(feats.categorical), "label": feats.label, "start": str(start)}
     spark.range(1).select(F.lit(json.dumps(frozen)).alias("value")).write.mode("overwrite").text(f"{path}_features")
-    sinks.set_champion(spark, registry, version, str(start), path)
+    sinks.set_champion(spark, registry, version, (at or datetime.now(UTC)).strftime("%Y-%m-%d %H:%M:%S.%f"), path)
 
 
 def score_new(spark: SparkSession, history: DataFrame, new: DataFrame, registry: str,
@@ -39,6 +43,10 @@ def score_new(spark: SparkSession, history: DataFrame, new: DataFrame, registry:
     return score(load(spark, champion["path"]), rows).withColumn("version", F.lit(champion["version"]))
 
 
+#: Tables a stored run leaves.
+RUN_TABLES = ("predictions", "metrics", "baseline", "drift", "drift_summary", "alerts", "decision")
+
+
 def store_run(result: TrainingResult, folder: str, version: str) -> None:
     """All tables of a training run, one folder a table, under the run's version."""
     tables = {

@@ -26,7 +26,7 @@ def planned():
 @pytest.fixture
 def small(monkeypatch):
     """Queries whose fits no SQL checks run with few rounds here; ``test_full_fits`` looks at their settings."""
-    for cfg in ("TREE", "FOREST", "LEAFWISE"):
+    for cfg in ("TREE", "CHAMPION", "FOREST", "LEAFWISE"):
         monkeypatch.setattr(models, cfg, replace(getattr(models, cfg), max_iter=3))
     monkeypatch.setattr(models, "CANDIDATES", 3)
     sample = models.mod.sample_candidates
