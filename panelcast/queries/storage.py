@@ -11,7 +11,7 @@ from panelcast.queries import tables as t
 from panelcast.queries.registry import query, rounded
 from panelcast.session import cut_lineage, scratch_path
 from panelcast.sources import readers, sinks
-from panelcast.streaming import corrections
+from panelcast.streaming import corrections, series_state
 from panelcast.streaming import incremental as inc
 
 Y = "total_enrolment"
@@ -182,11 +182,14 @@ def _corrected(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "value"))
 
 
-@query("incremental_alerts", "R2 E3 E6", """SELECT state, district, month_date, R[yhat] AS yhat, alert_type FROM (
+_ALERTS = """SELECT state, district, month_date, R[yhat] AS yhat, alert_type FROM (
   SELECT *, CASE WHEN h AND u THEN 'both' WHEN h THEN 'high_load' WHEN u THEN 'underperforming' ELSE 'none' END AS alert_type
   FROM (SELECT *, yhat >= p90 AND (yhat - yhat2) / (yhat2 + 1e-6) > 0.2 AS h,
       yhat >= p70 AND y < yhat AND abs(y - yhat) / (y + 1e-6) > 0.3 AS u
-    FROM forecast, (SELECT quantile_cont(yhat, 0.9) AS p90, quantile_cont(yhat, 0.7) AS p70 FROM forecast)))""")
+    FROM forecast, (SELECT quantile_cont(yhat, 0.9) AS p90, quantile_cont(yhat, 0.7) AS p70 FROM forecast)))"""
+
+
+@query("incremental_alerts", "R2 E3 E6", _ALERTS)
 def _refresh(spark: SparkSession, sf: str) -> DataFrame:
     """Facts arrive as one file per two-year slice; the last version must equal the batch result."""
     path = scratch_path(spark, "refresh")
@@ -198,3 +201,15 @@ def _refresh(spark: SparkSession, sf: str) -> DataFrame:
     versions = spark.read.parquet(f"{path}/out/alerts")
     last = versions.agg(F.max("version")).scalar()
     return rounded(versions.where(F.col("version") == last).select("state", "district", "month_date", "yhat", "alert_type"))
+
+
+@query("alerts_from_series_state", "R2 E6 W1 W3", _ALERTS)
+def _state_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same alerts from features kept in stream state; facts arrive shuffled, a month in several batches."""
+    path = scratch_path(spark, "state")
+    fact = t.enrolment(spark, sf).select("state", "district", "date", (F.col("age_0_5") + F.col("age_5_17") + F.col("age_18_greater")).alias(Y))
+    fact.repartition(3, F.xxhash64("date", "district", Y)).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(fact.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    series_state.keep_features(stream, ["state", "district"], "date", Y, f"{path}/out", f"{path}/checkpoint")
+    found = series_state.alerts_from_features(series_state.newest_features(spark, f"{path}/out", ["state", "district"]), ["state", "district"])
+    return rounded(found.select("state", "district", "month_date", "yhat", "alert_type"))
