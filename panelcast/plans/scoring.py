@@ -18,14 +18,16 @@ def train_and_store(spark: SparkSession, panel: DataFrame, feats: Features, cfg:
                     features: plans.FeatureConfig = plans.FeatureConfig(), at: datetime | None = None) -> None:
     """Fit on the baseline features of ``panel``; store the model with its feature list and trend start, and promote it.
 
-    ``at`` is the time of promotion, by default now.
+    ``at`` is the time of promotion, by default now.  The promotion fails if another version became champion
+    while this one was trained.
     """
+    over = sinks.champion_version(spark, registry)
     start = panel.agg(F.min(features.series.date)).first()[0]
     rows = plans.sentinel_fill(plans.monthly_features(panel, feats.label, features, F.lit(start)), keep=[feats.label])
     path = sinks.save_model_version(fit(rows, feats, cfg), registry, version)
     frozen = {"numeric": list(feats.numeric), "categorical": list(feats.categorical), "label": feats.label, "start": str(start)}
     spark.range(1).select(F.lit(json.dumps(frozen)).alias("value")).write.mode("overwrite").text(f"{path}_features")
-    sinks.set_champion(spark, registry, version, (at or datetime.now(UTC)).strftime("%Y-%m-%d %H:%M:%S.%f"), path)
+    sinks.promote(spark, registry, version, over, (at or datetime.now(UTC)).strftime("%Y-%m-%d %H:%M:%S.%f"), path)
 
 
 def score_new(spark: SparkSession, history: DataFrame, new: DataFrame, registry: str,

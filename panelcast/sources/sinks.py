@@ -67,6 +67,40 @@ def set_champion(spark: SparkSession, registry: str, version: str, updated_at: s
     row.write.mode("append").parquet(f"{registry}/champions")
 
 
+def _promotions(spark: SparkSession, registry: str) -> tuple[str | None, int]:
+    """Current version and number of promotions so far."""
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{registry}/champions")
+    if not log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
+        return None, 0
+    return current_champion(spark, registry).first()["version"], spark.read.parquet(log.toString()).count()
+
+
+def champion_version(spark: SparkSession, registry: str) -> str | None:
+    """The current version, None before the first promotion."""
+    return _promotions(spark, registry)[0]
+
+
+def promote(spark: SparkSession, registry: str, version: str, over: str | None, updated_at: str, path: str | None = None) -> None:
+    """Promotion on condition that ``over`` (None: no version) is still the champion; of two writers one wins.
+
+    The place in the log is claimed by a file that is made only if it does not exist, with the version in it, so
+    a writer that died between claim and log can go on.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(registry).getFileSystem(spark._jsc.hadoopConfiguration())
+    current, place = _promotions(spark, registry)
+    if current != over:
+        raise ValueError(f"the champion is {current}, not {over}")
+    claim = fs_path(f"{registry}/claims/{place}")
+    if fs.createNewFile(claim):
+        out = fs.create(claim, True)
+        out.write(bytearray(version.encode()))
+        out.close()
+    elif spark.read.text(claim.toString()).first()[0] != version:
+        raise ValueError(f"another version than {version} has claimed promotion {place}")
+    set_champion(spark, registry, version, updated_at, path)
+
+
 def champions(log: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Current and previous champion out of the promotion log (per key, if given)."""
     w = Window.partitionBy(*keys).orderBy(F.desc("updated_at"), F.desc("version"))

@@ -47,6 +47,22 @@ def test_champion_history(spark):
     assert slots == {"current": "v3", "previous": "v2"}
 
 
+def test_of_two_promotions_one_wins(spark, monkeypatch):
+    registry = scratch_path(spark, "t")
+    sinks.promote(spark, registry, "v1", None, "2024-01-01 00:00:00")
+    with pytest.raises(ValueError):
+        sinks.promote(spark, registry, "v2", None, "2024-01-02 00:00:00")  # v1 came first
+    write = sinks.set_champion
+    monkeypatch.setattr(sinks, "set_champion", lambda *_: None)
+    sinks.promote(spark, registry, "v2", "v1", "2024-01-02 00:00:00")  # claims its place and dies
+    monkeypatch.setattr(sinks, "set_champion", write)
+    with pytest.raises(ValueError):
+        sinks.promote(spark, registry, "v3", "v1", "2024-01-03 00:00:00")  # saw v1 too, but comes second
+    sinks.promote(spark, registry, "v2", "v1", "2024-01-02 00:00:00")
+    sinks.promote(spark, registry, "v3", "v2", "2024-01-03 00:00:00")
+    assert [r["version"] for r in sinks.champions(spark.read.parquet(f"{registry}/champions")).orderBy("slot").collect()] == ["v3", "v2"]
+
+
 def test_months_are_pruned_on_read(spark):
     path = scratch_path(spark, "t")
     df = fact(spark, [date(2024, 1, 5), date(2024, 2, 5)]).withColumn("year_month", F.date_format("date", "yyyy-MM"))
