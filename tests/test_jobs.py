@@ -55,4 +55,4 @@ def test_search_covers_folds_and_grids(spark, panel):
     trials = search_folds(folds[0].unionByName(folds[1]), Features(("month", "year"), Y), [TREE, (TREE, Features(("year",), Y))]).orderBy("trial").collect()
     assert [(t["trial"], t["n_folds"], t["features"]) for t in trials] == [(0, 2, "month,year"), (1, 2, "year")]
     assert all(t["val_mae"] > 0 and t["val_mae_std"] is not None for t in trials)
-    assert len(grid_candidates()) == 1944 and len(set(sample_candidates(10))) == 10
+    assert len(grid_candidates()) == 5832 and len(set(sample_candidates(10))) == 10
