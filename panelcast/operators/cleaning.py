@@ -87,9 +87,8 @@ def locf(df: DataFrame, y: str, s: Series, max_gap: int, out: str) -> DataFrame:
 def linear_by_time(df: DataFrame, y: str, s: Series, out: str) -> DataFrame:
     """Straight line between the neighbouring values by days; trailing nulls repeat the last value."""
     known = F.when(F.col(y).isNotNull(), F.struct(F.col(s.date).alias("d"), F.col(y).cast("double").alias("v")))
-    after = s.w.rowsBetween(0, 2**31 - 1)
     ends = df.withColumns(
-        {"_p": F.last(known, ignorenulls=True).over(s.upto), "_n": F.first(known, ignorenulls=True).over(after)}
+        {"_p": F.last(known, ignorenulls=True).over(s.upto), "_n": F.last(known, ignorenulls=True).over(s.from_)}
     )
     part = F.datediff(s.date, "_p.d") / F.datediff("_n.d", "_p.d")
     line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * part

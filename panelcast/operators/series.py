@@ -39,6 +39,14 @@ class Series:
     def upto(self) -> WindowSpec:
         return self.w.rowsBetween(Window.unboundedPreceding, 0)
 
+    @property
+    def from_(self) -> WindowSpec:
+        """The current row and all later ones, latest first: ``last`` over it is the next one.
+
+        In reverse order the frame grows from row to row; the same rows in forward order would be added up again for each.
+        """
+        return Window.partitionBy(*self.keys).orderBy(F.desc(self.date)).rowsBetween(Window.unboundedPreceding, 0)
+
     def prev(self, n: int, extra_shift: int = 0) -> WindowSpec:
         """The n rows before the current one (optionally shifted further back)."""
         return self.w.rowsBetween(-n - extra_shift, -1 - extra_shift)

@@ -90,7 +90,7 @@ SELECT event_id, run AS null_run, R[CASE WHEN run <= 2 THEN pv END] AS locf,
   R[CASE WHEN v IS NOT NULL THEN v WHEN pv IS NULL THEN NULL WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) * ((epoch_us(ts) - pt) / CAST(nt - pt AS DOUBLE)) END] AS linear FROM n""")
 def _long_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """Gap position, last value carried forward and straight lines on raw events, whose series go over many partitions."""
-    return rounded(long_series.fill_gaps(_events(spark, sf), "v", EVENTS, 2).select("event_id", "null_run", "locf", "linear"))
+    return rounded(long_series.fill_gaps(_events(spark, sf), "v", EVENTS, 2, ties=("event_id",)).select("event_id", "null_run", "locf", "linear"))
 
 
 @query("long_series_rolling", "W3", f"""
@@ -98,7 +98,7 @@ SELECT event_id, R[avg(v) OVER p] AS rolling_6_mean, R[stddev_samp(v) OVER p] AS
 FROM ({_GAPPY}) WINDOW p AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)""")
 def _long_rolling(spark: SparkSession, sf: str) -> DataFrame:
     """Rolling mean and deviation of the past six events of a type."""
-    return rounded(long_series.rolling(_events(spark, sf), "v", EVENTS, 6).select("event_id", "rolling_6_mean", "rolling_6_std"))
+    return rounded(long_series.rolling(_events(spark, sf), "v", EVENTS, 6, ties=("event_id",)).select("event_id", "rolling_6_mean", "rolling_6_std"))
 
 
 @query("outlier_median_cap", "W9", "SELECT state, district, month_date, flag, R[after_cap] AS after_cap FROM z_capped")

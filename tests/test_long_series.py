@@ -68,6 +68,25 @@ def test_timestamps_and_empty_tables(spark):
     assert long_series.fill_gaps(df.limit(0), "y", S).count() == long_series.rolling(df.limit(0), "y", S).count() == 0
 
 
+def test_no_frame_is_added_up_again_for_every_row(series):
+    """A frame that shrinks towards the end of a series is quadratic in its length."""
+    for df in (long_series.fill_gaps(series, "y", S, 2, 5), cleaning.linear_by_time(series, "y", S, "linear")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "rowframe" in plan
+        assert "currentrow$(), unboundedfollowing" not in plan and "currentrow$(), 2147483647" not in plan
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_rows_of_one_date_have_one_order(spark, parts):
+    """The order of ``ties`` holds in all windows; neighbours of one date have no line between them."""
+    rows = [("a", date(2024, 1, 1), i, float(i) if i % 3 != 1 else None) for i in range(9)] + [("a", date(2024, 1, 3), 9, None), ("a", date(2024, 1, 5), 10, 12.0)]
+    df = spark.createDataFrame(rows, "k string, d date, i int, y double").orderBy(F.desc("i"))
+    got = {r["i"]: (r["null_run"], r["locf"], r["linear"]) for r in long_series.fill_gaps(df, "y", S, 2, parts, ties=("i",)).collect()}
+    for i in (1, 4, 7):
+        assert got[i][:2] == (1, float(i - 1)) and np.isnan(got[i][2])
+    assert got[9] == (1, 8.0, 10.0)
+
+
 def test_fold_statistics_equal_those_of_copied_rows(spark):
     rng = random.Random(2)
     rows = [(f"s{k % 3}", f"d{k}", date(2020 + m // 12, m % 12 + 1, 5), None if rng.random() < 0.2 else 1e7 + rng.gauss(0, 3)) for k in range(9) for m in range(k, 30) if rng.random() < 0.8]
