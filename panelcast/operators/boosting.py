@@ -6,6 +6,10 @@ driver chooses the splits.  So the number of jobs is that of the slowest model,
 and folds.  Margins are written back to the table every few trees; the
 trees since then travel with the job, so a lost task is computed again from the table alone.
 
+A job costs more than its sums where a group has few rows, as the fold of a calendar has.  The models of groups of at
+most ``_SMALL`` rows take the same steps inside one grouped map, each on its own copy of the group's bins, and all of
+them need one job together.
+
 Trees grow level by level, or best leaf first up to a number of leaves.  Best-first order is found without a
 job a split: leaves that the known gains select are opened together, and the tree is final when the selection
 needs no leaf that is still unknown.
@@ -16,6 +20,7 @@ from __future__ import annotations
 import heapq
 import json
 import math
+import pickle
 import random
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
@@ -392,6 +397,8 @@ class _Growing:
 _CARRIED = 20
 #: Partial sums that are added up at a time.
 _FAN = 8
+#: Rows of a group whose models are fitted in one grouped map; larger groups have a job a step.
+_SMALL = 1 << 15
 _SUMMED = T.StructType([T.StructField("model", T.IntegerType()), T.StructField("sums", T.BinaryType())])
 #: What comes before the histograms: validation rows, their squared and absolute errors.
 _SUMS = ("n_val", "sse", "sae")
@@ -608,11 +615,52 @@ def _advanced(table: DataFrame, carried: list[tuple[int, int, list[Tree]]], n_fe
     return table.mapInArrow(run, table.schema)
 
 
+_STATE = T.StructType([T.StructField("model", T.IntegerType()), T.StructField("state", T.BinaryType())])
+
+
+def _grown(fits: dict[int, _Fit], n_features: int, flags: np.ndarray) -> Callable:
+    """Grouped map: all steps of one model over the rows of its group, of which there are at most ``_SMALL``."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        fit = fits[key[0].as_py()]
+        b = _Batch(table.combine_chunks().to_batches()[0], n_features, 1)
+        b.margin, at = b.margin.copy(), np.arange(len(b.y))
+        while request := fit.request():
+            sums: dict[int, np.ndarray] = {}
+            _add(sums, request, b, at, flags)
+            before = len(fit.trees)
+            fit.answer(sums[fit.index], request)
+            for t in fit.trees[before:]:
+                b.margin[:, 0] += t.value[leaves_of(t, b.bins, flags)]
+            fit.carried = 0
+        return pa.table({"model": pa.array([fit.index], pa.int32()), "state": pa.array([pickle.dumps((fit.trees, fit.history))], pa.binary())})
+
+    return run
+
+
+def _fit_apart(table: DataFrame, fits: list[_Fit], n_features: int, flags: np.ndarray) -> None:
+    """Fits the models of small groups in one job; the driver gets their trees."""
+    for f in fits:
+        f.slot = 0
+    of: dict[int, list[int]] = {}
+    for f in fits:
+        of.setdefault(f.job.group, []).append(f.index)
+    models = F.create_map(*(x for g, own in of.items() for x in (F.lit(g), F.array(*map(F.lit, own)))))
+    copies = table.withColumn("model", F.explode(models[F.col("group")])).repartitionByRange(len(fits), "model")
+    got = copies.groupBy("model").applyInArrow(_grown({f.index: f for f in fits}, n_features, flags), _STATE).toArrow()
+    by_index = {f.index: f for f in fits}
+    for model, state in zip(got.column("model").to_pylist(), got.column("state").to_pylist(), strict=True):
+        f = by_index[model]
+        f.trees, f.history = pickle.loads(state)
+        f.done = True
+
+
 def fit_all(rows: DataFrame, jobs: Sequence[Job], prune: Callable[[list[_Fit]], Sequence[int]] | None = None) -> list[BoostedModel | None]:
     """One model for each job from ``rows`` with ``role`` (train or val) and, for several groups, an int ``_group``.
 
     All jobs share one label.  Features may hold nulls; rows without a label take no part.  A group without
-    training rows gives None.  Rows equal in all columns are drawn together.  ``prune`` may name jobs to end after any step, from the validation errors so far.
+    training rows gives None.  Rows equal in all columns are drawn together.  ``prune`` may name jobs to end after any step, from the validation errors so far;
+    with it, models of small groups are stepped together like others.
     """
     spark = rows.sparkSession
     ship_package(spark)
@@ -629,7 +677,7 @@ def fit_all(rows: DataFrame, jobs: Sequence[Job], prune: Callable[[list[_Fit]],
     rows = cut_lineage(used.select("_group", "role", rid, *(f"`{c}`" for c in dict.fromkeys([*names, label]))))
     train = rows.where("role = 'train'")
     groups = binnings(train, numeric, categorical, max(j.cfg.max_bins for j in jobs))
-    counts = {r["_group"]: r for r in rows.groupBy("_group").agg(F.avg(F.when(F.col("role") == "train", F.col(f"`{label}`").cast("double"))).alias("base"), F.count_if(F.col("role") == "val").alias("n_val")).collect()}
+    counts = {r["_group"]: r for r in rows.groupBy("_group").agg(F.avg(F.when(F.col("role") == "train", F.col(f"`{label}`").cast("double"))).alias("base"), F.count_if(F.col("role") == "val").alias("n_val"), F.count("*").alias("n")).collect()}
     seen: dict[int, int] = {}
     fits = []
     for i, job in enumerate(jobs):
@@ -638,9 +686,26 @@ def fit_all(rows: DataFrame, jobs: Sequence[Job], prune: Callable[[list[_Fit]],
             seen[job.group] = seen.get(job.group, 0) + 1
     if not fits:
         return [None] * len(jobs)
-    slots, flags = max(seen.values()), np.array([n in set(categorical) for n in names], bool)
+    flags = np.array([n in set(categorical) for n in names], bool)
     bases = {g: counts[g]["base"] for g in groups}
-    by_index = {f.index: f for f in fits}
+    few = [g for g in groups if counts[g]["n"] <= _SMALL and prune is None]
+    apart, stepped = ([f for f in fits if (f.job.group in few) == x] for x in (True, False))
+    if apart:
+        held = rows.where(F.col("_group").isin(few))
+        _fit_apart(_binned(held, {g: groups[g] for g in few}, names, label, bases, 1), apart, len(names), flags)
+    if stepped:
+        rest = rows.where(~F.col("_group").isin(few)) if few else rows
+        _fit_by_steps(rest, {g: x for g, x in groups.items() if g not in few}, names, label, bases, stepped, flags, prune)
+    out: list[BoostedModel | None] = [None] * len(jobs)
+    for f in fits:
+        out[f.index] = BoostedModel(f.job.feats, f.binning, float(bases[f.job.group]), tuple(f.trees), f.job.cfg, tuple(f.history))
+    return out
+
+
+def _fit_by_steps(rows: DataFrame, groups: dict[int, Binning], names: Sequence[str], label: str, bases: dict[int, float], fits: list[_Fit],
+                  flags: np.ndarray, prune: Callable[[list[_Fit]], Sequence[int]] | None) -> None:
+    """Fits all models together, a job a step."""
+    by_index, slots = {f.index: f for f in fits}, 1 + max(f.slot for f in fits)
     table = _binned(rows, groups, names, label, bases, slots)
     table = cut_lineage(table.repartitionByRange(max(rows.rdd.getNumPartitions(), min(len(groups), _FAN)), "group", "rid")).persist()
     parts = table.rdd.getNumPartitions()
@@ -662,10 +727,6 @@ def fit_all(rows: DataFrame, jobs: Sequence[Job], prune: Callable[[list[_Fit]],
             for f in fits:
                 f.carried = 0
     table.unpersist()
-    out: list[BoostedModel | None] = [None] * len(jobs)
-    for f in fits:
-        out[f.index] = BoostedModel(f.job.feats, f.binning, float(bases[f.job.group]), tuple(f.trees), f.job.cfg, tuple(f.history))
-    return out
 
 
 def median_pruner(folds: int, first: int) -> Callable[[list[_Fit]], list[int]]:
