@@ -9,6 +9,7 @@ import test_boosting as tb
 from pyspark.sql import functions as F
 
 from panelcast.operators import boosting
+from panelcast.operators import models as mod
 from panelcast.operators.boosting import Job, TreeConfig, fit_all
 
 DRAWN = replace(tb.PLAIN, max_iter=12, subsample=0.7, feature_share=0.7, patience=4, l1=0.1, l2=1.0)
@@ -50,6 +51,15 @@ def test_leafwise_fits_of_folds(spark, monkeypatch):
     assert jobs < 25  # a step of every tree was a job before
 
 
+def test_ablation(spark, monkeypatch):
+    cfg, rows = replace(DRAWN, max_iter=10), folds(spark)
+    ask = lambda: sorted(map(tuple, mod.ablation(rows, tb.FEATS, {"a": ["a"], "b": ["b"]}, cfg).collect()))
+    got, jobs = jobs_of(spark, ask)
+    assert [r[0] for r in got] == ["a", "b"] and jobs < 25
+    for a, b in zip(got, by_steps(monkeypatch, ask), strict=True):
+        assert a[1:3] == pytest.approx(b[1:3]) and a[3] == b[3]
+
+
 @pytest.mark.parametrize("name", [n for n in dir(tb) if n in (
     "test_carried_trees_and_written_margins_agree", "test_constant_and_empty_training_tables", "test_a_model_comes_back_from_its_tables")])
 def test_fits_by_steps(spark, monkeypatch, name):
