@@ -60,6 +60,20 @@ def test_ablation(spark, monkeypatch):
         assert a[1:3] == pytest.approx(b[1:3]) and a[3] == b[3]
 
 
+def test_routing_with_rows_in_two_groups(spark, monkeypatch):
+    """Also with one group small and the other one fitted by steps."""
+    df = tb.frame(spark, tb.data(300))
+    train, val, test = (df.where(F.col("id") % 5 == k) if k else df.where(F.col("id") % 5 > 2) for k in (0, 1, 2))
+    ask = lambda: {r["id"]: (r["route"], r["prediction"]) for r in mod.routed(train, test, tb.FEATS, F.col("a") > 7, DRAWN, DRAWN, val).collect()}
+    got, jobs = jobs_of(spark, ask)
+    assert jobs < 30 and {r for r, _ in got.values()} == {"high_volume", "general"}
+    for limit in (0, 100):
+        with monkeypatch.context() as m:
+            m.setattr(boosting, "_SMALL", limit)
+            other = ask()
+        assert got.keys() == other.keys() and all(got[i] == (other[i][0], pytest.approx(other[i][1])) for i in got)
+
+
 @pytest.mark.parametrize("name", [n for n in dir(tb) if n in (
     "test_carried_trees_and_written_margins_agree", "test_constant_and_empty_training_tables", "test_a_model_comes_back_from_its_tables")])
 def test_fits_by_steps(spark, monkeypatch, name):
