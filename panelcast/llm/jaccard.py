@@ -13,11 +13,11 @@ set of a pair whose prefix ends first, and the other one may well be settled; so
 an expensive signature with a short one signs again too.  Signatures with a holder that is still short
 (in large near-copy groups, in practice) are kept with all their holders.  These are compared with one
 hub of each signature, and then across the components that these links leave apart; only pairs without
-a short set are left out, as they have met.  Shingles that no other set signing again holds count as
+a short set are left out, as they have met.  Shingles that no other of these holders has count as
 differences of every pair, which settles many of those pairs unseen, as do the parities of hashed shingle counts.
 
-A pair must pass a bound on two histograms of shingles before the texts are fetched, and is then
-verified on the full shingle sets.  Equal sets are one node throughout.
+A pair must pass a bound on parities in two to four cells a shingle before the texts are fetched, and is then
+verified on the full shingle sets.  Equal sets are one node throughout, and one row of each is read again.
 """
 
 from __future__ import annotations
@@ -48,9 +48,10 @@ _BANDS = [3]
 while _BANDS[-1] < 1 << 40:
     _BANDS.append(max(_BANDS[-1] + 1, int(_BANDS[-1] * BAND_RATIO)))
 BANDS = np.array(_BANDS, np.int64)
-#: Stands for the band in records of single shingles.
-SHINGLE = 255
 _RECORD = {"band": "u1", "key": "<u4", "id": "<u8", "weight": "u1"}
+_SHINGLE = {"key": "<u4", "id": "<u8"}
+#: Cells of the parities of a set: a power of two, twice its shingles at least, within these limits.
+LEAST_CELLS, MOST_CELLS = 64, 1 << 20
 
 
 def _differences(a: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -71,9 +72,9 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 class Signed:
-    """Signatures of a chunk of sets for one choice of band (0: own, 1: next) and level (0, 1)."""
+    """Signatures of a chunk of sets for one choice of band (0: own, 1: next) and level (0, 1); without ``keys`` their slack alone."""
 
-    def __init__(self, tokens: np.ndarray, offsets: np.ndarray, next_band: bool, deletions: bool) -> None:
+    def __init__(self, tokens: np.ndarray, offsets: np.ndarray, next_band: bool, deletions: bool, keys: bool = True) -> None:
         sizes = np.diff(offsets)
         own = np.searchsorted(BANDS, sizes)
         if next_band:
@@ -90,8 +91,6 @@ class Signed:
         tokens = tokens[np.repeat(used, sizes)]
         seg = ((tokens >> np.uint64(32)) * m[row]) >> np.uint64(32)
         at = _runs(row, seg)
-        mixed = mix(tokens ^ np.uint64(0xA5A5A5A5DEADBEEF))
-        sums = np.add.reduceat(mixed, at) if len(at) else np.empty(0, np.uint64)
         held = np.diff(np.append(at, len(tokens)))
         seg_row, seg_id = row[at], seg[at]
         worth = np.minimum(held, 2) if deletions else np.ones(len(at), np.int64)
@@ -105,6 +104,12 @@ class Signed:
         before = before - base[seg_row]
         signed = before < goal[seg_row]
         self.slack = np.bincount(seg_row[signed], worth[signed], len(sizes)).astype(np.int64) - need
+        lost = used & (total < need) & deletions  # too few shingles apart from each other: sign every shingle
+        self.slack[lost] = 0
+        if not keys:
+            return
+        mixed = mix(tokens ^ np.uint64(0xA5A5A5A5DEADBEEF))
+        sums = np.add.reduceat(mixed, at) if len(at) else np.empty(0, np.uint64)
         salt = mix(own[seg_row].astype(np.uint64) << np.uint64(40) ^ seg_id)
         keys, rows, weight = [mix(sums + salt)[signed]], [seg_row[signed]], [worth[signed]]
         if deletions:
@@ -113,8 +118,6 @@ class Signed:
             keys.append(mix((sums[where] - mixed + salt[where])[out]))
             rows.append(row[out])
             weight.append(np.ones(int(out.sum()), np.int64))
-            lost = used & (total < need)  # too few shingles apart from each other: sign every shingle
-            self.slack[lost] = 0
             weight[0] = np.where(lost[rows[0]], 0, weight[0])
             weight[1] = np.where(lost[rows[1]], 0, weight[1])
             each = lost[row]
@@ -134,50 +137,72 @@ def _set_ids(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
+def _sets(batches: Iterator[pa.RecordBatch], k: int, only: np.ndarray | None = None) -> Iterator[tuple]:
+    """Shingle sets of the rows, or of those whose hash is in the bitmap ``only``."""
     for batch in batches:
+        if only is not None:
+            batch = batch.filter(pa.array(in_bitmap(only, batch.column("_row").to_numpy().view(np.uint64))))
         for a, b, values, offsets in chunks(batch.column("text")):
             tokens, at = shingle_sets(values, offsets, k)
             yield batch, a, b, tokens, at, _set_ids(tokens, at)
 
 
+def _parities(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set the parities of its shingles' numbers in as many cells as suit its size."""
+    sizes = np.diff(at)
+    cells = np.clip(1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64), LEAST_CELLS, MOST_CELLS)
+    ends = np.cumsum(cells)
+    where = np.repeat(ends - cells, sizes) + (tokens & np.repeat(cells - 1, sizes).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(where, minlength=int(cells.sum())) & 1).astype(np.uint8)).tobytes()
+    return [odd[a:b] for a, b in zip(((ends - cells) // 8).tolist(), (ends // 8).tolist(), strict=True)]
+
+
+def _unequal(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Cells of unequal parity of each pair, of which each holds a difference; the longer of two is folded to the other's cells."""
+    sizes = np.array([[len(x), len(y)] for x, y in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(sizes), np.int64)
+    for shape in np.unique(sizes, axis=0):
+        rows = np.flatnonzero((sizes == shape).all(axis=1))
+        sides = [np.frombuffer(b"".join([x[r] for r in rows]), np.uint64).reshape(len(rows), -1) for x in (left, right)]
+        least = int(shape.min()) // 8
+        x, y = (np.bitwise_xor.reduce(s.reshape(len(rows), -1, least), axis=1) for s in sides)
+        out[rows] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
 def _node_rows(k: int):
-    """doc_id, n, set_id, for both bands and levels the signatures beyond the bound, a histogram of the shingles, and the parities of a finer one."""
+    """doc_id, n, set_id, for both bands and levels the signatures beyond the bound, and parities of the shingles in cells by size and in 512."""
 
     def run(batches):
         for batch, a, b, tokens, at, ids in _sets(batches, k):
             out = [batch.column("doc_id")[a:b], batch.column("_row")[a:b], pa.array(np.diff(at)), pa.array(ids.view(np.int64))]
             for nxt in (False, True):
                 for level in (False, True):
-                    s = Signed(tokens, at, nxt, level)
+                    s = Signed(tokens, at, nxt, level, keys=False)
                     out.append(pa.array(s.slack.astype(np.int32), mask=~s.used))
                 out.append(pa.array(s.band.astype(np.int16)))
-            cells = np.repeat(np.arange(b - a) * 256, np.diff(at)) + (tokens >> np.uint64(56)).astype(np.int64)
-            shape = np.minimum(np.bincount(cells, minlength=(b - a) * 256), 255).astype(np.uint8).reshape(-1, 256)
-            out.append(pa.array([x.tobytes() for x in shape], pa.binary()))
+            out.append(pa.array(_parities(tokens, at), pa.binary()))
             cells = np.repeat(np.arange(b - a) * 512, np.diff(at)) + (tokens >> np.uint64(55)).astype(np.int64)
             odd = np.packbits((np.bincount(cells, minlength=(b - a) * 512) & 1).astype(np.uint8).reshape(-1, 512), axis=1)
             out.append(pa.array([x.tobytes() for x in odd], pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "_row", "n", "set_id", "a0", "a1", "band_a", "b0", "b1", "band_b", "shape", "odd"])
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "_row", "n", "set_id", "a0", "a1", "band_a", "b0", "b1", "band_b", "cells", "odd"])
 
     return run
 
 
-_NODES = "doc_id bigint, _row bigint, n bigint, set_id bigint, a0 int, a1 int, band_a smallint, b0 int, b1 int, band_b smallint, shape binary, odd binary"
+_NODES = "doc_id bigint, _row bigint, n bigint, set_id bigint, a0 int, a1 int, band_a smallint, b0 int, b1 int, band_b smallint, cells binary, odd binary"
 
 
-def _sign(k: int, names: np.ndarray, level: int, only: np.ndarray | None):
+def _sign(k: int, names: np.ndarray, level: int, only: np.ndarray):
     buckets = len(names)
 
     def run(batches):
         packer = Packer(_RECORD)
-        for _, _, _, tokens, at, ids in _sets(batches, k):
+        for _, _, _, tokens, at, ids in _sets(batches, k, only):
             _, first = np.unique(ids, return_index=True)
             keep = np.zeros(len(ids), bool)
             keep[first] = True
             keep &= ids != 0
-            if only is not None:
-                keep &= in_bitmap(only, ids)
             sizes = np.diff(at)
             tokens, ids = tokens[np.repeat(keep, sizes)], ids[keep]
             at = np.concatenate(([0], np.cumsum(sizes[keep])))
@@ -187,12 +212,22 @@ def _sign(k: int, names: np.ndarray, level: int, only: np.ndarray | None):
                     names[((s.key >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)],
                     band=s.band[s.row], key=s.key & np.uint64(0xFFFFFFFF), id=ids[s.row], weight=s.weight,
                 )
-            if level == 1:  # every shingle too, to see which ones only one set holds
-                yield from packer.add(
-                    names[((tokens >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)],
-                    band=np.full(len(tokens), SHINGLE), key=tokens & np.uint64(0xFFFFFFFF),
-                    id=np.repeat(ids, np.diff(at)), weight=np.zeros(len(tokens)),
-                )
+        yield from packer.rest()
+
+    return run
+
+
+def _shingles(k: int, names: np.ndarray, only: np.ndarray):
+    """Every shingle of the sets in the bitmap."""
+    buckets = len(names)
+
+    def run(batches):
+        packer = Packer(_SHINGLE)
+        for _, _, _, tokens, at, ids in _sets(batches, k, only):
+            yield from packer.add(
+                names[((tokens >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)],
+                key=tokens & np.uint64(0xFFFFFFFF), id=np.repeat(ids, np.diff(at)),
+            )
         yield from packer.rest()
 
     return run
@@ -238,22 +273,30 @@ def _all_pairs(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
     return np.concatenate(left), np.concatenate(right)
 
 
-def _match(buckets: int, level: int):
+def _lone(buckets: int):
+    """How many shingles of a bucket each set holds alone."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, ids = (unpack(pdf[c], t) for c, t in _SHINGLE.items())
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
+        at = _runs(key, ids)  # a set whose row is repeated has come more than once
+        key, ids = key[at], ids[at]
+        at = _runs(key)
+        lone = np.sort(ids[at[np.diff(np.append(at, len(key))) == 1]])
+        at = _runs(lone)
+        return pd.DataFrame(_pack(LONE, _bucket(lone[at], buckets), lone[at], np.diff(np.append(at, len(lone))).astype("<u4")), columns=_FOUND_NAMES)
+
+    return run
+
+
+def _match(buckets: int):
     """Pairs of the cheap signatures of a bucket; who holds the expensive ones."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         here = int(pdf["bucket"].iloc[0])
         band, key, ids, weight = (unpack(pdf[c], t) for c, t in _RECORD.items())
         out = []
-        if level == 1:
-            single = band == SHINGLE
-            lone = ids[single][np.argsort(key[single], kind="stable")]
-            held = np.sort(key[single])
-            at = _runs(held)
-            lone = np.sort(lone[at[np.diff(np.append(at, len(held))) == 1]])
-            at = _runs(lone)
-            out += _pack(LONE, _bucket(lone[at], buckets), lone[at], np.diff(np.append(at, len(lone))).astype("<u4"))
-            band, key, ids, weight = band[~single], key[~single], ids[~single], weight[~single]
         full = key.astype(np.uint64) | band.astype(np.uint64) << np.uint64(32)
         order = np.lexsort((weight, ids, full))[::-1]  # a set may hold a key twice: its larger weight counts
         full, ids, weight, band = full[order], ids[order], weight[order], band[order]
@@ -350,6 +393,11 @@ def _shared(short: np.ndarray, still: np.ndarray, buckets: int):
     return run
 
 
+def _holders(nodes: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+    """Rows of the sets that hold an expensive signature that is still needed, each once."""
+    return nodes.loc[np.isin(nodes["set_id"].to_numpy(np.int64), unpack(shared["x"], "<i8")), ["row"]]
+
+
 def _stuck(nodes: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     """Expensive signatures that are still needed by holder, unless its lone shingles rule out every link."""
     if not len(nodes) or not len(found):
@@ -475,12 +523,12 @@ def _distinct_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _texts(k: int, only: np.ndarray):
-    """(set_id, text) of the sets in the bitmap, once a chunk."""
+    """(set_id, text) of the rows in the bitmap, once a chunk."""
 
     def run(batches):
-        for batch, a, b, _, _, ids in _sets(batches, k):
+        for batch, a, b, _, _, ids in _sets(batches, k, only):
             _, first = np.unique(ids, return_index=True)
-            first = first[in_bitmap(only, ids[first]) & (ids[first] != 0)]
+            first = first[ids[first] != 0]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[first].view(np.int64)), batch.column("text")[a:b].take(pa.array(first)).cast(pa.string())], ["set_id", "text"]
             )
@@ -510,26 +558,27 @@ def _verify(k: int):
 
 
 def _bounded(batches):
-    """Pairs whose sizes and shingle histograms leave room for a link."""
+    """Pairs whose sizes and parities leave room for a link."""
     for batch in batches:
         n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-        sides = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for c in ("sa", "sb"))
-        apart = np.abs(next(sides) - next(sides)).sum(axis=1)
-        keep = (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m)) & (apart <= (n + m) * (DEN - NUM) // (DEN + NUM))
+        keep = NUM * np.maximum(n, m) <= DEN * np.minimum(n, m)
+        batch, n, m = batch.filter(pa.array(keep)), n[keep], m[keep]
+        keep = _unequal(*(batch.column(c).to_pylist() for c in ("ca", "cb"))) <= (n + m) * (DEN - NUM) // (DEN + NUM)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _bounded_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
     """The different candidate pairs in ``found`` that pass the bound."""
     pairs = found.where(f"kind = {PAIR}").groupBy("bucket").applyInPandas(_distinct_pairs, "a bigint, b bigint")
-    left, right = (sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("shape").alias(f"s{c}")) for c in ("a", "b"))
+    left, right = (sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("cells").alias(f"c{c}")) for c in ("a", "b"))
     return cut_lineage(pairs.join(left, "a").join(right, "b").mapInArrow(tidy(_bounded), "a bigint, b bigint"))
 
 
-def _links(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """The pairs that are links, by their texts."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
-    texts = docs.select("text").mapInArrow(tidy(_texts(k, bitmap(ids, F.col("set_id")))), "set_id bigint, text string")
+    rows = bitmap(sets.select("set_id", "row").join(ids, "set_id", "left_semi"), F.col("row"))
+    texts = docs.select("_row", "text").mapInArrow(tidy(_texts(k, rows)), "set_id bigint, text string")
     texts = cut_lineage(texts.groupBy("set_id").agg(F.first("text").alias("text")))
     left, right = (texts.select(F.col("set_id").alias(c), F.col("text").alias(f"t{c}")) for c in ("a", "b"))
     return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(tidy(_verify(k)), "a bigint, b bigint"))
@@ -560,15 +609,15 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     buckets, names = bucket_count(spark), bucket_names(spark)
     nodes = cut_lineage(docs.mapInArrow(tidy(_node_rows(k)), _NODES))
     sets = cut_lineage(
-        nodes.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n", "a0", "a1", "band_a", "b0", "b1", "band_b", "shape", "odd")))
+        nodes.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.min("_row").alias("row"), *(F.first(c).alias(c) for c in ("n", "a0", "a1", "band_a", "b0", "b1", "band_b", "cells", "odd")))
     )
-    dealt = sets.drop("shape").withColumn("bucket", _bucket_column("set_id", buckets)).groupBy("bucket")
+    dealt = sets.drop("cells").withColumn("bucket", _bucket_column("set_id", buckets)).groupBy("bucket")
 
-    def matched(level: int, only: np.ndarray | None) -> DataFrame:
-        signed = docs.select("text").mapInArrow(tidy(_sign(k, names, level, only)), schema(_RECORD))
-        return cut_lineage(signed.groupBy("bucket").applyInPandas(tidy_group(_match(buckets, level)), _FOUND))
+    def matched(level: int, own: DataFrame) -> DataFrame:
+        signed = docs.select("_row", "text").mapInArrow(tidy(_sign(k, names, level, bitmap(own, F.col("row")))), schema(_RECORD))
+        return cut_lineage(signed.groupBy("bucket").applyInPandas(tidy_group(_match(buckets)), _FOUND))
 
-    found = matched(0, None)
+    found = matched(0, sets)
     counts = found.where(f"kind = {COUNT}")
     short = cut_lineage(dealt.cogroup(counts.groupBy("bucket")).applyInPandas(_short_sets(0), _SHORT))
     stuck = None
@@ -576,29 +625,33 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
         first_short = _short_bitmap(short)
         beside = found.where(f"kind = {HELD}").select("x", "y", "w").mapInArrow(tidy(_beside(first_short)), "set_id bigint")
         signing = cut_lineage(short.select("set_id").unionByName(beside).distinct())
-        again = matched(1, bitmap(signing, F.col("set_id")))
+        again_sets = cut_lineage(sets.drop("cells").join(signing, "set_id", "left_semi").withColumn("bucket", _bucket_column("set_id", buckets)))
+        again = matched(1, again_sets)
         found = found.unionByName(again)
-        again_sets = cut_lineage(sets.drop("shape").join(signing, "set_id", "left_semi").withColumn("bucket", _bucket_column("set_id", buckets)))
         counts = again.where(f"kind = {COUNT}")
         still = again_sets.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInPandas(_short_sets(1), _SHORT)
         shared = again.where(f"kind = {HELD}").select("x", "y", "w").mapInArrow(tidy(_shared(first_short, _short_bitmap(still), buckets)), _FOUND)
-        needed = again.where(f"kind = {LONE}").unionByName(shared)
+        shared = cut_lineage(shared)
+        by_bucket = again_sets.select("bucket", "set_id", "row").groupBy("bucket")
+        holders = by_bucket.cogroup(shared.select("bucket", "x").groupBy("bucket")).applyInPandas(_holders, "row bigint")
+        single = docs.select("_row", "text").mapInArrow(tidy(_shingles(k, names, bitmap(holders, F.col("row")))), schema(_SHINGLE))
+        needed = single.groupBy("bucket").applyInPandas(tidy_group(_lone(buckets)), _FOUND).unionByName(shared)
         stuck = cut_lineage(again_sets.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInPandas(_stuck, schema(_STUCK)))
         hubs = stuck.mapInArrow(tidy(_by_key(buckets)), schema(_STUCK)).groupBy("bucket").applyInPandas(tidy_group(_hub_pairs(buckets)), _FOUND)
         found = found.unionByName(hubs)
     pairs = _bounded_pairs(sets, found)
     # each set with its least partner first; most other pairs then lie inside a component and need no look
     first = cut_lineage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    label = components(_links(docs, first, k))
+    label = components(_links(docs, sets, first, k))
     rest = cut_lineage(_apart(pairs, first, label))
     if not rest.isEmpty():
-        label = components(stars(label).unionByName(_links(docs, rest, k)))
+        label = components(stars(label).unionByName(_links(docs, sets, rest, k)))
     if stuck is not None and not stuck.isEmpty():
         own = label.withColumn("bucket", _bucket_column("node", buckets))
         labelled = stuck.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInPandas(_label(buckets), schema(_LABELLED))
         cross = _bounded_pairs(sets, labelled.groupBy("bucket").applyInPandas(tidy_group(_cross_pairs(buckets)), _FOUND))
         if not cross.isEmpty():
-            label = components(stars(label).unionByName(_links(docs, cross, k)))
+            label = components(stars(label).unionByName(_links(docs, sets, cross, k)))
     joined = sets.join(label, sets["set_id"] == label["node"], "left").select("set_id", "doc", F.coalesce("label", "set_id").alias("label"))
     least = joined.groupBy("label").agg(F.min("doc").alias("component_id"))
     of_set = joined.join(least, "label").select("set_id", "component_id", F.col("label").alias("component_set"))
